@@ -50,7 +50,7 @@ def value_states(
         (F.date_from_unix_date(F.floor(F.col(ts_us) / DAY_US).cast("int")) if ts_us else F.lit(None).cast("date")).alias("day"),
     ).dropna(subset=["grp", "value", *(["event_id"] if event_id else [])])
     if event_id:
-        rows = rows.dropDuplicates(["event_id"])
+        rows = rows.distinct()  # an id has one content, so whole rows tell; hashed without a sort
     return combine(rows.select("grp", "day", representative(F.col("value"), bits).alias("value"), F.lit(1).cast("bigint").alias("n")))
 
 
@@ -69,7 +69,11 @@ def percentiles(
     ``p<digits>`` per probability (linear interpolation between neighbouring
     order statistics, as ``quantile_cont``), and error_bound, the largest
     relative error (0 for an exact state; ``bits`` has to be that of the state). Values without a day count
-    for ``all`` only. An empty state gives no rows.
+    for ``all`` only. An empty state gives no rows. A state has each group, day and value
+    once, as ``combine`` makes it.
+
+    The state is read for the counts and again for the wanted ranges, so a
+    caller had better persist it.
 
     Method: a distributed sort of the state. Ranges of values (quarter
     octaves) are the sort's partitions; their counts, summed up per group,
@@ -78,18 +82,14 @@ def percentiles(
     the order statistics. A range of one group holds at most its distinct
     values, so no task gets a group's rows.
     """
-    levels = [F.struct(F.lit("all").alias("level"), F.lit(None).cast("date").alias("day"))]
-    if by_day:
-        levels.append(F.struct(F.lit("day").alias("level"), F.col("day").alias("day")))
     octave = F.floor(F.log2(F.greatest(F.abs(F.col("value").cast("double")), F.lit(1.0))) * 4) + 1
-    rows = (
-        states.select("grp", "value", "n", F.explode(F.array(*levels)).alias("to"))
-        .select("grp", "to.level", "to.day", "value", "n")
-        .filter("level = 'all' or day is not null")
-        .groupBy("grp", "level", "day", "value")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("range", F.signum(F.col("value").cast("double")).cast("bigint") * octave)
+    rows = states.groupBy("grp", "value").agg(F.sum("n").alias("n")).select(
+        "grp", F.lit("all").alias("level"), F.lit(None).cast("date").alias("day"), "value", "n"
     )
+    if by_day:
+        daily = states.select("grp", F.lit("day").alias("level"), "day", "value", "n")
+        rows = rows.unionByName(daily)
+    rows = rows.withColumn("range", F.signum(F.col("value").cast("double")).cast("bigint") * octave)
     key = ["grp", "level", "day"]
     whole = Window.partitionBy(*key)
     ordered = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +117,8 @@ def percentiles(
         return F.max(F.when((first <= p) & (p <= F.col("last")), F.col("value"))).cast("double")
 
     picks = [x for i, q in enumerate(probs) for x in (statistic(low[q]).alias(f"lo{i}"), statistic(high[q]).alias(f"hi{i}"))]
-    out = found.groupBy(*key).agg(F.max("total").alias("total"), *picks)
+    # Rows without a day go last, by a condition that isn't pushed down: both levels then share their shuffles.
+    out = found.groupBy(*key).agg(F.max("total").alias("total"), *picks).filter("level = 'all' or day is not null or total < 0")
     return out.select(
         *key,
         F.col("total").alias("n"),

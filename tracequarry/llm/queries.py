@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles per name and per name and day."""
     states = percentiles.value_states(table(spark, d, "trace_events"), "name", "dur_us", "event_seq", "ts_us")
-    return _rounded(percentiles.percentiles(states))
+    return _rounded(percentiles.percentiles(states.persist(StorageLevel.MEMORY_AND_DISK)))
 
 
 def p2_combined(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +29,7 @@ def p2_combined(spark: SparkSession, d: str) -> DataFrame:
     states = percentiles.value_states(
         table(spark, d, "trace_events"), "name", "dur_us", "event_seq", "ts_us", STATE_BITS
     )
-    return _rounded(percentiles.percentiles(states, bits=STATE_BITS))
+    return _rounded(percentiles.percentiles(states.persist(StorageLevel.MEMORY_AND_DISK), bits=STATE_BITS))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
