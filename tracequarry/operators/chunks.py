@@ -14,9 +14,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.session import cut
+
 Scan = Callable[[int, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -43,3 +45,17 @@ def scan(df: DataFrame, body: Scan, schema: str) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """Marks a table of at most a few rows per chunk for a broadcast join."""
     return F.broadcast(df)
+
+
+def global_number(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with its rows' numbers (from 0) in the order of ``key``, without one task for all.
+
+    Rows are numbered within their chunk; the chunks' sizes, one row each,
+    give what to add.
+    """
+    rows = chunked(df, key).withColumn("_id", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("_chunk", F.shiftright("_id", 33)).withColumn("_pos", F.expr("_id & 8589934591")))
+    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(small(offsets), "_chunk").withColumn(name, F.col("_before") + F.col("_pos")).drop("_id", "_chunk", "_pos", "_before")
