@@ -23,19 +23,19 @@ def fit_lines(samples: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """
     s = samples.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(x).alias("mx"),
-        F.avg(y).alias("my"),
-        F.avg(F.col(x) * F.col(x)).alias("xx"),
-        F.avg(F.col(x) * F.col(y)).alias("xy"),
+        F.avg(x).alias("_mx"),
+        F.avg(y).alias("_my"),
+        F.avg(F.col(x) * F.col(x)).alias("_xx"),
+        F.avg(F.col(x) * F.col(y)).alias("_xy"),
     )
-    var = F.col("xx") - F.col("mx") * F.col("mx")
-    slope = F.when(var > 0, (F.col("xy") - F.col("mx") * F.col("my")) / var).otherwise(0.0)
-    s = s.withColumn("k", slope).withColumn("b", F.col("my") - F.col("k") * F.col("mx"))
+    var = F.col("_xx") - F.col("_mx") * F.col("_mx")
+    slope = F.when(var > 0, (F.col("_xy") - F.col("_mx") * F.col("_my")) / var).otherwise(0.0)
+    s = s.withColumn("_k", slope).withColumn("_b", F.col("_my") - F.col("_k") * F.col("_mx"))
     return s.select(
         *key,
         "n",
-        F.round(F.when(F.col("k") < 0, 0.0).when(F.col("b") < 0, F.greatest(F.col("xy") / F.col("xx"), F.lit(0.0))).otherwise(F.col("k")), 6).alias("slope"),
-        F.round(F.when(F.col("k") < 0, F.greatest("my", F.lit(0.0))).when(F.col("b") < 0, 0.0).otherwise(F.col("b")), 3).alias("intercept"),
+        F.round(F.when(F.col("_k") < 0, 0.0).when(F.col("_b") < 0, F.greatest(F.col("_xy") / F.col("_xx"), F.lit(0.0))).otherwise(F.col("_k")), 6).alias("slope"),
+        F.round(F.when(F.col("_k") < 0, F.greatest("_my", F.lit(0.0))).when(F.col("_b") < 0, 0.0).otherwise(F.col("_b")), 3).alias("intercept"),
     )
 
 

@@ -284,7 +284,7 @@ def flag_implausible(
     def levels(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = pdf["n"].to_numpy(np.int64)
         if counts.sum() < rules.few:
-            return pd.DataFrame({"source": [], "levels": []})
+            return pd.DataFrame({"source": [], "levels": []}, dtype=object)
         found = usual_levels(pdf["bin"].to_numpy(np.int64), counts, rules)
         return pd.DataFrame({"source": [pdf["source"].iloc[0]], "levels": [[list(x) for x in found]]})
 

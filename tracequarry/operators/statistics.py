@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.operators.ordered import running
+
 DAY_US = 86_400_000_000
 
 
@@ -192,8 +194,8 @@ def modal_counts(events: DataFrame, slack: int) -> DataFrame:
 
 def trimmed_means(events: DataFrame, cut: int = 10, many: int = 100) -> DataFrame:
     """Mean duration without the first and last ``cut`` samples (of the last ``many``, if there are more)."""
-    order = Window.partitionBy("pid", "name").orderBy("ts_us", "event_seq")
-    rows = events.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pid", "name")))
+    counts = events.groupBy("pid", "name").agg(F.count(F.lit(1)).alias("n"))
+    rows = running(events, ["pid", "name"], "ts_us", ["event_seq"], {"rn": ("sum", F.lit(1).cast("bigint"))}).join(counts, ["pid", "name"])
     kept = rows.filter(
         (F.col("rn") <= F.col("n") - cut) & (F.col("rn") > F.when(F.col("n") > many, F.col("n") - many).otherwise(F.lit(cut)))
     )

@@ -11,7 +11,7 @@ EVENT = (
     "ph string, name string, pid string, tid string, ts double, dur double, cat string, args map<string,string>"
 )
 #: Bronze columns: one row per event with the file and its place in the hierarchy.
-COLUMNS = ["trial", "host", "rank", "path", "ph", "name", "pid", "tid", "ts_us", "dur_us", "cat", "args"]
+COLUMNS = ["trial", "host", "rank", "path", "pos", "ph", "name", "pid", "tid", "ts_us", "dur_us", "cat", "args"]
 
 
 def hierarchy(path: Column) -> tuple[Column, Column, Column]:
@@ -26,7 +26,7 @@ def _events(df: DataFrame) -> DataFrame:
     trial, host, rank = hierarchy(path)
     us = lambda c: F.round(F.col(f"e.{c}")).try_cast("bigint")
     return df.select(
-        trial.alias("trial"), host.alias("host"), rank.alias("rank"), path, "e.ph", "e.name", "e.pid", "e.tid",
+        trial.alias("trial"), host.alias("host"), rank.alias("rank"), path, "pos", "e.ph", "e.name", "e.pid", "e.tid",
         us("ts").alias("ts_us"), us("dur").alias("dur_us"), "e.cat", "e.args",
     )
 
@@ -42,7 +42,7 @@ def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     as_object = F.from_json("raw", f"traceEvents array<struct<{_struct()}>>")["traceEvents"]
     as_list = F.from_json("raw", f"array<struct<{_struct()}>>")
     listed = F.ltrim("raw").startswith("[")
-    return _events(text.select("path", F.explode(F.when(listed, as_list).otherwise(as_object)).alias("e")))
+    return _events(text.select("path", F.posexplode(F.when(listed, as_list).otherwise(as_object)).alias("pos", "e")))
 
 
 def _struct() -> str:
@@ -128,13 +128,10 @@ def horovod(events: DataFrame) -> DataFrame:
     Metadata rows name each process by its tensor; synchronisations of one
     time become one event of all their tensors.
     """
-    from pyspark.sql import Window
-
     from tracequarry.operators.sequences import coalesce_equal_times, pair_nested
 
     meta = events.filter("ph = 'M' and name = 'process_name'").groupBy("path", "pid").agg(F.max(F.col("args")["name"]).alias("process"))
-    order = F.row_number().over(Window.partitionBy("path", "pid").orderBy("ts_us", F.col("ph").desc(), "name"))
-    marks = events.filter("ph in ('B', 'E')").withColumn("name", F.coalesce("name", F.lit(""))).withColumn("seq", order)
+    marks = events.filter("ph in ('B', 'E')").withColumn("name", F.coalesce("name", F.lit(""))).withColumnRenamed("pos", "seq")
     spans = pair_nested(marks, ["path", "pid"]).join(meta, ["path", "pid"], "left").filter("name <> 'input_barrier'")
     spans = spans.withColumn("tensor", F.regexp_extract("process", "([0-9]+(?:[_+][0-9]+)*)$", 1))
     ids = F.transform(F.split(F.translate("tensor", "_", "+"), "[+]"), lambda x: x.try_cast("bigint"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracequarry.operators.ordered import running
+
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.trim("value").alias("line"), F.input_file_name().alias("path")).filter("line <> ''")
@@ -59,8 +61,8 @@ def key_table(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def pair_by_number(marks: DataFrame, keys: list[str]) -> DataFrame:
     """The n-th start of a key with its n-th end, each in order of time: (keys, iter, start_us, end_us)."""
-    w = Window.partitionBy(*keys, "ph").orderBy("ts_us")
-    rows = marks.withColumn("iter", F.row_number().over(w) - 1)
+    rows = running(marks, [*keys, "ph"], "ts_us", [], {"iter": ("sum", F.lit(1).cast("bigint"))})
+    rows = rows.withColumn("iter", F.col("iter") - 1)
     begin = rows.filter("ph = 'B'").select(*keys, "iter", F.col("ts_us").alias("start_us"))
     end = rows.filter("ph = 'E'").select(*keys, "iter", F.col("ts_us").alias("end_us"))
     return begin.join(end, [*keys, "iter"])
