@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.operators import kernels
-from tracequarry.session import cut
+from tracequarry.session import by_key, cut
 
 # -------------------------------------------------------------- expansion
 
@@ -206,7 +206,7 @@ def reachable(edges: DataFrame, starts: DataFrame, key: list[str], most: int = 1
 def _graphs(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     a = nodes.select(*key, "node", "avg_ms", F.lit(None).cast("string").alias("dst"))
     b = edges.select(*key, F.col("src").alias("node"), F.lit(None).cast("double").alias("avg_ms"), "dst")
-    return a.unionByName(b)
+    return by_key(a.unionByName(b), *key)
 
 
 def _build(pdf: pd.DataFrame) -> kernels.Graph:
@@ -259,6 +259,7 @@ def execution_edges(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataF
 def scenarios(nodes: DataFrame, edges: DataFrame, key: list[str], cases: dict[str, kernels.Delays]) -> DataFrame:
     """Time of each graph under each case: (key, scenario, time_ms). All cases run in one job."""
     rows = _graphs(nodes, edges, key).withColumn("scenario", F.explode(F.array(*[F.lit(c) for c in cases])))
+    rows = by_key(rows, *key, "scenario")
 
     def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*k, round(kernels.replay(_build(pdf), cases[k[-1]])[1], 6))], columns=[*key, "scenario", "time_ms"])
@@ -286,7 +287,7 @@ def searches(nodes: DataFrame, edges: DataFrame, key: list[str], rounds: int = 1
         "mcts": lambda g: kernels.mcts(g, rounds, seed=seed),
         "walk": lambda g: kernels.greedy_walk(g),
     }
-    rows = _graphs(nodes, edges, key).withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    rows = by_key(_graphs(nodes, edges, key).withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods]))), *key, "method")
 
     def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = methods[k[-1]](_build(pdf))

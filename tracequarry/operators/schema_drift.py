@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracequarry.session import cut
+from tracequarry.session import cut, spread
 
 FIXED = ("name", "pid", "tid", "ts", "dur")
 #: The one-letter phases of the trace event format.
@@ -283,7 +283,7 @@ def compare(prev: dict[str, dict], cur: dict[str, dict], rules: DriftRules) -> l
 def file_headers(raw_events: DataFrame) -> DataFrame:
     """Traits of each file's fields: (file_id, field, trait, n), summed over all its lines."""
     rows = raw_events.select(F.col("file_id").cast("bigint").alias("file_id"), "raw").filter("file_id is not null")
-    return rows.mapInPandas(_headers, _TRAITS).groupBy("file_id", "field", "trait").agg(F.sum("n").alias("n"))
+    return spread(rows).mapInPandas(_headers, _TRAITS).groupBy("file_id", "field", "trait").agg(F.sum("n").alias("n"))
 
 
 def _file_profiles(raw_events: DataFrame, rules: DriftRules) -> DataFrame:

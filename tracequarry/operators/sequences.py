@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracequarry.operators.ordered import running
+from tracequarry.operators.ordered import SLOT_BITS, running
 
 
 def current_step(events: DataFrame, step: str = "step") -> DataFrame:
@@ -40,13 +40,7 @@ def pair_nested(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
     the running sum less the lowest running sum below zero so far; within a
     level a begin and the next end belong together.
     """
-    sign = F.when(F.col("ph") == "B", 1).otherwise(-1).cast("bigint")
-    rows = running(marks, keys, "ts_us", ["seq"], {"_sum": ("sum", sign)})
-    rows = running(rows, keys, "ts_us", ["seq"], {"_low": ("min", F.col("_sum"))})
-    depth = F.col("_sum") - F.least(F.lit(0), F.col("_low"))
-    rows = running(rows.withColumn("_depth", depth), keys, "ts_us", ["seq"], {"_prior": ("lag", F.col("_depth"))})
-    level = F.when(F.col("ph") == "B", F.col("_depth")).otherwise(F.coalesce("_prior", F.lit(0)))
-    rows = rows.withColumn("depth", level).filter("depth > 0").drop("_sum", "_low", "_depth", "_prior")
+    rows = _levels(marks, keys).filter("depth > 0")
     prev = F.struct("ph", "name", "ts_us")
     rows = running(rows, [*keys, "depth"], "ts_us", ["seq"], {"before": ("lag", prev)})
     return rows.filter("ph = 'E' and before.ph = 'B'").select(
@@ -55,6 +49,29 @@ def pair_nested(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _levels(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``marks`` with their level: a begin's own depth, for an end the depth before it.
+
+    Running sum and running minimum of that sum in one pass over slots of
+    time: a slot adds its total, and its lowest point after what came before.
+    """
+    slot, sign = "_slot", F.when(F.col("ph") == "B", 1).otherwise(-1).cast("bigint")
+    inner = Window.partitionBy(*keys, slot).orderBy("ts_us", "seq")
+    upto, before = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(Window.unboundedPreceding, -1)
+    rows = marks.dropna(subset=[*keys, "ts_us"]).withColumn(slot, F.shiftright("ts_us", SLOT_BITS)).withColumn("_sign", sign)
+    rows = rows.withColumn("_sum", F.sum("_sign").over(upto))
+    rows = rows.withColumn("_low", F.min("_sum").over(upto)).withColumn("_prior_low", F.min("_sum").over(before))
+    earlier = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, slot).agg(F.sum("_sign").alias("_end"), F.min("_sum").alias("_slot_low"))
+    ends = ends.withColumn("_from", F.coalesce(F.sum("_end").over(earlier), F.lit(0)))
+    ends = ends.withColumn("_from_low", F.min(F.col("_from") + F.col("_slot_low")).over(earlier))
+    rows = rows.join(ends.select(*keys, slot, "_from", "_from_low"), [*keys, slot])
+    total = F.col("_from") + F.col("_sum")
+    deep = lambda x, low: x - F.least(F.lit(0), F.coalesce(F.least(F.col("_from_low"), F.col("_from") + F.col(low)), F.lit(0)))
+    depth = F.when(F.col("ph") == "B", deep(total, "_low")).otherwise(deep(total - F.col("_sign"), "_prior_low"))
+    return rows.withColumn("depth", depth).drop(slot, "_sign", "_sum", "_low", "_prior_low", "_from", "_from_low")
+
+
 def marks_of(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Begin and end marks of complete events: keys, name, ph, ts_us, seq.
 

@@ -48,6 +48,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """``df`` in at least ``per_core`` partitions a core, for work that costs far more than a shuffle.
+
+    Small files make few partitions, which would leave cores idle; where there
+    are enough, as in any large input, nothing is moved.
+    """
+    least = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
+def by_key(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` hashed by key into the session's number of partitions, which adaptive execution leaves as they are.
+
+    For groups that are slow to work on and small to move.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
