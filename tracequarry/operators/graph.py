@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,19 +207,55 @@ def reachable(edges: DataFrame, starts: DataFrame, key: list[str], most: int = 1
 
 
 def _graphs(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes and edges of each graph as rows of one table, a graph's rows together and in order."""
     a = nodes.select(*key, "node", "avg_ms", F.lit(None).cast("string").alias("dst"))
     b = edges.select(*key, F.col("src").alias("node"), F.lit(None).cast("double").alias("avg_ms"), "dst")
-    return by_key(a.unionByName(b), *key)
+    return a.unionByName(b)
 
 
-def _build(pdf: pd.DataFrame) -> kernels.Graph:
-    own = pdf[pdf["dst"].isna()].sort_values("node")
-    links = pdf[pdf["dst"].notna()].sort_values(["node", "dst"])
-    return kernels.Graph.build(zip(own["node"], own["avg_ms"]), zip(links["node"], links["dst"]))
+Body = Callable[[tuple, kernels.Graph], list[tuple]]
 
 
-def _key_schema(df: DataFrame, key: list[str]) -> str:
-    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in key)
+def _per_graph(rows: DataFrame, key: list[str], body: Body, out: str) -> DataFrame:
+    """``body(key, graph)`` for each graph: its rows, behind the key's columns.
+
+    Graphs are small and many, so a partition's graphs are read in the order
+    of the key and cut where it changes, rather than as one group each.
+    """
+    schema = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in key) + out
+    columns = [*key, *[c.strip().split()[0] for c in out.split(",")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def solve(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            cols = [pdf[k].tolist() for k in key]
+            node, avg, dst = pdf["node"].tolist(), pdf["avg_ms"].tolist(), pdf["dst"].tolist()
+            found: list[tuple] = []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                own = [(node[i], avg[i]) for i in range(lo, hi) if dst[i] is None]
+                links = [(node[i], dst[i]) for i in range(lo, hi) if dst[i] is not None]
+                if own:
+                    k = tuple(c[lo] for c in cols)
+                    found += [(*k, *r) for r in body(k, kernels.Graph.build(own, links))]
+            return pd.DataFrame(found, columns=columns)
+
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            changed = np.zeros(len(pdf), bool)
+            for k in key:
+                v = pdf[k].to_numpy(object)
+                changed[1:] |= v[1:] != v[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(changed)])
+            held = pdf.iloc[cuts[-1] :].reset_index(drop=True)
+            if len(cuts) > 1:
+                yield solve(pdf, cuts)
+        if held is not None and len(held):
+            yield solve(held, np.array([0, len(held)]))
+
+    together = by_key(rows, *key).sortWithinPartitions(*key, F.col("dst").isNotNull(), "node", "dst")
+    return together.mapInPandas(run, schema)
 
 
 def critical_paths(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
@@ -225,59 +264,51 @@ def critical_paths(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFr
     A graph (one key) has to fit a task; keys run in parallel.
     """
 
-    def path(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _build(pdf)
+    def path(k: tuple, g: kernels.Graph) -> list[tuple]:
         found = kernels.longest_path(g, lambda u, v: kernels.node_cost(g, u, v))
-        return pd.DataFrame([(*k, i, n, round(c, 6)) for i, (n, c) in enumerate(found)], columns=[*key, "pos", "node", "cost_ms"])
+        return [(i, n, round(c, 6)) for i, (n, c) in enumerate(found)]
 
-    return _graphs(nodes, edges, key).groupBy(*key).applyInPandas(path, _key_schema(nodes, key) + "pos int, node string, cost_ms double")
+    return _per_graph(_graphs(nodes, edges, key), key, path, "pos int, node string, cost_ms double")
 
 
 def replays(nodes: DataFrame, edges: DataFrame, key: list[str], delays: kernels.Delays | None = None) -> DataFrame:
     """Each graph run on virtual devices: (key, node, device, start_us, end_us, exec_seq, queue_len)."""
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _build(pdf)
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
         runs, _, _ = kernels.replay(g, delays)
-        rows = [(*k, g.names[r.node], r.device, round(r.start, 3), round(r.end, 3), r.seq, r.queue) for r in runs]
-        return pd.DataFrame(rows, columns=[*key, "node", "device", "start_us", "end_us", "exec_seq", "queue_len"])
+        return [(g.names[r.node], r.device, round(r.start, 3), round(r.end, 3), r.seq, r.queue) for r in runs]
 
-    schema = _key_schema(nodes, key) + "node string, device string, start_us double, end_us double, exec_seq int, queue_len int"
-    return _graphs(nodes, edges, key).groupBy(*key).applyInPandas(run, schema)
+    out = "node string, device string, start_us double, end_us double, exec_seq int, queue_len int"
+    return _per_graph(_graphs(nodes, edges, key), key, run, out)
 
 
 def execution_edges(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """Edges that the order of execution on the devices adds: (key, src, dst)."""
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _build(pdf)
-        return pd.DataFrame([(*k, g.names[u], g.names[v]) for u, v in kernels.replay(g)[2]], columns=[*key, "src", "dst"])
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
+        return [(g.names[u], g.names[v]) for u, v in kernels.replay(g)[2]]
 
-    return _graphs(nodes, edges, key).groupBy(*key).applyInPandas(run, _key_schema(nodes, key) + "src string, dst string")
+    return _per_graph(_graphs(nodes, edges, key), key, run, "src string, dst string")
 
 
 def scenarios(nodes: DataFrame, edges: DataFrame, key: list[str], cases: dict[str, kernels.Delays]) -> DataFrame:
-    """Time of each graph under each case: (key, scenario, time_ms). All cases run in one job."""
-    rows = _graphs(nodes, edges, key).withColumn("scenario", F.explode(F.array(*[F.lit(c) for c in cases])))
-    rows = by_key(rows, *key, "scenario")
+    """Time of each graph under each case: (key, scenario, time_ms), all in one pass over the graphs."""
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*k, round(kernels.replay(_build(pdf), cases[k[-1]])[1], 6))], columns=[*key, "scenario", "time_ms"])
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
+        return [(name, round(kernels.replay(g, case)[1], 6)) for name, case in cases.items()]
 
-    return rows.groupBy(*key, "scenario").applyInPandas(run, _key_schema(nodes, key) + "scenario string, time_ms double")
+    return _per_graph(_graphs(nodes, edges, key), key, run, "scenario string, time_ms double")
 
 
 def bottlenecks(nodes: DataFrame, edges: DataFrame, key: list[str], shorten_ms: float = 5.0) -> DataFrame:
     """Gain of shortening each node of the critical path: (key, node, gain_ms)."""
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _build(pdf)
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
         base = kernels.replay(g)[1]
         path = [n for n, _ in kernels.longest_path(g, lambda u, v: kernels.node_cost(g, u, v))]
-        rows = [(*k, n, round(base - kernels.replay(g, kernels.Delays({n: (-shorten_ms, 1.0)}))[1], 6)) for n in path]
-        return pd.DataFrame(rows, columns=[*key, "node", "gain_ms"])
+        return [(n, round(base - kernels.replay(g, kernels.Delays({n: (-shorten_ms, 1.0)}))[1], 6)) for n in path]
 
-    return _graphs(nodes, edges, key).groupBy(*key).applyInPandas(run, _key_schema(nodes, key) + "node string, gain_ms double")
+    return _per_graph(_graphs(nodes, edges, key), key, run, "node string, gain_ms double")
 
 
 def searches(nodes: DataFrame, edges: DataFrame, key: list[str], rounds: int = 10, seed: int = 0) -> DataFrame:
@@ -287,15 +318,13 @@ def searches(nodes: DataFrame, edges: DataFrame, key: list[str], rounds: int = 1
         "mcts": lambda g: kernels.mcts(g, rounds, seed=seed),
         "walk": lambda g: kernels.greedy_walk(g),
     }
-    rows = by_key(_graphs(nodes, edges, key).withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods]))), *key, "method")
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = methods[k[-1]](_build(pdf))
-        row = (*k, round(out.tried[0], 6), round(out.best, 6), len(out.steps), len(out.tried))
-        return pd.DataFrame([row], columns=[*key, "method", "base_ms", "best_ms", "fused", "tried"])
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
+        done = [(m, f(g)) for m, f in methods.items()]
+        return [(m, round(o.tried[0], 6), round(o.best, 6), len(o.steps), len(o.tried)) for m, o in done]
 
-    schema = _key_schema(nodes, key) + "method string, base_ms double, best_ms double, fused int, tried int"
-    return rows.groupBy(*key, "method").applyInPandas(run, schema)
+    out = "method string, base_ms double, best_ms double, fused int, tried int"
+    return _per_graph(_graphs(nodes, edges, key), key, run, out)
 
 
 def cycles(edges: DataFrame, key: list[str]) -> DataFrame:
@@ -335,10 +364,12 @@ def samples(edges: DataFrame, key: list[str], size: int, replicas: int, seed: in
 def fusion_groups(nodes: DataFrame, edges: DataFrame, key: list[str], most: int) -> DataFrame:
     """Clusters of operations that may be compiled together: (key, node, cluster)."""
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _build(pdf)
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
         found = kernels.clusters(g, most, lambda i: kernels.coarse(g.names[i]) == "operator")
-        rows = [(*k, g.names[i], c) for c, group in enumerate(found) for i in group]
-        return pd.DataFrame(rows, columns=[*key, "node", "cluster"])
+        return [(g.names[i], c) for c, group in enumerate(found) for i in group]
 
-    return _graphs(nodes, edges, key).groupBy(*key).applyInPandas(run, _key_schema(nodes, key) + "node string, cluster int")
+    return _per_graph(_graphs(nodes, edges, key), key, run, "node string, cluster int")
+
+
+def _key_schema(df: DataFrame, key: list[str]) -> str:
+    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in key)
