@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.session import spread
+
 NONE = np.int32(2**31 - 1)
 #: Above this many bytes a piece merges all places of its lowest rank at once (the same result, fewer rounds).
 WIDE = 256
@@ -244,7 +246,7 @@ def encode_texts(
                 texts = [t if isinstance(t, str) else None for t in part[text].tolist()]
                 yield part[list(keep)].assign(ids=pd.Series(encoder.encode(texts), index=part.index, dtype=object))
 
-    return df.select(*keep, F.col(text)).mapInPandas(body, schema)
+    return spread(df.select(*keep, F.col(text))).mapInPandas(body, schema)
 
 
 def vocabulary_from_env() -> str | None:

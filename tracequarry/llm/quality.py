@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.session import spread
+
 
 @dataclass(frozen=True)
 class QualityRules:
@@ -236,7 +238,7 @@ def text_quality(
             out["is_prose"] = out["is_prose"].astype("boolean")
             yield pd.concat([pdf[list(keep)], out], axis=1)
 
-    return df.select(*keep, F.col(text)).mapInPandas(body, schema)
+    return spread(df.select(*keep, F.col(text))).mapInPandas(body, schema)
 
 
 def word_list(common_words: DataFrame, most: int = 100_000) -> dict[str, list[str]]:
