@@ -50,27 +50,31 @@ NEVER_AFTER_ARTICLE = {
 
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _LINES = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
-_CELLS = re.compile(r"\s*[|│¦]\s*|\t+|;\s+|\s•\s| {4,}")
+_CELLS = re.compile(r"\s*[|│¦]\s*|\t+|\s•\s| {4,}")
 _BULLET = re.compile(r"\s*(?:[-*+•‣◦·▪–—]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\[[ xX]\]\s)")
 _QUOTE = re.compile(r"\s*(?:>\s*|#{1,6}\s+)")
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\Z")
 _CODE = re.compile(
-    r"""^\s*(?:for|if|elif|while|with|def|class)\b.*:\s*(?:return\b.*|pass|continue|break)?$|^\s*File\s+["'“].*,\s*line\s+\d+|^\s*at\s+[\w.$<>]+\(.*\)|^\s*(?:export\s+)?[A-Z_]{3,}=|^\s*--\w"""
-    r"""|^\s*[\[{(]?\s*"[\w ]+"\s*:|[{};]\s*$|\)\s*:?\s*$(?<=[\w\])]\):)|==|!=|\+=|=>|&&""",
+    r"""^\s*File\s+["'“].*,\s*line\s+\d+|^\s*at\s+[\w.$<>]+\(.*\)|^\s*(?:export\s+)?[A-Z_]{3,}=|^\s*--\w"""
+    r"""|^\s*[\[{(]?\s*"[\w ]+"\s*:|[{}]\s*$|\)\s*;\s*$|(?<=[\w\])]\)):\s*$|==|!=|\+=|=>|&&""",
     re.I,
 )
+_STATEMENT = re.compile(
+    r"^\s*(?:for|FOR|if|IF|elif|ELIF|while|WHILE|with|WITH|def|DEF|class|CLASS)\b(?=.*[_=<>()\[\].]).*:"
+    r"\s*(?:(?:return|RETURN|pass|PASS|continue|CONTINUE|break|BREAK|raise|RAISE)\b.*)?$"
+)
 _END = re.compile(r"[.!?…:;。！？；：]['\"”’»)\]*_`]*\s*$")
 _STOP = re.compile(r"[.!?…。！？]['\"”’»)\]*_`]*\s*$")
 _WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯฀-๿]")
 
 
 def _units(line: str, rules: QualityRules) -> list[str]:
-    """Stretches of a line between cell borders, or between the commas of a list."""
+    """Stretches of a line between cell borders, or between the commas or semicolons of a list."""
     cells = [c for c in _CELLS.split(line) if c.strip()]
     out = []
     for c in cells:
-        parts = re.split(r"[,，、]\s+", c)
+        parts = re.split(r"[,;，、]\s+", c)
         # a comma list has short parts throughout; sentences have a long one
         if len(parts) >= 3 and len(c.split()) / len(parts) <= rules.list_tokens and max(len(p.split()) for p in parts) <= rules.unit_tokens:
             out += parts
@@ -120,8 +124,7 @@ class Judge:
         before, stopped = False, True
         block_words = block_common = 0
         for line in _LINES.split(clean):
-            if not line.strip():
-                stopped = True
+            if not line.strip():  # may stand within a sentence, where a text is spaced out
                 continue
             filled += 1
             ended += _END.search(line) is not None
@@ -131,7 +134,7 @@ class Judge:
             quote = _QUOTE.match(body)
             body = body[quote.end() :] if quote else body
             heading = quote is not None and "#" in quote[0]  # counts neither way
-            code = _CODE.search(line) is not None
+            code = _CODE.search(line) is not None or _STATEMENT.match(line) is not None
             units = _units(body, r)
             for unit in units:
                 raw, bare = self._tokens(unit)
@@ -160,14 +163,14 @@ class Judge:
                     good = w >= r.unit_words * t and found >= max(1 + (w > 8), r.unit_common * w)
                     good = good or (goes_on and w >= r.unit_words * t)  # a wrapped line may lack common words
                 else:
-                    good = goes_on and w >= 1
+                    good = goes_on and (w >= 1 or _STOP.search(unit) is not None)
                     if not good and w and not bullet and len(units) == 1:
                         short_words, short_tokens, short_common = short_words + w, short_tokens + t, short_common + found
                         short_chars += size
                 if good:
                     prose += 0 if heading else size
                     sequence += [(b, x[-1:] in ".,;:!?") for b, x in zip(bare, raw)]
-                before, stopped = good, _STOP.search(unit) is not None
+                before, stopped = good, _STOP.search(unit) is not None or unit.rstrip().endswith(":")
         if short_tokens and short_common >= r.short_common * short_words and short_words >= r.short_words * short_tokens:
             prose += short_chars
         articles, misused = self._misused(sequence)
