@@ -189,22 +189,35 @@ def _overlap(a: dict[str, float], b: dict[str, float]) -> float:
 
 
 def _shift(a: dict[str, float], b: dict[str, float]) -> float:
-    """Mean distance, in octaves, that turns one distribution of sizes into the other."""
+    """Mean distance, in octaves, that turns one distribution of sizes into the other.
+
+    Differences of a twentieth of the values are let pass, so odd values and
+    marks such as -1 don't count.
+    """
     keys = sorted({int(k) for k in (*a, *b)})
     moved = ahead = 0.0
     for lo, hi in zip(keys, keys[1:]):
         ahead += a.get(str(lo), 0.0) - b.get(str(lo), 0.0)
-        moved += abs(ahead) * (hi - lo)
+        moved += max(0.0, abs(ahead) - 0.05) * (hi - lo)
     return moved / 4
 
 
-def _outside(a: dict[str, float], b: dict[str, float]) -> float:
-    """Share of the small whole numbers of ``a`` that lie beyond the range of those of ``b``."""
-    bound = [int(k) for k in b if int(k) >= 0]
-    if not bound:
+def _small(traits: dict[str, int], at: str) -> dict[int, float]:
+    """Small whole numbers from 0 on with their share of all numbers, odd ones left out."""
+    total = traits[at + "k:num"]
+    found = {int(k[len(at) + 2 :]): n / total for k, n in traits.items() if k.startswith(at + "v:")}
+    return {k: v for k, v in found.items() if k >= 0}
+
+
+def _beyond(a: dict[int, float], b: dict[int, float]) -> float:
+    """Share of the small numbers of one that lie beyond the range of the other.
+
+    Only for numbers that start at 0 to 2, as counts and places do; others
+    (steps, say) move on from file to file.
+    """
+    if not a or not b or sum(a.values()) < 0.5 or sum(b.values()) < 0.5 or min(a) > 2 or min(b) > 2:
         return 0.0
-    lo, hi = min(bound), max(bound)
-    return sum(v for k, v in a.items() if int(k) >= 0 and not lo <= int(k) <= hi)
+    return max(sum(v for k, v in x.items() if not min(y) <= k <= max(y)) for x, y in ((a, b), (b, a)))
 
 
 def _scalar_likeness(a: dict[str, int], b: dict[str, int], at: str) -> float:
@@ -218,11 +231,8 @@ def _scalar_likeness(a: dict[str, int], b: dict[str, int], at: str) -> float:
         parts = abs(_mix(a, at + "n:").get("part", 0.0) - _mix(b, at + "n:").get("part", 0.0))
         few = math.sqrt(sum(1 / x[at + "k:num"] for x in (a, b)))  # what chance alone moves
         near = math.exp(-max(0.0, _shift(_mix(a, at + "b:"), _mix(b, at + "b:")) - few))
-        small_a, small_b = _mix(a, at + "v:"), _mix(b, at + "v:")
-        beyond = max(_outside(small_a, small_b), _outside(small_b, small_a))
-        if beyond <= 0.5:  # else the values move on, as counters do
-            near *= 1 - min(1.0, 3 * max(0.0, beyond - 0.12))
-        return (1 - parts) * near
+        beyond = _beyond(_small(a, at), _small(b, at))
+        return (1 - parts) * near * (1 - min(1.0, 3 * max(0.0, beyond - 0.12)))
     if main_a == "text":
         classes = _overlap(_mix(a, at + "c:"), _mix(b, at + "c:"))
         long_a, long_b = (x.get(at + "t:length", 0) / x[at + "k:text"] for x in (a, b))
