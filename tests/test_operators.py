@@ -275,3 +275,44 @@ def test_dispersed(spark):
     rows = [(1, i, [float(i % 50), 0.0]) for i in range(500)] + [(2, 1, None)]
     got = costs.dispersed_per_key(spark.createDataFrame(rows, "k int, i bigint, v array<double>"), "k", "i", "v", 2, few=4).collect()
     assert sorted(r.i % 50 for r in got) == [0, 49]
+
+
+def test_simple_paths_layers_and_recompute():
+    g = kernels.Graph.build([(x, 1) for x in "abcd"], [("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("a", "d")])
+    assert kernels.simple_paths(g, 0, 3) == [["a", "d"], ["a", "b", "d"], ["a", "c", "d"]]
+    g = kernels.Graph.build([("FW.a", 1), ("BW.a", 1), ("BW.b", 1), ("Comm.1", 1), ("Comm.2", 1)], [("FW.a", "BW.a"), ("FW.a", "BW.b"), ("BW.a", "Comm.1"), ("BW.b", "Comm.2")])
+    assert kernels.layer_of(g, {"Comm.1": "l1", "Comm.2": "l2"}) == {"BW.a": "l1", "Comm.1": "l1", "BW.b": "l2", "Comm.2": "l2"}
+    chain = kernels.Graph.build(
+        [(f"p->FW.{i}", 1) for i in range(4)] + [(f"p->BW.{i}", 1) for i in range(4)],
+        [(f"p->FW.{i}", f"p->FW.{i + 1}") for i in range(3)] + [("p->FW.3", "p->BW.3")] + [(f"p->BW.{i + 1}", f"p->BW.{i}") for i in range(3)] + [(f"p->FW.{i}", f"p->BW.{i}") for i in range(3)],
+    )
+    again = kernels.recompute(chain, {"p->FW.1"})
+    assert not again.order()[1] and kernels.replay(again)[1] > kernels.replay(chain)[1]
+    assert {n for n in again.names if n.endswith("#again")} == {"p->FW.0#again", "p->FW.2#again", "p->FW.3#again"}
+    assert kernels.recompute(chain, set(chain.names)).names == chain.names
+
+
+def test_tensor_fusion_is_optimal():
+    rng = random.Random(3)
+    for _ in range(20):
+        n = 6
+        sizes, ready = [(str(i), rng.randrange(1, 9)) for i in range(n)], sorted(rng.random() * 10 for _ in range(n))
+
+        def end(cuts):
+            t, lo = 0.0, 0
+            for hi in [*cuts, n]:
+                t, lo = max(t, max(ready[lo:hi])) + 0.1 * sum(s for _, s in sizes[lo:hi]) + 1.0, hi
+            return t
+
+        best = min(end([i for i in range(1, n) if mask >> i & 1]) for mask in range(0, 1 << n, 2))
+        groups, got = kernels.fuse_tensors(sizes, ready, 0.1, 1.0)
+        assert got == pytest.approx(best) and [t for g in groups for t in g] == [t for t, _ in sizes]
+
+
+def test_quantise_and_grow():
+    g = kernels.Graph.build([("p->FW.a", 4), ("p->FW.b", 4), ("p->BW.b", 4), ("p->Comm.1.SEND", 2)], [("p->FW.a", "p->FW.b"), ("p->FW.b", "p->BW.b"), ("p->BW.b", "p->Comm.1.SEND")])
+    q = kernels.quantise(g, {"p->FW.b", "p->BW.b"}, cast_ms=0.5)
+    cost = dict(zip(q.names, q.avg))
+    assert cost == {"p->FW.a": 4, "p->FW.b": 2, "p->BW.b": 2, "p->Comm.1.SEND": 1, "p->FW.a#half": 0.5} and not q.order()[1]
+    assert kernels.quantise(g, set()).avg == g.avg
+    assert kernels.replay(kernels.grow_batch(g, 2))[1] == pytest.approx(3 * 4 * 1.6 + 2)

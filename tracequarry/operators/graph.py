@@ -373,3 +373,62 @@ def fusion_groups(nodes: DataFrame, edges: DataFrame, key: list[str], most: int)
 
 def _key_schema(df: DataFrame, key: list[str]) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in key)
+
+
+def recomputed(nodes: DataFrame, edges: DataFrame, key: list[str], share: float = 0.1) -> DataFrame:
+    """Time of each graph as it is and with all but the slowest ``share`` of forward nodes run again: (key, kept, base_ms, again_ms)."""
+
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
+        forward = sorted((i for i, n in enumerate(g.names) if "->FW" in n), key=lambda i: (-g.avg[i], g.names[i]))
+        keep = {g.names[i] for i in forward[: int(len(forward) * share)]}
+        return [(len(keep), round(kernels.replay(g)[1], 6), round(kernels.replay(kernels.recompute(g, keep))[1], 6))]
+
+    return _per_graph(_graphs(nodes, edges, key), key, run, "kept int, base_ms double, again_ms double")
+
+
+def tensor_fusions(nodes: DataFrame, edges: DataFrame, key: list[str], slope: float = 1e-3, base: float = 0.5) -> DataFrame:
+    """Best groups of each graph's communications by dynamic programming: (key, groups, tensors, apart_ms, fused_ms).
+
+    Sizes are the measured times less the base; readiness is that of a replay.
+    """
+
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
+        comm = [r for r in sorted(kernels.replay(g)[0], key=lambda r: (r.start, r.node)) if kernels.coarse(g.names[r.node]) == "Comm"]
+        if not comm:
+            return []
+        sizes = [(g.names[r.node], max(g.avg[r.node] - base, 0.0) / slope) for r in comm]
+        ready = [r.start / 1000 for r in comm]
+        apart = 0.0
+        for (_, s), at in zip(sizes, ready):
+            apart = max(apart, at) + slope * s + base
+        groups, end = kernels.fuse_tensors(sizes, ready, slope, base)
+        return [(len(groups), len(comm), round(apart, 6), round(end, 6))]
+
+    return _per_graph(_graphs(nodes, edges, key), key, run, "groups int, tensors int, apart_ms double, fused_ms double")
+
+
+def layers(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """Layer of each operation by the one communication behind it: (key, node, layer)."""
+
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
+        targets = {n: n.split("->")[-1].split("~>")[0] for n in g.names if kernels.coarse(n) == "Comm"}
+        return sorted(kernels.layer_of(g, targets).items())
+
+    return _per_graph(_graphs(nodes, edges, key), key, run, "node string, layer string")
+
+
+def rewrites(nodes: DataFrame, edges: DataFrame, key: list[str], half: str) -> DataFrame:
+    """Time of each graph under the rewrites of precision and batch: (key, rewrite, time_ms).
+
+    ``half`` is a regular expression of the operations in half precision.
+    """
+    import re
+
+    low = re.compile(half)
+
+    def run(k: tuple, g: kernels.Graph) -> list[tuple]:
+        chosen = {n for n in g.names if low.search(n) and kernels.coarse(n) == "operator"}
+        cases = {"base": g, "half precision": kernels.quantise(g, chosen), "batch x 2": kernels.grow_batch(g, 2)}
+        return [(name, round(kernels.replay(x)[1], 6)) for name, x in cases.items()]
+
+    return _per_graph(_graphs(nodes, edges, key), key, run, "rewrite string, time_ms double")

@@ -508,3 +508,123 @@ def greedy_walk(g: Graph, patience: int = 5, least: float = 0.001) -> Outcome:
         if idle > patience:
             break
     return Outcome(cost, steps, tried)
+
+
+def simple_paths(g: Graph, u: int, v: int, most: int = 10) -> list[list[str]]:
+    """Up to ``most`` paths between two nodes, the shortest first; ties by name."""
+    out: list[list[str]] = []
+    heap: list[tuple[int, list[str], list[int]]] = [(1, [g.names[u]], [u])]
+    while heap and len(out) < most:
+        _, text, path = heapq.heappop(heap)
+        if path[-1] == v:
+            out.append(text)
+            continue
+        for x in g.succ[path[-1]]:
+            if x not in path and (x == v or reaches(g, x, v)):
+                heapq.heappush(heap, (len(path) + 1, [*text, g.names[x]], [*path, x]))
+    return out
+
+
+def recompute(g: Graph, keep: set[str]) -> Graph:
+    """The graph whose forward outputs are kept at the nodes of ``keep`` only.
+
+    Every other forward node that a backward node reads is run again
+    (``…#again``) before it, from the kept nodes on; the backward nodes read
+    the second run.
+    """
+    forward = {i for i, n in enumerate(g.names) if "->FW" in n or n.startswith("FW")}
+    backward = {i for i, n in enumerate(g.names) if "->BW" in n or n.startswith("BW")}
+    again = {u for u in forward if g.names[u] not in keep and any(v in backward for v in g.succ[u])}
+    stack = list(again)
+    while stack:  # what a repeated node reads and isn't kept is repeated as well
+        u = stack.pop()
+        for p in g.pred[u]:
+            if p in forward and g.names[p] not in keep and p not in again:
+                again.add(p)
+                stack.append(p)
+    name = lambda i: g.names[i] + "#again"
+    nodes = [(n, a) for n, a in zip(g.names, g.avg)] + [(name(i), g.avg[i]) for i in sorted(again)]
+    edges = []
+    for u in range(len(g.names)):
+        for v in g.succ[u]:
+            if u in again and v in backward:
+                edges.append((name(u), g.names[v]))
+            else:
+                edges.append((g.names[u], g.names[v]))
+            if v in again and u in forward:
+                edges.append((name(u) if u in again else g.names[u], name(v)))
+    # a repeated node doesn't start before the forward pass has ended, but for what waits for it
+    last = sorted(u for u in forward if not any(v in forward for v in g.succ[u]))
+    chained = {i: sorted(x for x in again if x == i or reaches(g, i, x)) for i in again}
+    for i in sorted(again):
+        readers = [v for x in chained[i] for v in g.succ[x] if v in backward]
+        edges += [(g.names[u], name(i)) for u in last if u != i and not any(v == u or reaches(g, v, u) for v in readers)]
+    return Graph.build(nodes, edges, {n: gap for n, gap in zip(g.names, g.gaps)})
+
+
+def layer_of(g: Graph, targets: dict[str, str]) -> dict[str, str]:
+    """Layer of each node: that of the communications behind it, if they agree on one.
+
+    ``targets`` gives communications their layer.
+    """
+    order, _ = g.order()
+    seen: list[set[str]] = [set() for _ in g.names]
+    for u in reversed(order):
+        own = targets.get(g.names[u])
+        seen[u] = {own} if own else set().union(*(seen[v] for v in g.succ[u])) if g.succ[u] else set()
+    return {g.names[u]: next(iter(s)) for u, s in enumerate(seen) if len(s) == 1}
+
+
+def fuse_tensors(sizes: list[tuple[str, float]], ready: list[float], slope: float, base: float) -> tuple[list[list[str]], float]:
+    """Groups of neighbouring tensors that let a link end soonest: (groups, end in ms).
+
+    A tensor of ``size`` takes ``slope * size + base``; a group starts when its
+    last tensor is ready and the link free. Best splits by dynamic programming
+    over the tensors in the order of readiness.
+    """
+    n = len(sizes)
+    best, cut_at = [0.0] + [math.inf] * n, [0] * (n + 1)
+    total = [0.0]
+    for _, s in sizes:
+        total.append(total[-1] + s)
+    for j in range(1, n + 1):
+        for i in range(j):
+            end = max(best[i], max(ready[i:j])) + slope * (total[j] - total[i]) + base
+            if end < best[j] - 1e-12:
+                best[j], cut_at[j] = end, i
+    groups, j = [], n
+    while j:
+        groups.append([t for t, _ in sizes[cut_at[j] : j]])
+        j = cut_at[j]
+    return groups[::-1], best[n]
+
+
+def quantise(g: Graph, half: set[str], factor: float = 0.5, cast_ms: float = 0.01) -> Graph:
+    """The graph with the nodes of ``half`` in half precision.
+
+    They and the communications they lead to (queues apart) take ``factor`` of
+    the time; every edge between the precisions gets a cast, one per node and
+    direction.
+    """
+    low = {i for i, n in enumerate(g.names) if n in half}
+    comm = {v for u in low for v in g.succ[u] if coarse(g.names[v]) == "Comm" and "QUEUE" not in g.names[v]}
+    nodes = [(n, a * factor if i in low | comm else a) for i, (n, a) in enumerate(zip(g.names, g.avg))]
+    edges, made = [], {}
+    for u in range(len(g.names)):
+        for v in g.succ[u]:
+            a, b = g.names[u], g.names[v]
+            if coarse(b) == "Comm" or coarse(a) == "Comm" or (u in low) == (v in low):
+                edges.append((a, b))
+                continue
+            cast = f"{a}#{'full' if u in low else 'half'}"
+            made[cast] = cast_ms
+            edges += [(a, cast), (cast, b)]
+    return Graph.build([*nodes, *made.items()], edges, {n: gap for n, gap in zip(g.names, g.gaps)})
+
+
+def grow_batch(g: Graph, factor: int, scale: float = 0.8) -> Graph:
+    """The graph with a batch ``factor`` times as large: computation takes ``factor * scale`` of the time."""
+    work = lambda n: coarse(n) == "operator" and "UPDATE" not in n
+    nodes = [(n, a * factor * scale if work(n) else a) for n, a in zip(g.names, g.avg)]
+    edges = [(g.names[u], g.names[v]) for u in range(len(g.names)) for v in g.succ[u]]
+    return Graph.build(nodes, edges, {n: gap for n, gap in zip(g.names, g.gaps)})

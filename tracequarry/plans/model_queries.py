@@ -316,3 +316,68 @@ def ring_chunks(spark, d):
     rows = spark.range(8).select(F.col("id").cast("int").alias("rank"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step"))
     return rows.withColumn("chunk", models.chunk_of_step(F.col("rank"), F.col("step"), F.lit(8)))
 
+
+
+@query("recompute_replay")
+def recompute_replay(spark, d):
+    return graph.recomputed(*_steps(spark, d), KEY)
+
+
+@query("tensor_fusion_search")
+def tensor_fusion_search(spark, d):
+    return graph.tensor_fusions(*_steps(spark, d), KEY)
+
+
+@query("op_layers")
+def op_layers(spark, d):
+    return graph.layers(*_steps(spark, d), KEY)
+
+
+@query(
+    "larger_cluster",
+    """with g as (select explode from (select unnest(range(6)) as explode))
+select 'Comm.0' as tensor, 'r' || a.explode as pid, 'r' || ((a.explode + 1) % 6) as next_pid, k::int as step, ((a.explode - k + 12) % 6)::int as chunk
+from g a, unnest(range(10)) s(k)""",
+)
+def larger_cluster(spark, d):
+    """Steps of a ring of six devices, as a profile of fewer devices would be projected to it."""
+    rows = spark.range(6).select(F.lit("Comm.0").alias("tensor"), F.col("id").cast("int").alias("rank"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("step"))
+    name = lambda c: F.concat(F.lit("r"), c)
+    return rows.select(
+        "tensor", name(F.col("rank")).alias("pid"), name(F.pmod(F.col("rank") + 1, F.lit(6))).alias("next_pid"), "step",
+        models.chunk_of_step(F.col("rank"), F.col("step"), F.lit(6)).alias("chunk"),
+    )
+
+
+@query(
+    "device_pairs",
+    with_trace("select a.trial, a.pid as a, b.pid as b from (select distinct trial, pid from silver) a join (select distinct trial, pid from silver) b on a.trial = b.trial and a.pid < b.pid where a.trial is not null"),
+)
+def device_pairs(spark, d):
+    """All pairs of devices of a trial (one row per pair of devices, not of events)."""
+    devices = silver(spark, d, "trial").select("trial", "pid").distinct()
+    other = devices.select("trial", F.col("pid").alias("b"))
+    return devices.withColumnRenamed("pid", "a").join(other, "trial").filter("a < b")
+
+
+@query(
+    "sample_matrix",
+    with_trace(
+        """select kind, batch, precision, round(a * batch / 32 * case when precision = 'half' then 0.5 else 1.0 end, 6) as predicted_us
+from (select kind, round(avg(y), 6) a from k group by kind), unnest([4, 32, 256]) b(batch), unnest(['full', 'half']) p(precision)""",
+        _KERNELS,
+    ),
+)
+def sample_matrix(spark, d):
+    """Operation types by batch size and precision, times scaled from the measured ones."""
+    rows = _kernels(spark, d).groupBy("kind").agg(F.round(F.avg("y"), 6).alias("a"))
+    rows = rows.withColumn("batch", F.explode(F.array(*[F.lit(b) for b in (4, 32, 256)])))
+    rows = rows.withColumn("precision", F.explode(F.array(F.lit("full"), F.lit("half"))))
+    scale = F.when(F.col("precision") == "half", 0.5).otherwise(1.0)
+    return rows.select("kind", "batch", "precision", F.round(F.col("a") * F.col("batch") / 32 * scale, 6).alias("predicted_us"))
+
+
+@query("graph_rewrites")
+def graph_rewrites(spark, d):
+    """Each step's graph as it is, with matrix operations in half precision, and with twice the batch."""
+    return graph.rewrites(*_steps(spark, d), KEY, "/(Conv2D|MatMul)(_[0-9]+)?~>")
