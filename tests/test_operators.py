@@ -316,3 +316,28 @@ def test_quantise_and_grow():
     assert cost == {"p->FW.a": 4, "p->FW.b": 2, "p->BW.b": 2, "p->Comm.1.SEND": 1, "p->FW.a#half": 0.5} and not q.order()[1]
     assert kernels.quantise(g, set()).avg == g.avg
     assert kernels.replay(kernels.grow_batch(g, 2))[1] == pytest.approx(3 * 4 * 1.6 + 2)
+
+
+def test_model_functions(spark):
+    from tracequarry.operators import models
+
+    arr = lambda *v: F.array(*[F.lit(x).cast("bigint") for x in v])
+    r = spark.range(1).select(
+        models.conv_shape(arr(8, 28, 28, 3), arr(8, 28, 28, 16), arr(5, 5, 3, 16)).alias("a"),
+        models.conv_shape(arr(8, 3, 28, 28), arr(8, 16, 14, 14), arr(5, 5, 3, 16)).alias("b"),
+        models.conv_shape(arr(8, 3), arr(8, 16, 14, 14), arr(5, 5, 3, 16)).alias("c"),
+        models.intensity(models.dense_features(F.lit(2), F.lit(3), F.lit(5))).alias("i"),
+        models.conv_features(F.lit(1), F.lit(2), F.lit(2), F.lit(1), F.lit(1), F.lit(3)).alias("f"),
+        models.tf_standard_name(F.lit("^x/BytePSPushPull_3_4"), F.lit(False), F.lit(False)).alias("n1"),
+        models.tf_standard_name(F.lit("gradients/a/_7"), F.lit(False), F.lit(False)).alias("n2"),
+        models.tf_standard_name(F.lit("w"), F.lit(True), F.lit(False)).alias("n3"),
+        models.mx_standard_name(F.lit("x;name=conv0_backward;y")).alias("n4"),
+        models.with_unit(F.lit("1.5k")).alias("u"),
+        models.padded(F.array(F.lit(1.0)), 3).alias("p"),
+        F.pmod(models.step_of_chunk(F.lit(1), models.chunk_of_step(F.lit(1), F.lit(3), F.lit(4)), F.lit(4)), F.lit(4)).alias("s"),
+    ).first()
+    assert (r.a.layout, r.a.cin, r.a.cout, r.a.kernel, r.a.stride) == ("NHWC", 3, 16, 5, 1.0)
+    assert (r.b.layout, r.b.height, r.b.stride, r.c) == ("NCHW", 28, 2.0, None)
+    assert r.i == pytest.approx(30 / (6 + 10 + 15)) and (r.f.s_mul, r.f.s_add) == (36, 32)
+    assert (r.n1, r.n2, r.n3, r.n4) == ("Comm.3+4", "BW.gradients/a", "UPDATE_.w", "BW.conv0")
+    assert r.u == 1500.0 and r.p == [1.0, 0.0, 0.0] and r.s == 3

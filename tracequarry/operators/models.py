@@ -59,6 +59,25 @@ def dense_features(batch: Column, cin: Column, cout: Column) -> Column:
     return F.struct(mul.alias("s_mul"), (mul - batch * cout).alias("s_add"), (batch * cin).alias("s_in"), (batch * cout).alias("s_out"), (cin * cout).alias("s_wei"))
 
 
+def conv_shape(image: Column, output: Column, weights: Column) -> Column:
+    """Layout and sizes of a convolution from the shapes of its input, output and weights (height, width, in, out).
+
+    Channels come last or second, as the shapes tell; null where neither fits
+    (rows for the quarantine).
+    """
+    at = lambda a, i: F.get(a, F.lit(i))
+    four = (F.size(image) == 4) & (F.size(output) == 4) & (F.size(weights) == 4) & (at(image, 0) == at(output, 0))
+
+    def fields(layout: str, h: int, w: int, c: int) -> Column:
+        return F.struct(
+            F.lit(layout).alias("layout"), at(image, 0).alias("batch"), at(image, h).alias("height"), at(image, w).alias("width"), at(image, c).alias("cin"),
+            at(output, c).alias("cout"), at(weights, 0).alias("kernel"), (at(image, h) / at(output, h)).alias("stride"),
+        )
+
+    fits = lambda c: four & (at(image, c) == at(weights, 2)) & (at(output, c) == at(weights, 3))
+    return F.when(fits(3), fields("NHWC", 1, 2, 3)).when(fits(1), fields("NCHW", 2, 3, 1))
+
+
 def intensity(f: Column) -> Column:
     return f["s_mul"] / (f["s_in"] + f["s_out"] + f["s_wei"])
 
@@ -138,10 +157,9 @@ def heat(history: DataFrame, key: list[str], step: str, gain: str, window: int =
 
 def max_normalised(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns divided by their largest value (0 where that is 0)."""
-    tops = df.agg(*[F.max(c).alias(f"_top_{c}") for c in columns])
-    rows = df.join(F.broadcast(tops))  # one row
-    scaled = {c: F.when(F.col(f"_top_{c}") != 0, F.col(c) / F.col(f"_top_{c}")).otherwise(0.0) for c in columns}
-    return rows.withColumns(scaled).drop(*[f"_top_{c}" for c in columns])
+    tops = df.agg(*[F.max(F.col(c).cast("double")).alias(c) for c in columns]).first()  # one row
+    scaled = {c: F.col(c) / F.lit(tops[c]) if tops[c] else F.lit(0.0) for c in columns}
+    return df.withColumns(scaled)
 
 
 # -------------------------------------------------------------------- joins
