@@ -341,3 +341,20 @@ def test_model_functions(spark):
     assert r.i == pytest.approx(30 / (6 + 10 + 15)) and (r.f.s_mul, r.f.s_add) == (36, 32)
     assert (r.n1, r.n2, r.n3, r.n4) == ("Comm.3+4", "BW.gradients/a", "UPDATE_.w", "BW.conv0")
     assert r.u == 1500.0 and r.p == [1.0, 0.0, 0.0] and r.s == 3
+
+
+@pytest.mark.parametrize("seed,chunks", [(1, 1), (2, 4), (3, 9)])
+def test_sequential_gaps(spark, seed, chunks):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("ab"), f"FW.{i % 5}", rng.randrange(900), rng.choice([1, 5, 60])) for i in range(200)]
+    exp = {}
+    for pid in "ab":
+        end, name = None, None
+        for s, _, n, t, d in sorted((r for r in rows if r[1] == pid), key=lambda r: (r[3], r[0])):
+            if end is not None and t < end:
+                continue
+            if end is not None and t - end < 40:
+                exp[s] = (name, t - end)
+            end, name = t + d, n
+    got = sequences.gap_sequential(events(spark, rows), ["pid"], 40, chunks=chunks).collect()
+    assert {r.event_seq: (r.prev_name, r.gap_us) for r in got} == exp

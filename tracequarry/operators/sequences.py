@@ -6,12 +6,15 @@ task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.operators.chunks import chunked, scan
 from tracequarry.operators.ordered import SLOT_BITS, running
+from tracequarry.session import cut
 
 
 def current_step(events: DataFrame, step: str = "step") -> DataFrame:
@@ -188,3 +191,54 @@ def dense_number(events: DataFrame, keys: Sequence[str], what: str) -> DataFrame
     """Numbers of ``what`` by its first appearance within the key: (keys, what, number)."""
     firsts = events.groupBy(*keys, what).agg(F.min(F.struct("ts_us", "event_seq")).alias("at"))
     return firsts.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1).drop("at")
+
+
+_STATE = "chunk int, key string, end_us bigint, dur_us bigint, name string"
+
+
+def gap_sequential(events: DataFrame, keys: Sequence[str], longest_us: int, cap: bool = False, chunks: int | None = None) -> DataFrame:
+    """As ``gap_to_previous``, but an event that overlaps the one before isn't a predecessor itself.
+
+    Which event precedes depends on all before it, so chunks of (keys, time)
+    are scanned in order with the state at their start. The states, one row
+    per chunk, are scanned for until they no longer change (an event that
+    starts after all ends so far makes a chunk forget its start, so this takes
+    a round or two), then the gaps are read off.
+    """
+    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
+    rows = events.dropna(subset=[*keys, "ts_us"]).select(*keys, key.alias("key"), "event_seq", "name", "ts_us", "dur_us")
+    stable = cut(chunked(rows, "key", "ts_us", "event_seq", chunks=chunks))
+
+    def walk(starts: dict[int, tuple], emit: bool):  # noqa: ANN202
+        def body(chunk: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state = starts.get(chunk)  # key, end, duration, name
+            for pdf in batches:
+                out = []
+                for i, (k, ts, dur, name) in enumerate(zip(pdf["key"], pdf["ts_us"].tolist(), pdf["dur_us"].tolist(), pdf["name"])):
+                    gap = ts - state[1] if state and state[0] == k else None
+                    if gap is not None and gap < 0:
+                        continue
+                    if gap is not None and emit:
+                        gap = 10 if cap and gap > state[2] else gap
+                        if gap < longest_us:
+                            out.append((i, state[3], gap))
+                    state = (k, ts + dur, dur, name)
+                if emit:
+                    at = [i for i, _, _ in out]
+                    part = pdf.iloc[at][[*keys, "event_seq", "name"]]
+                    yield part.assign(prev_name=[p for _, p, _ in out], gap_us=[g for _, _, g in out])
+            if not emit and state:
+                yield pd.DataFrame([(chunk, *state)], columns=["chunk", "key", "end_us", "dur_us", "name"])
+
+        return body
+
+    starts: dict[int, tuple] = {}
+    while True:
+        ends = {r["chunk"]: tuple(r)[1:] for r in scan(stable, walk(starts, False), _STATE).collect()}  # one row per chunk
+        order = sorted(ends)
+        new = {b: ends[a] for a, b in zip(order, order[1:])}
+        if new == starts:
+            break
+        starts = new
+    schema = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return scan(stable, walk(starts, True), schema + "event_seq bigint, name string, prev_name string, gap_us bigint")

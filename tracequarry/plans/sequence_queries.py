@@ -120,6 +120,13 @@ def prev_gap(spark, d):
     return _gaps(spark, d)
 
 
+@query("prev_gap_sequential")
+def prev_gap_sequential(spark, d):
+    """As prev_gap, but events that overlap the one before precede nothing."""
+    rows = silver(spark, d, "event_seq", "cat").filter("cat is not null")
+    return sequences.gap_sequential(rows, ["pid", "cat"], 1000, cap=True)
+
+
 @query(
     "min_gap",
     with_trace(

@@ -51,11 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """``df`` in at least ``per_core`` partitions a core, for work that costs far more than a shuffle.
 
-    Small files make few partitions, which would leave cores idle; where there
-    are enough, as in any large input, nothing is moved.
+    Small files make few partitions, which would leave cores idle. The number
+    is judged by the plan's estimated size, so nothing runs for it; large or
+    unknown inputs are left as they are.
     """
-    least = per_core * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+    spark = df.sparkSession
+    least = per_core * spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(least) if size < least * each else df
 
 
 def by_key(df: DataFrame, *key: str) -> DataFrame:
