@@ -57,7 +57,7 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """
     spark = df.sparkSession
     least = per_core * spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(least) if size < least * each else df
 
