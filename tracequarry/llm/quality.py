@@ -54,6 +54,7 @@ _CELLS = re.compile(r"\s*[|│¦]\s*|\t+|\s•\s| {4,}")
 _BULLET = re.compile(r"\s*(?:[-*+•‣◦·▪–—]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\[[ xX]\]\s)")
 _QUOTE = re.compile(r"\s*(?:>\s*|#{1,6}\s+)")
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
+_MARKS = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\Z")
 _CODE = re.compile(
     r"""^\s*File\s+["'“].*,\s*line\s+\d+|^\s*at\s+[\w.$<>]+\(.*\)|^\s*(?:export\s+)?[A-Z_]{3,}=|^\s*--\w"""
@@ -93,9 +94,21 @@ class Judge:
         self.articles = {k: frozenset(v) for k, v in ARTICLES.items()}
         self.never = {k: frozenset(v) for k, v in NEVER_AFTER_ARTICLE.items()}
 
-    def _tokens(self, unit: str) -> tuple[list[str], list[str]]:
+    @staticmethod
+    def _tokens(unit: str) -> tuple[list[str], list[str], list[str]]:
+        """Tokens between white space, the same without marks at their ends and in lower case, and the words among them."""
         raw = unit.split()
-        return raw, [_EDGES.sub("", x).lower() for x in raw]
+        bare, words = [], []
+        for x in raw:
+            if x.isalpha():  # most are, and need no patterns
+                x = x.lower()
+                words.append(x)
+            else:
+                x = _EDGES.sub("", x).lower()
+                if _WORD.match(x):
+                    words.append(x)
+            bare.append(x)
+        return raw, bare, words
 
     def _misused(self, words: list[tuple[str, bool]]) -> tuple[int, int]:
         """Articles, and those before a function word, in the language with the most articles."""
@@ -137,10 +150,9 @@ class Judge:
             code = _CODE.search(line) is not None or _STATEMENT.match(line) is not None
             units = _units(body, r)
             for unit in units:
-                raw, bare = self._tokens(unit)
-                words = [w for w in bare if _WORD.match(w)]
+                raw, bare, words = self._tokens(unit)
                 size = sum(map(len, raw))
-                shown = sum(ch.isalnum() for ch in unit)
+                shown = len(_MARKS.sub("", unit))
                 found = sum(w in self.common for w in words)
                 wide = len(_WIDE.findall(unit))
                 n_words += len(words)
