@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 from tracequarry.session import cut, spread
 
 FIXED = ("name", "pid", "tid", "ts", "dur")
+#: Lines of a file that stay together where small inputs are spread over all cores.
+LINES_TOGETHER = 2000
 #: The one-letter phases of the trace event format.
 PHASES = "BEXiICbnestfPNODMVvRca()"
 
@@ -92,34 +95,54 @@ def _classes(text: str) -> Counter:
     return out
 
 
-def traits(v: Any, out: Counter, weight: str = "") -> None:
-    """Adds what a value tells about its quantity, all of it as counts that can be summed."""
-    if isinstance(v, bool) or isinstance(v, str) and v.strip().lower() in ("true", "false"):
-        out[weight + "k:bool"] += 1
-    elif isinstance(v, (int, float)) or isinstance(v, str) and _NUMBER.match(v):
-        x = float(v)
-        if not math.isfinite(x):
-            return
-        out[weight + "k:num"] += 1
-        out[weight + ("n:whole" if x == int(x) else "n:part")] += 1
-        out[f"{weight}b:{round(4 * math.log2(1 + abs(x)))}"] += 1
-        if x == int(x) and abs(x) < 128:
-            out[f"{weight}v:{int(x)}"] += 1
-    elif isinstance(v, str):
-        out[weight + "k:text"] += 1
-        out[weight + "t:length"] += len(v)
-        for k, n in _classes(v).items():
-            out[f"{weight}c:{k}"] += n
-        out[f"{weight}v:{zlib.crc32(v.encode('utf-8', 'replace')) % 512}"] += 1
-    elif isinstance(v, list):
-        out[weight + "k:list"] += 1
-        for x in v:
-            traits(x, out, "e")
-    elif isinstance(v, dict):
-        out[weight + "k:object"] += 1
-        for k, x in v.items():
-            out[f"{weight}o:{k[:64]}"] += 1
-            traits(x, out, "e")
+def traits(values: list, at: str = "") -> Counter:
+    """What a field's values tell about its quantity, all of it as counts that can be summed.
+
+    k: kind of value; n: whole or not; b: size in quarter octaves; v: small
+    whole numbers, or texts by hash; c: characters by kind; o: keys. Elements
+    of arrays and members of objects are counted under ``e``.
+    """
+    out: Counter = Counter()
+    numbers, texts, below = [], [], []
+    for v in values:
+        if isinstance(v, bool):
+            out[at + "k:bool"] += 1
+        elif isinstance(v, (int, float)):
+            numbers.append(v)
+        elif isinstance(v, str):
+            texts.append(v)
+        elif isinstance(v, list):
+            out[at + "k:list"] += 1
+            below += v
+        elif isinstance(v, dict):
+            out[at + "k:object"] += 1
+            below += v.values()
+            for k in v:
+                out[f"{at}o:{k[:64]}"] += 1
+    for text, n in Counter(texts).items():
+        if _NUMBER.match(text):
+            numbers += [float(text)] * n
+        elif text.strip().lower() in ("true", "false"):
+            out[at + "k:bool"] += n
+        else:
+            out[at + "k:text"] += n
+            out[at + "t:length"] += n * len(text)
+            out[f"{at}v:{zlib.crc32(text.encode('utf-8', 'replace')) % 512}"] += n
+            for k, m in _classes(text).items():
+                out[f"{at}c:{k}"] += n * m
+    if numbers:
+        x = np.array([float(v) for v in numbers])
+        x = x[np.isfinite(x)]
+        whole = x == np.floor(x)
+        out[at + "k:num"] += len(x)
+        out[at + "n:whole"] += int(whole.sum())
+        out[at + "n:part"] += len(x) - int(whole.sum())
+        for prefix, found in (("b", np.round(4 * np.log2(1 + np.abs(x)))), ("v", x[whole & (np.abs(x) < 128)])):
+            for k, n in zip(*np.unique(found, return_counts=True)):
+                out[f"{at}{prefix}:{int(k)}"] += int(n)
+    if below:
+        out.update(traits(below, "e"))
+    return +out
 
 
 _TRAITS = "file_id bigint, field string, trait string, n bigint"
@@ -128,26 +151,30 @@ _TRAITS = "file_id bigint, field string, trait string, n bigint"
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of each file's fields, types and traits, per batch of lines."""
     for pdf in batches:
-        seen: dict[tuple[int, str], Counter] = defaultdict(Counter)
+        records: Counter = Counter()
+        tops: dict[tuple[int, str], list] = defaultdict(list)
+        inner: dict[tuple[int, str], list] = defaultdict(list)
         for file_id, raw in zip(pdf["file_id"].tolist(), pdf["raw"].tolist()):
             record = read_line(raw)
             if record is None:
                 continue
-            seen[file_id, ""]["records"] += 1
+            records[file_id] += 1
             for key, v in record.items():
-                if key in FIXED:
-                    continue
-                c = seen[file_id, key if key == "args" else f"top.{key}"]
-                c["present"] += 1
-                c["type:" + json_type(v)] += 1
-                if key != "args" and is_phase(v):
-                    c["phase"] += 1
+                if key not in FIXED:
+                    tops[file_id, key].append(v)
             for key, v in members(record.get("args")).items():
-                c = seen[file_id, f"args.{key}"]
-                c["present"] += 1
-                c["type:" + json_type(v)] += 1
-                traits(v, c)
-        rows = [(f, field, t, n) for (f, field), c in seen.items() for t, n in c.items()]
+                inner[file_id, key].append(v)
+        rows = [(f, "", "records", n) for f, n in records.items()]
+        for level, found in (("top.", tops), ("args.", inner)):
+            for (f, key), values in found.items():
+                field = key if level == "top." and key == "args" else level + key
+                counts = Counter({f"type:{t}": n for t, n in Counter(map(json_type, values)).items()})
+                counts["present"] = len(values)
+                if level == "args.":
+                    counts.update(traits(values))
+                elif key != "args":
+                    counts["phase"] = sum(map(is_phase, values))
+                rows += [(f, field, t, n) for t, n in counts.items()]
         yield pd.DataFrame(rows, columns=["file_id", "field", "trait", "n"])
 
 
@@ -292,8 +319,10 @@ def compare(prev: dict[str, dict], cur: dict[str, dict], rules: DriftRules) -> l
 
 def file_headers(raw_events: DataFrame) -> DataFrame:
     """Traits of each file's fields: (file_id, field, trait, n), summed over all its lines."""
-    rows = raw_events.select(F.col("file_id").cast("bigint").alias("file_id"), "raw").filter("file_id is not null")
-    return spread(rows).mapInPandas(_headers, _TRAITS).groupBy("file_id", "field", "trait").agg(F.sum("n").alias("n"))
+    rows = raw_events.select(F.col("file_id").cast("bigint").alias("file_id"), "line_no", "raw").filter("file_id is not null")
+    stretch = F.floor(F.col("line_no") / LINES_TOGETHER)
+    rows = spread(rows, 2, F.col("file_id"), stretch).select("file_id", "raw")
+    return rows.mapInPandas(_headers, _TRAITS).groupBy("file_id", "field", "trait").agg(F.sum("n").alias("n"))
 
 
 def _file_profiles(raw_events: DataFrame, rules: DriftRules) -> DataFrame:
@@ -307,8 +336,9 @@ def _file_profiles(raw_events: DataFrame, rules: DriftRules) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("trait", "n"))).alias("traits"),
         F.max(F.expr("if(trait = 'present', n, 0)")).alias("present"),
     )
-    records = counts.filter("field = '' and trait = 'records'").select("file_id", F.col("n").alias("records"))
-    kept = per_field.join(records, "file_id").filter(f"field = '' or present >= {rules.share} * records")
+    of_file = Window.partitionBy("file_id")
+    kept = per_field.withColumn("records", F.max(F.expr("if(field = '', traits['records'], null)")).over(of_file))
+    kept = kept.filter(f"records is not null and (field = '' or present >= {rules.share} * records)")
     grouped = kept.groupBy("file_id").agg(F.collect_list(F.struct("field", "traits")).alias("fields"))
     as_json = F.to_json(F.map_from_entries("fields"))
     return grouped.select("file_id", as_json.alias("profile"))
@@ -397,7 +427,7 @@ def union_schema(raw_events: DataFrame, rules: DriftRules = DriftRules()) -> Dat
     Holds every field that belongs to at least one file. The fold over types
     is a join of flags, so it is associative and needs no order.
     """
-    counts = file_headers(raw_events)
+    counts = cut(file_headers(raw_events))
     records = counts.filter("field = '' and trait = 'records'").select("file_id", F.col("n").alias("records"))
     present = counts.filter("trait = 'present'").select("file_id", "field", F.col("n").alias("present"))
     kept = present.join(records, "file_id").filter(f"present >= {rules.share} * records").select("field").distinct()

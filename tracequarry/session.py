@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,8 +48,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """``df`` in at least ``per_core`` partitions a core, for work that costs far more than a shuffle.
+def spread(df: DataFrame, per_core: int = 2, *by: Column) -> DataFrame:
+    """``df`` in at least ``per_core`` partitions a core (hashed, if keys are given), for work that costs far more than a shuffle.
 
     Small files make few partitions, which would leave cores idle. The number
     is judged by the plan's estimated size, so nothing runs for it; large or
@@ -59,7 +59,7 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     least = per_core * spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(least) if size < least * each else df
+    return df.repartition(least, *by) if size < least * each else df
 
 
 def by_key(df: DataFrame, *key: str) -> DataFrame:
