@@ -24,8 +24,10 @@ def ring_edges(tensors: DataFrame, ranks: DataFrame) -> DataFrame:
     ``0 .. 2 (n - 1) - 1``. Each step sends to the next rank in the ring; a
     step's send waits for the receive of the step before, the first for the
     copy into the buffer, which waits for the synchronisation of all ranks;
-    the last receive leads to the copy out.
+    the last receive leads to the copy out. Repeated tensors and ranks count
+    once, which makes every edge unique, so the edges aren't compared.
     """
+    tensors, ranks = tensors.distinct(), ranks.distinct()  # short lists
     sizes = ranks.groupBy("trial").agg(F.count(F.lit(1)).cast("int").alias("n"))
     ring = ranks.join(sizes, "trial")
     nxt = ranks.select("trial", F.col("rank").alias("next_rank"), F.col("pid").alias("next_pid"))
@@ -57,7 +59,7 @@ def ring_edges(tensors: DataFrame, ranks: DataFrame) -> DataFrame:
     queue = base.select("trial", node("pid", "QUEUE").alias("src"), node("pid", "MEMCPY_IN_FUSION_BUFFER").alias("dst"))
     others = ranks.select("trial", F.col("pid").alias("other"))  # ranks of one trial: every rank waits for all
     sync = base.join(others, "trial").select("trial", node("other", "Sync").alias("src"), node("pid", "QUEUE").alias("dst"))
-    return fine.unionByName(queue).unionByName(sync).distinct()
+    return fine.unionByName(queue).unionByName(sync)
 
 
 def tree_edges(tensors: DataFrame, tree: DataFrame) -> DataFrame:
