@@ -9,7 +9,7 @@ from tracequarry.operators import align, costs, graph, kernels, matching
 from tracequarry.operators import nested
 from tracequarry.operators import statistics as st
 from tracequarry.plans.sequence_queries import _EDGES, _PAIRS, dfg_edges
-from tracequarry.plans.sql import with_comm, with_trace
+from tracequarry.plans.sql import typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import comm, silver
 from tracequarry.session import table
 
@@ -430,3 +430,6 @@ def server_load(spark, d):
 def dispersion(spark, d):
     """Per label, eight vectors far from each other, chosen from all of them."""
     return costs.dispersed_per_key(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 8)
+
+
+typed(ORACLES, {"checkpoint_topk": {"place": "integer"}})

@@ -9,7 +9,7 @@ from tracequarry.operators import costs, graph, models
 from tracequarry.operators import statistics as st
 from tracequarry.plans.graph_queries import _GROUPS, KEY, _groups, _steps
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
-from tracequarry.plans.sql import COMM, with_comm, with_trace
+from tracequarry.plans.sql import COMM, typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import silver
 from tracequarry.session import table
 from tracequarry.sources.sinks import painted
@@ -381,3 +381,16 @@ def sample_matrix(spark, d):
 def graph_rewrites(spark, d):
     """Each step's graph as it is, with matrix operations in half precision, and with twice the batch."""
     return graph.rewrites(*_steps(spark, d), KEY, "/(Conv2D|MatMul)(_[0-9]+)?~>")
+
+
+typed(
+    ORACLES,
+    {
+        "phase_islands": {"island": "bigint"},
+        "marker_iterations": {"iteration": "bigint"},
+        "tensor_group_sizes": {"bytes": "bigint"},
+        "fuse_neighbours": {"bytes": "bigint"},
+        "best_partitions": {"bytes": "bigint"},
+        "ring_chunks": {"chunk": "integer"},
+    },
+)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import names
 from tracequarry.operators import matching, sequences
 from tracequarry.operators import statistics as st
-from tracequarry.plans.sql import with_comm, with_trace
+from tracequarry.plans.sql import typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import comm, silver
 from tracequarry.session import table
 
@@ -435,3 +435,16 @@ def set_diff(spark, d):
 def longest_per_device(spark, d):
     rows = silver(spark, d, "event_seq")
     return matching.share_ranked(rows, ["pid"], 10).select("pid", "event_seq", "name", "dur_us", "rnk")
+
+
+typed(
+    ORACLES,
+    {
+        "stack_pairing": {"depth": "bigint"},
+        "queue_length": {"busy": "bigint"},
+        "max_parallelism": {"most": "bigint"},
+        "fifo_replay": {"end_us": "bigint"},
+        "thread_numbers": {"number": "integer"},
+        "longest_per_device": {"rnk": "integer"},
+    },
+)

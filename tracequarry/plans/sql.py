@@ -19,3 +19,10 @@ def with_trace(body: str, more: str = "") -> str:
 
 def with_comm(body: str, more: str = "") -> str:
     return f"with {COMM}{', ' + more if more else ''}\n{body}"
+
+
+def typed(oracles: dict[str, str], types: dict[str, dict[str, str]]) -> None:
+    """Gives columns of some queries the type that the engine's result has (sums of bigint come wider in SQL)."""
+    for name, columns in types.items():
+        casts = ", ".join(f"{c}::{t} as {c}" for c, t in columns.items())
+        oracles[name] = f"select * replace ({casts}) from ({oracles[name]})"

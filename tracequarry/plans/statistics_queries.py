@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import names
 from tracequarry.operators import statistics as st
-from tracequarry.plans.sql import with_comm, with_trace
+from tracequarry.plans.sql import typed, with_comm, with_trace
 from tracequarry.session import table
 
 
@@ -292,3 +292,6 @@ def mape_report(spark, d):
     rows = silver(spark, d).filter("dur_us > 0")
     means = rows.groupBy("name").agg(F.floor(F.avg("dur_us")).cast("double").alias("p"))
     return st.error_report(rows.join(means, "name"), "dur_us", "p", 500)
+
+
+typed(ORACLES, {"category_stats": {"cnt": "bigint"}, "overall_iter_time": {"opt_step": "integer"}})
