@@ -80,7 +80,7 @@ def test_data_sets(spark, tmp_path):
     assert [(r.sample, r.label) for r in logs.kernel_labels(spark, put(tmp_path, "l.txt", "3: 1.5\nx\n")).collect()] == [("3", 1.5)]
     f = logs.kernel_features(spark, put(tmp_path, "f.txt", "loop,h1\nadd.1,add,1,0,f32,2:3,oh\n")).first()
     assert (f.kernel_type, f.op, f.out_dims, f.op_hash) == ("loop", "add.1", [2, 3], "oh")
-    b = logs.average_blocks(spark, put(tmp_path, "a.txt", "dPRO fp32 BS=8:\n[1.0, 2.0]\n[0.01, 9.0]\n"))
+    b = logs.average_blocks(spark, put(tmp_path, "a.txt", "tool fp32 BS=8:\n[1.0, 2.0]\n[0.01, 9.0]\n"))
     assert [(r.batch, r.avg) for r in logs.stable(b).collect()] == [(8, 1.0)]
 
 

@@ -328,7 +328,7 @@ def test_model_functions(spark):
         models.conv_shape(arr(8, 3), arr(8, 16, 14, 14), arr(5, 5, 3, 16)).alias("c"),
         models.intensity(models.dense_features(F.lit(2), F.lit(3), F.lit(5))).alias("i"),
         models.conv_features(F.lit(1), F.lit(2), F.lit(2), F.lit(1), F.lit(1), F.lit(3)).alias("f"),
-        models.tf_standard_name(F.lit("^x/BytePSPushPull_3_4"), F.lit(False), F.lit(False)).alias("n1"),
+        models.tf_standard_name(F.lit("^x/GradPushPull_3_4"), F.lit(False), F.lit(False)).alias("n1"),
         models.tf_standard_name(F.lit("gradients/a/_7"), F.lit(False), F.lit(False)).alias("n2"),
         models.tf_standard_name(F.lit("w"), F.lit(True), F.lit(False)).alias("n3"),
         models.mx_standard_name(F.lit("x;name=conv0_backward;y")).alias("n4"),

@@ -24,7 +24,7 @@ def tf_standard_name(op: Column, is_update: Column, is_gradient: Column) -> Colu
     the rest is update, backward or forward by membership.
     """
     plain = F.regexp_replace(F.regexp_replace(op, "^[\\^]", ""), "/_[^/]*$", "")
-    ids = F.regexp_extract(plain, "BytePSPushPull[_.]([0-9]+(?:_[0-9]+)*)", 1)
+    ids = F.regexp_extract(plain, "[A-Za-z]*PushPull[_.]([0-9]+(?:_[0-9]+)*)", 1)
     return (
         F.when(plain.rlike("^(FW|BW|Comm|UPDATE_|OUTPUT|I/O)[.]?"), plain)
         .when(ids != "", F.concat(F.lit("Comm."), F.translate(ids, "_", "+")))
