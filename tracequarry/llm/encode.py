@@ -156,19 +156,24 @@ def merge_wide(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     A pair with the merged token has a higher rank, as it was learned later,
     so the leftmost lowest pair would be each of these places in turn.
     """
-    while len(ids) > 1:
-        slot = vocab.find(ids[:-1], ids[1:])
-        ranks = np.where(slot >= 0, vocab.ranks[slot], NONE)
+    if len(ids) < 2:
+        return ids
+    ids = ids.copy()
+    ranks = vocab.rank(ids[:-1], ids[1:])
+    while len(ranks):
         low = ranks.min()
         if low == NONE:
             break
-        at = np.flatnonzero(ranks == low)
+        at = np.flatnonzero(ranks == low)  # one rank is one pair
         starts = np.concatenate([[True], np.diff(at) > 1])
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
         at = at[run % 2 == 0]  # of overlapping places every second
-        ids = ids.copy()
-        ids[at] = vocab.merged[slot[at]]
-        ids = np.delete(ids, at + 1)
+        ids[at] = vocab.merged[vocab.find(ids[at[:1]], ids[at[:1] + 1])]
+        ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+        moved = at - np.arange(len(at))
+        new = np.unique(np.concatenate([moved - 1, moved]))
+        new = new[(new >= 0) & (new < len(ranks))]
+        ranks[new] = vocab.rank(ids[new], ids[new + 1])
     return ids
 
 

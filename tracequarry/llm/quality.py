@@ -50,10 +50,10 @@ NEVER_AFTER_ARTICLE = {
 
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _LINES = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
-_CELLS = re.compile(r"\s*[|│¦]\s*|\t+|\s•\s| {4,}")
+_CELLS = re.compile(r"[|│¦]|\t+|\s•\s| {4,}")
 _BULLET = re.compile(r"\s*(?:[-*+•‣◦·▪–—]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\[[ xX]\]\s)")
 _QUOTE = re.compile(r"\s*(?:>\s*|#{1,6}\s+)")
-_EDGES = re.compile(r"^[^\w]+|[^\w]+$")
+_INNER = re.compile(r"\w")
 _MARKS = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\Z")
 _CODE = re.compile(
@@ -104,7 +104,8 @@ class Judge:
                 x = x.lower()
                 words.append(x)
             else:
-                x = _EDGES.sub("", x).lower()
+                first = _INNER.search(x)
+                x = x[first.start() : len(x) - _INNER.search(x[::-1]).start()].lower() if first else ""
                 if _WORD.match(x):
                     words.append(x)
             bare.append(x)
