@@ -150,3 +150,14 @@ def test_stream_busy_equals_batch(spark, tmp_path):
     batch = spark.createDataFrame(ev, EVENT).withColumn("e", F.expr("ts_us + dur_us"))
     exp = {(r.start_us, r.end_us) for r in merge_intervals(batch, "pid", "ts_us", "e").collect() if r.kind == "busy"}
     assert {(r.start_us, r.end_us) for r in rows if r.pid == "d"} == exp
+
+
+def test_mxnet_trace(spark, tmp_path):
+    names = ["conv_fwd", "softmax", "loss", "conv_backward", "adam", "adam", "conv_fwd", "conv_backward"]
+    ev = [{"ph": "B", "name": "other", "pid": 9, "ts": 0}]
+    for i, n in enumerate(names):
+        ev += [{"ph": "B", "name": n, "pid": 1, "ts": 10 * i}, {"ph": "E", "name": n, "pid": 1, "ts": 10 * i + 4}]
+    rows = chrome.mxnet_computation(chrome.read_traces(spark, put(tmp_path, "j/h/0/trace.json", json.dumps(ev)))).collect()
+    assert sorted((r.start_us, r.name, r.dur_us, r.cycle) for r in rows) == [
+        (0, "FW.conv", 4, 0), (10, "OUTPUT0", 14, 0), (30, "BW.conv", 4, 0), (40, "UPDATE_.0", 4, 0), (50, "UPDATE_.1", 4, 0), (60, "FW.conv", 4, 1), (70, "BW.conv", 4, 1),
+    ]

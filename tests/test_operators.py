@@ -358,3 +358,10 @@ def test_sequential_gaps(spark, seed, chunks):
             end, name = t + d, n
     got = sequences.gap_sequential(events(spark, rows), ["pid"], 40, chunks=chunks).collect()
     assert {r.event_seq: (r.prev_name, r.gap_us) for r in got} == exp
+
+
+def test_effective_producers(spark):
+    e = spark.createDataFrame([("t", "BW.a", "BW.z"), ("t", "BW.z", "Comm.1"), ("t", "BW.b", "Comm.1")], "trial string, src string, dst string")
+    c = spark.createDataFrame([("t", "BW.a", 2.0), ("t", "BW.z", 0.0), ("t", "BW.b", 1.0), ("t", "Comm.1", 0.0)], "trial string, node string, avg_ms double")
+    target = spark.createDataFrame([("t", "Comm.1")], "trial string, node string")
+    assert {r.producer for r in graph.effective_producers(e, c, ["trial"], target).collect()} == {"BW.a", "BW.b"}

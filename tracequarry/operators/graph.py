@@ -434,3 +434,23 @@ def rewrites(nodes: DataFrame, edges: DataFrame, key: list[str], half: str) -> D
         return [(name, round(kernels.replay(x)[1], 6)) for name, x in cases.items()]
 
     return _per_graph(_graphs(nodes, edges, key), key, run, "rewrite string, time_ms double")
+
+
+def coarse_chain(parts: DataFrame, order: list[str]) -> DataFrame:
+    """Edges between the successive parts of a tensor's synchronisation that took time: (trial, pid, tensor, src, dst).
+
+    ``parts`` has trial, pid, tensor, sub_op and avg_us; parts without time or
+    outside ``order`` are passed over.
+    """
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("sub_op"))
+    rows = parts.filter("avg_us > 0").withColumn("place", place).filter("place > 0")
+    ahead = Window.partitionBy("trial", "pid", "tensor").orderBy("place")  # as many rows as there are parts
+    rows = rows.withColumn("dst", F.lead("sub_op").over(ahead)).filter("dst is not null")
+    return rows.select("trial", "pid", "tensor", F.col("sub_op").alias("src"), "dst")
+
+
+def effective_producers(edges: DataFrame, costs: DataFrame, key: list[str], targets: DataFrame) -> DataFrame:
+    """Predecessors of ``targets`` (key, node) that take time, found through those that take none: (key, node, producer)."""
+    free = costs.filter("avg_ms = 0").select(*key, "node")
+    kept = bypass(edges, free.join(targets, [*key, "node"], "left_anti"), key)
+    return kept.join(targets.select(*key, F.col("node").alias("dst")), [*key, "dst"], "left_semi").select(*key, F.col("dst").alias("node"), F.col("src").alias("producer"))

@@ -432,4 +432,21 @@ def dispersion(spark, d):
     return costs.dispersed_per_key(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 8)
 
 
+@query(
+    "coarse_chain",
+    with_trace(
+        """
+select trial, pid, tensor, src, dst from (
+  select trial, pid, tensor, sub_op as src, lead(sub_op) over (partition by trial, pid, tensor order by list_position(ord, sub_op)) as dst from (
+    select trial, pid, op_name as tensor, sub_op, avg(dur_us) a, ['Sync', 'QUEUE', 'MEMCPY_IN_FUSION_BUFFER', 'NCCL_ALLREDUCE', 'MEMCPY_OUT_FUSION_BUFFER'] as ord
+    from silver where cat = 'Comm' and trial is not null and op_name is not null and sub_op is not null group by all)
+  where a > 0 and list_contains(ord, sub_op)) where dst is not null"""
+    ),
+)
+def coarse_chain(spark, d):
+    rows = silver(spark, d, "event_seq", "trial", "cat", "op_name", "sub_op").filter("cat = 'Comm' and trial is not null and op_name is not null and sub_op is not null")
+    parts = rows.groupBy("trial", "pid", F.col("op_name").alias("tensor"), "sub_op").agg(F.avg("dur_us").alias("avg_us"))
+    return graph.coarse_chain(parts, names.RING_FINE)
+
+
 typed(ORACLES, {"checkpoint_topk": {"place": "integer"}})

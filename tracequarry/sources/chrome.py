@@ -150,3 +150,36 @@ def nearest_file(spark: SparkSession, root: str, name: str) -> str | None:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
     first = found.select("path").orderBy(F.size(F.split("path", "/")), "path").limit(1).collect()
     return first[0]["path"] if first else None
+
+
+def mxnet_computation(events: DataFrame) -> DataFrame:
+    """Operations of an MXNet trace: (path, pid, cycle, name, start_us, dur_us).
+
+    Of the first process of each file, begins directly followed by their end
+    are paired; operations named ``…_fwd`` and ``…_backward`` are forward and
+    backward. What runs after forward operations is the output (one span per
+    cycle), what runs after backward ones is an update, numbered in its cycle;
+    a cycle starts with the first forward operation after backward ones.
+    """
+    from tracequarry.operators.models import mx_standard_name
+    from tracequarry.operators.ordered import running
+    from tracequarry.operators.sequences import pair_adjacent
+
+    key = ["path", "pid"]
+    first = events.groupBy("path").agg(F.min("pid").alias("pid"))
+    marks = events.join(first, key).filter("ph in ('B', 'E') and name is not null").withColumnRenamed("pos", "seq")
+    spans = pair_adjacent(marks, key).withColumn("kind", F.when(F.col("name").contains("_backward"), "BW").when(F.col("name").contains("_fwd"), "FW"))
+    spans = running(spans, key, "start_us", ["name"], {"phase": ("last", F.col("kind")), "before": ("lag", F.col("kind"))})
+    spans = running(spans, key, "start_us", ["name"], {"was": ("lag", F.col("phase"))})
+    turn = F.when((F.col("kind") == "FW") & (F.col("was") == "BW"), 1).otherwise(0).cast("bigint")
+    spans = running(spans, key, "start_us", ["name"], {"cycle": ("sum", turn)})
+    update = F.when(F.col("kind").isNull() & (F.col("phase") == "BW"), 1).otherwise(0).cast("bigint")
+    spans = running(spans, [*key, "cycle"], "start_us", ["name"], {"n": ("sum", update)})
+    cols = [*key, "cycle", "name", "start_us", "dur_us"]
+    named = spans.filter("kind is not null").withColumn("name", mx_standard_name(F.col("name"))).select(*cols)
+    updates = spans.filter("kind is null and phase = 'BW'").withColumn("name", F.concat(F.lit("UPDATE_."), F.col("n") - 1)).select(*cols)
+    out = spans.filter("kind is null and phase = 'FW'").groupBy(*key, "cycle").agg(
+        F.min("start_us").alias("start_us"), F.max(F.expr("start_us + dur_us")).alias("end_us")
+    )
+    out = out.select(*key, "cycle", F.lit("OUTPUT0").alias("name"), "start_us", (F.col("end_us") - F.col("start_us")).alias("dur_us"))
+    return named.unionByName(updates).unionByName(out)
