@@ -365,3 +365,14 @@ def test_effective_producers(spark):
     c = spark.createDataFrame([("t", "BW.a", 2.0), ("t", "BW.z", 0.0), ("t", "BW.b", 1.0), ("t", "Comm.1", 0.0)], "trial string, node string, avg_ms double")
     target = spark.createDataFrame([("t", "Comm.1")], "trial string, node string")
     assert {r.producer for r in graph.effective_producers(e, c, ["trial"], target).collect()} == {"BW.a", "BW.b"}
+
+
+def test_server_takes_pushes_as_they_run():
+    push = lambda w: f"w{w}::s->Comm.1.PUSH_REQ"
+    nodes = [(f"w{w}->BW.a", t) for w, t in ((0, 2), (1, 5), (2, 9))] + [(push(w), 1) for w in range(3)]
+    nodes += [("s->1.COPY_FIRST", 1), ("s->1.SUM0", 1), ("s->1.SUM1", 1)]
+    edges = [(f"w{w}->BW.a", push(w)) for w in range(3)] + [("s->1.COPY_FIRST", "s->1.SUM0"), ("s->1.SUM0", "s->1.SUM1")]
+    g = kernels.Graph.build(nodes, edges)
+    runs = kernels.replay(g, arrivals={push(w): "s1" for w in range(3)}, served={"s1": [n for n, _ in nodes[6:]]})[0]
+    start = {g.names[r.node]: r.start / 1000 for r in runs}
+    assert len(runs) == 9 and (start["s->1.COPY_FIRST"], start["s->1.SUM0"], start["s->1.SUM1"]) == (3.0, 6.0, 10.0)

@@ -175,7 +175,14 @@ class Run:
     queue: int
 
 
-def replay(g: Graph, delays: Delays | None = None, steps: int = 1, endless_update: bool = False) -> tuple[list[Run], float, list[tuple[int, int]]]:
+def replay(
+    g: Graph,
+    delays: Delays | None = None,
+    steps: int = 1,
+    endless_update: bool = False,
+    arrivals: dict[str, str] | None = None,
+    served: dict[str, list[str]] | None = None,
+) -> tuple[list[Run], float, list[tuple[int, int]]]:
     """Runs the graph on virtual devices: the executed nodes, the time in ms, edges of execution order.
 
     The device with the earliest free time that has a ready node runs next
@@ -185,6 +192,11 @@ def replay(g: Graph, delays: Delays | None = None, steps: int = 1, endless_updat
     gap from computation to communication delays the successor. The parts of
     a tensor's synchronisation hold their device until the last one has run;
     others wait in turn. With several steps clocks go on.
+
+    Parameter servers take pushes in the order in which the replay runs them:
+    ``arrivals`` gives a push its tensor at a server, ``served`` that tensor's operations
+    (first copy, then sums); each push that ends lets the next of them go,
+    which waits for it beside its own predecessors.
     """
     delays = delays or Delays()
     n = len(g.names)
@@ -207,9 +219,14 @@ def replay(g: Graph, delays: Delays | None = None, steps: int = 1, endless_updat
     runs: list[Run] = []
     order_edges: list[tuple[int, int]] = []
     have = {(u, v) for u in range(n) for v in g.succ[u]}
+    at_name = {x: i for i, x in enumerate(g.names)}
     serial = 0
     for _ in range(steps):
         left = [len(p) for p in g.pred]
+        waiting = {k: [at_name[x] for x in ops if x in at_name] for k, ops in (served or {}).items()}
+        for ops in waiting.values():
+            for i in ops:
+                left[i] += 1
         ready: list[float | None] = [None] * n
         queues: list[list[tuple[int, float, int, int]]] = [[] for _ in ids]
         heads: list[tuple[float, int]] = []
@@ -226,10 +243,10 @@ def replay(g: Graph, delays: Delays | None = None, steps: int = 1, endless_updat
                 put(i, ended.get(pid_of(g.names[i]), 0.0))
         while heads or any(blocked):
             if not heads:  # tensors without a last part leave others waiting; these run in turn
-                for d, waiting in enumerate(blocked):
+                for d, held in enumerate(blocked):
                     lock[d] = None
-                    if waiting:
-                        put(*waiting.pop(0))
+                    if held:
+                        put(*held.pop(0))
             t, d = heapq.heappop(heads)
             if not queues[d] or t != free[d]:
                 if queues[d] and t < free[d]:
@@ -254,7 +271,8 @@ def replay(g: Graph, delays: Delays | None = None, steps: int = 1, endless_updat
             free[d] = end + max(gap, 0.0)
             ended[pid_of(g.names[i])] = end
             runs.append(Run(i, names[d], start, end, len(runs), len(queues[d])))
-            for v in g.succ[i]:
+            turn = waiting.get((arrivals or {}).get(g.names[i], ""), [])
+            for v in [*g.succ[i], *turn[:1]]:
                 wait = 0.0
                 if cats[v] == "Comm" and (cats[i] == "operator" or "Sync" in g.names[i]):
                     wait = g.gaps[i].get("operatorGAPComm", 0.0)
@@ -262,6 +280,7 @@ def replay(g: Graph, delays: Delays | None = None, steps: int = 1, endless_updat
                 left[v] -= 1
                 if left[v] == 0:
                     put(v, ready[v])
+            del turn[:1]
             if kind[d] == "lock" and final[i]:
                 lock[d] = None
                 if blocked[d]:
