@@ -26,7 +26,7 @@ class QualityRules:
     unit_words: float = 0.5  # of a unit's tokens that are words
     unit_common: float = 0.12  # of a unit's words that are common
     block_common: float = 0.15  # of a sentence's words so far, for the next line to go on with it
-    short_common: float = 0.4  # for a text wrapped so narrowly that all its units are short
+    short_common: float = 0.3  # for short units that begin and end as sentences do
     short_words: float = 0.75
     list_tokens: float = 5.0  # mean tokens between the commas of a list
     misused_articles: float = 0.08  # of the articles that stand before another function word
@@ -76,8 +76,9 @@ def _units(line: str, rules: QualityRules) -> list[str]:
     out = []
     for c in cells:
         parts = re.split(r"[,;，、]\s+", c)
-        # a comma list has short parts throughout; sentences have a long one
-        if len(parts) >= 3 and len(c.split()) / len(parts) <= rules.list_tokens and max(len(p.split()) for p in parts) <= rules.unit_tokens:
+        # a list has short parts throughout; sentences have long ones
+        longer = sum(len(p.split()) > rules.unit_tokens for p in parts)
+        if len(parts) >= 3 and len(c.split()) / len(parts) <= rules.list_tokens and longer <= 0.2 * len(parts):
             out += parts
         else:
             out.append(c)
@@ -177,7 +178,8 @@ class Judge:
                     good = good or (goes_on and w >= r.unit_words * t)  # a wrapped line may lack common words
                 else:
                     good = goes_on and (w >= 1 or _STOP.search(unit) is not None)
-                    if not good and w and not bullet and len(units) == 1:
+                    sentence = _STOP.search(unit) is not None and unit.lstrip()[:1].isupper() and not unit.isupper()
+                    if not good and w and sentence and not bullet and len(units) == 1:
                         short_words, short_tokens, short_common = short_words + w, short_tokens + t, short_common + found
                         short_chars += size
                 if good:
