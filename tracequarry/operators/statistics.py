@@ -15,8 +15,16 @@ def ms(us: Column) -> Column:
 
 
 def distinct_events(events: DataFrame, *cols: str) -> DataFrame:
-    """Each event once, with the columns that are needed only (others never reach the shuffle)."""
-    return events.select("event_seq", *cols).filter("event_seq is not null").dropDuplicates(["event_seq"])
+    """Each event once, with the columns that are needed only (others never reach the shuffle).
+
+    A repeated delivery has the same content, so whole rows are compared,
+    which a hash does without a sort; maps can't be compared, with them the
+    first delivery is taken.
+    """
+    rows = events.select(*dict.fromkeys(["event_seq", *cols])).filter("event_seq is not null")
+    if any(t.startswith("map") for _, t in rows.dtypes):
+        return rows.dropDuplicates(["event_seq"])
+    return rows.distinct()
 
 
 def timed_events(events: DataFrame, *cols: str) -> DataFrame:
