@@ -376,3 +376,8 @@ def test_server_takes_pushes_as_they_run():
     runs = kernels.replay(g, arrivals={push(w): "s1" for w in range(3)}, served={"s1": [n for n, _ in nodes[6:]]})[0]
     start = {g.names[r.node]: r.start / 1000 for r in runs}
     assert len(runs) == 9 and (start["s->1.COPY_FIRST"], start["s->1.SUM0"], start["s->1.SUM1"]) == (3.0, 6.0, 10.0)
+
+
+def test_heat():
+    assert kernels.heat_of([], 3) == 0.0 and kernels.heat_of([(3, 0.0)], 3) == 0.0
+    assert kernels.heat_of([(1, 1.0), (3, 1.0)], 3) == pytest.approx((np.e - 1) * (1 / 3 + 1) / 2)

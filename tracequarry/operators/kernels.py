@@ -447,9 +447,19 @@ def accept_probability(beta: float, step: int, cost: float, new: float) -> float
     return min(1.0, math.exp(min(0.0, beta * math.log(step + 1) * (cost - new))))
 
 
+def heat_of(history: list[tuple[int, float]], step: int, window: int = 5) -> float:
+    """Heat of a node from its last gains (step, gain), the later the more; 0 without any."""
+    last = history[-window:]
+    return sum((math.exp(h) - 1) / (step + 1 - t) for t, h in last) / len(last) if last else 0.0
+
+
 def mcmc(g: Graph, rounds: int, beta: float = 10.0, seed: int = 0) -> Outcome:
-    """Random search over fusions of nodes on the critical path, scored by replay."""
+    """Random search over fusions of nodes on the critical path, scored by replay.
+
+    Moves of nodes whose last moves paid are drawn more often (their heat).
+    """
     rng = random.Random(seed)
+    history: dict[str, list[tuple[int, float]]] = {}
     cur, cost = g, replay(g)[1]
     best, steps, tried, taken = cost, [], [cost], []
     for step in range(1, rounds + 1):
@@ -457,10 +467,13 @@ def mcmc(g: Graph, rounds: int, beta: float = 10.0, seed: int = 0) -> Outcome:
         moves = [m for m in fuse_moves(cur) if m[0] in on_path or m[1] in on_path]
         if not moves:
             break
-        move = rng.choice(moves)
+        weights = [max(1e-3, 1.0 + sum(heat_of(history.get(x, []), step) for x in m)) for m in moves]
+        move = rng.choices(moves, weights)[0]
         nxt = apply_fusion(cur, move)
         new = replay(nxt)[1]
         tried.append(new)
+        for x in (*move, nxt.names[next(i for i, n in enumerate(nxt.names) if n.startswith(move[0] + "+"))]):
+            history.setdefault(x, []).append((step, max(-5.0, min(5.0, (cost - new) / max(cost, 1e-9)))))
         if rng.random() < accept_probability(beta, step, cost, new):
             cur, cost = nxt, new
             taken.append(f"+ {move[0]} {move[1]}")
