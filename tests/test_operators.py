@@ -381,3 +381,16 @@ def test_server_takes_pushes_as_they_run():
 def test_heat():
     assert kernels.heat_of([], 3) == 0.0 and kernels.heat_of([(3, 0.0)], 3) == 0.0
     assert kernels.heat_of([(1, 1.0), (3, 1.0)], 3) == pytest.approx((np.e - 1) * (1 / 3 + 1) / 2)
+
+
+def test_transfers_are_aligned(spark):
+    """Clocks that run apart by more than any latency: afterwards nothing arrives before it was sent."""
+    rng, drift, rows = random.Random(1), {"h0": 0, "h1": 500, "h2": -900}, []
+    for i in range(120):
+        a, b = rng.sample(sorted(drift), 2)
+        t = i * 1000
+        rows.append((a, b, t + drift[a], t + rng.randrange(20, 60) + drift[b]))
+    df = spark.createDataFrame(rows, "src string, dst string, sent_us bigint, got_us bigint")
+    assert any(got < sent for *_, sent, got in rows)
+    late = [r.got_us - r.sent_us for r in align.align_transfers(df).collect()]
+    assert min(late) >= -1 and max(late) < 160

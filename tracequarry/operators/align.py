@@ -83,3 +83,19 @@ def link_delays(pairs: DataFrame) -> DataFrame:
     return pairs.filter("not queued").groupBy("src", "dst").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(latency), 6).alias("avg_us"), F.min(latency).alias("min_us")
     )
+
+
+def align_transfers(intervals: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """Transfers with clocks moved by the least shifts: ``intervals`` (src, dst, sent_us, got_us) with both ends shifted.
+
+    Bounds come from the shortest time under way of each direction, from
+    ``probes`` if given (say transfers that weren't queued), else from all.
+    Hosts are few, so the solver runs on the driver; transfers are moved in a
+    join.
+    """
+    shifts = solve_shifts(drift_bounds(probes if probes is not None else intervals))
+    of = lambda side: shifts.select(F.col("host").alias(side), F.round("shift_us").cast("bigint").alias(f"_{side}"))
+    moved = intervals.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    at = lambda c, side: (F.col(c) + F.coalesce(F.col(f"_{side}"), F.lit(0))).alias(c)
+    rest = [c for c in intervals.columns if c not in ("sent_us", "got_us")]
+    return moved.select(*rest, at("sent_us", "src"), at("got_us", "dst"))
