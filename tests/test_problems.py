@@ -219,6 +219,31 @@ def test_schema_changes(spark):
     assert schema_drift.schema_changes(spark.createDataFrame([], RAW), spark.createDataFrame([], FILES)).collect() == []
 
 
+def test_retyped_in_few_files_loses_nothing(spark):
+    """One file of thirty holds objects where the others hold numbers; odd values and members stay too."""
+    import datetime as dt
+
+    t, rows, files = dt.datetime(2025, 1, 1), [], []
+    for f in range(30):
+        files.append((f, "t", f"h{f // 2}", 0, t + dt.timedelta(f), 1))
+        rows += _raw(f, 40, lambda i, f=f: {"ph": "X", "ts": i, "args": {"mem": {"bytes": i} if f == 29 else i, "n": i, "on": True}})
+    rows += [
+        (0, 90, json.dumps({"ph": "X", "ts": "soon", "cat": "op", "args": {"n": "many", "on": 7, "odd": [1], "mem": 5}}), ""),
+        (0, 91, json.dumps({"ph": "X", "ts": 1, "args": {"n": 2**70}}), ""),
+        (0, 92, json.dumps({"ph": "X", "ts": 1, "args": [1, 2]}), ""),
+        (0, 93, json.dumps({"ph": "X", "ts": 1, "args": {"n": 2**63 - 1}}), ""),
+    ]
+    raw = spark.createDataFrame(rows, RAW)
+    assert {r.field: r.type for r in schema_drift.union_schema(raw).collect()} == {"args.mem": "string", "args.n": "bigint", "args.on": "boolean"}
+    events = {(r.file_id, r.line_no): r for r in schema_drift.consistent_events(raw, spark.createDataFrame(files, FILES)).collect()}
+    assert all(json.loads(events[29, i + 1].args["mem"]) == {"bytes": i} and events[29, i + 1].rest is None for i in range(40))
+    odd = events[0, 90]
+    assert odd.args["mem"] == "5" and odd.args["n"] is None and odd.args["on"] is None
+    assert json.loads(odd.rest) == {"ts": "soon", "cat": "op", "args": {"n": "many", "on": 7, "odd": [1]}}
+    assert json.loads(events[0, 91].rest) == {"args": {"n": 2**70}} and json.loads(events[0, 92].rest) == {"args": [1, 2]}
+    assert events[0, 93].args["n"] == 2**63 - 1 and events[0, 93].rest is None
+
+
 def test_lattice_is_a_join():
     kinds = list(schema_drift.LATTICE)
     for a in kinds:

@@ -429,26 +429,38 @@ def union_schema(raw_events: DataFrame, rules: DriftRules = DriftRules()) -> Dat
     """
     counts = cut(file_headers(raw_events))
     records = counts.filter("field = '' and trait = 'records'").select("file_id", F.col("n").alias("records"))
-    present = counts.filter("trait = 'present'").select("file_id", "field", F.col("n").alias("present"))
-    kept = present.join(records, "file_id").filter(f"present >= {rules.share} * records").select("field").distinct()
-    flags = (
+    names = [("boolean", "boolean"), ("number", None), ("string", "string"), ("array", "array"), ("object", "object")]
+    per_file = (
         counts.filter("field like 'args.%'")
-        .groupBy("field")
+        .groupBy("file_id", "field")
         .agg(
-            *[F.sum(F.expr(f"if(trait = 'type:{t}', n, 0)")).alias(t) for t in ("boolean", "number", "string", "array", "object")],
+            *[F.sum(F.expr(f"if(trait = 'type:{t}', n, 0)")).alias(t) for t, _ in names],
             F.sum(F.expr("if(trait = 'n:part', n, 0)")).alias("part"),
+            F.sum(F.expr("if(trait = 'present', n, 0)")).alias("present"),
         )
-        .join(kept, "field", "left_semi")
+        .join(records, "file_id")
     )
 
-    # A type counts if it holds a twentieth of the field's values, as odd values in single records don't widen it.
+    # A type counts if some file has it as its own, however few such files are, or if it holds a twentieth of all of the
+    # field's values; odd values in single records don't widen it, they go to the rest.
+    belongs = F.col("present") >= rules.share * F.col("records")
+    most = F.greatest(*[t for t, _ in names])
+    flags = (
+        per_file.groupBy("field")
+        .agg(
+            *[F.sum(t).alias(t) for t, _ in names],
+            *[F.bool_or(belongs & (F.col(t) > 0) & (F.col(t) == most)).alias(f"own_{t}") for t, _ in names],
+            F.sum("part").alias("part"),
+            F.bool_or(belongs).alias("kept"),
+        )
+        .filter("kept")
+    )
     total = F.col("boolean") + F.col("number") + F.col("string") + F.col("array") + F.col("object")
-    names = [("boolean", "boolean"), ("number", None), ("string", "string"), ("array", "array"), ("object", "object")]
     typed = F.array_compact(
         F.array(
             *[
                 F.when(
-                    F.col(c) >= rules.share * total,
+                    F.col(f"own_{c}") | ((F.col(c) > 0) & (F.col(c) >= rules.share * total)),
                     F.lit(t) if t else F.when(F.col("part") > 0, F.lit("double")).otherwise(F.lit("bigint")),
                 )
                 for c, t in names
@@ -496,9 +508,12 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
 
     Columns: file_id, line_no, name, pid, tid, ts, dur, ph (a letter, also
     where the file writes its code or names the field otherwise) and ``args``,
-    a struct of the union schema under each field's first name on its device.
-    Values that their column's type can't hold are null; arrays and objects
-    are kept as JSON text. Lines that aren't JSON objects are left out.
+    a struct of the union schema under each field's first name on its device,
+    and ``rest``. Arrays and objects in columns are kept as JSON text. What no
+    column holds is in ``rest``, a JSON object laid out like the event (null if
+    there is nothing): values that their column's type can't hold exactly,
+    members of args that belong to no file, args that aren't an object, and
+    other fields of the event. Lines that aren't JSON objects are left out.
     """
     schema = union_schema(raw_events, rules).collect()  # one row per field name, no data
     names = canonical_names(schema_changes(raw_events, trace_files, rules), trace_files, rules)
@@ -518,7 +533,7 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
         .filter("raw is not null")
         .join(per_file, "file_id", "left")
     )
-    out = "file_id bigint, line_no int, name string, pid string, tid string, ts double, dur double, ph string, args_json string"
+    out = "file_id bigint, line_no int, name string, pid string, tid string, ts double, dur double, ph string, args_json string, rest string"
 
     def number(v: Any) -> float | None:
         try:
@@ -530,13 +545,16 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
         return v if v is None or isinstance(v, str) else json.dumps(v)
 
     def value(v: Any, kind: str) -> Any:
+        """What the column holds of the value; null if not all of it."""
         if kind == "boolean":
             return v if isinstance(v, bool) else {"true": True, "false": False}.get(str(v).strip().lower())
         if kind in ("bigint", "double"):
+            if kind == "bigint" and isinstance(v, int) and not isinstance(v, bool):
+                return v if -(2**63) <= v < 2**63 else None
             x = number(v)
-            if x is None or not math.isfinite(x):
+            if x is None or not math.isfinite(x) or (isinstance(v, int) and int(x) != v):
                 return None
-            return x if kind == "double" else int(v) if isinstance(v, int) else int(x) if x == int(x) else None
+            return x if kind == "double" else int(x) if x == int(x) and abs(x) <= 2**53 else None
         return text(v)
 
     def unify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -547,17 +565,31 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
                 if r is None:
                     continue
                 first = json.loads(names) if isinstance(names, str) else {}
-                phase = next((v for k, v in r.items() if k not in FIXED and k != "args" and is_phase(v)), None)
-                args = {}
-                for k, v in members(r.get("args")).items():
-                    k = first.get("args." + k, "args." + k)[5:]
-                    if k in merged and v is not None:
-                        args[k] = value(v, merged[k])
+                key = next((k for k, v in r.items() if k not in FIXED and k != "args" and is_phase(v)), None)
+                phase = r.get(key)
+                ts, dur = number(r.get("ts")), number(r.get("dur"))
+                rest = {k: v for k, v in r.items() if v is not None and k not in (*FIXED, "args", key)}
+                rest |= {k: r[k] for k, x in (("ts", ts), ("dur", dur)) if x is None and r.get(k) is not None}
+                own = members(r.get("args"))
+                if not own and r.get("args") not in (None, {}, "{}"):
+                    rest["args"] = r["args"]
+                args, left = {}, {}
+                # a renamed field before an odd member that has its first name
+                for k, v in sorted(own.items(), key=lambda m: "args." + m[0] not in first):
+                    if v is None:
+                        continue
+                    to = first.get("args." + k, "args." + k)[5:]
+                    x = value(v, merged[to]) if to in merged and to not in args else None
+                    if x is None:
+                        left[k] = v
+                    else:
+                        args[to] = x
+                if left:
+                    rest["args"] = left
                 rows.append(
                     (
-                        file_id, line, text(r.get("name")), text(r.get("pid")), text(r.get("tid")),
-                        number(r.get("ts")), number(r.get("dur")),
-                        chr(phase) if isinstance(phase, int) else phase, json.dumps(args),
+                        file_id, line, text(r.get("name")), text(r.get("pid")), text(r.get("tid")), ts, dur,
+                        chr(phase) if isinstance(phase, int) else phase, json.dumps(args), json.dumps(rest) if rest else None,
                     )
                 )
             got = pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
