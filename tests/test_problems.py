@@ -151,6 +151,18 @@ def test_spikes_planted(spark):
         assert got == bad
 
 
+def test_spikes_in_long_stretches_and_few_rows(spark):
+    """A slow device's 60 values in 10,000 and the one odd value of a name of 30 rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "n", "d0", i, int(1000 * np.exp(rng.normal(0, 0.1)))) for i in range(9940)]
+    rows += [(10_000 + i, "n", "slow", i, int(20_000 * np.exp(rng.normal(0, 0.1)))) for i in range(60)]
+    rows += [(20_000 + i, "few", "d0", i, 100_000 if i == 7 else 490 + i) for i in range(30)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in [*rows, *rows[-100:]]], SP)
+    for chunks in (1, 5, 40):
+        got = spikes.flag_implausible(df, "name", "pid", "ts_us", "dur_us", "event_seq", chunks=chunks).filter("reason = 'spike'").collect()
+        assert sorted(r.event_id for r in got) == [*range(10_000, 10_060), 20_007]
+
+
 @pytest.mark.parametrize("chunks", [2, 5, 11])
 def test_stuck_runs_across_chunks(spark, chunks):
     rng = random.Random(chunks)

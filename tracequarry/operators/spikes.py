@@ -25,7 +25,8 @@ class SpikeRules:
     detail: float = 2.0  # detail coefficients beyond so many robust scales are candidates
     enough: int = 48  # rows of a source in a batch from which a scale is drawn
     bin: float = 0.02  # width of the histogram, in natural logarithms
-    mode_share: float = 0.02  # share of a source's rows that makes a level usual
+    mode_share: float = 0.02  # share of a source's rows that makes a level usual,
+    mode_rows: int = 3  # and rows that it has at least
     gap: float = 0.25  # empty stretch that parts levels: at least this much,
     gap_spread: float = 0.9  # and so many spreads of the source
     few: int = 20  # below so many rows a source has no usual values
@@ -69,8 +70,9 @@ def _scanner(rules: SpikeRules) -> Callable[[int, Iterator[pd.DataFrame]], Itera
 
     Comes out: ``bad`` impossible rows, ``stuck`` rows of long zero-detail
     runs, ``run`` and ``member`` rows for the runs at the chunk's ends,
-    ``candidate`` rows of large detail coefficients, ``bin`` counts of each
-    source's values.
+    ``candidate`` rows of large detail coefficients with their bin as ``n``,
+    ``bin`` counts of each source's values, ``rest`` the least and largest
+    value in each bin of the rows without large details.
     """
 
     def body(chunk: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,12 +161,13 @@ def _scanner(rules: SpikeRules) -> Callable[[int, Iterator[pd.DataFrame]], Itera
                     d = details(x[a:b], rules.levels)
                     scale = np.array([max(robust_scale(row), rules.bin) for row in d])
                     marked[a:b] = (np.abs(d) > rules.detail * scale[:, None]).any(0)
-                frames.append(
-                    pd.DataFrame(
-                        {"kind": "candidate", "event_id": ids[s][marked], "source": who[marked], "value": val[s][marked]}
-                    )
-                )
-                bins = pd.DataFrame({"source": who, "value": np.floor(x / rules.bin).astype(np.int64)})
+                at = np.floor(x / rules.bin).astype(np.int64)
+                frames.append(pd.DataFrame({"kind": "candidate", "event_id": ids[s][marked], "source": who[marked], "n": at[marked]}))
+                rest = pd.DataFrame({"source": who, "n": at, "value": val[s]})[~marked]
+                rest = rest.groupby(["source", "n"], sort=False)["value"].agg(["min", "max"]).reset_index()
+                for end in ("min", "max"):
+                    frames.append(rest[["source", "n"]].assign(kind="rest", value=rest[end]))
+                bins = pd.DataFrame({"source": who, "value": at})
                 bins = bins.groupby(["source", "value"], sort=False).size().rename("n").reset_index()
                 frames.append(bins.assign(kind="bin"))
             if out:
@@ -207,8 +210,8 @@ def usual_levels(bins: np.ndarray, counts: np.ndarray, rules: SpikeRules) -> lis
     """Ranges of bins, first and last, that hold a source's usual values.
 
     Filled bins with less than the gap between them belong together; such a
-    group is usual if it holds ``mode_share`` of the rows. The gap follows
-    the spread of the rows within their groups.
+    group is usual if it holds ``mode_share`` of the rows and ``mode_rows`` at
+    least. The gap follows the spread of the rows within their groups.
     """
     order = np.argsort(bins)
     bins, counts = bins[order], counts[order]
@@ -217,7 +220,7 @@ def usual_levels(bins: np.ndarray, counts: np.ndarray, rules: SpikeRules) -> lis
     def groups(gap: float) -> list[tuple[int, int]]:
         cuts = np.flatnonzero(np.diff(bins) * rules.bin > gap + rules.bin) + 1
         edges = [0, *cuts.tolist(), len(bins)]
-        return [(a, b) for a, b in zip(edges[:-1], edges[1:]) if counts[a:b].sum() >= rules.mode_share * total]
+        return [(a, b) for a, b in zip(edges[:-1], edges[1:]) if counts[a:b].sum() >= max(rules.mode_share * total, rules.mode_rows)]
 
     def spread(a: int, b: int) -> float:
         c = np.cumsum(counts[a:b])
@@ -262,7 +265,10 @@ def flag_implausible(
     candidates for spikes, runs of zero details are stuck, bounds find the
     impossible. A candidate is then held against the levels of its source's
     histogram (an exact check: a source may switch between usual levels, which
-    makes large details too).
+    makes large details too). Within a long stretch of outlying values the
+    details are small; such rows are found by their level: bins apart from the
+    usual levels that hold rows without large details (a short list) are
+    looked up among all rows.
     """
     rows = df.select(
         F.col(source).cast("string").alias("source"),
@@ -289,13 +295,19 @@ def flag_implausible(
         return pd.DataFrame({"source": [pdf["source"].iloc[0]], "levels": [[list(x) for x in found]]})
 
     usual = counts.groupBy("source").applyInPandas(levels, "source string, levels array<array<bigint>>")
-    spikes = (
-        pieces.filter("kind = 'candidate'")
-        .select("event_id", "source", F.floor(F.log(F.col("value").cast("double")) / rules.bin).alias("bin"))
+    apart = ~F.exists("levels", lambda x: F.col("n").between(x[0], x[1]))
+    marked = pieces.filter("kind = 'candidate'").join(usual, "source").filter(apart).select("event_id")
+    stretches = (
+        pieces.filter("kind = 'rest'")
+        .groupBy("source", "n")
+        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
         .join(usual, "source")
-        .filter(~F.exists("levels", lambda x: F.col("bin").between(x[0], x[1])))
-        .select("event_id", F.lit("spike").alias("reason"))
+        .filter(apart)
+        .groupBy("source")
+        .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     )
+    found = rows.join(stretches, "source").filter(F.exists("ranges", lambda x: F.col("value").between(x["lo"], x["hi"]))).select("event_id")
+    spikes = marked.unionByName(found).distinct().select("event_id", F.lit("spike").alias("reason"))
 
     # Runs cut by the ends of chunks: the last of one and the first of the next.
     ends = pieces.filter("kind = 'run'")
