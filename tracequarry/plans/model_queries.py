@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracequarry.functions import names
-from tracequarry.operators import costs, graph, models
+from tracequarry.operators import costs, graph, models, nested
 from tracequarry.operators import statistics as st
 from tracequarry.plans.graph_queries import _GROUPS, KEY, _groups, _steps
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
@@ -124,11 +124,12 @@ left join (select kind, round(avg(y), 6) f from k where length(op_name) % 3 <> 0
     ),
 )
 def elementary_fallback(spark, d):
-    """Times of operations whose name's length is no multiple of 3, used to estimate all."""
+    """Times of all operations: measured ones by their own mean, those that op_metadata alone names by their kind's."""
     rows = _kernels(spark, d)
-    known = rows.filter("length(op_name) % 3 <> 0")
-    exact, kind = (known.groupBy(c).agg(F.round(F.avg("y"), 6).alias("label")) for c in ("op_name", "kind"))
-    return models.with_fallback(rows.select("op_name", "kind").distinct(), exact, kind, "op_name", "kind").select("op_name", "kind", "estimate", "source")
+    exact, kind = (rows.groupBy(c).agg(F.round(F.avg("y"), 6).alias("label")) for c in ("op_name", "kind"))
+    captured = nested.flat_table(table(spark, d, "op_metadata"), "operations").select(F.col("name").alias("op_name")).filter("op_name is not null")
+    ops = rows.select("op_name", "kind").union(captured.withColumn("kind", names.op_type(F.col("op_name")))).distinct()
+    return models.with_fallback(ops, exact, kind, "op_name", "kind").select("op_name", "kind", "estimate", "source")
 
 
 @query(
