@@ -26,3 +26,37 @@ def test_fallback_takes_all_measured_operations(spark, folder):
     _write(spark, folder, "op_metadata", [(1, "t", raw)], "record_id bigint, trial string, raw string")
     got = {r.op_name: (r.kind, r.estimate, r.source) for r in entry.queries()["elementary_fallback"](spark, str(folder)).collect()}
     assert got == {o: ("Relu", 10.0 * (i + 1), "exact") for i, o in enumerate(ops)} | {"m/never/Relu_1": ("Relu", 20.0, "kind"), "m/never/Other": ("Other", 0.0, "none")}
+
+
+ARGS = ", args struct<loop_id:int,channel_id:int,chunk_id:int,slice_id:int>"
+
+
+def _cluster(spark, folder):
+    """Two trials of two and four devices; a tensor of three loops, one channel, two slices, and one without ids."""
+    rows, seq = [], 0
+    for trial, n in (("t2", 2), ("t4", 4)):
+        for r in range(n):
+            for ids in ((0, 0, 0, 0), (2, 0, 1, 1), None):
+                for op, us in (("SEND", 100), ("RECV", 200)):
+                    tensor = "7" if ids else "8+9"
+                    rows.append((seq, trial, f"{trial}.r{r}", "0", "X", f"Comm.{tensor}.{op}", 1000 + seq, us + r, ids))
+                    seq += 1
+    _write(spark, folder, "comm_events", rows, EVENT + ARGS)
+    rows = [(1000 + i, t, "server0", "0", "X", f"Comm.7.{op}", 5, 5) for i, (t, op) in enumerate((t, op) for t in ("t2", "t4", "t?") for op in ("COPY_FIRST", "SUM", "COPY_MERGED"))]
+    _write(spark, folder, "server_events", rows, EVENT)
+
+
+def test_rings_take_ids_and_servers_take_devices(spark, folder):
+    _cluster(spark, folder)
+    q = entry.queries()
+    ring = q["ring_expand"](spark, str(folder)).collect()
+    sends = {(r.trial, r.dst) for r in ring if ".SEND~>" in r.dst and r.dst.startswith(f"{r.trial}.r0->Comm.7.")}
+    for trial, n in (("t2", 2), ("t4", 4)):
+        got = {tuple(map(int, s.split("~>")[1].split("_"))) for t, s in sends if t == trial}
+        assert got == {(l, 0, k, s) for l in range(3) for k in range(2 * (n - 1)) for s in range(2)}
+    assert {r.dst.split("~>")[1] for r in ring if r.dst.startswith("t2.r0->Comm.8+9.SEND")} == {"0_0_0_0", "0_0_1_0"}
+    edges = q["ps_edges"](spark, str(folder)).collect()
+    assert {(r.trial, r.src.split("::")[0]) for r in edges if r.src.endswith("PUSH_REQ")} == {("t2", "t2.r0"), ("t2", "t2.r1"), *(("t4", f"t4.r{i}") for i in range(4))}
+    assert {(r.trial, r.src) for r in edges if r.dst.endswith("COPY_MERGED")} == {("t2", "server0->7~PART0.SUM0"), ("t4", "server0->7~PART0.SUM2")}
+    copies = q["replicated_sums"](spark, str(folder)).filter("op = 'SUM'").groupBy("event_seq").count().collect()
+    assert {r.event_seq: r["count"] for r in copies} == {1001: 1, 1004: 3, 1007: 1}

@@ -93,10 +93,10 @@ def tree_edges(tensors: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def ps_edges(parts: DataFrame) -> DataFrame:
-    """Edges of a parameter server's exchange: (src, dst).
+    """Edges of a parameter server's exchange: (trial, src, dst).
 
-    ``parts`` has worker, server, tensor, part and workers (how many there
-    are). Each worker pushes, the server copies the first and sums the others
+    ``parts`` has trial, worker, server, tensor, part and workers (how many the
+    trial has). Each worker pushes, the server copies the first and sums the others
     up in turn, and every worker pulls the merged result.
     """
     t = F.concat(F.col("tensor"), F.lit("~PART"), F.col("part"))
@@ -110,14 +110,14 @@ def ps_edges(parts: DataFrame) -> DataFrame:
         (own("COPY_MERGED"), back("PULL_RES")),
         (out("PUSH_REQ"), own("COPY_FIRST")),
     ]
-    edges = parts.select(F.explode(F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in chain])).alias("e")).select("e.src", "e.dst")
-    sums = parts.select("server", "tensor", "part", "workers").distinct().filter("workers > 1")
+    edges = parts.select("trial", F.explode(F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in chain])).alias("e")).select("trial", "e.src", "e.dst")
+    sums = parts.select("trial", "server", "tensor", "part", "workers").distinct().filter("workers > 1")
     sums = sums.withColumn("i", F.explode(F.expr("sequence(0, workers - 2)")))
     before = F.when(F.col("i") == 0, own("COPY_FIRST")).otherwise(F.concat(own("SUM"), (F.col("i") - 1).cast("string")))
     this = F.concat(own("SUM"), F.col("i").cast("string"))
-    summed = sums.select(before.alias("src"), this.alias("dst"))
-    merged = sums.filter("i = workers - 2").select(this.alias("src"), own("COPY_MERGED").alias("dst"))
-    alone = parts.filter("workers = 1").select(own("COPY_FIRST").alias("src"), own("COPY_MERGED").alias("dst"))
+    summed = sums.select("trial", before.alias("src"), this.alias("dst"))
+    merged = sums.filter("i = workers - 2").select("trial", this.alias("src"), own("COPY_MERGED").alias("dst"))
+    alone = parts.filter("workers = 1").select("trial", own("COPY_FIRST").alias("src"), own("COPY_MERGED").alias("dst"))
     return edges.unionByName(summed).unionByName(merged).unionByName(alone).distinct()
 
 

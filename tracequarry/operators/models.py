@@ -189,11 +189,11 @@ def with_fallback(ops: DataFrame, exact: DataFrame, coarse: DataFrame, key: str,
     return rows.withColumn("estimate", F.coalesce("_e", "_k", F.lit(0.0))).withColumn("source", source).drop("_e", "_k")
 
 
-def replicated_sums(intervals: DataFrame, workers: int) -> DataFrame:
+def replicated_sums(intervals: DataFrame, workers: int | Column) -> DataFrame:
     """Server operations as events; a sum comes once per worker but one, numbered."""
-    times = F.when(F.col("op") == "SUM", F.sequence(F.lit(0), F.lit(max(workers - 2, 0)))).otherwise(F.array(F.lit(0)))
-    rows = intervals.withColumn("copy", F.explode(times))
-    return rows.filter(F.lit(workers >= 2) | (F.col("op") != "SUM"))
+    n = F.lit(workers) if isinstance(workers, int) else workers
+    times = F.when(F.col("op") == "SUM", F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).otherwise(F.array(F.lit(0)))
+    return intervals.filter((n >= 2) | (F.col("op") != "SUM")).withColumn("copy", F.explode(times))
 
 
 def projected(events: DataFrame, sizes: DataFrame, gbps: float = 100.0, efficiency: float = 0.85) -> DataFrame:

@@ -34,9 +34,11 @@ ranks as (select trial, pid, row_number() over (partition by trial order by pid)
 
 
 def _ring(spark, d):
-    rows = comm(spark, d, "trial").filter("trial is not null")
-    tensors = rows.filter("name rlike '^Comm[.][0-9+]+[.](SEND|RECV)$'").select("trial", F.regexp_extract("name", "^Comm[.]([0-9+]+)[.]", 1).alias("tensor"))
-    tensors = tensors.distinct().withColumns({c: F.lit(2) for c in ("loops", "channels", "slices")})
+    """Tensors with their loops, channels and slices (one where no event tells), and the devices of each trial by place."""
+    rows = comm(spark, d, "trial", "args").filter("trial is not null")
+    tensors = rows.filter("name rlike '^Comm[.][0-9+]+[.](SEND|RECV)$'").groupBy("trial", F.regexp_extract("name", "^Comm[.]([0-9+]+)[.]", 1).alias("tensor"))
+    ids = {"loops": "loop_id", "channels": "channel_id", "slices": "slice_id"}
+    tensors = tensors.agg(*[F.coalesce(F.max(f"args.{v}") + 1, F.lit(1)).alias(k) for k, v in ids.items()])
     from pyspark.sql import Window
 
     ranks = rows.select("trial", "pid").distinct()
@@ -65,7 +67,7 @@ st as (select t.trial, a.pid, b.pid as nxt, a.n, 'Comm.' || t.tensor as c, k, co
     ),
 )
 def ring_expand(spark, d):
-    """Ring all-reduce of every tensor group among its trial's devices, two loops, channels and slices each."""
+    """Ring all-reduce of every tensor group among its trial's devices, over the loops, channels and slices that its events have."""
     return graph.ring_edges(*_ring(spark, d))
 
 
@@ -98,12 +100,12 @@ select distinct src, dst from (
   union all select server || '->' || t || '.SUM' || k, server || '->' || t || '.COPY_MERGED' from i where k = 1)""",
 )
 def ps_edges(spark, d):
-    """Push and pull of every tensor of every server, for three workers."""
-    rows = st.distinct_events(table(spark, d, "server_events"), "pid", "name").filter("pid is not null and name is not null")
-    parts = rows.select(
-        F.col("pid").alias("server"), F.regexp_extract("name", "^Comm[.]([0-9+]+)[.]", 1).alias("tensor"), F.lit(0).alias("part"), F.lit(3).alias("workers")
-    ).distinct()
-    return graph.ps_edges(parts.withColumn("worker", F.explode(F.array(*[F.lit(f"w{i}") for i in range(3)]))))
+    """Push and pull of every tensor of every server, for the devices of its trial."""
+    rows = st.distinct_events(table(spark, d, "server_events"), "trial", "pid", "name").filter("trial is not null and pid is not null and name is not null")
+    parts = rows.select("trial", F.col("pid").alias("server"), F.regexp_extract("name", "^Comm[.]([0-9+]+)[.]", 1).alias("tensor"), F.lit(0).alias("part")).distinct()
+    ranks = _ring(spark, d)[1]
+    workers = ranks.join(ranks.groupBy("trial").agg(F.count(F.lit(1)).cast("int").alias("workers")), "trial")
+    return graph.ps_edges(parts.join(workers.select("trial", F.col("pid").alias("worker"), "workers"), "trial"))
 
 
 _STEP = """ev as (select *, pid || '->' || name || '~>' || event_seq as node from silver where step is not null and trial is not null and cat is not null),

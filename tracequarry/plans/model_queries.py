@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import names
 from tracequarry.operators import costs, graph, models, nested
 from tracequarry.operators import statistics as st
-from tracequarry.plans.graph_queries import _GROUPS, KEY, _groups, _steps
+from tracequarry.plans.graph_queries import _GROUPS, KEY, _groups, _ring, _steps
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
 from tracequarry.plans.sql import COMM, typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import silver
@@ -138,10 +138,12 @@ def elementary_fallback(spark, d):
 select event_seq, pid, op, unnest(case when op = 'SUM' then [0, 1] else [0] end) as copy from o""",
 )
 def replicated_sums(spark, d):
-    """Server operations for three workers."""
-    rows = st.distinct_events(table(spark, d, "server_events"), "pid", "name").filter("pid is not null and name is not null")
-    rows = rows.select("event_seq", "pid", F.element_at(F.split("name", "[.]"), 3).alias("op"))
-    return models.replicated_sums(rows, 3)
+    """Server operations for the devices of their trial; a sum of a trial without known devices stays as it is."""
+    rows = st.distinct_events(table(spark, d, "server_events"), "trial", "pid", "name").filter("pid is not null and name is not null")
+    rows = rows.select("event_seq", "trial", "pid", F.element_at(F.split("name", "[.]"), 3).alias("op"))
+    workers = _ring(spark, d)[1].groupBy("trial").agg(F.count(F.lit(1)).cast("int").alias("workers"))
+    rows = rows.join(workers, "trial", "left")
+    return models.replicated_sums(rows, F.coalesce("workers", F.lit(2))).select("event_seq", "pid", "op", "copy")
 
 
 @query(
