@@ -60,3 +60,15 @@ def test_rings_take_ids_and_servers_take_devices(spark, folder):
     assert {(r.trial, r.src) for r in edges if r.dst.endswith("COPY_MERGED")} == {("t2", "server0->7~PART0.SUM0"), ("t4", "server0->7~PART0.SUM2")}
     copies = q["replicated_sums"](spark, str(folder)).filter("op = 'SUM'").groupBy("event_seq").count().collect()
     assert {r.event_seq: r["count"] for r in copies} == {1001: 1, 1004: 3, 1007: 1}
+
+
+def test_larger_cluster_is_scaled_from_the_profile(spark, folder):
+    _cluster(spark, folder)
+    q = entry.queries()
+    rows = q["larger_cluster"](spark, str(folder)).collect()
+    assert len(rows) == 2 * (3 * 2 + 1) * 6 * 10  # trials, parts of both tensors, devices, steps
+    got = {(r.trial, r.tensor): (r.send_us, r.recv_us) for r in rows}
+    assert got["t2", "Comm.7"] == (20.1, 40.1) and got["t4", "Comm.8+9"] == (60.9, 120.9)
+    assert all(r.chunk == (int(r.pid[1:]) - r.step) % 6 and int(r.next_pid[1:]) == (int(r.pid[1:]) + 1) % 6 for r in rows)
+    chunks = q["ring_chunks"](spark, str(folder)).collect()
+    assert len(chunks) == 2 * 2 + 4 * 4 and {(r.pid, r.step, r.chunk) for r in chunks if r.trial == "t2"} == {("t2.r0", 0, 0), ("t2.r0", 1, 1), ("t2.r1", 0, 1), ("t2.r1", 1, 0)}

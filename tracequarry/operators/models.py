@@ -189,6 +189,39 @@ def with_fallback(ops: DataFrame, exact: DataFrame, coarse: DataFrame, key: str,
     return rows.withColumn("estimate", F.coalesce("_e", "_k", F.lit(0.0))).withColumn("source", source).drop("_e", "_k")
 
 
+def larger_ring(events: DataFrame, tensors: DataFrame, profiled: DataFrame, n: int) -> DataFrame:
+    """The steps of a ring of ``n`` devices, from the profile of another number of devices.
+
+    ``events`` has trial, tensor, op (SEND or RECV), loop, channel, slice and
+    dur_us; ``tensors`` has trial, tensor, loops, channels, slices;
+    ``profiled`` has trial and devices. Comes out a row per trial, tensor,
+    loop, channel, slice, device of the ring (``r0`` on) and step, with the
+    next device, the chunk that is sent and the mean times of sending and
+    receiving, scaled by (devices - 1) / (n - 1), as a ring of more devices
+    moves smaller chunks. Parts without a time of their own get the tensor's.
+    """
+    if n < 2:
+        raise ValueError("a ring has at least two devices")
+    part = ["trial", "tensor", "l", "c", "s"]
+    mean = lambda op, name: F.avg(F.when(F.col("op") == op, F.col("dur_us"))).alias(name)
+    events = events.select("trial", "tensor", "op", "dur_us", F.col("loop").alias("l"), F.col("channel").alias("c"), F.col("slice").alias("s"))
+    fine = events.groupBy(*part).agg(mean("SEND", "send"), mean("RECV", "recv"))
+    coarse = events.groupBy("trial", "tensor").agg(mean("SEND", "send_all"), mean("RECV", "recv_all"))
+    parts = tensors.join(profiled, "trial")
+    for c, of in (("l", "loops"), ("c", "channels"), ("s", "slices")):
+        parts = parts.withColumn(c, F.explode(F.expr(f"sequence(0, {of} - 1)")))
+    scale = (F.col("devices") - 1) / F.lit(n - 1)
+    rows = parts.join(fine, part, "left").join(coarse, ["trial", "tensor"], "left")
+    rows = rows.select(*part, *[F.round(scale * F.coalesce(x, f"{x}_all"), 6).alias(f"{x}_us") for x in ("send", "recv")])
+    rows = rows.withColumn("rank", F.explode(F.expr(f"sequence(0, {n - 1})"))).withColumn("step", F.explode(F.expr(f"sequence(0, {2 * (n - 1) - 1})")))
+    name = lambda c: F.concat(F.lit("r"), c)
+    return rows.select(
+        "trial", F.concat(F.lit("Comm."), "tensor").alias("tensor"), F.col("l").alias("loop"), F.col("c").alias("channel"), F.col("s").alias("slice"),
+        name(F.col("rank")).alias("pid"), name(F.pmod(F.col("rank") + 1, F.lit(n))).alias("next_pid"), "step",
+        chunk_of_step(F.col("rank"), F.col("step"), F.lit(n)).alias("chunk"), "send_us", "recv_us",
+    )
+
+
 def replicated_sums(intervals: DataFrame, workers: int | Column) -> DataFrame:
     """Server operations as events; a sum comes once per worker but one, numbered."""
     n = F.lit(workers) if isinstance(workers, int) else workers

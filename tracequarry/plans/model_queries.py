@@ -10,7 +10,7 @@ from tracequarry.operators import statistics as st
 from tracequarry.plans.graph_queries import _GROUPS, KEY, _groups, _ring, _steps
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
 from tracequarry.plans.sql import COMM, typed, with_comm, with_trace
-from tracequarry.plans.statistics_queries import silver
+from tracequarry.plans.statistics_queries import comm, silver
 from tracequarry.session import table
 from tracequarry.sources.sinks import painted
 
@@ -316,9 +316,11 @@ def kernel_features(spark, d):
 
 @query("ring_chunks", "select r::int as rank, s::int as step, (r - s + 16) % 8 as chunk from unnest(range(8)) a(r), unnest(range(8)) b(s)")
 def ring_chunks(spark, d):
-    rows = spark.range(8).select(F.col("id").cast("int").alias("rank"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step"))
-    return rows.withColumn("chunk", models.chunk_of_step(F.col("rank"), F.col("step"), F.lit(8)))
-
+    """The chunk that each device of a trial sends in each step of a round of its ring."""
+    ranks = _ring(spark, d)[1]
+    rows = ranks.join(ranks.groupBy("trial").agg(F.count(F.lit(1)).cast("int").alias("n")), "trial")
+    rows = rows.withColumn("step", F.explode(F.expr("sequence(0, n - 1)")))
+    return rows.select("trial", "pid", "rank", "step", models.chunk_of_step(F.col("rank"), F.col("step"), F.col("n")).alias("chunk"))
 
 
 @query("recompute_replay")
@@ -343,13 +345,13 @@ select 'Comm.0' as tensor, 'r' || a.explode as pid, 'r' || ((a.explode + 1) % 6)
 from g a, unnest(range(10)) s(k)""",
 )
 def larger_cluster(spark, d):
-    """Steps of a ring of six devices, as a profile of fewer devices would be projected to it."""
-    rows = spark.range(6).select(F.lit("Comm.0").alias("tensor"), F.col("id").cast("int").alias("rank"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("step"))
-    name = lambda c: F.concat(F.lit("r"), c)
-    return rows.select(
-        "tensor", name(F.col("rank")).alias("pid"), name(F.pmod(F.col("rank") + 1, F.lit(6))).alias("next_pid"), "step",
-        models.chunk_of_step(F.col("rank"), F.col("step"), F.lit(6)).alias("chunk"),
-    )
+    """All tensors on a ring of six devices, projected from each trial's profile."""
+    tensors, ranks = _ring(spark, d)
+    rows = comm(spark, d, "event_seq", "trial", "args").filter("trial is not null and name rlike '^Comm[.][0-9+]+[.](SEND|RECV)$'")
+    at = F.split("name", "[.]")
+    ids = [F.col(f"args.{x}_id").alias(x) for x in ("loop", "channel", "slice")]
+    events = rows.select("trial", F.element_at(at, 2).alias("tensor"), F.element_at(at, 3).alias("op"), "dur_us", *ids)
+    return models.larger_ring(events, tensors, ranks.groupBy("trial").agg(F.count(F.lit(1)).alias("devices")), 6)
 
 
 @query(
