@@ -72,3 +72,11 @@ def test_larger_cluster_is_scaled_from_the_profile(spark, folder):
     assert all(r.chunk == (int(r.pid[1:]) - r.step) % 6 and int(r.next_pid[1:]) == (int(r.pid[1:]) + 1) % 6 for r in rows)
     chunks = q["ring_chunks"](spark, str(folder)).collect()
     assert len(chunks) == 2 * 2 + 4 * 4 and {(r.pid, r.step, r.chunk) for r in chunks if r.trial == "t2"} == {("t2.r0", 0, 0), ("t2.r0", 1, 1), ("t2.r1", 0, 1), ("t2.r1", 1, 0)}
+
+
+def test_search_has_rounds_by_the_size_of_the_graph(spark, folder):
+    rows = [(i, "t", "p", "0", "X", f"FW.m/op{i}", 1000 * i, 500, "operator", "operator.FW", 1) for i in range(12)]
+    _write(spark, folder, "trace_events", rows, EVENT + ", cat string, cat_fine string, step int")
+    got = {r.method: r for r in entry.queries()["fusion_search"](spark, str(folder)).collect()}
+    assert got["mcts"].tried == 1 + 2 * 11  # a chain of 12 has 11 moves
+    assert got["mcmc"].fused > 5

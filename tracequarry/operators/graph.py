@@ -313,11 +313,16 @@ def bottlenecks(nodes: DataFrame, edges: DataFrame, key: list[str], shorten_ms:
     return _per_graph(_graphs(nodes, edges, key), key, run, "node string, gain_ms double")
 
 
-def searches(nodes: DataFrame, edges: DataFrame, key: list[str], rounds: int = 10, seed: int = 0) -> DataFrame:
-    """Fusions found by each search: (key, method, base_ms, best_ms, fused, tried)."""
+def searches(nodes: DataFrame, edges: DataFrame, key: list[str], rounds: int | None = 10, seed: int = 0) -> DataFrame:
+    """Fusions found by each search: (key, method, base_ms, best_ms, fused, tried).
+
+    Without ``rounds`` a graph gets twice as many as it has moves, so that the
+    tree search has tried each first move and goes on below.
+    """
+    budget = lambda g: 2 * len(kernels.fuse_moves(g)) if rounds is None else rounds
     methods = {
-        "mcmc": lambda g: kernels.mcmc(g, rounds, seed=seed),
-        "mcts": lambda g: kernels.mcts(g, rounds, seed=seed),
+        "mcmc": lambda g: kernels.mcmc(g, budget(g), seed=seed),
+        "mcts": lambda g: kernels.mcts(g, budget(g), seed=seed),
         "walk": lambda g: kernels.greedy_walk(g),
     }
 

@@ -171,8 +171,8 @@ def bottleneck(spark, d):
 
 @query("fusion_search")
 def fusion_search(spark, d):
-    """Fusions by three searches, on one device's graph of each step."""
-    return graph.searches(*_steps(spark, d), KEY, rounds=5)
+    """Fusions by three searches, on one device's graph of each step, with rounds by its size."""
+    return graph.searches(*_steps(spark, d), KEY, rounds=None)
 
 
 @query("fusion_clusters")
