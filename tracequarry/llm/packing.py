@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,29 @@ from tracequarry.session import by_key
 @dataclass(frozen=True)
 class PackingRules:
     group_items: int = 20_000  # items that are packed together
-    rounds: int = 40  # passes of the local search over the underfull bins
-    attempts: int = 2_000  # items that the search tries to place elsewhere, per group
-    pair_bins: int = 100  # bins that are searched for two-for-one exchanges, those with most room first
-    pair_docs: int = 64  # bins with more items are not searched for these
+
+
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """A number of bins below which no packing can go.
+
+    The larger of: all sizes over the capacity; and, for each bound ``k`` up to
+    half the capacity, the items over ``capacity - k`` (each alone beside any
+    item of ``k`` or more), those over half of it, and what the middle items
+    need beyond the room that the latter leave.
+    """
+    if not len(sizes):
+        return 0
+    held = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    count = np.concatenate([[0], np.cumsum(held)])  # items below each size
+    total = np.concatenate([[0], np.cumsum(held * np.arange(capacity + 1))])
+    k = np.unique(np.concatenate([[0], sizes[2 * sizes <= capacity]]))
+    half = capacity // 2
+    alone = count[-1] - count[capacity - k + 1]
+    large = count[capacity - k + 1] - count[half + 1]
+    room = large * capacity - (total[capacity - k + 1] - total[half + 1])
+    middle = total[half + 1] - total[k]
+    need = alone + large + np.maximum(0, -((room - middle) // capacity))
+    return max(int(need.max()), -(-int(sizes.sum()) // capacity))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -43,140 +63,214 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+class _Offers:
+    """What bins would give away: an offer (lo, bin) takes a size ``s`` with ``lo < s <= lo + room``.
+
+    Offers are kept by their reach ``lo + room``; the lowest ``lo`` of each
+    reach stands in an array, so the offer that fills its bin up best is found
+    by one scan of neighbouring numbers. Offers of a bin that has changed
+    since are dropped when they are met.
+    """
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, capacity: int) -> None:
+        self.lowest = np.full(capacity + 2, self.NONE, np.int32)
+        self.heaps: dict[int, list[tuple[int, int, int]]] = {}
+
+    def add(self, los: list[int], room: int, bin_: int, version: int) -> None:
+        for lo in los:
+            reach = lo + room
+            heap = self.heaps.get(reach)
+            if heap is None:
+                heap = self.heaps[reach] = []
+            heappush(heap, (lo, bin_, version))
+            if lo < self.lowest[reach]:
+                self.lowest[reach] = lo
+
+    def find(self, s: int, room: int, versions: list[int]) -> tuple[int, int] | None:
+        """(lo, bin) of the offer for ``s`` that leaves its bin the least room, less than ``room``."""
+        end = min(s + room, len(self.lowest))
+        at = s
+        while at < end:
+            part = self.lowest[at:end] < s
+            k = int(part.argmax())
+            if not part[k]:
+                return None
+            at += k
+            heap = self.heaps[at]
+            while heap and versions[heap[0][1]] != heap[0][2]:
+                heappop(heap)
+            self.lowest[at] = heap[0][0] if heap else self.NONE
+            if heap and heap[0][0] < s:
+                return heap[0][0], heap[0][1]
+        return None
+
+
 class Search:
     """Local search that raises the sum of squared fills until bins run empty.
 
-    The emptiest bin gives its documents away: a document moves into the
-    fullest bin that has room, or is exchanged for a smaller one, or for two
-    that are smaller together, so that the other bin gets fuller. Each step
-    raises the squared fill, so the search ends; ``rounds`` and ``attempts``
-    bound its effort (every document stays packed, whatever is left undone).
+    Underfull bins give their items away, the emptiest first: an item moves
+    to another bin, is exchanged for a smaller one or for two that are smaller
+    together, or two items are exchanged for one that is smaller than both, so
+    that the other bin ends up fuller than this one was. Each step raises the
+    squared fill, a whole number with an upper bound, so the search ends: at a
+    packing that no such step improves, or at the least possible number of
+    bins. Nothing else stops it.
     """
 
-    def __init__(self, sizes: np.ndarray, bins: np.ndarray, capacity: int, rules: PackingRules) -> None:
-        self.sizes, self.bins, self.capacity, self.rules = sizes.astype(np.int64), bins, capacity, rules
-        self.members: list[list[int]] = [[] for _ in range(int(bins.max()) + 1)]
-        for i, b in enumerate(bins.tolist()):
-            self.members[b].append(i)
-        self.fill = np.bincount(bins, weights=sizes, minlength=len(self.members)).astype(np.int64)
-        self.used = np.array([bool(m) for m in self.members])
-        self.least = -(-int(sizes.sum()) // capacity)
-
-    def _shift(self, i: int, to: int) -> None:
-        b = self.bins[i]
-        self.members[b].remove(i)
-        self.members[to].append(i)
-        self.fill[b] -= self.sizes[i]
-        self.fill[to] += self.sizes[i]
-        self.bins[i] = to
-
-    def _move(self, i: int, away: int) -> bool:
-        room = self.capacity - self.fill
-        ok = self.used & (room >= self.sizes[i])
-        ok[away] = False
-        if not ok.any():
-            return False
-        self._shift(i, int(np.where(ok, self.fill, -1).argmax()))
-        return True
-
-    def _exchange(self, i: int, away: int) -> bool:
-        """One for one: the bin that ends up fullest; ties by the larger gain."""
-        s = self.sizes
-        other = self.bins
-        gain = s[i] - s
-        after = self.fill[other] + gain
-        ok = (gain > 0) & (after <= self.capacity) & (other != away) & (after > self.fill[away])
-        if not ok.any():
-            return False
-        j = int(np.where(ok, after * (self.capacity + 1) + gain, -1).argmax())
-        to = int(other[j])
-        self._shift(j, away)
-        self._shift(i, to)
-        return True
-
-    def _two_for_one(self, i: int, away: int) -> bool:
-        s, size = self.sizes, int(self.sizes[i])
-        room = self.capacity - self.fill
-        open_ = np.flatnonzero(self.used & (room > 0))
-        for to in open_[np.argsort(-room[open_], kind="stable")][: self.rules.pair_bins]:
-            own = self.members[to]
-            if to == away or not 2 <= len(own) <= self.rules.pair_docs:
-                continue
-            sz = s[own]
-            pair = sz[:, None] + sz[None, :]
-            gain = size - pair
-            ok = np.triu((gain > 0) & (gain <= room[to]), 1) & (self.fill[to] + gain > self.fill[away])
-            if ok.any():
-                a, b = np.unravel_index(int(np.where(ok, gain, -1).argmax()), ok.shape)
-                j, k = own[a], own[b]
-                self._shift(j, away)
-                self._shift(k, away)
-                self._shift(i, int(to))
+    def __init__(self, sizes: np.ndarray, bins: np.ndarray, capacity: int) -> None:
+        self.sizes, self.bins, self.capacity = sizes.tolist(), bins.tolist(), capacity
+        n = int(bins.max()) + 1
+        self.members: list[dict[int, list[int]]] = [{} for _ in range(n)]  # per bin: size -> items
+        self.fill = [0] * n
+        self.version = [0] * n
+        self.least = least_bins(sizes, capacity)
+        self.rooms: dict[int, set[int]] = {}  # bins by room
+        for i, b in enumerate(self.bins):
+            self.members[b].setdefault(self.sizes[i], []).append(i)
+            self.fill[b] += self.sizes[i]
+        self.used = n
+        self.open_rooms: list[int] = []  # rooms of at least one open bin, sorted
+        self.single, self.double = _Offers(capacity), _Offers(capacity)
+        for b in range(n):
+            self._enter(b)
+
+    # ---- index
+
+    def _enter(self, b: int) -> None:
+        """Makes a bin findable; full bins have nothing to offer."""
+        room = self.capacity - self.fill[b]
+        if not room or not self.members[b]:
+            return
+        held = self.rooms.get(room)
+        if held:
+            held.add(b)
+        else:
+            self.rooms[room] = {b}
+            insort(self.open_rooms, room)
+        own = sorted(self.members[b])
+        self.single.add(own, room, b, self.version[b])
+        self.double.add(self._pair_sums(b, own), room, b, self.version[b])
+
+    def _pair_sums(self, b: int, own: list[int]) -> list[int]:
+        """Sums of two items of a bin, each once."""
+        if len(own) < 8:
+            return sorted({x + y for i, x in enumerate(own) for y in own[i:] if x != y or len(self.members[b][x]) > 1})
+        z = np.array(own)
+        twice = np.array([len(self.members[b][x]) > 1 for x in own])
+        return np.unique(np.concatenate([(z[:, None] + z)[np.triu_indices(len(z), 1)], 2 * z[twice]])).tolist()
+
+    def _leave(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        held = self.rooms.get(room)
+        if held and b in held:
+            held.discard(b)
+            if not held:
+                del self.rooms[room]
+                self.open_rooms.pop(bisect_left(self.open_rooms, room))
+        self.version[b] += 1
+
+    # ---- steps
+
+    def _take(self, b: int, size: int) -> int:
+        items = self.members[b][size]
+        i = items.pop()
+        if not items:
+            del self.members[b][size]
+        self.fill[b] -= size
+        return i
+
+    def _put(self, b: int, i: int) -> None:
+        size = self.sizes[i]
+        self.members[b].setdefault(size, []).append(i)
+        self.fill[b] += size
+        self.bins[i] = b
+
+    def _swap(self, away: int, give: tuple[int, ...], to: int, back: tuple[int, ...]) -> None:
+        """``away`` (which isn't in the index meanwhile) gives sizes to ``to`` and gets others back."""
+        self._leave(to)
+        given = [self._take(away, s) for s in give]
+        got = [self._take(to, s) for s in back]
+        for i in given:
+            self._put(to, i)
+        for i in got:
+            self._put(away, i)
+        self._enter(to)
+
+    def _split(self, b: int, both: int) -> tuple[int, int]:
+        """Two sizes of a bin with the given sum, the most uneven."""
+        own = self.members[b]
+        for x in sorted(own):
+            y = both - x
+            if y in own and (x != y or len(own[x]) > 1):
+                return x, y
+        raise KeyError(both)
+
+    def _step(self, away: int) -> bool:
+        """One improving step for a bin that is out of the index, if there is any."""
+        room = self.capacity - self.fill[away]
+        own = sorted(self.members[away], reverse=True)
+        for s in own:  # move: into the bin that it fills up best, fuller than this one
+            at = bisect_left(self.open_rooms, s)
+            if at < len(self.open_rooms) and self.open_rooms[at] - s < room:
+                self._swap(away, (s,), min(self.rooms[self.open_rooms[at]]), ())
+                return True
+        for s in own:
+            hit = self.single.find(s, room, self.version)
+            if hit:
+                self._swap(away, (s,), hit[1], (hit[0],))
+                return True
+        for s in own:
+            hit = self.double.find(s, room, self.version)
+            if hit:
+                self._swap(away, (s,), hit[1], self._split(hit[1], hit[0]))
+                return True
+        for both in self._pair_sums(away, sorted(own)):
+            hit = self.single.find(both, room, self.version) if both <= self.capacity else None
+            if hit:
+                self._swap(away, self._split(away, both), hit[1], (hit[0],))
                 return True
-        return False
-
-    def _one_for_two(self, away: int) -> bool:
-        """Two documents of the emptiest bin for one of another that is smaller than both together."""
-        own = self.members[away]
-        if not 2 <= len(own) <= self.rules.pair_docs:
-            return False
-        room = self.capacity - self.fill
-        open_ = np.flatnonzero(self.used[self.bins] & (room[self.bins] > 0) & (self.bins != away))
-        if not len(open_):
-            return False
-        s, to = self.sizes[open_], self.bins[open_]
-        seen = set()
-        for x, i in enumerate(own):
-            for j in own[x + 1 :]:
-                both = int(self.sizes[i] + self.sizes[j])
-                if both in seen:
-                    continue
-                seen.add(both)
-                gain = both - s
-                ok = (gain > 0) & (gain <= room[to]) & (self.fill[to] + gain > self.fill[away])
-                if ok.any():
-                    at = int(np.where(ok, self.fill[to] + gain, -1).argmax())
-                    k, b = int(open_[at]), int(to[at])
-                    self._shift(k, away)
-                    self._shift(i, b)
-                    self._shift(j, b)
-                    return True
         return False
 
     def run(self) -> np.ndarray:
-        attempts = 0
-        for _ in range(self.rules.rounds):
-            if int(self.used.sum()) <= self.least or attempts >= self.rules.attempts:
-                break
-            order = np.flatnonzero(self.used & (self.fill < self.capacity))
-            order = order[np.argsort(self.fill[order], kind="stable")]
+        changed = True
+        while changed and self.used > self.least:
             changed = False
-            for b in order.tolist():
-                if not self.used[b] or int(self.used.sum()) <= self.least or attempts >= self.rules.attempts:
-                    continue
-                for i in sorted(self.members[b], key=lambda x: (-self.sizes[x], x)):
-                    if self.bins[i] != b:
-                        continue
-                    attempts += 1
-                    changed |= self._move(i, b) or self._exchange(i, b) or self._two_for_one(i, b)
-                if self.members[b] and not changed:
-                    changed |= self._one_for_two(b)
+            todo = [(f, b) for b, f in enumerate(self.fill) if self.members[b] and f < self.capacity]
+            heapify(todo)
+            while todo and self.used > self.least:
+                fill, b = heappop(todo)
+                if fill != self.fill[b] or not self.members[b]:
+                    continue  # has changed since and is tried in the next round
+                self._leave(b)
+                moved = False
+                while self.members[b] and self._step(b):
+                    moved = True
+                changed |= moved
                 if not self.members[b]:
-                    self.used[b] = False
-                    break  # the emptiest bin has changed
-            if not changed:
-                break
-        return np.unique(self.bins, return_inverse=True)[1]
+                    self.used -= 1
+                else:
+                    self._enter(b)
+        return np.unique(np.array(self.bins, np.int64), return_inverse=True)[1]
 
 
-def pack(sizes: np.ndarray, capacity: int, rules: PackingRules = PackingRules()) -> np.ndarray:
-    """A bin number (from 0) per item; no item may exceed the capacity."""
+def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin numbers (from 0) of each item: those of the search and those of its start; no item may exceed the capacity."""
+    sizes = np.asarray(sizes, np.int64)
     if not len(sizes):
-        return np.empty(0, np.int64)
-    return Search(sizes, best_fit(sizes, capacity), capacity, rules).run()
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    start = best_fit(sizes, capacity)
+    some = sizes > 0  # items without size take no room, wherever they are
+    if not some.any():
+        return start, start
+    found = Search(sizes[some], np.unique(start[some], return_inverse=True)[1], capacity).run()
+    bins = np.zeros(len(sizes), np.int64)
+    bins[some] = found
+    return bins, start
 
 
-_OUT = "bin_kind string, capacity int, item_id bigint, part int, n_tokens bigint, start_token bigint, grp int, bin int"
+_OUT = "bin_kind string, capacity int, item_id bigint, part int, n_tokens bigint, start_token bigint, grp int, bin int, start_bin int, least_bins bigint"
 
 
 def pack_items(
@@ -185,6 +279,7 @@ def pack_items(
     item_id: str,
     size: str,
     rules: PackingRules = PackingRules(),
+    report: bool = False,
 ) -> DataFrame:
     """The container of each item, for each kind of container.
 
@@ -197,17 +292,23 @@ def pack_items(
     capacity below 1 are left out. Repeated rows are items of their own.
     Other columns are ignored; empty tables give no rows.
 
+    With ``report`` there are two columns more: least_bins, a number of
+    containers that the item's group can't go below, and start_id, the
+    container that best fit alone gave.
+
     Method: items are spread by a hash over groups of about ``group_items``,
-    each packed by best fit and the local search; sizes are alike in all
-    groups, so packing apart costs at most about one underfull bin per group.
-    No group grows with the data, only their number.
+    each packed by best fit and then by the local search, which runs until no
+    exchange improves or the least number of bins is reached; sizes are alike
+    in all groups, so packing apart costs at most about one underfull bin per
+    group. No group grows with the data, only their number.
     """
+    result = [*_RESULT, *(["grp", "start_id", "least_bins"] if report else [])]
     bounded = kinds.select("bin_kind", F.col("capacity_tokens").cast("int").alias("c")).dropna().filter("c >= 1").distinct().limit(1001).collect()
     if len(bounded) > 1000:
         raise ValueError("more than 1000 kinds of containers")
     base = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(size).cast("bigint").alias("size")).dropna()
     if not bounded:
-        return base.sparkSession.createDataFrame([], _OUT + ", bin_id string").select(*_RESULT)
+        return base.sparkSession.createDataFrame([], _OUT + ", bin_id string, start_id string").select(*result)
     count = base.count()
     groups = max(1, -(-count // rules.group_items))
     choices = F.array(*[F.struct(F.lit(r["bin_kind"]).alias("bin_kind"), F.lit(r["c"]).alias("capacity")) for r in bounded])
@@ -226,25 +327,43 @@ def pack_items(
         capacity = int(pdf["capacity"].iloc[0])
         sizes = pdf["n_tokens"].to_numpy(np.int64)
         whole = sizes == capacity  # these fill a container alone
+        full = int(whole.sum())
         bins = np.empty(len(sizes), np.int64)
-        bins[whole] = np.arange(whole.sum())
-        bins[~whole] = whole.sum() + pack(sizes[~whole], capacity, rules)
-        return pdf.assign(bin=bins.astype(np.int32))[[c.split()[0] for c in _OUT.split(", ")]]
+        bins[whole] = np.arange(full)
+        start = bins.copy()
+        bins[~whole], start[~whole] = (full + x for x in pack(sizes[~whole], capacity))
+        least = full + least_bins(sizes[~whole], capacity)
+        pdf = pdf.assign(bin=bins.astype(np.int32), start_bin=start.astype(np.int32), least_bins=least)
+        return pdf[[c.split()[0] for c in _OUT.split(", ")]]
 
     packed = by_key(parts, "bin_kind", "grp").groupBy("bin_kind", "grp").applyInPandas(place, _OUT)
-    return packed.withColumn("bin_id", F.format_string("%d-%d", "grp", "bin")).select(*_RESULT)
+    ids = {"bin_id": F.format_string("%d-%d", "grp", "bin"), "start_id": F.format_string("%d-%d", "grp", "start_bin")}
+    return packed.withColumns(ids).select(*result)
 
 
 _RESULT = ["bin_kind", "capacity", "item_id", "part", "n_tokens", "start_token", "bin_id"]
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """Per kind: parts, tokens, bins, the fewest bins that could hold them, and the share of room used."""
-    bins = packed.groupBy("bin_kind", "capacity", "bin_id").agg(F.sum("n_tokens").alias("fill"), F.count(F.lit(1)).alias("parts"))
-    return bins.groupBy("bin_kind", "capacity").agg(
+    """Per kind, of ``pack_items`` with ``report``: parts, tokens, bins, those of best fit alone, the fewest possible, and the share of room used.
+
+    ``least_bins`` is the bound of all items together, ``least_apart`` that of
+    the groups packed apart, summed up.
+    """
+    kind = ["bin_kind", "capacity"]
+    bins = packed.groupBy(*kind, "grp", "bin_id").agg(
+        F.sum("n_tokens").alias("fill"), F.count(F.lit(1)).alias("parts"), F.first("least_bins").alias("least")
+    )
+    groups = bins.groupBy(*kind, "grp").agg(
+        F.sum("parts").alias("parts"), F.sum("fill").alias("fill"), F.count(F.lit(1)).alias("bins"), F.first("least").alias("least")
+    )
+    found = groups.groupBy(*kind).agg(
         F.sum("parts").alias("parts"),
         F.sum("fill").alias("tokens"),
-        F.count(F.lit(1)).alias("bins"),
+        F.sum("bins").alias("bins"),
         F.ceil(F.sum("fill") / F.first("capacity")).alias("least_bins"),
-        (F.sum("fill") / (F.count(F.lit(1)) * F.first("capacity"))).alias("used"),
+        F.sum("least").alias("least_apart"),
+        (F.sum("fill") / (F.sum("bins") * F.first("capacity"))).alias("used"),
     )
+    starts = packed.select(*kind, "start_id").distinct().groupBy(*kind).agg(F.count(F.lit(1)).alias("start_bins"))
+    return found.join(starts, kind)

@@ -48,9 +48,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"), vocabulary=encode.vocabulary_from_env())
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _packed(spark: SparkSession, d: str, report: bool = False) -> DataFrame:
     sizes = cut(p8_ids(spark, d).select("doc_id", F.size("ids").cast("bigint").alias("n")))
-    return packing.pack_items(sizes, table(spark, d, "pack_bins"), "doc_id", "n")
+    return packing.pack_items(sizes, table(spark, d, "pack_bins"), "doc_id", "n", report=report)
 
 
 def p9_bins(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +58,8 @@ def p9_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers of each kind are."""
-    return packing.fill_report(_packed(spark, d))
+    """How full the containers of each kind are, and what the search has saved."""
+    return packing.fill_report(cut(_packed(spark, d, True)))
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
