@@ -1,10 +1,13 @@
 """Operators for training data against libraries and brute force, and their edge cases."""
 
+import dataclasses
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tracequarry.llm import encode, nearest_time, packing, percentiles, quality
@@ -119,6 +122,28 @@ def test_encoding_equals_the_library(spark):
         assert r.ids == (ref.encode(t, add_special_tokens=False).ids if t else [])
 
 
+def test_long_pieces_by_either_way():
+    """An ordered vocabulary merges long pieces as the matrix does, leftmost pair first."""
+    vocab = encode.Vocabulary.read(encode.default_vocabulary())
+    assert vocab.ordered
+    rng = random.Random(1)
+    words = ["a" * 300, "".join(rng.choice("abcdenrst") for _ in range(700)), "=-" * 200, "é漢🙂" * 60, "x", ""]
+    fast = encode.Encoder(vocab, encode.default_pattern())
+    slow = encode.Encoder(dataclasses.replace(vocab, ordered=False), encode.default_pattern())
+    for a, b in zip(fast.pieces(words), slow.pieces(words)):
+        assert a.tolist() == b.tolist()
+
+
+def test_ascii_pattern_splits_alike():
+    plain = re.compile(encode.ascii_pattern(encode.default_pattern()), re.ASCII).findall
+    whole = regex.compile(encode.default_pattern()).findall
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(chr(rng.randrange(128)) if rng.random() < 0.3 else rng.choice("ab 1'std_\n  ") for _ in range(60))
+        assert plain(text) == whole(text)
+    assert encode.ascii_pattern(r"\d+|\p{Lu}") is None
+
+
 def test_encoding_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert encode.encode_texts(df).schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>" and encode.encode_texts(df).collect() == []
