@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,28 +27,44 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
     return spark
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster shares (``spark.checkpoint.dir``).
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``), set for checkpoints too.
 
-    Only where the session names none, as in tests, a local folder is set.
+    Only a local session that names none, as in tests, gets a temporary folder;
+    on a cluster such a folder would not be shared, so there it is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracequarry-"))
+        now = sc._jsc.sc().getCheckpointDir()
+    return now.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder.
+    """``df`` computed once and kept in the shared folder, partition by partition.
 
     Used where a result is read more than once and has to be the same each
     time (range partitions are drawn from a sample, so a second run could cut
     elsewhere), and where losing an executor must not repeat the work before.
     """
-    use_checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a table in the shared folder: small on disk, and readers take the columns they need.
+
+    Its partitions are not those of ``df``.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, per_core: int = 2, *by: Column) -> DataFrame:
     """``df`` in at least ``per_core`` partitions a core (hashed, if keys are given), for work that costs far more than a shuffle.
 
