@@ -51,6 +51,30 @@ def test_percentiles_exact(spark, seed, n):
     assert {(r.grp, r.level, r.day): pytest.approx([r.n, r.p50, r.p90, r.p99, r.p999], rel=1e-12) for r in got} == expected(rows)
 
 
+@pytest.mark.parametrize("chunks", [1, 3, 9])
+def test_percentiles_over_chunks_and_repeated_values(spark, chunks):
+    """One group over all chunks, one value over several, states that were not combined."""
+    rng = random.Random(chunks)
+    rows = [(i, rng.choice("aaab"), rng.choice([7, 7, 7, rng.randrange(30)]), rng.randrange(3 * percentiles.DAY_US)) for i in range(900)]
+    states = [percentiles.value_states(spark.createDataFrame([(*r, "x", 1, 2) for r in rows[i::2]], PV), "name", "v", "id", "ts") for i in range(2)]
+    got = percentiles.percentiles(states[0].unionByName(states[1]), chunks=chunks).collect()
+    assert {(r.grp, r.level, r.day): pytest.approx([r.n, r.p50, r.p90, r.p99, r.p999], rel=1e-12) for r in got} == expected(rows)
+
+
+def test_percentiles_of_other_numbers(spark):
+    import decimal
+
+    xs = [0.25, 0.5, float("nan"), -3.75, 1e300, None, 0.0]
+    df = spark.createDataFrame([(i, "a", x, decimal.Decimal(i)) for i, x in enumerate(xs)], "id bigint, name string, v double, w decimal(10,2)")
+    r = percentiles.percentiles(percentiles.value_states(df, "name", "v", "id", None), [0.5, 1.0]).collect()
+    assert [(x.grp, x.n, x.p50) for x in r] == [("a", 5, 0.25)] and r[0][5] == 1e300
+    r = percentiles.percentiles(percentiles.value_states(df, "name", "v", None, None, bits=8), [0.5], bits=8).first()
+    assert r.p50 == pytest.approx(0.25, rel=2**-8)
+    assert percentiles.percentiles(percentiles.value_states(df, "name", "w", "id", None), [0.5]).first().p50 == 3.0
+    with pytest.raises(TypeError):
+        percentiles.value_states(df, "name", "name", "id", None)
+
+
 def test_percentiles_combine_within_bound(spark):
     rows = [r for r in rows_for(5, 900) if r[2] is None or abs(r[2]) < 2**62]
     parts = [spark.createDataFrame([(*r, "x", 1, 2) for r in rows[i::3]], PV) for i in range(3)]
