@@ -6,7 +6,9 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +18,15 @@ from tracequarry.session import spread
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Fixed thresholds. The first group is that of the published rule sets for web text."""
+    """Fixed thresholds. The first group is published for whole texts (rules for web text), the second holds for units."""
 
-    mean_word_length: tuple[float, float] = (2.0, 12.0)
-    most_symbols: float = 0.25  # of the characters without white space
-    least_common: float = 0.06  # of the words, where the language is one of the word list's
+    mean_word_length: tuple[float, float] = (3.0, 10.0)
+    symbol_ratio: float = 0.1
+    bullet_lines: float = 0.9
+    punctuated_lines: float = 0.12
+    stop_words: int = 2  # in a text, and in the units that hold most of it
     # units: stretches of a line between hard separators
+    most_symbols: float = 0.25  # of the characters without white space
     unit_tokens: int = 6  # shorter units are items, unless they go on with a sentence
     unit_words: float = 0.5  # of a unit's tokens that are words
     unit_common: float = 0.12  # of a unit's words that are common
@@ -48,171 +53,255 @@ NEVER_AFTER_ARTICLE = {
     "es": "de la que el en y a los se del las un por con una su para es al lo como pero sus le ha me si sin sobre este ya entre".split(),
 }
 
-_HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_LINES = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+_LINES = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 _CELLS = re.compile(r"[|│¦]|\t+|\s•\s| {4,}")
+_BORDERS = ("|", "│", "¦", "\t", "•", "    ")
 _BULLET = re.compile(r"\s*(?:[-*+•‣◦·▪–—]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\[[ xX]\]\s)")
 _QUOTE = re.compile(r"\s*(?:>\s*|#{1,6}\s+)")
+_PARTS = re.compile(r"[,;，、]\s+")
 _INNER = re.compile(r"\w")
 _MARKS = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\Z")
+_WIDE = re.compile(r"[\u3040-ヿ㐀-䶿一-鿿가-\ud7af\u0e00-\u0e7f]")
+#: Lines of code, settings and call stacks: how they begin, the operators in them, how they end.
 _CODE = re.compile(
-    r"""^\s*File\s+["'“].*,\s*line\s+\d+|^\s*at\s+[\w.$<>]+\(.*\)|^\s*(?:export\s+)?[A-Z_]{3,}=|^\s*--\w"""
-    r"""|^\s*[\[{(]?\s*"[\w ]+"\s*:|[{}]\s*$|\)\s*;\s*$|(?<=[\w\])]\)):\s*$|==|!=|\+=|=>|&&""",
-    re.I,
+    r"""\s*(?:File\s+["'“].*,\s*line\s+\d+|at\s+[\w.$<>]+\(.*\)|(?:export\s+)?[A-Z_]{3,}=|--\w|[\[{(]?\s*"[\w ]+"\s*:)""", re.I
 )
+_OPERATORS = ("==", "!=", "+=", "=>", "&&")
 _STATEMENT = re.compile(
-    r"^\s*(?:for|FOR|if|IF|elif|ELIF|while|WHILE|with|WITH|def|DEF|class|CLASS)\b(?=.*[_=<>()\[\].]).*:"
+    r"\s*(?:for|FOR|if|IF|elif|ELIF|while|WHILE|with|WITH|def|DEF|class|CLASS)\b(?=.*[_=<>()\[\].]).*:"
     r"\s*(?:(?:return|RETURN|pass|PASS|continue|CONTINUE|break|BREAK|raise|RAISE)\b.*)?$"
 )
-_END = re.compile(r"[.!?…:;。！？；：]['\"”’»)\]*_`]*\s*$")
-_STOP = re.compile(r"[.!?…。！？]['\"”’»)\]*_`]*\s*$")
-_WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯฀-๿]")
-
-
-def _units(line: str, rules: QualityRules) -> list[str]:
-    """Stretches of a line between cell borders, or between the commas or semicolons of a list."""
-    cells = [c for c in _CELLS.split(line) if c.strip()]
-    out = []
-    for c in cells:
-        parts = re.split(r"[,;，、]\s+", c)
-        # a list has short parts throughout; sentences have long ones
-        longer = sum(len(p.split()) > rules.unit_tokens for p in parts)
-        if len(parts) >= 3 and len(c.split()) / len(parts) <= rules.list_tokens and longer <= 0.2 * len(parts):
-            out += parts
-        else:
-            out.append(c)
-    return out
+_CALL = re.compile(r"[\w\])]\):\Z")
+_CLOSERS = "'\"”’»)]*_`"
+_STOPS = frozenset(".!?…。！？")
+_ENDS = _STOPS | frozenset(":;；：")
+
+
+def _last(stripped: str) -> str:
+    """The last character of a text before closing marks."""
+    return stripped.rstrip(_CLOSERS)[-1:]
+
+
+def _is_code(line: str, stripped: str) -> bool:
+    return (
+        _CODE.match(line) is not None
+        or any(x in line for x in _OPERATORS)
+        or stripped.endswith(("{", "}"))
+        or (stripped.endswith(";") and stripped[:-1].rstrip().endswith(")"))
+        or (stripped.endswith(":") and (_CALL.search(stripped) is not None or _STATEMENT.match(line) is not None))
+        or _STATEMENT.match(line) is not None
+    )
+
+
+class Tokens:
+    """Properties of tokens by number; each different token is looked at once per task, within a bounded memory."""
+
+    def __init__(self, common: frozenset[str], remember: int = 200_000) -> None:
+        self.common, self.remember = common, remember
+        self.articles = [frozenset(ARTICLES[k]) for k in ARTICLES]
+        self.never = [frozenset(NEVER_AFTER_ARTICLE[k]) for k in ARTICLES]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.empty((0, 8), np.int64)
+
+    def _properties(self, x: str) -> tuple[int, ...]:
+        """Length, inner characters, wide ones, word, common, letters of the word, bits of its roles, closing mark."""
+        bare, word = x.lower(), x.isalpha()
+        if not word:
+            first = _INNER.search(x)
+            bare = bare[first.start() : len(x) - _INNER.search(x[::-1]).start()] if first and len(bare) == len(x) else bare
+            bare = bare if first else ""
+            word = _WORD.match(bare) is not None
+        roles = 0
+        for k, (articles, never) in enumerate(zip(self.articles, self.never)):
+            roles |= (bare in articles) << (2 * k) | (bare in never) << (2 * k + 1)
+        inner = len(x) if x.isalnum() else len(_MARKS.sub("", x))
+        wide = 0 if x.isascii() else len(_WIDE.findall(x))
+        return len(x), inner, wide, word, word and bare in self.common, len(bare) if word else 0, roles, x[-1:] in ".,;:!?"
+
+    def numbers(self, units: list[list[str]]) -> np.ndarray:
+        """The number of each token of the units, one after the other."""
+        if len(self.known) > self.remember:
+            self._forget()
+        new = list(set().union(*units) - self.known.keys())
+        if new:
+            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.table = np.concatenate([self.table, np.array([self._properties(x) for x in new], np.int64)])
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of successive stretches of ``values``."""
+    ends = np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(counts)])]
+    return np.diff(ends)
 
 
 class Judge:
-    """Statistics and verdict of one text at a time; made once per task."""
+    """Statistics and verdicts of a batch of texts, as columns; made once per task."""
 
     def __init__(self, common: dict[str, list[str]], rules: QualityRules) -> None:
         self.rules = rules
-        self.by_lang = {k: frozenset(v) for k, v in common.items()}
-        self.common = frozenset().union(*self.by_lang.values()) if common else frozenset()
-        self.articles = {k: frozenset(v) for k, v in ARTICLES.items()}
-        self.never = {k: frozenset(v) for k, v in NEVER_AFTER_ARTICLE.items()}
-
-    @staticmethod
-    def _tokens(unit: str) -> tuple[list[str], list[str], list[str]]:
-        """Tokens between white space, the same without marks at their ends and in lower case, and the words among them."""
-        raw = unit.split()
-        bare, words = [], []
-        for x in raw:
-            if x.isalpha():  # most are, and need no patterns
-                x = x.lower()
-                words.append(x)
-            else:
-                first = _INNER.search(x)
-                x = x[first.start() : len(x) - _INNER.search(x[::-1]).start()].lower() if first else ""
-                if _WORD.match(x):
-                    words.append(x)
-            bare.append(x)
-        return raw, bare, words
-
-    def _misused(self, words: list[tuple[str, bool]]) -> tuple[int, int]:
-        """Articles, and those before a function word, in the language with the most articles."""
-        best = (0, 0)
-        for lang, articles in self.articles.items():
-            never, n, bad = self.never[lang], 0, 0
-            for (w, ends), (after, _) in zip(words, words[1:]):
-                if w in articles and not ends:
-                    n += 1
-                    bad += after in never
-            best = max(best, (n, bad))
-        return best
-
-    def __call__(self, text: str | None) -> tuple:
+        self.tokens = Tokens(frozenset().union(*common.values()) if common else frozenset())
+
+    def _units(self, line: str) -> list[str]:
+        """Stretches of a line between cell borders, or between the commas or semicolons of a list."""
+        r = self.rules
+        cells = [c for c in _CELLS.split(line) if c.strip()] if any(x in line for x in _BORDERS) else [line]
+        out = []
+        for c in cells:
+            parts = _PARTS.split(c)
+            if len(parts) >= 3:
+                # a list has short parts throughout; sentences have long ones
+                sizes = [len(p.split()) for p in parts]
+                if len(c.split()) / len(parts) <= r.list_tokens and sum(n > r.unit_tokens for n in sizes) <= 0.2 * len(parts):
+                    out += parts
+                    continue
+            out.append(c)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> pd.DataFrame:
         r = self.rules
-        blank = text is None or not _HIDDEN.sub("", text).strip()
-        if blank:
-            return (0, None, None, None, None, None, None, None, ["blank"])
-        clean = _HIDDEN.sub("", html.unescape(text))
-        n_words = letters = n_common = symbols = visible = 0
-        ended = bullets = filled = 0
-        prose = total = 0
-        wide_total = 0
-        short_words = short_tokens = short_common = short_chars = 0
-        sequence: list[tuple[str, bool]] = []
-        before, stopped = False, True
-        block_words = block_common = 0
-        for line in _LINES.split(clean):
-            if not line.strip():  # may stand within a sentence, where a text is spaced out
-                continue
-            filled += 1
-            ended += _END.search(line) is not None
-            bullet = _BULLET.match(line)
-            bullets += bullet is not None
-            body = line[bullet.end() :] if bullet else line
-            quote = _QUOTE.match(body)
-            body = body[quote.end() :] if quote else body
-            heading = quote is not None and "#" in quote[0]  # counts neither way
-            code = _CODE.search(line) is not None or _STATEMENT.match(line) is not None
-            units = _units(body, r)
-            for unit in units:
-                raw, bare, words = self._tokens(unit)
-                size = sum(map(len, raw))
-                shown = len(_MARKS.sub("", unit))
-                found = sum(w in self.common for w in words)
-                wide = len(_WIDE.findall(unit))
-                n_words += len(words)
-                letters += sum(map(len, words))
-                n_common += found
-                visible += size
-                symbols += size - shown
-                wide_total += wide
-                total += 0 if heading else size
-                t, w = len(raw), len(words)
-                if stopped or bullet:
-                    block_words = block_common = 0
-                block_words, block_common = block_words + w, block_common + found
-                goes_on = before and not stopped and not bullet and block_common >= r.block_common * block_words
-                if wide >= 4 and (wide >= 0.3 * size or _STOP.search(unit)):
-                    good = not code
-                elif code or size - shown > r.most_symbols * size + 2:
-                    good = False
-                elif t >= r.unit_tokens:
-                    good = w >= r.unit_words * t and found >= max(1 + (w > 8), r.unit_common * w)
-                    good = good or (goes_on and w >= r.unit_words * t)  # a wrapped line may lack common words
-                else:
-                    good = goes_on and (w >= 1 or _STOP.search(unit) is not None)
-                    sentence = _STOP.search(unit) is not None and unit.lstrip()[:1].isupper() and not unit.isupper()
-                    if not good and w and sentence and not bullet and len(units) == 1:
-                        short_words, short_tokens, short_common = short_words + w, short_tokens + t, short_common + found
-                        short_chars += size
-                if good:
-                    prose += 0 if heading else size
-                    sequence += [(b, x[-1:] in ".,;:!?") for b, x in zip(bare, raw)]
-                before, stopped = good, _STOP.search(unit) is not None or unit.rstrip().endswith(":")
-        if short_tokens and short_common >= r.short_common * short_words and short_words >= r.short_words * short_tokens:
-            prose += short_chars
-        articles, misused = self._misused(sequence)
-        salad = misused >= 1 and misused >= r.misused_articles * articles
-        share = 0.0 if salad else prose / max(1, total)
-        mean = letters / n_words if n_words else 0.0
-        symbol = symbols / max(1, visible)
-        common = n_common / n_words if n_words else 0.0
-        reasons = []
-        if share < r.least_prose:
-            reasons.append("word_salad" if salad else "few_sentences")
-            if n_words and not r.mean_word_length[0] <= mean <= r.mean_word_length[1]:
-                reasons.append("word_length")
-            if symbol > r.most_symbols:
-                reasons.append("symbols")
-            if bullets > 0.9 * filled:
-                reasons.append("bullets")
-            if ended < 0.12 * filled:
-                reasons.append("no_punctuation")
-            if common < r.least_common and wide_total < 0.3 * visible:
-                reasons.append("no_common_words")
-        return (n_words, mean, symbol, ended / max(1, filled), bullets / max(1, filled), common, share, not reasons, reasons)
+        # lines and their units; what is told by patterns is told here, all else by sums over columns
+        doc_lines, lines, units, words = [], [], [], []
+        for d, text in enumerate(texts):
+            clean = _HIDDEN.sub("", html.unescape(text)) if text and _HIDDEN.sub("", text).strip() else ""
+            kept = 0
+            for line in _LINES.split(clean):
+                stripped = line.rstrip()
+                if not stripped:  # may stand within a sentence, where a text is spaced out
+                    continue
+                kept += 1
+                bullet = _BULLET.match(line)
+                body = line[bullet.end() :] if bullet else line
+                quote = _QUOTE.match(body)
+                body = body[quote.end() :] if quote else body
+                own = self._units(body)
+                heading = quote is not None and "#" in quote[0]  # counts neither way
+                lines.append((d, _last(stripped) in _ENDS, bullet is not None, _is_code(line, stripped), heading, len(own)))
+                for unit in own:
+                    end = unit.rstrip()
+                    stop = _last(end) in _STOPS
+                    # short sentences: begin and end as such, alone on their line
+                    whole = stop and len(own) == 1 and unit.lstrip()[:1].isupper() and not unit.isupper()
+                    units.append((stop, stop or end.endswith(":"), whole))
+                    words.append(unit.split())
+            doc_lines.append(kept)
+        n = len(texts)
+        line = np.array(lines, np.int64).reshape(-1, 6)
+        unit = np.array(units, bool).reshape(-1, 3)
+        per_line, per_doc = line[:, 5], np.array(doc_lines, np.int64)
+        of_line = np.repeat(np.arange(len(line)), per_line)
+        doc = line[of_line, 0]
+        bullet, code, heading = (line[of_line, k].astype(bool) for k in (2, 3, 4))
+        stop, stops, whole = unit.T
+        t = np.fromiter(map(len, words), np.int64, len(words))
+        number = self.tokens.numbers(words)
+        size, inner, wide, w, found, letters = (_sums(self.tokens.table[number, k], t) for k in range(6))
+
+        # the rules, unit by unit
+        first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, bool)
+        stopped = np.where(first, True, np.concatenate([[True], stops[:-1]])) if len(doc) else first
+        begin = np.maximum.accumulate(np.where(stopped | bullet, np.arange(len(doc)), 0)) if len(doc) else doc
+        since = lambda x: np.cumsum(x) - np.concatenate([[0], np.cumsum(x)])[begin]
+        on = ~stopped & ~bullet & (since(found) >= r.block_common * since(w))
+        many_wide = (wide >= 4) & ((wide >= 0.3 * size) | stop)
+        rule = {
+            "code": code,
+            "symbols": (size - inner > r.most_symbols * size + 2) & ~many_wide,
+            "few_tokens": (t < r.unit_tokens) & ~many_wide,
+            "few_words": (w < r.unit_words * t) & ~many_wide,
+            "few_common_words": (found < np.maximum(1 + (w > 8), r.unit_common * w)) & ~many_wide,
+        }
+        alone = ~(rule["code"] | rule["symbols"] | rule["few_tokens"] | rule["few_words"] | rule["few_common_words"])
+        # a line may go on with the sentence before: wrapped lines lack common words, their ends are short
+        goes = on & ~many_wide & ~code & ~rule["symbols"] & np.where(t >= r.unit_tokens, ~rule["few_words"], (w >= 1) | stop)
+        good = alone
+        if len(doc):
+            place = np.arange(len(doc))
+            last_alone = np.maximum.accumulate(np.where(alone, place, -1))
+            last_break = np.maximum.accumulate(np.where(goes & ~alone, -1, place))
+            good = alone | (goes & (last_alone >= last_break))
+        short = ~good & (t < r.unit_tokens) & whole & (w > 0) & ~bullet & ~code & ~rule["symbols"] & ~many_wide
+
+        def per_text(x: np.ndarray) -> np.ndarray:
+            return np.bincount(doc, weights=x, minlength=n)[:n] if len(doc) else np.zeros(n)
+
+        counted = np.where(heading, 0, size)
+        total = per_text(counted)
+        prose = per_text(counted * good)
+        s_words, s_tokens, s_common = per_text(w * short), per_text(t * short), per_text(found * short)
+        fine = (s_tokens > 0) & (s_common >= r.short_common * s_words) & (s_words >= r.short_words * s_tokens)
+        prose += np.where(fine, per_text(size * short), 0)
+        salad = self._salad(number, np.repeat(good, t), np.repeat(doc, t), n)
+        n_words, visible = per_text(w), per_text(size)
+        ended, bullets = (np.bincount(line[:, 0], weights=line[:, k], minlength=n)[:n] for k in (1, 2))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = np.where(salad, 0.0, prose / np.maximum(1, total))
+            out = pd.DataFrame(
+                {
+                    "n_words": n_words.astype(np.int64),
+                    "mean_word_length": np.where(n_words > 0, per_text(letters) / n_words, 0.0),
+                    "symbol_ratio": (visible - per_text(inner)) / np.maximum(1, visible),
+                    "punctuated_lines": ended / np.maximum(1, per_doc),
+                    "bullet_lines": bullets / np.maximum(1, per_doc),
+                    "common_share": np.where(n_words > 0, per_text(found) / n_words, 0.0),
+                    "prose_share": share,
+                }
+            )
+        # published rules: each failure is recorded
+        wide_text = per_text(wide) >= 0.3 * visible  # has no white space between words
+        low, high = r.mean_word_length
+        bare = per_text(counted * ((found < r.stop_words) & ~many_wide)) > 0.5 * total
+        failed = {
+            "word_length": (n_words > 0) & ~out["mean_word_length"].between(low, high).to_numpy() & ~wide_text,
+            "symbol_ratio": (out["symbol_ratio"] > r.symbol_ratio).to_numpy(),
+            "bullet_lines": (out["bullet_lines"] > r.bullet_lines).to_numpy(),
+            "punctuated_lines": (out["punctuated_lines"] < r.punctuated_lines).to_numpy(),
+            "stop_words": (per_text(found) < r.stop_words) & ~wide_text,
+            "stop_words_in_parts": bare,
+            "word_order": salad,
+        }
+        fails = np.array(list(failed.values())).T
+        # the exact check: most characters of a text that fails lie outside sentences, and why
+        prose = ~fails.any(1) | (share >= r.least_prose)
+        lost = counted * ~(good | (short & fine[doc])) if len(doc) else counted
+        lost_all = per_text(lost)
+        breaks = np.array([per_text(lost * v) > 0.5 * lost_all for v in rule.values()]).T
+        names, parts = np.array(list(failed), object), np.array([f"no_sentences:{k}" for k in rule], object)
+        blank = per_doc == 0
+        out["is_prose"] = prose
+        out["failed_rules"] = [["blank"] if e else names[f].tolist() for f, e in zip(fails, blank)]
+        out["reasons"] = [
+            ["blank"] if e else [] if ok else [*names[f], *parts[x]] for f, x, ok, e in zip(fails, breaks, prose, blank)
+        ]
+        out["is_prose"] = out["is_prose"].astype("boolean")
+        for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "bullet_lines", "common_share", "prose_share", "is_prose"):
+            out[c] = out[c].mask(blank)
+        return out
+
+    def _salad(self, number: np.ndarray, good: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Texts of shuffled words: articles of their language stand before function words."""
+        kept = number[good]
+        roles, ends, doc = self.tokens.table[kept, 6], self.tokens.table[kept, 7], doc[good]
+        same = doc[1:] == doc[:-1]
+        most, wrong = np.zeros(n), np.zeros(n)
+        for k in range(len(self.tokens.articles)):
+            article = ((roles[:-1] >> (2 * k)) & 1 > 0) & (ends[:-1] == 0) & same
+            misused = article & ((roles[1:] >> (2 * k + 1)) & 1 > 0)
+            a, m = (np.bincount(doc[:-1], weights=x, minlength=n)[:n] for x in (article, misused))
+            more = (a > most) | ((a == most) & (m > wrong))
+            most, wrong = np.where(more, a, most), np.where(more, m, wrong)
+        return (wrong >= 1) & (wrong >= self.rules.misused_articles * most)
 
 
 _STATS = (
     "n_words bigint, mean_word_length double, symbol_ratio double, punctuated_lines double, "
-    "bullet_lines double, common_share double, prose_share double, is_prose boolean, reasons array<string>"
+    "bullet_lines double, common_share double, prose_share double, is_prose boolean, failed_rules array<string>, "
+    "reasons array<string>"
 )
 
 
@@ -222,6 +311,7 @@ def text_quality(
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
     rules: QualityRules = QualityRules(),
+    batch: int = 512,
 ) -> DataFrame:
     """Statistics of each text, whether it is prose, and why not: one row per row.
 
@@ -230,31 +320,37 @@ def text_quality(
     * punctuated_lines, bullet_lines: shares of the non-blank lines;
     * common_share: share of words in ``common_words`` (language -> words);
     * prose_share: share of visible characters in running sentences;
-    * is_prose, reasons: the rules that failed, empty for prose.
+    * failed_rules: the published rules that the text breaks, whatever the verdict;
+    * is_prose: false for a text that breaks one of these and holds less than
+      ``least_prose`` of its characters in sentences;
+    * reasons: for texts that are no prose, the rules that failed, and
+      ``no_sentences:<rule>`` for what most of the characters outside
+      sentences lack.
 
     A null, empty or blank text has 0 words, null for all else and the reason
     ``blank``. White space, line ends, invisible characters and entities are
     read as what they stand for. Whole texts are read, however long. Columns
     other than ``keep`` and ``text`` are dropped, so none can clash.
 
-    Method: lines are cut at cell borders into units; a unit is running text
-    if it has enough tokens, words and common words and few symbols (published
-    fixed thresholds of this kind, applied per unit and weighted by
-    characters, so prose with a short table stays prose). Words in shuffled
-    order are told by articles before function words.
+    Method: the statistics are sums over columns of tokens, units (stretches
+    of lines between cell borders) and lines of a whole batch of texts. The
+    published fixed thresholds for web text are held against them, and against
+    the units for stop words; each failure is recorded. As these rules also
+    fail for much prose (short lines, headings, other languages), a text that
+    fails is then checked exactly: units that hold enough tokens, words and
+    common words and few symbols, or go on with the sentence before, are
+    sentences, and their characters are counted. Words in shuffled order are
+    told by articles before function words.
     """
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep) + _STATS
-    names = [c.split()[0] for c in _STATS.split(", ")]
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(common_words, rules)
         for pdf in batches:
-            rows = [judge(t if isinstance(t, str) else None) for t in pdf[text].tolist()]
-            out = pd.DataFrame(rows, columns=names, index=pdf.index)
-            for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "bullet_lines", "common_share", "prose_share"):
-                out[c] = out[c].astype("float64")
-            out["is_prose"] = out["is_prose"].astype("boolean")
-            yield pd.concat([pdf[list(keep)], out], axis=1)
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch].reset_index(drop=True)
+                out = judge([t if isinstance(t, str) else None for t in part[text].tolist()])
+                yield pd.concat([part[list(keep)], out], axis=1)
 
     return spread(df.select(*keep, F.col(text))).mapInPandas(body, schema)
 
