@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.operators.chunks import chunked, scan
-from tracequarry.session import cut
+from tracequarry.session import stored
 
 
 @dataclass(frozen=True)
@@ -22,8 +22,7 @@ class SpikeRules:
     most: int = 86_400_000_000  # largest possible value
     stuck: int = 8  # successive equal values that count as stuck
     levels: int = 4  # scales of the wavelet
-    detail: float = 2.0  # detail coefficients beyond so many robust scales are candidates
-    enough: int = 48  # rows of a source in a batch from which a scale is drawn
+    detail: float = 3.5  # coefficients beyond so many robust scales are spikes, unless the check finds them usual
     bin: float = 0.02  # width of the histogram, in natural logarithms
     mode_share: float = 0.02  # share of a source's rows that makes a level usual,
     mode_rows: int = 3  # and rows that it has at least
@@ -53,27 +52,49 @@ def details(x: np.ndarray, levels: int) -> np.ndarray:
     return out
 
 
-def robust_scale(d: np.ndarray) -> float:
-    """Standard deviation that the lower quartile of ``|d|`` would have if normal.
+def coefficients(x: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size of the detail of each value at each scale, and the approximation at the coarsest.
 
-    The lower quartile keeps the scale of one level even where a source
-    switches between two.
+    A spike stands out against both sides, the edge of a step against one; so
+    the smaller of the two details counts.
     """
-    return float(np.quantile(np.abs(d), 0.25)) / 0.3186
+    d = details(x, levels)
+    size = np.abs(d)
+    return np.minimum(size[0::2], size[1::2]), x - d[-1]
 
 
-_SCHEMA = "kind string, chunk int, run int, event_id bigint, source string, series string, value bigint, n bigint"
+#: Details are kept as whole numbers, in steps of a twentieth of their logarithm.
+STEPS = 20
+LEAST_DETAIL = 1e-3
+
+
+def code_of(d: np.ndarray) -> np.ndarray:
+    return np.round(STEPS * np.log(np.maximum(d, LEAST_DETAIL))).astype(np.int64)
+
+
+def _median(values: np.ndarray, counts: np.ndarray, share: float = 0.5) -> int:
+    order = np.argsort(values)
+    upto = np.cumsum(counts[order])
+    return int(values[order][np.searchsorted(upto, share * upto[-1])])
+
+
+_SCHEMA = (
+    "kind string, chunk int, run int, event_id bigint, source string, series string, value bigint, n bigint, "
+    "codes array<int>, level bigint, edge boolean"
+)
 
 
 def _scanner(rules: SpikeRules) -> Callable[[int, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """One pass over rows by (source, series, time, id).
 
     Comes out: ``bad`` impossible rows, ``stuck`` rows of long zero-detail
-    runs, ``run`` and ``member`` rows for the runs at the chunk's ends,
-    ``candidate`` rows of large detail coefficients with their bin as ``n``,
-    ``bin`` counts of each source's values, ``rest`` the least and largest
-    value in each bin of the rows without large details.
+    runs, ``run`` and ``member`` rows for the runs at the chunk's ends, ``row``
+    every plausible row with its bin as ``n``, the codes of its details, the
+    bin of its approximation as ``level`` and whether its details reach over
+    the chunk's ends; ``bin`` and ``code`` counts of each source's values and
+    details (``run`` is the scale).
     """
+    reach = 2 ** (rules.levels - 1)
 
     def body(chunk: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_id: int | None = None
@@ -101,6 +122,46 @@ def _scanner(rules: SpikeRules) -> Callable[[int, Iterator[pd.DataFrame]], Itera
                 found.append(np.asarray(members, np.int64))
                 members = []
 
+        # rows whose details aren't known yet, behind as many that they need
+        wait = (np.empty(0, np.int64), np.empty(0, object), np.empty(0, object), np.empty(0, bool), np.empty(0, np.int64))
+        known = emitted = 0
+
+        def decompose(at_end: bool) -> list[pd.DataFrame]:
+            nonlocal wait, known, emitted
+            i, who, whose, at_time, v = wait
+            upto = len(i) if at_end else max(len(i) - reach, known)
+            if upto == known:
+                return []
+            x = np.log(v)
+            same = (who[1:] == who[:-1]) & (whose[1:] == whose[:-1]) & (at_time[1:] == at_time[:-1])
+            cuts = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(i)]])
+            d, approx = np.empty((rules.levels, len(i))), np.empty(len(i))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                d[:, a:b], approx[a:b] = coefficients(x[a:b], rules.levels)
+            codes, at = code_of(d), np.floor(x / rules.bin).astype(np.int64)
+            edge = np.zeros(len(i), bool)
+            if emitted - known < reach:  # the series may begin in the chunk before
+                edge[: min(int(cuts[1]), reach - (emitted - known))] = True
+            if at_end:
+                edge[max(int(cuts[-2]), len(i) - reach) :] = True
+            part = slice(known, upto)
+            rows = pd.DataFrame(
+                {
+                    "kind": "row", "event_id": i[part], "source": who[part], "n": at[part], "codes": list(codes[:, part].T.astype(np.int32)),
+                    "level": np.floor(approx[part] / rules.bin).astype(np.int64), "edge": edge[part],
+                }
+            )
+            frames = [rows]
+            counted = [("bin", 0, at[part]), *[("code", j, codes[j, part]) for j in range(rules.levels)]]
+            for kind, j, values in counted:
+                sums = pd.DataFrame({"source": who[part], "value": values}).groupby(["source", "value"], sort=False).size()
+                frames.append(sums.rename("n").reset_index().assign(kind=kind, run=j))
+            emitted += upto - known
+            left = max(0, upto - reach)
+            wait = tuple(y[left:] for y in wait)
+            known = upto - left
+            return frames
+
         for pdf in batches:
             ids = pdf["event_id"].to_numpy(np.int64)
             fresh = np.empty(len(ids), bool)
@@ -148,36 +209,22 @@ def _scanner(rules: SpikeRules) -> Callable[[int, Iterator[pd.DataFrame]], Itera
             if not sane.all():
                 frames.append(pd.DataFrame({"kind": "bad", "event_id": ids[~sane]}))
 
-            # (b) large details, and the histogram that tells which are apart
+            # (b) the wavelet's coefficients; the last rows wait for those behind them
             s = np.flatnonzero(sane & (src != None))  # noqa: E711
-            if len(s):
-                x, who = np.log(val[s]), src[s]
-                cuts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-                marked = np.zeros(len(s), bool)
-                for a, b in zip(cuts, [*cuts[1:], len(s)]):
-                    if b - a < rules.enough:
-                        marked[a:b] = True
-                        continue
-                    d = details(x[a:b], rules.levels)
-                    scale = np.array([max(robust_scale(row), rules.bin) for row in d])
-                    marked[a:b] = (np.abs(d) > rules.detail * scale[:, None]).any(0)
-                at = np.floor(x / rules.bin).astype(np.int64)
-                frames.append(pd.DataFrame({"kind": "candidate", "event_id": ids[s][marked], "source": who[marked], "n": at[marked]}))
-                rest = pd.DataFrame({"source": who, "n": at, "value": val[s]})[~marked]
-                rest = rest.groupby(["source", "n"], sort=False)["value"].agg(["min", "max"]).reset_index()
-                for end in ("min", "max"):
-                    frames.append(rest[["source", "n"]].assign(kind="rest", value=rest[end]))
-                bins = pd.DataFrame({"source": who, "value": at})
-                bins = bins.groupby(["source", "value"], sort=False).size().rename("n").reset_index()
-                frames.append(bins.assign(kind="bin"))
+            new = (ids[s], src[s], ser[s], timed[s], val[s])
+            wait = tuple(np.concatenate(x) for x in zip(wait, new))
+            frames += decompose(False)
             if out:
                 frames.append(_frame(out))
             if frames:
                 yield _align(frames)
         out = []
         close(True, out)
+        frames = decompose(True)
         if out:
-            yield _align([_frame(out)])
+            frames.append(_frame(out))
+        if frames:
+            yield _align(frames)
 
     return body
 
@@ -186,7 +233,7 @@ _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=_COLUMNS)
+    pdf = pd.DataFrame(rows, columns=_COLUMNS[:8])
     for c in ("event_id", "value", "n"):
         pdf[c] = pdf[c].astype("Int64")
     return pdf
@@ -198,9 +245,10 @@ def _align(frames: list[pd.DataFrame]) -> pd.DataFrame:
         f = f.reindex(columns=_COLUMNS)
         for c in ("chunk", "run"):
             f[c] = f[c].astype("Int32")
-        for c in ("event_id", "value", "n"):
+        for c in ("event_id", "value", "n", "level"):
             f[c] = f[c].astype("Int64")
-        for c in ("source", "series"):
+        f["edge"] = f["edge"].astype("boolean")
+        for c in ("source", "series", "codes"):
             f[c] = f[c].astype(object).where(f[c].notna(), None)
         out.append(f)
     return pd.concat(out, ignore_index=True)
@@ -260,15 +308,17 @@ def flag_implausible(
     columns are ignored; an empty table gives no rows.
 
     Method: rows are scanned in chunks of (source, series, time). An
-    undecimated Haar wavelet of the logarithm of the values yields detail
-    coefficients per source and scale; those beyond a robust scale are
-    candidates for spikes, runs of zero details are stuck, bounds find the
-    impossible. A candidate is then held against the levels of its source's
-    histogram (an exact check: a source may switch between usual levels, which
-    makes large details too). Within a long stretch of outlying values the
-    details are small; such rows are found by their level: bins apart from the
-    usual levels that hold rows without large details (a short list) are
-    looked up among all rows.
+    undecimated Haar wavelet of the logarithm of each series' values yields
+    detail coefficients per scale and the approximation at the coarsest. Their
+    robust scales are drawn per source from all of its rows (medians of
+    counted coefficients; the quartiles of the values for the approximation).
+    Rows with a coefficient beyond ``detail`` scales are spikes, runs of zero
+    details are stuck, bounds find the impossible. The approximation tells
+    long stretches of outlying values, whose details are small. As a source
+    may switch between usual levels, which makes large coefficients too, an
+    exact check follows: a spike stays one if it lies apart from the levels of
+    its source's histogram. Rows whose details reach over a chunk's ends (at
+    most ``2 ** levels`` per chunk) go to the check whatever theirs are.
     """
     rows = df.select(
         F.col(source).cast("string").alias("source"),
@@ -279,35 +329,36 @@ def flag_implausible(
     ).filter("value is not null and event_id is not null")
     keys = ["source", "series", "ts", "event_id"]
     rows = rows.withColumn("timed", F.expr("ts is not null and series is not null and source is not null"))
-    pieces = cut(scan(chunked(rows, *keys, chunks=chunks), _scanner(rules), _SCHEMA))
-
-    counts = (
-        pieces.filter("kind = 'bin'")
-        .groupBy("source", F.col("value").alias("bin"))
-        .agg(F.sum("n").alias("n"))
-    )
-
-    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = pdf["n"].to_numpy(np.int64)
-        if counts.sum() < rules.few:
-            return pd.DataFrame({"source": [], "levels": []}, dtype=object)
-        found = usual_levels(pdf["bin"].to_numpy(np.int64), counts, rules)
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "levels": [[list(x) for x in found]]})
-
-    usual = counts.groupBy("source").applyInPandas(levels, "source string, levels array<array<bigint>>")
+    pieces = stored(scan(chunked(rows, *keys, chunks=chunks), _scanner(rules), _SCHEMA))
+
+    counts = pieces.filter("kind in ('bin', 'code')").groupBy("source", "kind", "run", "value").agg(F.sum("n").alias("n"))
+
+    def usual(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A source's levels, and the bounds of its coefficients; as many rows as it has bins and codes."""
+        held = pdf[pdf["kind"] == "bin"]
+        bins, n = held["value"].to_numpy(np.int64), held["n"].to_numpy(np.int64)
+        if n.sum() < rules.few:
+            return pd.DataFrame({"source": [], "levels": [], "most": [], "low": [], "high": []}, dtype=object)
+        most = []
+        for j in range(rules.levels):
+            own = pdf[(pdf["kind"] == "code") & (pdf["run"] == j)]
+            middle = np.exp(_median(own["value"].to_numpy(np.int64), own["n"].to_numpy(np.int64)) / STEPS)
+            most.append(int(code_of(np.array([rules.detail * max(middle / 0.6745, rules.bin)]))[0]))
+        low, centre, high = (_median(bins, n, q) for q in (0.25, 0.5, 0.75))
+        wide = rules.detail * max((high - low) / 1.349, 1.0)
+        found = usual_levels(bins, n, rules)
+        return pd.DataFrame(
+            {"source": [pdf["source"].iloc[0]], "levels": [[list(x) for x in found]], "most": [most],
+             "low": [int(centre - wide)], "high": [int(centre + wide)]}
+        )
+
+    schema = "source string, levels array<array<bigint>>, most array<int>, low bigint, high bigint"
+    bounds = counts.groupBy("source").applyInPandas(usual, schema)
+    beyond = F.exists(F.arrays_zip("codes", "most"), lambda x: x["codes"] > x["most"])
+    spiky = F.col("edge") | beyond | ~F.col("level").between(F.col("low"), F.col("high"))
     apart = ~F.exists("levels", lambda x: F.col("n").between(x[0], x[1]))
-    marked = pieces.filter("kind = 'candidate'").join(usual, "source").filter(apart).select("event_id")
-    stretches = (
-        pieces.filter("kind = 'rest'")
-        .groupBy("source", "n")
-        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .join(usual, "source")
-        .filter(apart)
-        .groupBy("source")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    )
-    found = rows.join(stretches, "source").filter(F.exists("ranges", lambda x: F.col("value").between(x["lo"], x["hi"]))).select("event_id")
-    spikes = marked.unionByName(found).distinct().select("event_id", F.lit("spike").alias("reason"))
+    found = pieces.filter("kind = 'row'").select("event_id", "source", "n", "codes", "level", "edge").join(bounds, "source")
+    spikes = found.filter(spiky).filter(apart).select("event_id", F.lit("spike").alias("reason"))
 
     # Runs cut by the ends of chunks: the last of one and the first of the next.
     ends = pieces.filter("kind = 'run'")
