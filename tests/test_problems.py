@@ -289,10 +289,30 @@ def test_nested_records(spark):
     assert ops == {("metadata>0", None, "fused"), ("metadata>0>fused>a/b", "metadata>0", "plain"), ("metadata>1", None, "plain")}
     dims = {(r.side, r.pos, r.dim, r.size) for r in nested.flat_table(df, "dims").collect()}
     assert dims == {("input", 0, 0, 2), ("input", 0, 1, 3), ("input", 2, 0, 4), ("output", 0, 0, 2), ("output", 0, 1, -1)}
-    for t in nested.TABLES:
+    for t in nested.SUPERTYPES:
         assert nested.flat_table(spark.createDataFrame([], META), t).collect() == []
 
 
+def test_nested_subtypes(spark):
+    """Each structural variant in its typed table; supertypes are their unions."""
+    op = {"op": "F", "fused": [{"op": "a"}, {"op": "b", "name": "B"}], "input": [{"name": "t", "producer": "p"}, "u;shape=(2,);dtype=int8", 7, True]}
+    args = {"n": 1.5, "b": False, "t": "x", "a": [1, 2], "o": {"k": 1}, "z": None, "input2": "w", "input" + "9" * 30: "far"}
+    record = {"metadata": {"top": op, "bad": 5}, "traceEvents": {"e": {"name": "e", "args": args}, "f": {"args": 3}, "g": None}}
+    df = spark.createDataFrame([(1, json.dumps(record), "x")], META)
+    got = {k: [tuple(r) for r in t.collect()] for k, t in nested.subtype_tables(df).items()}
+    assert got["operations", "fused"] == [(1, "metadata>top", None, "top", "F", 2)]
+    assert sorted(got["operations", "plain"]) == [(1, "metadata>top>fused>0", "metadata>top", "0", "a"), (1, "metadata>top>fused>1", "metadata>top", "B", "b")]
+    assert got["tensors", "object"] == [(1, "metadata>top", "input", 0, "t", None, "p")]
+    assert {r[3:] for r in got["tensors", "text"]} == {(1, "u", "int8", "shape=(2,);dtype=int8"), (2, "7", None, None), (3, "true", None, None), (2, "w", None, None), (None, "far", None, None)}
+    assert got["dims", "size"] == [(1, "metadata>top", "input", 1, 0, 2)]
+    assert got["events", "object"] == [(1, "traceEvents>e", "e", None, None, None, 8)] and len(got["events", "number"]) == 1 and got["events", "null"] == []
+    assert got["arguments", "number"] == [(1, "traceEvents>e", "n", "1.5", 1.5)] and got["arguments", "bool"][0][3:] == ("false", False)
+    assert got["arguments", "array"][0][4] == 2 and got["arguments", "object"][0][4] == 1 and got["arguments", "null"][0][3] is None
+    for t in nested.SUPERTYPES:
+        assert nested.flat_table(df, t).count() == sum(len(v) for k, v in got.items() if k[0] == t)
+    assert set(nested.productive(frozenset({"events"}))) == {("record", "object"), ("event list", "array"), ("event list", "object"), ("event", "object")}
+
+
 def test_nested_depth(spark):
     """Operations nested far deeper than Python's recursion limit of the walker."""
     text = '{"op": "x", "input": "t"}'

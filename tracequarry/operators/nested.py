@@ -1,10 +1,11 @@
 """Deeply nested metadata records as related flat tables.
 
-A record is walked once. Every JSON node gets a state of a small tree
-automaton: what it is follows from the state of its parent, the key that
-leads to it and its own shape. Each state has its typed table; rows of all
-tables share the keys ``record_id``, ``node`` (path from the record's root)
-and, below an operation or event, ``side`` and ``pos`` of the parent link.
+A record is walked once by a tree automaton: what a JSON node is follows from
+the state of its parent, the key that leads to it and its own shape. The
+shapes of a kind are its structural variants; each variant has a subtype table
+with its own typed columns, and all of a kind share the supertype's columns:
+``record_id``, ``node`` (path from the record's root to the operation or event)
+and, below these, ``side`` and ``pos`` of the parent link.
 """
 
 from __future__ import annotations
@@ -12,18 +13,48 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ROW = (
-    "tbl string, record_id bigint, node string, parent string, side string, pos bigint, "
-    "name string, kind string, variant string, dim bigint, size bigint, dtype string, "
-    "ts double, dur double, value string"
-)
-_COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
+from tracequarry.session import stored
+
+_LINK = {"record_id": "bigint", "node": "string"}
+_HELD = {**_LINK, "side": "string", "pos": "bigint"}
+_OPERATION = {**_LINK, "parent": "string", "name": "string", "kind": "string"}
+_TENSOR = {**_HELD, "name": "string", "dtype": "string"}
+_EVENT = {**_LINK, "name": "string", "kind": "string", "ts": "double", "dur": "double"}
+_ARGUMENT = {**_LINK, "name": "string"}
+
+#: Supertypes with the columns that all of their variants have.
+SUPERTYPES: dict[str, dict[str, str]] = {
+    "operations": _OPERATION,
+    "tensors": _TENSOR,
+    "dims": {**_HELD, "dim": "bigint", "size": "bigint"},
+    "events": _EVENT,
+    "arguments": {**_ARGUMENT, "value": "string"},
+}
+
+#: Subtype tables: (supertype, variant) -> columns.
+SUBTYPES: dict[tuple[str, str], dict[str, str]] = {
+    ("operations", "plain"): _OPERATION,
+    ("operations", "fused"): {**_OPERATION, "members": "bigint"},
+    ("tensors", "object"): {**_TENSOR, "producer": "string"},
+    ("tensors", "text"): {**_TENSOR, "spec": "string"},
+    ("dims", "size"): {**_HELD, "dim": "bigint", "size": "bigint"},
+    **{("events", v): _EVENT for v in ("null", "bool", "number", "text", "array")},
+    ("events", "object"): {**_EVENT, "n_args": "bigint"},
+    ("arguments", "null"): {**_ARGUMENT, "value": "string"},
+    ("arguments", "bool"): {**_ARGUMENT, "value": "string", "flag": "boolean"},
+    ("arguments", "number"): {**_ARGUMENT, "value": "string", "number": "double"},
+    ("arguments", "text"): {**_ARGUMENT, "value": "string"},
+    ("arguments", "array"): {**_ARGUMENT, "value": "string", "items": "bigint"},
+    ("arguments", "object"): {**_ARGUMENT, "value": "string", "members": "bigint"},
+}
 
 _INPUT = re.compile(r"input([0-9]+)\Z")
 
@@ -64,21 +95,65 @@ def record_of(raw: Any) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-#: Transitions: (state, shape of the value) -> how its children are reached. ``each`` gives
-#: every member or item the state named, ``keys`` gives single members theirs; shapes without
-#: an entry are leaves of their table or, as in ``attrs``, lead nowhere.
-AUTOMATON: dict[tuple[str, str], dict[str, Any]] = {
-    ("record", "object"): {"keys": {"metadata": "operations", "traceEvents": "events"}},
-    ("operations", "object"): {"each": "operation"},
-    ("operations", "array"): {"each": "operation"},
-    ("operation", "object"): {"keys": {"input": "tensors", "output": "tensors", "fused": "operations"}},
-    ("events", "array"): {"each": "event"},
-    ("events", "object"): {"each": "event"},
-    ("event", "object"): {"keys": {"args": "arguments"}},
-    ("tensors", "array"): {"each": "tensor"},
+@dataclass(frozen=True)
+class Step:
+    """What the automaton does at a node: the table it fills and the states of its children."""
+
+    emit: str | None = None
+    keys: dict[str, str] = field(default_factory=dict)  # single members
+    numbered: str | None = None  # members ``input<number>``
+    each: str | None = None  # every member or item
+    same: str | None = None  # the node itself, in another state
+
+
+_SCALARS = ("text", "number", "bool")
+
+#: Transitions: (state, shape of the node) -> step. Without one a node leads nowhere, as in
+#: ``attrs`` or inside a tensor. A JSON text has the shape of what it holds, but for arguments.
+AUTOMATON: dict[tuple[str, str], Step] = {
+    ("record", "object"): Step(keys={"metadata": "operations", "traceEvents": "event list"}),
+    ("operations", "object"): Step(each="operation"),
+    ("operations", "array"): Step(each="operation"),
+    ("operation", "object"): Step("operations", {"input": "tensors", "output": "tensors", "fused": "operations"}),
+    ("tensors", "array"): Step(each="tensor"),
+    ("tensors", "object"): Step(same="tensor"),
+    **{("tensors", v): Step(same="tensor") for v in _SCALARS},
+    ("tensor", "object"): Step("tensors", {"shape": "shape"}),
+    ("tensor", "array"): Step("tensors"),
+    **{("tensor", v): Step("tensors", {"shape": "shape"}) for v in _SCALARS},
+    ("shape", "array"): Step("dims"),
+    ("shape", "text"): Step("dims"),
+    ("event list", "array"): Step(each="event"),
+    ("event list", "object"): Step(each="event"),
+    ("event", "object"): Step("events", {"args": "arguments"}),
+    ("arguments", "object"): Step("arguments", {"inputs": "tensors"}, numbered="tensor"),
 }
 
 
+def productive(tables: frozenset[str]) -> dict[tuple[str, str], Step]:
+    """The automaton without the states that lead to none of the tables."""
+    alive: set[str] = set()
+    while True:
+        more = {
+            state
+            for (state, _), step in AUTOMATON.items()
+            if step.emit in tables or alive & {*step.keys.values(), step.numbered, step.each, step.same}
+        }
+        if more == alive:
+            break
+        alive = more
+    out = {}
+    for (state, shape), step in AUTOMATON.items():
+        if state in alive:
+            keep = lambda to: to if to in alive else None
+            out[state, shape] = Step(
+                step.emit if step.emit in tables else None,
+                {k: to for k, to in step.keys.items() if to in alive},
+                *(keep(to) for to in (step.numbered, step.each, step.same)),
+            )
+    return out
+
+
 def _text(v: Any) -> str | None:
     return v if v is None or isinstance(v, str) else json.dumps(v)
 
@@ -105,144 +180,161 @@ def _dims(shape: Any) -> list[int | None]:
 
 
 class _Walk:
-    """One record's rows; a stack instead of recursion, as operations may nest at any depth."""
-
-    def __init__(self, record_id: Any, want: frozenset[str]) -> None:
-        self.id, self.want, self.rows = record_id, want, []
-
-    def row(self, table: str, **values: Any) -> None:
-        if table in self.want:
-            self.rows.append(tuple({"tbl": table, "record_id": self.id, **values}.get(c) for c in _COLUMNS))
-
-    def run(self, root: dict) -> list[tuple]:
-        stack: list[tuple[str, Any, str, str | None]] = [("record", root, "", None)]
+    """Walks records by the automaton; a stack instead of recursion, as operations may nest at any depth."""
+
+    def __init__(self, tables: frozenset[str]) -> None:
+        self.steps = productive(tables)
+        self.rows: dict[tuple[str, str], list[tuple]] = {k: [] for k in SUBTYPES if k[0] in tables}
+        self.tables = {
+            "operations": self._operation, "tensors": self._tensor, "dims": self._dims, "events": self._event, "arguments": self._arguments,
+        }
+
+    def run(self, record_id: Any, root: dict) -> None:
+        # state, node, its key, path of the operation or event that holds it, operation around, side and place of the link
+        stack: list[tuple] = [("record", root, "", "", None, None, 0)]
         while stack:
-            state, v, path, parent = stack.pop()
+            state, v, key, path, parent, side, pos = stack.pop()
             v = opened(v)
             shape = shape_of(v)
-            if state == "operation" and shape == "object":
-                self.row(
-                    "operations", node=path, parent=parent, name=_text(v.get("name")) or path.rpartition(">")[2],
-                    kind=_text(v.get("op")), variant="fused" if opened(v.get("fused")) else "plain",
-                )
-                for side in ("input", "output"):
-                    self.tensors(path, side, v.get(side))
-                parent = path
-            elif state == "event" and shape == "object":
-                self.row(
-                    "events", node=path, parent=None, name=_text(v.get("name")), kind=_text(v.get("ph")),
-                    variant=shape_of(opened(v.get("args"))), ts=_number(v.get("ts")), dur=_number(v.get("dur")),
-                )
-                self.arguments(path, v.get("args"))
-                continue
-            step = AUTOMATON.get((state, shape))
-            if not step:
+            step = self.steps.get((state, shape))
+            while step is not None and step.same:
+                state = step.same
+                step = self.steps.get((state, shape))
+            if step is None:
                 continue
-            if "each" in step:
+            if step.emit:
+                self.tables[step.emit](record_id, v, shape, key, path, parent, side, pos)
+            below = []
+            if step.each:
+                nodes = step.each != "tensor"  # operations and events have paths of their own, tensors a place
                 items = v.items() if shape == "object" else enumerate(v)
-                below = [(step["each"], x, f"{path}>{k}", parent) for k, x in items]
-            else:
-                below = [
-                    (to, v[k], f"{path}>{k}" if path else k, parent)
-                    for k, to in step["keys"].items()
-                    if k in v and to in ("operations", "events")
-                ]
+                below = [(step.each, x, k, f"{path}>{k}" if nodes else path, parent, side, pos if nodes else k) for k, x in items]
+            elif shape == "object":
+                if state == "operation":
+                    parent = path
+                for k, to in step.keys.items():
+                    if k not in v:
+                        continue
+                    if to == "tensors":
+                        below.append((to, v[k], k, path, parent, k if state == "operation" else "args", 0))
+                    elif to in ("operations", "event list"):
+                        below.append((to, v[k], k, f"{path}>{k}" if path else k, parent, side, pos))
+                    else:
+                        below.append((to, v[k], k, path, parent, side, pos))
+                if step.numbered:
+                    for k, x in v.items():
+                        number = _INPUT.match(k)
+                        if number:
+                            n = int(number[1]) if len(number[1]) < 4000 else 2**63
+                            below.append((step.numbered, x, k, path, parent, "args", n if n < 2**63 else None))
+            elif step.keys:  # a text ``name;shape=...;dtype=...``
+                spec = dict(_SPEC.findall(_text(v)))
+                below = [(to, spec[k], k, path, parent, side, pos) for k, to in step.keys.items() if k in spec]
             stack.extend(reversed(below))
-        return self.rows
-
-    def tensors(self, node: str, side: str, v: Any) -> None:
-        v = opened(v)
-        for pos, x in enumerate(v if isinstance(v, list) else [v]):
-            self.tensor(node, side, pos, x)
-
-    def tensor(self, node: str, side: str, pos: int, v: Any) -> None:
-        v = opened(v)
-        if v is None:
-            return
-        if isinstance(v, dict):
-            name, variant, dtype, shape = _text(v.get("name")) or "", "object", _text(v.get("dtype")), v.get("shape")
+
+    def _operation(self, record_id, v, shape, key, path, parent, side, pos) -> None:  # noqa: ANN001
+        row = (record_id, path, parent, _text(v.get("name")) or str(key), _text(v.get("op")))
+        fused = opened(v.get("fused"))
+        if fused:
+            self.rows["operations", "fused"].append((*row, len(fused) if isinstance(fused, (list, dict)) else None))
         else:
-            text = _text(v)
-            spec = dict(_SPEC.findall(text))
-            name, variant = text.partition(";")[0], "text"
-            dtype, shape = spec.get("dtype"), spec.get("shape")
-        self.row("tensors", node=node, side=side, pos=pos, name=name, variant=variant, dtype=dtype)
-        for i, n in enumerate(_dims(opened(shape))):
-            self.row("dims", node=node, side=side, pos=pos, dim=i, size=n)
-
-    def arguments(self, node: str, v: Any) -> None:
-        v = opened(v)
-        if not isinstance(v, dict):
-            return
-        for k, x in v.items():
-            self.row("arguments", node=node, name=k, variant=shape_of(x), value=_text(x))
-            number = _INPUT.match(k)
-            if number and len(number[1]) < 18:
-                self.tensor(node, "args", int(number[1]), x)
-            elif k == "inputs":
-                self.tensors(node, "args", x)
-
-
-TABLES = {
-    "operations": ("record_id", "node", "parent", "name", "kind", "variant"),
-    "tensors": ("record_id", "node", "side", "pos", "name", "variant", "dtype"),
-    "dims": ("record_id", "node", "side", "pos", "dim", "size"),
-    "events": ("record_id", "node", "name", "kind", "variant", "ts", "dur"),
-    "arguments": ("record_id", "node", "name", "variant", "value"),
-}
+            self.rows["operations", "plain"].append(row)
+
+    def _tensor(self, record_id, v, shape, key, path, parent, side, pos) -> None:  # noqa: ANN001
+        if shape == "object":
+            row = (record_id, path, side, pos, _text(v.get("name")) or "", _text(v.get("dtype")), _text(v.get("producer")))
+            self.rows["tensors", "object"].append(row)
+        else:
+            name, mark, spec = _text(v).partition(";")
+            dtype = dict(_SPEC.findall(mark + spec)).get("dtype")
+            self.rows["tensors", "text"].append((record_id, path, side, pos, name, dtype, spec if mark else None))
 
+    def _dims(self, record_id, v, shape, key, path, parent, side, pos) -> None:  # noqa: ANN001
+        self.rows["dims", "size"] += [(record_id, path, side, pos, i, n) for i, n in enumerate(_dims(v))]
+
+    def _event(self, record_id, v, shape, key, path, parent, side, pos) -> None:  # noqa: ANN001
+        args = opened(v.get("args"))
+        row = (record_id, path, _text(v.get("name")), _text(v.get("ph")), _number(v.get("ts")), _number(v.get("dur")))
+        variant = shape_of(args)
+        self.rows["events", variant].append((*row, len(args)) if variant == "object" else row)
+
+    def _arguments(self, record_id, v, shape, key, path, parent, side, pos) -> None:  # noqa: ANN001
+        for k, x in v.items():
+            variant = shape_of(x)
+            row = (record_id, path, k, _text(x))
+            if variant == "number":
+                row = (*row, _number(x))
+            elif variant == "bool":
+                row = (*row, x)
+            elif variant in ("array", "object"):
+                row = (*row, len(x))
+            self.rows["arguments", variant].append(row)
+
+
+def _flatten(tables: frozenset[str], columns: dict[str, str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def frames(walk: _Walk, least: int) -> Iterator[pd.DataFrame]:
+        for (table, variant), rows in walk.rows.items():
+            if len(rows) > least:
+                own = list(SUBTYPES[table, variant])
+                pdf = pd.DataFrame(rows, columns=own).reindex(columns=list(columns)).assign(tbl=table, variant=variant)
+                for c, kind in columns.items():
+                    pdf[c] = pdf[c].astype(_KINDS.get(kind, object))
+                rows.clear()
+                yield pdf
 
-def _flatten(want: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk = _Walk(tables)
         for pdf in batches:
-            rows: list[tuple] = []
             for record_id, raw in zip(pdf["record_id"].tolist(), pdf["raw"].tolist()):
                 record = record_of(raw)
                 if record is not None:
-                    rows += _Walk(record_id, want).run(record)
-                while len(rows) >= 20_000:  # keeps a batch of large records small
-                    yield _frame(rows[:20_000])
-                    rows = rows[20_000:]
-            yield _frame(rows)
+                    walk.run(record_id, record)
+                    yield from frames(walk, 20_000)  # keeps a batch of large records small
+        yield from frames(walk, 0)
 
     return body
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=_COLUMNS)
-    for c in ("record_id", "pos", "dim", "size"):
-        pdf[c] = pdf[c].astype("Int64")
-    for c in ("ts", "dur"):
-        pdf[c] = pdf[c].astype("float64")
-    return pdf
+_KINDS = {"bigint": "Int64", "double": "float64", "boolean": "boolean"}
 
 
-def flat_nodes(df: DataFrame, record_id: str = "record_id", raw: str = "raw", tables: tuple[str, ...] = tuple(TABLES)) -> DataFrame:
-    """Rows of all ``tables`` in one pass, told apart by ``tbl``.
+def flat_nodes(df: DataFrame, record_id: str = "record_id", raw: str = "raw", tables: tuple[str, ...] = tuple(SUPERTYPES)) -> DataFrame:
+    """Rows of all variants of ``tables`` in one pass, told apart by ``tbl`` and ``variant``.
 
-    Deliveries of a record with the same id and text count once; a null id is
-    an id of its own. Null, empty, cut-off texts and texts that aren't an
-    object give no rows. Other columns are ignored.
+    Has the columns of all of their subtype tables. Deliveries of a record
+    with the same id and text count once; a null id is an id of its own. Null,
+    empty, cut-off texts and texts that aren't an object give no rows. Other
+    columns are ignored.
     """
     rows = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(raw).alias("raw"))
     rows = rows.filter("raw is not null and length(trim(raw)) > 0").dropDuplicates(["record_id", "raw"])
-    return rows.mapInPandas(_flatten(frozenset(tables)), _ROW)
+    columns = reduce(lambda a, b: {**a, **b}, [c for (t, _), c in SUBTYPES.items() if t in tables])
+    schema = ", ".join(f"{c} {k}" for c, k in {"tbl": "string", "variant": "string", **columns}.items())
+    return rows.mapInPandas(_flatten(frozenset(tables), {"tbl": "string", "variant": "string", **columns}), schema)
+
+
+def subtype_tables(df: DataFrame, record_id: str = "record_id", raw: str = "raw") -> dict[tuple[str, str], DataFrame]:
+    """Every variant's table with its own typed columns, from one pass whose result is kept in the shared folder."""
+    rows = stored(flat_nodes(df, record_id, raw))
+    return {k: rows.filter((F.col("tbl") == k[0]) & (F.col("variant") == k[1])).select(*c) for k, c in SUBTYPES.items()}
 
 
 def flat_table(df: DataFrame, name: str, record_id: str = "record_id", raw: str = "raw") -> DataFrame:
-    """One of the flat tables: operations, tensors, dims, events or arguments.
+    """A supertype's table: the union of its variants over the columns that all have, and ``variant``.
 
     * operations: ``parent`` is the node of the operation that it is fused
       into, null at the top; ``variant`` is ``fused`` or ``plain``;
     * tensors: one row per tensor of an operation's input or output or of an
       event's args; a tensor object without a name has the empty name, a null
-      entry gives no row, ``variant`` tells object from text;
+      entry gives no row, ``variant`` tells object from text; ``pos`` is null
+      where the number in ``input<number>`` is no bigint;
     * dims: one row per dimension of a tensor (``node, side, pos`` lead back);
-    * events and arguments: the trace events and each member of their args.
+    * events and arguments: the trace events and each member of their args,
+      by the shape of the args and of the member.
 
     Nothing inside attrs or inside a tensor (its producer, say) counts. A
     record delivered again with another text under the same id gives the rows
     of both texts, each once.
     """
-    rows = flat_nodes(df, record_id, raw, (name,)).select(*TABLES[name])
+    rows = flat_nodes(df, record_id, raw, (name,)).select(*SUPERTYPES[name], "variant")
     return rows.distinct() if name == "tensors" else rows
