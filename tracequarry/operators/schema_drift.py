@@ -9,19 +9,22 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracequarry.session import cut, spread
+from tracequarry.session import spread, stored
 
 FIXED = ("name", "pid", "tid", "ts", "dur")
 #: Lines of a file that stay together where small inputs are spread over all cores.
 LINES_TOGETHER = 2000
+#: Classes by hash in which the texts of a field are counted, a sketch of which texts it holds.
+TEXT_CLASSES = 512
 #: The one-letter phases of the trace event format.
 PHASES = "BEXiICbnestfPNODMVvRca()"
 
@@ -118,7 +121,7 @@ def traits(values: list, at: str = "") -> Counter:
             out[at + "k:object"] += 1
             below += v.values()
             for k in v:
-                out[f"{at}o:{k[:64]}"] += 1
+                out[f"{at}o:{k}"] += 1
     for text, n in Counter(texts).items():
         if _NUMBER.match(text):
             numbers += [float(text)] * n
@@ -127,7 +130,7 @@ def traits(values: list, at: str = "") -> Counter:
         else:
             out[at + "k:text"] += n
             out[at + "t:length"] += n * len(text)
-            out[f"{at}v:{zlib.crc32(text.encode('utf-8', 'replace')) % 512}"] += n
+            out[f"{at}v:{zlib.crc32(text.encode('utf-8', 'replace')) % TEXT_CLASSES}"] += n
             for k, m in _classes(text).items():
                 out[f"{at}c:{k}"] += n * m
     if numbers:
@@ -325,20 +328,18 @@ def file_headers(raw_events: DataFrame) -> DataFrame:
     return rows.mapInPandas(_headers, _TRAITS).groupBy("file_id", "field", "trait").agg(F.sum("n").alias("n"))
 
 
-def _file_profiles(raw_events: DataFrame, rules: DriftRules) -> DataFrame:
-    """(file_id, profile): one JSON text per file with a readable record.
+def _file_profiles(counts: DataFrame, rules: DriftRules) -> DataFrame:
+    """(file_id, profile) from headers: one JSON text per file with a readable record.
 
     Fields below the share are dropped before a file's rows come together, so
     a file's profile stays small however many odd keys its records have.
     """
-    counts = file_headers(raw_events)
+    records = counts.filter("field = '' and trait = 'records'").select("file_id", F.col("n").alias("records"))
     per_field = counts.groupBy("file_id", "field").agg(
         F.map_from_entries(F.collect_list(F.struct("trait", "n"))).alias("traits"),
         F.max(F.expr("if(trait = 'present', n, 0)")).alias("present"),
     )
-    of_file = Window.partitionBy("file_id")
-    kept = per_field.withColumn("records", F.max(F.expr("if(field = '', traits['records'], null)")).over(of_file))
-    kept = kept.filter(f"records is not null and (field = '' or present >= {rules.share} * records)")
+    kept = per_field.join(records, "file_id").filter(f"field = '' or present >= {rules.share} * records")
     grouped = kept.groupBy("file_id").agg(F.collect_list(F.struct("field", "traits")).alias("fields"))
     as_json = F.to_json(F.map_from_entries("fields"))
     return grouped.select("file_id", as_json.alias("profile"))
@@ -357,7 +358,9 @@ def _sequence(trace_files: DataFrame, with_records: DataFrame, rules: DriftRules
 _CHANGES = "file_id bigint, change string, field string, new_field string"
 
 
-def schema_changes(raw_events: DataFrame, trace_files: DataFrame, rules: DriftRules = DriftRules()) -> DataFrame:
+def schema_changes(
+    raw_events: DataFrame, trace_files: DataFrame, rules: DriftRules = DriftRules(), headers: DataFrame | None = None
+) -> DataFrame:
     """Each change with the file where it first shows: (file_id, change, field, new_field).
 
     The files of a device are ordered by ``started_at``, then ``file_id``, and
@@ -381,8 +384,10 @@ def schema_changes(raw_events: DataFrame, trace_files: DataFrame, rules: DriftRu
     Method: header counts are taken from all lines in parallel (per batch,
     then summed, so a file with most of the lines is no single task) and
     folded per file; each file then meets its predecessor's profile in a join.
+    ``headers`` are the ``file_headers`` of the same lines, if they were taken
+    before.
     """
-    profiles = cut(_file_profiles(raw_events, rules))
+    profiles = stored(_file_profiles(file_headers(raw_events) if headers is None else headers, rules))
     pairs = (
         _sequence(trace_files, profiles, rules)
         .filter("before is not null")
@@ -421,55 +426,52 @@ def promote(a: str, b: str) -> str:
     return b if a in LATTICE[b] else "string"
 
 
-def union_schema(raw_events: DataFrame, rules: DriftRules = DriftRules()) -> DataFrame:
+def promoted(a: Column, b: Column) -> Column:
+    """``promote`` as a column expression."""
+    up = F.create_map(*[x for k, below in LATTICE.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in below]).cast("array<string>"))])
+    return F.when((a == b) | F.array_contains(up[a], b), a).when(F.array_contains(up[b], a), b).otherwise(F.lit("string"))
+
+
+def union_schema(raw_events: DataFrame, rules: DriftRules = DriftRules(), headers: DataFrame | None = None) -> DataFrame:
     """The union schema of the members of args: (field, type), types by the lattice.
 
-    Holds every field that belongs to at least one file. The fold over types
-    is a join of flags, so it is associative and needs no order.
+    Holds every field that belongs to at least one file. Each file's types of
+    a field are folded through the lattice: those that most of its values have
+    there, however few such files are, and those of a twentieth of all of the
+    field's values. Odd values in single records don't widen a type; they are
+    kept in the rest of an event. ``headers`` as in ``schema_changes``.
     """
-    counts = cut(file_headers(raw_events))
+    counts = stored(file_headers(raw_events)) if headers is None else headers
     records = counts.filter("field = '' and trait = 'records'").select("file_id", F.col("n").alias("records"))
-    names = [("boolean", "boolean"), ("number", None), ("string", "string"), ("array", "array"), ("object", "object")]
+    kinds = ["boolean", "number", "string", "array", "object"]
     per_file = (
         counts.filter("field like 'args.%'")
         .groupBy("file_id", "field")
         .agg(
-            *[F.sum(F.expr(f"if(trait = 'type:{t}', n, 0)")).alias(t) for t, _ in names],
+            *[F.sum(F.expr(f"if(trait = 'type:{t}', n, 0)")).alias(t) for t in kinds],
             F.sum(F.expr("if(trait = 'n:part', n, 0)")).alias("part"),
             F.sum(F.expr("if(trait = 'present', n, 0)")).alias("present"),
         )
         .join(records, "file_id")
     )
-
-    # A type counts if some file has it as its own, however few such files are, or if it holds a twentieth of all of the
-    # field's values; odd values in single records don't widen it, they go to the rest.
     belongs = F.col("present") >= rules.share * F.col("records")
-    most = F.greatest(*[t for t, _ in names])
+    most = F.greatest(*kinds)
     flags = (
         per_file.groupBy("field")
         .agg(
-            *[F.sum(t).alias(t) for t, _ in names],
-            *[F.bool_or(belongs & (F.col(t) > 0) & (F.col(t) == most)).alias(f"own_{t}") for t, _ in names],
+            *[F.sum(t).alias(t) for t in kinds],
+            *[F.bool_or(belongs & (F.col(t) > 0) & (F.col(t) == most)).alias(f"own_{t}") for t in kinds],
             F.sum("part").alias("part"),
             F.bool_or(belongs).alias("kept"),
         )
         .filter("kept")
     )
-    total = F.col("boolean") + F.col("number") + F.col("string") + F.col("array") + F.col("object")
-    typed = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"own_{c}") | ((F.col(c) > 0) & (F.col(c) >= rules.share * total)),
-                    F.lit(t) if t else F.when(F.col("part") > 0, F.lit("double")).otherwise(F.lit("bigint")),
-                )
-                for c, t in names
-            ]
-        )
-    )
-    return flags.select(
-        "field", F.when(F.size(typed) == 1, typed[0]).when(F.size(typed) == 0, "null").otherwise("string").alias("type")
+    total = reduce(lambda a, b: a + b, [F.col(t) for t in kinds])
+    narrow = {t: F.lit(t) for t in kinds} | {"number": F.when(F.col("part") > 0, F.lit("double")).otherwise(F.lit("bigint"))}
+    observed = F.array_compact(
+        F.array(*[F.when(F.col(f"own_{t}") | ((F.col(t) > 0) & (F.col(t) >= rules.share * total)), narrow[t]) for t in kinds])
     )
+    return flags.select("field", F.aggregate(observed, F.lit("null"), promoted).alias("type"))
 
 
 def canonical_names(changes: DataFrame, trace_files: DataFrame, rules: DriftRules = DriftRules()) -> DataFrame:
@@ -515,8 +517,9 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
     members of args that belong to no file, args that aren't an object, and
     other fields of the event. Lines that aren't JSON objects are left out.
     """
-    schema = union_schema(raw_events, rules).collect()  # one row per field name, no data
-    names = canonical_names(schema_changes(raw_events, trace_files, rules), trace_files, rules)
+    headers = stored(file_headers(raw_events))  # one pass over the lines for schema and changes
+    schema = union_schema(raw_events, rules, headers).collect()  # one row per field name, no data
+    names = stored(canonical_names(schema_changes(raw_events, trace_files, rules, headers), trace_files, rules))
     types = {r["field"][5:]: r["type"] for r in schema}
     merged: dict[str, str] = dict(types)
     for r in names.select("field", "first_name").distinct().collect():  # pairs of field names
@@ -558,13 +561,15 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
         return text(v)
 
     def unify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, first = None, {}
         for pdf in batches:
             rows = []
             for file_id, line, raw, names in pdf[["file_id", "line_no", "raw", "names"]].itertuples(index=False):
                 r = read_line(raw)
                 if r is None:
                     continue
-                first = json.loads(names) if isinstance(names, str) else {}
+                if names is not asked:  # lines of a file mostly follow each other
+                    asked, first = names, json.loads(names) if isinstance(names, str) else {}
                 key = next((k for k, v in r.items() if k not in FIXED and k != "args" and is_phase(v)), None)
                 phase = r.get(key)
                 ts, dur = number(r.get("ts")), number(r.get("dur"))
@@ -575,7 +580,7 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
                     rest["args"] = r["args"]
                 args, left = {}, {}
                 # a renamed field before an odd member that has its first name
-                for k, v in sorted(own.items(), key=lambda m: "args." + m[0] not in first):
+                for k, v in sorted(own.items(), key=lambda m: "args." + m[0] not in first) if first else own.items():
                     if v is None:
                         continue
                     to = first.get("args." + k, "args." + k)[5:]

@@ -20,6 +20,14 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
     return events.withColumn("args", F.to_json("args"))
 
 
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each file and the members of their args that aren't null, counted in the consistent table."""
+    events = schema_drift.consistent_events(table(spark, d, "raw_events"), table(spark, d, "trace_files"))
+    held = F.coalesce(F.size(F.json_object_keys(F.to_json("args"))), F.lit(0))
+    left = F.coalesce(F.size(F.json_object_keys(F.get_json_object("rest", "$.args"))), F.lit(0))
+    return events.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum(held + left).cast("bigint").alias("n_members"))
+
+
 def p1_schema(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.union_schema(table(spark, d, "raw_events"))
 
@@ -62,6 +70,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_events": p1_events,
     "p1_schema": p1_schema,
+    "p1_kept": p1_kept,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
@@ -83,6 +92,16 @@ select pid, min(ts_us) as start_us, max(ts_us) as end_us, count(*) as n_events,
 from g group by pid, k"""
 
 ORACLES = {
+    "p1_kept": r"""
+with t as (select file_id, trim(raw, ' ' || chr(9) || chr(10) || chr(13) || chr(65279)) a from raw_events where raw is not null and file_id is not null),
+u as (select *, rtrim(a, ', ]' || chr(9)) b, ltrim(rtrim(a, ', ]' || chr(9)), '[, ' || chr(9)) c from t),
+l as (select file_id, case when json_valid(a) then a when json_valid(b) then b when json_valid(c) then c end j from u),
+o as (select file_id, json_extract(j, '$.args') x from l where json_type(j) = 'OBJECT'),
+p as (select file_id, case when json_type(x) = 'OBJECT' then x
+                           when json_type(x) = 'VARCHAR' and json_valid(json_extract_string(x, '$')) then json_extract_string(x, '$')::json end m from o),
+k as (select file_id, case when json_type(m) = 'OBJECT'
+        then (select count(*) from (select unnest(json_keys(m)) q) where json_type(json_extract(m, '$."' || replace(q, '"', '\"') || '"')) <> 'NULL') else 0 end n from p)
+select file_id, count(*) as n_events, sum(n)::bigint as n_members from k group by file_id""",
     "p3_found": """
 with e as (select distinct pid, ts_us s, ts_us + dur_us e from comm_events
            where pid is not null and ts_us is not null and dur_us > 0),
