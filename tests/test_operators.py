@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions import names
-from tracequarry.operators import align, costs, graph, kernels, matching, sequences
+from tracequarry.operators import align, costs, graph, kernels, matching, models, sequences
 from tracequarry.operators import statistics as st
 from tracequarry.operators.ordered import running
 
@@ -120,6 +120,36 @@ def test_names(spark):
     assert spark.range(1).select(names.tensor_bytes(F.array(F.lit(2).cast("bigint"), F.lit(3).cast("bigint")), F.lit("float32"))).first()[0] == 24
 
 
+def test_rules_on_other_names(spark):
+    """Names that the test tables don't hold: parts within words, END, fused operations, colours."""
+    rows = ["BW.op/APPEND", "END", "host0.rank0->END", "FW.a/I/O", "UPDATE_.BW", "BW.a+FW.b", "OUTPUT.x", "Comm.1.SUM"]
+    df = spark.createDataFrame([(r,) for r in rows], "n string")
+    n = F.col("n")
+    got = {r.n: (r.c, r.f, r.p) for r in df.select("n", names.category(n).alias("c"), names.fine_category(n).alias("f"), names.priority(n).alias("p")).collect()}
+    assert got["BW.op/APPEND"] == ("operator", "operator.BW", 2) and got["END"] == ("virtual", "virtual", 100)
+    assert got["FW.a/I/O"] == ("I/O", "operator.FW", 0) and got["UPDATE_.BW"] == ("operator", "operator.BW", 2)
+    assert got["BW.a+FW.b"] == ("operator", "operator.FW+BW", 0) and got["OUTPUT.x"][1:] == ("operator.OUTPUT", 1) and got["Comm.1.SUM"][:2] == ("ServerOp", "ServerOp")
+    for r in rows[:2] + rows[3:]:
+        assert kernels.coarse("p->" + r + "~>1") == got[r][0] and kernels.rank_of("p->" + r) == got[r][2]
+    assert kernels.coarse("p->zzz") == "none" and kernels.coarse(rows[2]) == "virtual"
+    kinds = spark.createDataFrame([(k,) for k in ("Sum", "BatchMatMul", "AddN", "Mean", "Relu6", "FusedNorm")], "k string")
+    assert [r[0] for r in kinds.select(names.amp_colour(F.col("k"))).collect()] == ["black", "white", "grey", "black", "clear", None]
+
+
+def test_standard_names(spark):
+    no = F.lit(False)
+    cases = {
+        "Comm.3": "Comm.3", "^a/b/_5": "FW.a/b", "x/GradPushPull_3_4": "Comm.3+4", "a/input_barrier.1": "FW.a/input_barrier_1",
+        "HorovodAllreduce.7_0": "Comm.7", "cond/Allreduce.7_x/Switch": "BW.7_Switch", "grads/AllReduce": "BW.grads/AllReduce",
+        "gradients/a.b": "BW.gradients/a_b", "gradient_tape/a/ShapeN": "FW.gradient_tape/a/ShapeN", "gradient_tape/x": "BW.gradient_tape/x",
+        "gradient_tape/LayoutOptimizer/y": "FW.gradient_tape/LayoutOptimizer/y",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "n string")
+    assert {r.n: r.s for r in df.select("n", models.tf_standard_name(F.col("n"), no, no).alias("s")).collect()} == cases
+    assert spark.range(1).select(models.tf_standard_name(F.lit("allreduce/x.y"), F.lit(True), no)).first()[0] == "Comm.y"
+    assert spark.range(1).select(models.tf_standard_name(F.lit("w.x"), F.lit(True), no)).first()[0] == "UPDATE_.w.x"
+
+
 def test_bias_ranges(spark):
     r = spark.range(1).select(
         names.bias_both(F.lit(1), F.lit(None), F.lit(3), F.lit(9)).alias("a"), names.bias_sum(F.lit(1), F.lit(None).cast("int"), F.lit(3), F.lit(9)).alias("b")

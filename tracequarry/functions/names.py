@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,14 +22,45 @@ DTYPE_BYTES = {
     "float16": 2, "float32": 4, "float64": 8, "int8": 1, "int16": 2, "int32": 4, "int64": 8,
     "bool": 1, "string": 1, "resource": 1,
 }
-# Replay priority of the kinds of operations; all others come last.
+# Replay priority of the kinds of operations, by a part of their name; all others come last.
 PRIORITIES = [("FW", 0), ("OUTPUT", 1), ("BW", 2), ("UPDATE_", 3)]
 LAST_PRIORITY = 100
-# Colours of operation types for mixed precision.
-AMP_WHITE = ["Conv2D", "MatMul"]
-AMP_GREY = ["AddV2", "BiasAdd", "Mul", "Sum", "FusedNorm"]
-AMP_BLACK = ["Softmax"]
-AMP_CLEAR = ["Relu", "Reshape", "Transpose", "Concat", "Split", "Pad", "Gelu"]
+# Coarse categories by parts of the name, in the order of the rules; a node named END is virtual.
+CATEGORIES = [
+    ("I/O", ["I/O"]),
+    ("ServerOp", SERVER_OPS),
+    ("Comm", ["Comm", "PUSH", "PULL"]),
+    ("operator", ["FW", "BW", "COMP", "UPDATE", "OUTPUT"]),
+]
+# Colours of operation types for mixed precision, the published lists.
+AMP_WHITE = [
+    "BatchMatMul", "BlockLSTM", "BlockLSTMGrad", "Conv2D", "Conv2DBackpropFilter", "Conv2DBackpropInput", "MatMul",
+]
+AMP_GREY = [
+    "Add", "AddN", "AddV2", "AvgPool", "AvgPool3D", "AvgPool3DGrad", "AvgPoolGrad", "BiasAdd", "BiasAddGrad",
+    "BiasAddV1", "Elu", "EluGrad", "Erf", "Erfc", "FloorDiv", "FusedBatchNormV2", "FusedBatchNormGradV2",
+    "FusedBatchNormV3", "FusedBatchNormGradV3", "Inv", "LeakyRelu", "LeakyReluGrad", "Mul", "Prod", "RealDiv",
+    "Reciprocal", "Sigmoid", "SigmoidGrad", "Softplus", "SoftplusGrad", "Sqrt", "Sub", "Tanh", "TanhGrad",
+]
+AMP_BLACK = [
+    "Exp", "Expm1", "L2Loss", "Log", "Log1p", "LogSoftmax", "Mean", "Pow", "SaveV2", "Softmax",
+    "SoftmaxCrossEntropyWithLogits", "SparseSoftmaxCrossEntropyWithLogits", "Sum",
+]
+AMP_CLEAR = [
+    "Abs", "ArgMax", "ArgMin", "BatchToSpace", "BatchToSpaceND", "BroadcastTo", "Ceil", "CheckNumerics",
+    "ClipByValue", "Concat", "ConcatV2", "DepthToSpace", "DynamicPartition", "DynamicStitch", "Enter", "EnsureShape",
+    "Equal", "Exit", "ExpandDims", "Fill", "Floor", "Gather", "GatherNd", "GatherV2", "Greater", "GreaterEqual",
+    "Identity", "IdentityN", "IsFinite", "IsInf", "IsNan", "Less", "LessEqual", "Max", "MaxPool", "MaxPool3D",
+    "MaxPool3DGrad", "MaxPool3DGradGrad", "MaxPoolGrad", "MaxPoolGradGrad", "MaxPoolGradGradV2", "MaxPoolGradV2",
+    "MaxPoolV2", "Maximum", "Merge", "Min", "Minimum", "MirrorPad", "MirrorPadGrad", "Neg", "NextIteration",
+    "NotEqual", "OneHot", "OnesLike", "Pack", "Pad", "PadV2", "PreventGradient", "Rank", "Relu", "Relu6",
+    "Relu6Grad", "ReluGrad", "Reshape", "ResizeNearestNeighbor", "ResizeNearestNeighborGrad", "Reverse",
+    "ReverseSequence", "ReverseV2", "Round", "Select", "Shape", "ShapeN", "Sign", "Size", "Slice", "Snapshot",
+    "SpaceToBatch", "SpaceToBatchND", "SpaceToDepth", "Split", "SplitV", "Squeeze", "StackPopV2", "StackPushV2",
+    "StopGradient", "StridedSlice", "StridedSliceGrad", "Switch", "TensorArrayConcatV3", "TensorArrayGatherV3",
+    "TensorArrayReadV3", "TensorArrayScatterV3", "TensorArraySplitV3", "TensorArrayWriteV3", "Tile", "TopK",
+    "TopKV2", "Transpose", "Where", "ZerosLike",
+]
 
 
 def long_name(pid: Column, raw: Column, suffix: Column) -> Column:
@@ -65,34 +99,30 @@ def _after(text: Column, mark: str) -> Column:
 
 def category(name: Column) -> Column:
     """Coarse category by the first rule that fits, null if none does."""
-    has = name.contains
-    return (
-        F.when(has("I/O"), "I/O")
-        .when(has("COPY_FIRST") | has("SUM") | has("COPY_MERGED"), "ServerOp")
-        .when(has("Comm") | has("PUSH") | has("PULL"), "Comm")
-        .when(has("FW") | has("BW") | has("COMP") | has("UPDATE") | has("OUTPUT"), "operator")
-        .when(has("END"), "virtual")
-    )
+    out = F
+    for cat, parts in CATEGORIES:
+        out = out.when(reduce(or_, [name.contains(x) for x in parts]), cat)
+    return out.when(name == "END", "virtual")
 
 
 def fine_category(name: Column) -> Column:
     """Fine category by the first rule that fits, null if none does."""
     has = name.contains
-    out = F.when(has("COPY_FIRST") | has("SUM") | has("COPY_MERGED"), "ServerOp")
+    out = F.when(reduce(or_, [has(x) for x in SERVER_OPS]), "ServerOp")
     for op in PS_COMM_OPS:
         out = out.when(has(op), f"Comm.{op}")
     comm = F.when(has("SEND"), "Comm.SEND").when(has("RECV"), "Comm.RECV").otherwise("Comm.other")
     return (
-        out.when(has("I/O"), "I/O")
-        .when(has("Comm"), comm)
+        out.when(has("Comm"), comm)
         .when(has("BW") & has("FW"), "operator.FW+BW")
         .when(has("BW"), "operator.BW")
         .when(has("FW"), "operator.FW")
         .when(has("COMM"), "operator.COMM")
         .when(has("COMP"), "operator.COMP")
+        .when(has("I/O"), "I/O")
         .when(has("UPDATE_"), "operator.UPDATE")
         .when(has("OUTPUT"), "operator.OUTPUT")
-        .when(has("END"), "virtual")
+        .when(name == "END", "virtual")
     )
 
 
@@ -143,8 +173,8 @@ def tensor_bytes(shape: Column, dtype: Column) -> Column:
 
 def priority(name: Column) -> Column:
     out = F.lit(LAST_PRIORITY)
-    for prefix, rank in reversed(PRIORITIES):
-        out = F.when(name.startswith(prefix), rank).otherwise(out)
+    for part, rank in reversed(PRIORITIES):
+        out = F.when(name.contains(part), rank).otherwise(out)
     return out
 
 

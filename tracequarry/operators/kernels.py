@@ -14,6 +14,8 @@ import random
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+from tracequarry.functions.names import CATEGORIES, LAST_PRIORITY, PRIORITIES
+
 
 @dataclass
 class Graph:
@@ -87,16 +89,11 @@ def longest_path(g: Graph, cost: Callable[[int, int], float]) -> list[tuple[str,
 
 
 def coarse(name: str) -> str:
-    """Coarse category of a node's name."""
-    if "I/O" in name:
-        return "I/O"
-    if any(s in name for s in ("COPY_FIRST", "SUM", "COPY_MERGED")):
-        return "ServerOp"
-    if any(s in name for s in ("Comm", "PUSH", "PULL")):
-        return "Comm"
-    if any(s in name for s in ("FW", "BW", "COMP", "UPDATE", "OUTPUT")):
-        return "operator"
-    return "virtual"
+    """Coarse category of a node's name: ``virtual`` for END, ``none`` where no rule fits."""
+    for cat, parts in CATEGORIES:
+        if any(x in name for x in parts):
+            return cat
+    return "virtual" if name.split("->", 1)[-1].split("~>")[0] == "END" else "none"
 
 
 def pid_of(name: str) -> str:
@@ -135,12 +132,8 @@ def device_of(name: str, endless_update: bool = False) -> tuple[str, str]:
 
 
 def rank_of(name: str) -> int:
-    """Replay priority; smaller goes first."""
-    short = name.split("->", 1)[-1]
-    for prefix, rank in (("FW", 0), ("OUTPUT", 1), ("BW", 2), ("UPDATE_", 3)):
-        if short.startswith(prefix):
-            return rank
-    return 100
+    """Replay priority by parts of the name; smaller goes first."""
+    return next((rank for part, rank in PRIORITIES if part in name), LAST_PRIORITY)
 
 
 @dataclass
@@ -430,7 +423,7 @@ def fuse_moves(g: Graph) -> list[tuple[str, str]]:
     for u in range(len(g.names)):
         for v in g.succ[u]:
             same = pid_of(g.names[u]) == pid_of(g.names[v]) and coarse(g.names[u]) == coarse(g.names[v])
-            if same and coarse(g.names[u]) not in ("Comm", "virtual") and contractible(g, u, v):
+            if same and coarse(g.names[u]) not in ("Comm", "virtual", "none") and contractible(g, u, v):
                 out.append((g.names[u], g.names[v]))
     return sorted(out)
 

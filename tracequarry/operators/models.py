@@ -19,19 +19,33 @@ GPU_TFLOPS = {"v100": (7.4, 29.7), "a100": (9.7, 78.0), "p100": (5.0, 19.95), "1
 def tf_standard_name(op: Column, is_update: Column, is_gradient: Column) -> Column:
     """Standard name of a TensorFlow operation.
 
-    Known prefixes stay; a leading ``^`` and a trailing ``/_…`` go; push-pull
-    operations become ``Comm.`` with their ids, ``input_barrier`` is forward;
-    the rest is update, backward or forward by membership.
+    Known prefixes stay; a leading ``^`` and a last part that begins with
+    ``_`` go. Push-pull operations become ``Comm.`` with their ids,
+    ``input_barrier`` is forward. An all-reduce with a dot in its name is the
+    communication of the tensor behind it (a ``Switch`` a backward operation),
+    one without is update or backward. The rest is update, backward (a known
+    gradient, or by its name) or forward. But for updates that are no
+    all-reduce, dots become ``_``.
     """
-    plain = F.regexp_replace(F.regexp_replace(op, "^[\\^]", ""), "/_[^/]*$", "")
-    ids = F.regexp_extract(plain, "[A-Za-z]*PushPull[_.]([0-9]+(?:_[0-9]+)*)", 1)
+    bare = F.regexp_replace(op, "^[\\^]", "")
+    plain = F.regexp_replace(bare, "/_[^/]*$", "")
+    raw = F.translate(plain, ".", "_")
+    ids = F.regexp_extract(plain, "PushPull[_.]([0-9_]+)$", 1)
+    reduce_ = F.lower(plain).contains("allreduce")
+    tensor = F.split(F.get(F.split(plain, "[.]"), F.lit(1)), "_")[0]
+    tape = plain.startswith("gradient_tape") & ~plain.endswith("ShapeN") & ~plain.contains("LayoutOptimizer")
+    named = lambda kind, x: F.concat(F.lit(f"{kind}."), x)
     return (
-        F.when(plain.rlike("^(FW|BW|Comm|UPDATE_|OUTPUT|I/O)[.]?"), plain)
-        .when(ids != "", F.concat(F.lit("Comm."), F.translate(ids, "_", "+")))
-        .when(plain.contains("input_barrier"), F.concat(F.lit("FW."), plain))
-        .when(is_update, F.concat(F.lit("UPDATE_."), plain))
-        .when(is_gradient | plain.rlike("^gradients|gradient_tape"), F.concat(F.lit("BW."), plain))
-        .otherwise(F.concat(F.lit("FW."), plain))
+        F.when(op.rlike("^(Comm|Comp|BW|FW|UPDATE_)[.]"), op)
+        .when(ids != "", named("Comm", F.translate(ids, "_", "+")))
+        .when(plain.contains("input_barrier"), named("FW", raw))
+        .when(reduce_ & plain.contains(".") & plain.contains("Switch"), named("BW", F.concat(tensor, F.lit("_Switch"))))
+        .when(reduce_ & plain.contains("."), named("Comm", tensor))
+        .when(reduce_ & is_update, named("UPDATE_", raw))
+        .when(reduce_, named("BW", raw))
+        .when(is_update, named("UPDATE_", plain))
+        .when(is_gradient | plain.startswith("gradients") | tape, named("BW", raw))
+        .otherwise(named("FW", raw))
     )
 
 

@@ -9,7 +9,7 @@ from tracequarry.operators import align, costs, graph, kernels, matching
 from tracequarry.operators import nested
 from tracequarry.operators import statistics as st
 from tracequarry.plans.sequence_queries import _EDGES, _PAIRS, dfg_edges
-from tracequarry.plans.sql import typed, with_comm, with_trace
+from tracequarry.plans.sql import colour_case, typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import comm, silver
 from tracequarry.session import table
 
@@ -371,12 +371,10 @@ def op_features(spark, d):
 
 @query(
     "amp_colour",
-    with_trace(r"""
-select op_name, regexp_replace(string_split(op_name, '/')[-1], '(_[0-9]+)$', '') as op_type, case regexp_replace(string_split(op_name, '/')[-1], '(_[0-9]+)$', '')
-  when 'Conv2D' then 'white' when 'MatMul' then 'white' when 'AddV2' then 'grey' when 'BiasAdd' then 'grey' when 'Mul' then 'grey' when 'Sum' then 'grey' when 'FusedNorm' then 'grey'
-  when 'Softmax' then 'black' when 'Relu' then 'clear' when 'Reshape' then 'clear' when 'Transpose' then 'clear' when 'Concat' then 'clear' when 'Split' then 'clear'
-  when 'Pad' then 'clear' when 'Gelu' then 'clear' end as colour
-from (select distinct op_name from silver where op_name is not null and cat = 'operator')"""),
+    with_trace(
+        f"select op_name, op_type, {colour_case('op_type')} as colour from t",
+        "t as (select distinct op_name, regexp_replace(string_split(op_name, '/')[-1], '(_[0-9]+)$', '') as op_type from silver where op_name is not null and cat = 'operator')",
+    ),
 )
 def amp_colour(spark, d):
     rows = silver(spark, d, "op_name", "cat").filter("op_name is not null and cat = 'operator'").select("op_name").distinct()

@@ -9,7 +9,7 @@ from tracequarry.operators import costs, graph, models, nested
 from tracequarry.operators import statistics as st
 from tracequarry.plans.graph_queries import _GROUPS, KEY, _groups, _ring, _steps
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
-from tracequarry.plans.sql import COMM, typed, with_comm, with_trace
+from tracequarry.plans.sql import COMM, quoted, typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import comm, silver
 from tracequarry.session import table
 from tracequarry.sources.sinks import painted
@@ -159,10 +159,10 @@ def max_normalised(spark, d):
     return models.max_normalised(rows, ["cnt", "avg_us"])
 
 
-_AMP = """kinds as (select distinct trial, op, regexp_replace(string_split(op, '/')[-1], '(_[0-9]+)$', '') k from (select trial, src op from edges union select trial, dst from edges)),
-half as (select trial, op from kinds where k in ('Conv2D', 'MatMul')
+_AMP = f"""kinds as (select distinct trial, op, regexp_replace(string_split(op, '/')[-1], '(_[0-9]+)$', '') k from (select trial, src op from edges union select trial, dst from edges)),
+half as (select trial, op from kinds where k in ({quoted(names.AMP_WHITE)})
   union select h.trial, e.dst from half h join edges e on e.trial = h.trial and e.src = h.op
-  join kinds x on x.trial = e.trial and x.op = e.dst where x.k in ('AddV2', 'BiasAdd', 'Mul', 'Sum', 'FusedNorm', 'Relu', 'Reshape', 'Transpose', 'Concat', 'Split', 'Pad', 'Gelu'))"""
+  join kinds x on x.trial = e.trial and x.op = e.dst where x.k in ({quoted(names.AMP_GREY + names.AMP_CLEAR)}))"""
 
 
 def _half(spark, d):

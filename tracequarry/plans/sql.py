@@ -1,5 +1,7 @@
 """Common table expressions that the SQL counterparts of the queries share."""
 
+from tracequarry.functions import names
+
 DAY_US = 86_400_000_000
 
 TRACE = f"""
@@ -26,3 +28,14 @@ def typed(oracles: dict[str, str], types: dict[str, dict[str, str]]) -> None:
     for name, columns in types.items():
         casts = ", ".join(f"{c}::{t} as {c}" for c, t in columns.items())
         oracles[name] = f"select * replace ({casts}) from ({oracles[name]})"
+
+
+def colour_case(kind: str) -> str:
+    """The colour of an operation type, by the published lists."""
+    lists = {"white": names.AMP_WHITE, "grey": names.AMP_GREY, "black": names.AMP_BLACK, "clear": names.AMP_CLEAR}
+    whens = " ".join(f"when {kind} in ({quoted(v)}) then '{k}'" for k, v in lists.items())
+    return f"case {whens} end"
+
+
+def quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)

@@ -218,16 +218,15 @@ def name_parse(spark, d):
 _CAT = """case when contains(n, 'I/O') then 'I/O' when contains(n, 'COPY_FIRST') or contains(n, 'SUM') or contains(n, 'COPY_MERGED') then 'ServerOp'
  when contains(n, 'Comm') or contains(n, 'PUSH') or contains(n, 'PULL') then 'Comm'
  when contains(n, 'FW') or contains(n, 'BW') or contains(n, 'COMP') or contains(n, 'UPDATE') or contains(n, 'OUTPUT') then 'operator'
- when contains(n, 'END') then 'virtual' end"""
+ when n = 'END' then 'virtual' end"""
 _FINE = """case when contains(n, 'COPY_FIRST') or contains(n, 'SUM') or contains(n, 'COPY_MERGED') then 'ServerOp'
  when contains(n, 'PUSH_REQ') then 'Comm.PUSH_REQ' when contains(n, 'PUSH_RES') then 'Comm.PUSH_RES'
  when contains(n, 'PULL_REQ') then 'Comm.PULL_REQ' when contains(n, 'PULL_RES') then 'Comm.PULL_RES'
- when contains(n, 'I/O') then 'I/O'
  when contains(n, 'Comm') then case when contains(n, 'SEND') then 'Comm.SEND' when contains(n, 'RECV') then 'Comm.RECV' else 'Comm.other' end
  when contains(n, 'BW') and contains(n, 'FW') then 'operator.FW+BW' when contains(n, 'BW') then 'operator.BW' when contains(n, 'FW') then 'operator.FW'
- when contains(n, 'COMM') then 'operator.COMM' when contains(n, 'COMP') then 'operator.COMP' when contains(n, 'UPDATE_') then 'operator.UPDATE'
- when contains(n, 'OUTPUT') then 'operator.OUTPUT' when contains(n, 'END') then 'virtual' end"""
-_PRIO = "case when starts_with(n, 'FW') then 0 when starts_with(n, 'OUTPUT') then 1 when starts_with(n, 'BW') then 2 when starts_with(n, 'UPDATE_') then 3 else 100 end"
+ when contains(n, 'COMM') then 'operator.COMM' when contains(n, 'COMP') then 'operator.COMP' when contains(n, 'I/O') then 'I/O' when contains(n, 'UPDATE_') then 'operator.UPDATE'
+ when contains(n, 'OUTPUT') then 'operator.OUTPUT' when n = 'END' then 'virtual' end"""
+_PRIO = "case when contains(n, 'FW') then 0 when contains(n, 'OUTPUT') then 1 when contains(n, 'BW') then 2 when contains(n, 'UPDATE_') then 3 else 100 end"
 _ALL_NAMES = "all_names as (select name n from trace_events union select name from comm_events union select name from server_events)"
 
 

@@ -84,6 +84,8 @@ def computation(events: DataFrame, dfg: DataFrame, keep_unknown: bool = False) -
     """
     from pyspark.sql import Window
 
+    from tracequarry.operators.models import tf_standard_name
+
     rows = resolve_names(events).filter("process like '%/device:GPU%' and thread like '%TensorFlow Ops%'")
     long = F.regexp_replace(F.substring_index(F.col("args")["long_name"], ":", 1), "^StatefulPartitionedCall/", "")
     op = F.coalesce(long, F.col("name"))
@@ -95,10 +97,10 @@ def computation(events: DataFrame, dfg: DataFrame, keep_unknown: bool = False) -
     first = rows.groupBy("path", "pid", "tid").agg(F.min("ts_us").alias("t"))
     number = F.row_number().over(Window.partitionBy("path", "pid").orderBy("t", "tid")) - 1
     tid = first.withColumn("thread_no", number).drop("t")
-    kind = F.when(F.col("op").rlike("^gradients|gradient_tape"), "BW.").otherwise("FW.")
+    standard = tf_standard_name(F.col("op"), F.lit(False), F.lit(False))
     return rows.join(tid, ["path", "pid", "tid"]).select(
         "trial", "host", "rank", F.concat_ws(".", "host", F.concat(F.lit("rank"), "rank")).alias("pid"),
-        F.concat(F.lit("operator"), "thread_no").alias("tid"), F.concat(kind, "op").alias("name"),
+        F.concat(F.lit("operator"), "thread_no").alias("tid"), standard.alias("name"),
         "ts_us", "dur_us", "step", F.when(F.col("known"), "operator").otherwise("debug").alias("cat"),
     )
 
