@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,43 +23,49 @@ def ring_edges(tensors: DataFrame, ranks: DataFrame) -> DataFrame:
     ``ranks`` has trial, pid and its place rank in the ring of n. Steps are
     ``0 .. 2 (n - 1) - 1``. Each step sends to the next rank in the ring; a
     step's send waits for the receive of the step before, the first for the
-    copy into the buffer, which waits for the synchronisation of all ranks;
-    the last receive leads to the copy out. Repeated tensors and ranks count
-    once, which makes every edge unique, so the edges aren't compared.
+    copy into the buffer, which waits for the synchronisation of all ranks
+    (through one node ``all->Comm.<tensor>.Sync``, so that n ranks need 2 n
+    edges); the last receive leads to the copy out. Repeated tensors and ranks
+    count once, which makes every edge unique, so the edges aren't compared.
+
+    Tensors and ranks are short tables and their product is long, so it is
+    spread over all tasks before it is written out.
     """
-    tensors, ranks = tensors.distinct(), ranks.distinct()  # short lists
+    tensors, ranks = tensors.distinct(), ranks.distinct()
     sizes = ranks.groupBy("trial").agg(F.count(F.lit(1)).cast("int").alias("n"))
     ring = ranks.join(sizes, "trial")
     nxt = ranks.select("trial", F.col("rank").alias("next_rank"), F.col("pid").alias("next_pid"))
     ring = ring.withColumn("next_rank", F.expr("cast(pmod(rank + 1, n) as int)")).join(nxt, ["trial", "next_rank"]).filter("n > 1")
-    base = tensors.join(ring, "trial")
-    comm = F.concat(F.lit("Comm."), F.col("tensor"))
-    node = lambda pid, sub: F.concat(F.col(pid), F.lit("->"), comm, F.lit(f".{sub}"))
-    steps = (
-        base.withColumn("l", F.explode(F.expr("sequence(0, loops - 1)")))
-        .withColumn("c", F.explode(F.expr("sequence(0, channels - 1)")))
-        .withColumn("s", F.explode(F.expr("sequence(0, slices - 1)")))
-        .withColumn("k", F.explode(F.expr("sequence(0, 2 * (n - 1) - 1)")))
+    base = by_key(tensors.join(ring, "trial"), "trial", "tensor", "pid")
+    own, other = (F.concat(F.col(p), F.lit("->Comm."), F.col("tensor"), F.lit(".")) for p in ("pid", "next_pid"))
+    base = base.withColumns({"own": own, "other": other, "steps": F.expr("2 * (n - 1)")})
+    # one running number for loop, channel, slice and step
+    lines = base.select("trial", "own", "other", "steps", "channels", "slices", F.explode(F.expr("sequence(0, loops * channels * slices * steps - 1)")).alias("i"))
+    lines = lines.selectExpr(
+        "trial", "own", "other", "steps", "cast(i % steps as int) as k",
+        "concat_ws('_', i div (steps * slices * channels), i div (steps * slices) % channels, '') as head", "concat('_', i div steps % slices) as tail",
+    )
+    at = lambda step: F.concat("head", step, "tail")
+    lines = lines.select(
+        "trial", "k", "steps",
+        F.concat("own", F.lit("MEMCPY_IN_FUSION_BUFFER")).alias("copy"),
+        F.concat("own", F.lit("SEND~>"), at(F.col("k"))).alias("send"),
+        F.concat("own", F.lit("RECV~>"), at(F.col("k"))).alias("recv"),
+        F.concat("own", F.lit("RECV~>"), at(F.col("k") - 1)).alias("before"),
+        F.concat("other", F.lit("RECV~>"), at(F.col("k"))).alias("next_recv"),
+        F.concat("other", F.lit("MEMCPY_OUT_FUSION_BUFFER")).alias("next_out"),
+    )
+    edge = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    always = F.array(edge("copy", "send"), edge("copy", "recv"), edge("send", "next_recv"))
+    some = F.array_compact(
+        F.array(F.when(F.col("k") > 0, edge("before", "send")), F.when(F.col("k") == F.col("steps") - 1, edge("next_recv", "next_out")))
     )
-
-    def part(pid: str, sub: str, step: str = "k") -> Column:
-        return F.concat(node(pid, sub), F.lit("~>"), F.expr(f"concat_ws('_', l, c, {step}, s)"))
-
-    def edge(src: Column, dst: Column, cond: str = "true") -> Column:
-        return F.when(F.expr(cond), F.struct(src.alias("src"), dst.alias("dst")))
-
-    per_step = F.array(
-        edge(node("pid", "MEMCPY_IN_FUSION_BUFFER"), part("pid", "SEND")),
-        edge(node("pid", "MEMCPY_IN_FUSION_BUFFER"), part("pid", "RECV")),
-        edge(part("pid", "RECV", "k - 1"), part("pid", "SEND"), "k > 0"),
-        edge(part("pid", "SEND"), part("next_pid", "RECV")),
-        edge(part("next_pid", "RECV"), node("next_pid", "MEMCPY_OUT_FUSION_BUFFER"), "k = 2 * (n - 1) - 1"),
-    )
-    fine = steps.select("trial", F.explode(F.array_compact(per_step)).alias("e")).select("trial", "e.src", "e.dst")
-    queue = base.select("trial", node("pid", "QUEUE").alias("src"), node("pid", "MEMCPY_IN_FUSION_BUFFER").alias("dst"))
-    others = ranks.select("trial", F.col("pid").alias("other"))  # ranks of one trial: every rank waits for all
-    sync = base.join(others, "trial").select("trial", node("other", "Sync").alias("src"), node("pid", "QUEUE").alias("dst"))
-    return fine.unionByName(queue).unionByName(sync)
+    fine = lines.select("trial", F.inline(F.concat(always, some)))
+    barrier = F.concat(F.lit("all->Comm."), F.col("tensor"), F.lit(".Sync"))
+    sub = lambda op: F.concat("own", F.lit(op))
+    chain = [(sub("Sync"), barrier), (barrier, sub("QUEUE")), (sub("QUEUE"), sub("MEMCPY_IN_FUSION_BUFFER"))]
+    coarse = base.select("trial", F.inline(F.array(*[F.struct(x.alias("src"), y.alias("dst")) for x, y in chain])))
+    return fine.unionByName(coarse)
 
 
 def tree_edges(tensors: DataFrame, tree: DataFrame) -> DataFrame:
@@ -124,47 +130,82 @@ def ps_edges(parts: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- graph tables
 
 
-def step_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of each device's steps.
+def step_graph(events: DataFrame, longest_gap_us: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each step's graph over all devices of its trial.
 
     ``events`` has trial, pid, step, cat, cat_fine, name, ts_us, dur_us,
-    event_seq. Nodes are the events, named ``pid->name~>number``; an event
-    comes before the next of its category, a backward operation before the
-    next communication, a communication before the next update: always
-    forward in time, so there is no cycle.
+    event_seq. Nodes are the events, named
+    ``pid->name~>number``; on a device an event comes before the next of its
+    category, a backward operation before the next communication, a
+    communication before the next update. Devices are linked where they
+    synchronise: every ``Sync`` of a tensor leads to a node
+    ``all->Comm.<tensor>.Sync~>barrier`` of the step, and that to each
+    ``QUEUE`` of the tensor that began after the last of them. All edges lead
+    forward in time (a barrier stands at its last Sync), so there is no cycle.
+
+    Nodes are trial, step, pid, node, cat, avg_ms and the gaps in us to the
+    next event of the category (gap_same) and, for backward operations, to the
+    next communication (gap_comm); gaps below 0 or of ``longest_gap_us`` or
+    more are pauses and count as 0. Edges are trial, step, src, dst, gap_us.
     """
-    w = Window.partitionBy("trial", "pid", "step").orderBy("ts_us", "event_seq")
-    behind = w.rowsBetween(1, Window.unboundedFollowing)
+    device = ["trial", "pid", "step"]
     node = F.concat(F.col("pid"), F.lit("->"), F.col("name"), F.lit("~>"), F.col("event_seq"))
-    rows = events.withColumn("node", node)
-    of = lambda cond: F.first(F.when(F.expr(cond), F.col("node")), True).over(behind)
+    part = lambda i: F.get(F.split("name", "[.]"), F.lit(i))
+    rows = events.withColumns({"node": node, "end_us": F.expr("ts_us + dur_us"), "tensor": part(1), "sub_op": part(2)})
+    # what follows in time is the last seen so far in falling order: one pass over a device's step
+    back = Window.partitionBy(*device).orderBy(F.desc("ts_us"), F.desc("event_seq")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*device, "cat").orderBy("ts_us", "event_seq")
+    at = F.struct("node", "ts_us")
+    of = lambda cond: F.last(F.when(F.expr(cond), at), True).over(back)
     rows = rows.withColumns(
         {
-            "n_same": F.lead("node").over(Window.partitionBy("trial", "pid", "step", "cat").orderBy("ts_us", "event_seq")),
+            "n_same": F.lead(at).over(ahead),
             "n_comm": F.when(F.col("cat_fine") == "operator.BW", of("cat = 'Comm'")),
             "n_update": F.when(F.col("cat") == "Comm", of("cat_fine = 'operator.UPDATE'")),
         }
     )
-    nodes = rows.select("trial", "step", "pid", "node", F.round(F.col("dur_us") / 1000, 6).alias("avg_ms"))
-    targets = F.array_distinct(F.array_compact(F.array("n_same", "n_comm", "n_update")))
-    edges = rows.select("trial", "step", F.col("node").alias("src"), F.explode(targets).alias("dst"))
-    return nodes, edges
+
+    def gap(to: str) -> Column:
+        us = F.col(f"{to}.ts_us") - F.col("end_us")
+        return F.when((us >= 0) & (us < longest_gap_us), us).otherwise(0).cast("bigint")
+
+    rows = rows.withColumns({"gap_same": gap("n_same"), "gap_comm": gap("n_comm")})
+    nodes = rows.select("trial", "step", "pid", "node", "cat", F.round(F.col("dur_us") / 1000, 6).alias("avg_ms"), "gap_same", "gap_comm")
+    to = lambda n, us: F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}.node").alias("dst"), us.alias("gap_us")))
+    zero = F.lit(0).cast("bigint")
+    targets = F.array_compact(F.array(to("n_same", F.col("gap_same")), to("n_comm", F.col("gap_comm")), to("n_update", zero)))
+    edges = rows.select("trial", "step", F.col("node").alias("src"), F.inline(targets))
+
+    key = ["trial", "step", "tensor"]
+    syncs = rows.filter("cat = 'Comm' and sub_op = 'Sync'")
+    barriers = syncs.groupBy(*key).agg(F.max("ts_us").alias("at"), F.countDistinct("pid").alias("devices")).filter("devices > 1")
+    barrier = F.concat(F.lit("all->Comm."), F.col("tensor"), F.lit(".Sync~>barrier"))
+    into = syncs.join(barriers, key).select("trial", "step", F.col("node").alias("src"), barrier.alias("dst"), F.col("gap_same").alias("gap_us"))
+    queues = rows.filter("cat = 'Comm' and sub_op = 'QUEUE'").join(barriers, key).filter("ts_us > at")
+    out = queues.select("trial", "step", barrier.alias("src"), F.col("node").alias("dst"), zero.alias("gap_us"))
+    virtual = barriers.select(
+        "trial", "step", F.lit("all").alias("pid"), barrier.alias("node"), F.lit("Comm").alias("cat"), F.lit(0.0).alias("avg_ms"),
+        zero.alias("gap_same"), zero.alias("gap_comm"),
+    )
+    return nodes.unionByName(virtual), edges.unionByName(into).unionByName(out)
 
 
 def edge_costs(edges: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
-    """Edges with their cost in ms: the mean of the node they leave."""
-    costs = nodes.select(*key, F.col("node").alias("src"), F.col("avg_ms").alias("cost_ms"))
-    return edges.join(costs, [*key, "src"])
+    """Edges with their cost in ms: the mean of the node they leave and the gap behind it."""
+    costs = nodes.select(*key, F.col("node").alias("src"), "avg_ms")
+    rows = edges.join(costs, [*key, "src"])
+    return rows.select(*key, "src", "dst", F.round(F.col("avg_ms") + F.col("gap_us") / 1000, 6).alias("cost_ms"))
 
 
 def bypass(edges: DataFrame, drop: DataFrame, key: list[str]) -> DataFrame:
     """The graph without the nodes of ``drop`` (key, node): their predecessors lead to their successors.
 
-    Chains of dropped nodes are followed until none is left.
+    Chains of dropped nodes are followed until none is left, however long:
+    each round halves them, as the dropped nodes' own edges are joined too.
     """
     cur = edges.select(*key, "src", "dst").distinct()
-    gone = drop.select(*key, F.col("node").alias("mid"), F.lit(True).alias("out"))
-    for _ in range(100):
+    gone = drop.select(*key, F.col("node").alias("mid"), F.lit(True).alias("out")).distinct()
+    while True:
         into = cur.join(gone.withColumnRenamed("mid", "dst"), [*key, "dst"], "left")
         hit = into.filter("out").select(*key, "src", F.col("dst").alias("mid"))
         keep = into.filter("out is null").select(*key, "src", "dst")
@@ -187,7 +228,7 @@ def within_hops(edges: DataFrame, starts: DataFrame, hops: int, key: list[str])
     return seen
 
 
-def reachable(edges: DataFrame, starts: DataFrame, key: list[str], most: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, key: list[str]) -> DataFrame:
     """Nodes that a path of edges leads to from the starts, these included: (key, node).
 
     One round per distance; each adds the new nodes only, and its result is
@@ -196,22 +237,29 @@ def reachable(edges: DataFrame, starts: DataFrame, key: list[str], most: int = 1
     onward = edges.select(*key, F.col("src").alias("node"), F.col("dst").alias("other")).distinct()
     seen = cut(starts.select(*key, "node").distinct())
     front = seen
-    for _ in range(most):
+    while True:
         step = front.join(onward, [*key, "node"]).select(*key, F.col("other").alias("node")).distinct()
         front = cut(step.join(seen, [*key, "node"], "left_anti"))
         if front.isEmpty():
             return seen
         seen = cut(seen.unionByName(front))
-    raise RuntimeError(f"paths of more than {most} edges")
 
 
 # ------------------------------------------------------- kernels per graph
 
 
 def _graphs(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """Nodes and edges of each graph as rows of one table, a graph's rows together and in order."""
-    a = nodes.select(*key, "node", "avg_ms", F.lit(None).cast("string").alias("dst"))
-    b = edges.select(*key, F.col("src").alias("node"), F.lit(None).cast("double").alias("avg_ms"), "dst")
+    """Nodes and edges of each graph as rows of one table, a graph's rows together and in order.
+
+    A node's gaps, where the table has them, come as a JSON text by the pair
+    of categories that they lie between.
+    """
+    gaps = F.lit(None).cast("string")
+    if "gap_same" in nodes.columns:
+        same = F.map_from_arrays(F.array(F.concat("cat", F.lit("GAP"), "cat"), F.lit("operatorGAPComm")), F.array("gap_same", "gap_comm"))
+        gaps = F.when((F.col("gap_same") > 0) | (F.col("gap_comm") > 0), F.to_json(same))
+    a = nodes.select(*key, "node", "avg_ms", F.lit(None).cast("string").alias("dst"), gaps.alias("gaps"))
+    b = edges.select(*key, F.col("src").alias("node"), F.lit(None).cast("double").alias("avg_ms"), "dst", F.lit(None).cast("string").alias("gaps"))
     return a.unionByName(b)
 
 
@@ -232,14 +280,15 @@ def _per_graph(rows: DataFrame, key: list[str], body: Body, out: str) -> DataFra
 
         def solve(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
             cols = [pdf[k].tolist() for k in key]
-            node, avg, dst = pdf["node"].tolist(), pdf["avg_ms"].tolist(), pdf["dst"].tolist()
+            node, avg, dst, gaps = (pdf[c].tolist() for c in ("node", "avg_ms", "dst", "gaps"))
             found: list[tuple] = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 own = [(node[i], avg[i]) for i in range(lo, hi) if dst[i] is None]
                 links = [(node[i], dst[i]) for i in range(lo, hi) if dst[i] is not None]
                 if own:
                     k = tuple(c[lo] for c in cols)
-                    found += [(*k, *r) for r in body(k, kernels.Graph.build(own, links))]
+                    between = {node[i]: json.loads(gaps[i]) for i in range(lo, hi) if gaps[i] is not None}
+                    found += [(*k, *r) for r in body(k, kernels.Graph.build(own, links, between))]
             return pd.DataFrame(found, columns=columns)
 
         for pdf in batches:

@@ -302,6 +302,7 @@ def accumulated(nodes: DataFrame, edges: DataFrame, key: list[str], scale: float
 
     The second copy (``#1``) follows the first; updates wait for it alone.
     """
+    edges = edges.select(*key, "src", "dst")
     once = "node rlike '->(FW|BW)[.]'"
     a = nodes.withColumn("avg_ms", F.when(F.expr(once), F.col("avg_ms") * scale).otherwise(F.col("avg_ms")))
     b = nodes.filter(once).withColumn("node", F.concat("node", F.lit("#1"))).withColumn("avg_ms", F.col("avg_ms") * scale)

@@ -13,6 +13,8 @@ from tracequarry.plans.sql import colour_case, typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import comm, silver
 from tracequarry.session import table
 
+KEY = ["trial", "step"]
+
 QUERIES = {}
 ORACLES = {}
 
@@ -27,10 +29,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_TENSORS = r"""tensors as (select trial, regexp_extract(name, '^Comm[.]([0-9+]+)[.]', 1) tensor, 2 as loops, 2 as channels, 2 as slices
-  from comm_ok where regexp_matches(name, '^Comm[.][0-9+]+[.](SEND|RECV)$') and trial is not null group by all),
-ranks as (select trial, pid, row_number() over (partition by trial order by pid) - 1 as rank, count(*) over (partition by trial) as n
+_RANKS = """ranks as (select trial, pid, row_number() over (partition by trial order by pid) - 1 as rank, count(*) over (partition by trial) as n
   from (select distinct trial, pid from comm_ok where trial is not null))"""
+_TENSORS = (
+    r"""tensors as (select trial, regexp_extract(name, '^Comm[.]([0-9+]+)[.]', 1) tensor,
+  coalesce(max(args.loop_id) + 1, 1) as loops, coalesce(max(args.channel_id) + 1, 1) as channels, coalesce(max(args.slice_id) + 1, 1) as slices
+  from comm_ok where regexp_matches(name, '^Comm[.][0-9+]+[.](SEND|RECV)$') and trial is not null group by all),
+"""
+    + _RANKS
+)
 
 
 def _ring(spark, d):
@@ -57,7 +64,8 @@ select distinct trial, src, dst from (
   union all select trial, pid || '->' || c || '.SEND~>' || sfx, nxt || '->' || c || '.RECV~>' || sfx from st
   union all select trial, nxt || '->' || c || '.RECV~>' || sfx, nxt || '->' || c || '.MEMCPY_OUT_FUSION_BUFFER' from st where k = 2 * (n - 1) - 1
   union all select trial, pid || '->' || c || '.QUEUE', pid || '->' || c || '.MEMCPY_IN_FUSION_BUFFER' from (select distinct trial, pid, c from st)
-  union all select a.trial, o.pid || '->' || c || '.Sync', a.pid || '->' || c || '.QUEUE' from (select distinct trial, pid, c from st) a join ranks o on o.trial = a.trial)""",
+  union all select trial, pid || '->' || c || '.Sync', 'all->' || c || '.Sync' from (select distinct trial, pid, c from st)
+  union all select trial, 'all->' || c || '.Sync', pid || '->' || c || '.QUEUE' from (select distinct trial, pid, c from st))""",
         _TENSORS
         + """,
 r as (select trial, pid from ranks),
@@ -71,7 +79,24 @@ def ring_expand(spark, d):
     return graph.ring_edges(*_ring(spark, d))
 
 
-@query("tree_expand")
+@query(
+    "tree_expand",
+    with_comm(
+        """
+select distinct trial, src, dst from (
+  select trial, p || '.MEMCPY_IN_FUSION_BUFFER' as src, p || '.AGGR' as dst from x
+  union all select trial, p || '.AGGR', p || '.UP_SEND' from x where up is not null
+  union all select trial, p || '.UP_SEND', up || '.UP_RECV~>' || pid from x where up is not null
+  union all select trial, up || '.UP_RECV~>' || pid, up || '.AGGR' from x where up is not null
+  union all select trial, up || case when rank <= 2 then '.AGGR' else '.DOWN_RECV' end, up || '.DOWN_SEND~>' || pid from x where up is not null
+  union all select trial, up || '.DOWN_SEND~>' || pid, p || '.DOWN_RECV' from x where up is not null
+  union all select trial, p || '.DOWN_RECV', p || '.MEMCPY_OUT_FUSION_BUFFER' from x where up is not null)""",
+        _TENSORS
+        + """,
+  x as (select t.trial, r.rank, r.pid, r.pid || '->Comm.' || t.tensor as p, u.pid || '->Comm.' || t.tensor as up
+    from tensors t join ranks r on r.trial = t.trial left join ranks u on u.trial = r.trial and r.rank > 0 and u.rank = (r.rank - 1) // 2)""",
+    ),
+)
 def tree_expand(spark, d):
     """Tree all-reduce of the same tensors; the device at place i has the one at (i - 1) / 2 above it."""
     tensors, ranks = _ring(spark, d)
@@ -80,24 +105,28 @@ def tree_expand(spark, d):
     return graph.tree_edges(tensors, tree.select("trial", "pid", "parent"))
 
 
-_PARTS = r"""ops as (select distinct on (event_seq) * from server_events),
-parts as (select distinct 'w' || w as worker, pid as server, regexp_extract(name, '^Comm[.]([0-9+]+)[.]', 1) as tensor, 0 as part, 3 as workers
-  from ops, unnest(range(3)) u(w) where pid is not null and name is not null)"""
+_PARTS = f"""{_RANKS},
+ops as (select distinct trial, pid as server, regexp_extract(name, '^Comm[.]([0-9+]+)[.]', 1) as tensor from server_events
+  where event_seq is not null and trial is not null and pid is not null and name is not null),
+x as (select o.trial, r.pid as worker, o.server, o.tensor || '~PART0' as t, r.n as workers from ops o join ranks r on r.trial = o.trial),
+i as (select distinct trial, server, t, workers, k from x, unnest(range(workers - 1)) v(k))"""
 
 
 @query(
     "ps_edges",
-    f"""with {_PARTS},
-x as (select *, tensor || '~PART' || part as t from parts),
-i as (select distinct server, t, k from x, unnest(range(workers - 1)) v(k))
-select distinct src, dst from (
-  select worker || '::' || server || '->Comm.' || t || '.PUSH_REQ' as src, server || '::' || worker || '->Comm.' || t || '.PUSH_RES' as dst from x
-  union all select server || '::' || worker || '->Comm.' || t || '.PUSH_RES', worker || '::' || server || '->Comm.' || t || '.PULL_REQ' from x
-  union all select worker || '::' || server || '->Comm.' || t || '.PULL_REQ', server || '::' || worker || '->Comm.' || t || '.PULL_RES' from x
-  union all select server || '->' || t || '.COPY_MERGED', server || '::' || worker || '->Comm.' || t || '.PULL_RES' from x
-  union all select worker || '::' || server || '->Comm.' || t || '.PUSH_REQ', server || '->' || t || '.COPY_FIRST' from x
-  union all select server || '->' || t || case when k = 0 then '.COPY_FIRST' else '.SUM' || (k - 1) end, server || '->' || t || '.SUM' || k from i
-  union all select server || '->' || t || '.SUM' || k, server || '->' || t || '.COPY_MERGED' from i where k = 1)""",
+    with_comm(
+        """
+select distinct trial, src, dst from (
+  select trial, worker || '::' || server || '->Comm.' || t || '.PUSH_REQ' as src, server || '::' || worker || '->Comm.' || t || '.PUSH_RES' as dst from x
+  union all select trial, server || '::' || worker || '->Comm.' || t || '.PUSH_RES', worker || '::' || server || '->Comm.' || t || '.PULL_REQ' from x
+  union all select trial, worker || '::' || server || '->Comm.' || t || '.PULL_REQ', server || '::' || worker || '->Comm.' || t || '.PULL_RES' from x
+  union all select trial, server || '->' || t || '.COPY_MERGED', server || '::' || worker || '->Comm.' || t || '.PULL_RES' from x
+  union all select trial, worker || '::' || server || '->Comm.' || t || '.PUSH_REQ', server || '->' || t || '.COPY_FIRST' from x
+  union all select trial, server || '->' || t || case when k = 0 then '.COPY_FIRST' else '.SUM' || (k - 1) end, server || '->' || t || '.SUM' || k from i
+  union all select trial, server || '->' || t || '.SUM' || k, server || '->' || t || '.COPY_MERGED' from i where k = workers - 2
+  union all select trial, server || '->' || t || '.COPY_FIRST', server || '->' || t || '.COPY_MERGED' from x where workers = 1)""",
+        _PARTS,
+    ),
 )
 def ps_edges(spark, d):
     """Push and pull of every tensor of every server, for the devices of its trial."""
@@ -108,34 +137,63 @@ def ps_edges(spark, d):
     return graph.ps_edges(parts.join(workers.select("trial", F.col("pid").alias("worker"), "workers"), "trial"))
 
 
-_STEP = """ev as (select *, pid || '->' || name || '~>' || event_seq as node from silver where step is not null and trial is not null and cat is not null),
-nx as (select *, lead(node) over (partition by trial, pid, step, cat order by ts_us, event_seq) n1,
+_STEP = """ev as (select * replace (string_split(name, '.')[2] as op_name, string_split(name, '.')[3] as sub_op), pid || '->' || name || '~>' || event_seq as node, ts_us + dur_us as end_us from silver where step is not null and trial is not null and cat is not null),
+nx as (select *, lead(node) over c n1, lead(ts_us) over c t1,
   case when cat_fine = 'operator.BW' then first(case when cat = 'Comm' then node end ignore nulls) over w end n2,
+  case when cat_fine = 'operator.BW' then first(case when cat = 'Comm' then ts_us end ignore nulls) over w end t2,
   case when cat = 'Comm' then first(case when cat_fine = 'operator.UPDATE' then node end ignore nulls) over w end n3
-  from ev window w as (partition by trial, pid, step order by ts_us, event_seq rows between 1 following and unbounded following)),
-sedges as (select distinct trial, step, node as src, unnest(list_filter([n1, n2, n3], lambda x: x is not null)) as dst from nx)"""
+  from ev window w as (partition by trial, pid, step order by ts_us, event_seq rows between 1 following and unbounded following),
+    c as (partition by trial, pid, step, cat order by ts_us, event_seq)),
+gp as (select *, case when t1 - end_us between 0 and 999 then t1 - end_us else 0 end g1, case when t2 - end_us between 0 and 999 then t2 - end_us else 0 end g2 from nx),
+bars as (select trial, step, op_name, max(ts_us) as at_us, 'all->Comm.' || op_name || '.Sync~>barrier' as bar from gp
+  where cat = 'Comm' and sub_op = 'Sync' group by trial, step, op_name having count(distinct pid) > 1),
+sedges as (select trial, step, node as src, n1 as dst, dur_us, g1 as gap_us from gp where n1 is not null
+  union all select trial, step, node, n2, dur_us, g2 from gp where n2 is not null
+  union all select trial, step, node, n3, dur_us, 0 from gp where n3 is not null
+  union all select trial, step, node, bar, dur_us, g1 from gp join bars using (trial, step, op_name) where cat = 'Comm' and sub_op = 'Sync'
+  union all select trial, step, bar, node, 0, 0 from gp join bars using (trial, step, op_name) where cat = 'Comm' and sub_op = 'QUEUE' and ts_us > at_us)"""
 
 
 def _steps(spark, d):
-    rows = silver(spark, d, "event_seq", "trial", "step", "cat", "cat_fine").filter("step is not null and trial is not null and cat is not null")
-    return graph.step_graph(rows)
+    rows = silver(spark, d, "event_seq", "trial", "step", "cat", "cat_fine")
+    return graph.step_graph(rows.filter("step is not null and trial is not null and cat is not null"))
 
 
-@query("step_edges", with_trace("select * from sedges", _STEP))
+@query("step_edges", with_trace("select trial, step, src, dst, gap_us::bigint as gap_us from sedges", _STEP))
 def step_edges(spark, d):
+    """The graph of each step over all devices of its trial."""
     return _steps(spark, d)[1]
 
 
 @query(
     "edge_cost",
-    with_trace("select e.trial, e.step, e.src, e.dst, round(v.dur_us / 1000, 6) as cost_ms from sedges e join ev v on v.trial = e.trial and v.step = e.step and v.node = e.src", _STEP),
+    with_trace("select trial, step, src, dst, round(round(dur_us / 1000, 6) + gap_us / 1000, 6) as cost_ms from sedges", _STEP),
 )
 def edge_cost(spark, d):
     nodes, edges = _steps(spark, d)
     return graph.edge_costs(edges, nodes, ["trial", "step"])
 
 
-KEY = ["trial", "step"]
+@query(
+    "critical_length",
+    "with recursive"
+    + with_trace(
+        "select trial, step, round(max(dist), 3) as length_ms from dist group by trial, step",
+        _STEP
+        + """,
+ce as (select trial, step, src, dst, round(dur_us / 1000, 6) + gap_us / 1000 as cost from sedges),
+dist(trial, step, node, dist) using key (trial, step, node) as (
+  select trial, step, node, 0.0::double from (select trial, step, node from ev union select trial, step, bar from bars)
+  union
+  select e.trial, e.step, e.dst, max(d.dist + e.cost) from dist d join ce e on e.trial = d.trial and e.step = d.step and e.src = d.node
+    join recurring.dist o on o.trial = e.trial and o.step = e.step and o.node = e.dst
+  where d.dist + e.cost > o.dist + 1e-9 group by e.trial, e.step, e.dst)""",
+    )[4:],
+)
+def critical_length(spark, d):
+    """Length of each step's critical path over all devices of its trial."""
+    paths = graph.critical_paths(*_steps(spark, d), KEY)
+    return paths.groupBy(*KEY).agg(F.round(F.sum("cost_ms"), 3).alias("length_ms"))
 
 
 @query("critical_path")

@@ -291,7 +291,7 @@ def accumulated_replay(spark, d):
     from tracequarry.operators import kernels
 
     nodes, edges = _steps(spark, d)
-    return graph.scenarios(*models.accumulated(nodes.select(*KEY, "node", "avg_ms"), edges, KEY), KEY, {"accumulated": kernels.Delays()})
+    return graph.scenarios(*models.accumulated(nodes, edges, KEY), KEY, {"accumulated": kernels.Delays()})
 
 
 @query(
