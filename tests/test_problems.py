@@ -242,6 +242,7 @@ def test_retyped_in_few_files_loses_nothing(spark):
     rows += [
         (0, 90, json.dumps({"ph": "X", "ts": "soon", "cat": "op", "args": {"n": "many", "on": 7, "odd": [1], "mem": 5}}), ""),
         (0, 91, json.dumps({"ph": "X", "ts": 1, "args": {"n": 2**70}}), ""),
+        (0, 94, json.dumps({"ph": "X", "ts": 10**400, "args": {"n": 10**400}}), ""),
         (0, 92, json.dumps({"ph": "X", "ts": 1, "args": [1, 2]}), ""),
         (0, 93, json.dumps({"ph": "X", "ts": 1, "args": {"n": 2**63 - 1}}), ""),
     ]
@@ -253,6 +254,7 @@ def test_retyped_in_few_files_loses_nothing(spark):
     assert odd.args["mem"] == "5" and odd.args["n"] is None and odd.args["on"] is None
     assert json.loads(odd.rest) == {"ts": "soon", "cat": "op", "args": {"n": "many", "on": 7, "odd": [1]}}
     assert json.loads(events[0, 91].rest) == {"args": {"n": 2**70}} and json.loads(events[0, 92].rest) == {"args": [1, 2]}
+    assert json.loads(events[0, 94].rest) == {"ts": 10**400, "args": {"n": 10**400}} and events[0, 94].ts is None
     assert events[0, 93].args["n"] == 2**63 - 1 and events[0, 93].rest is None
 
 

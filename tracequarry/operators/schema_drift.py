@@ -63,14 +63,20 @@ def members(args: Any) -> dict:
     return args if isinstance(args, dict) else {}
 
 
+#: JSON types by the class that a value is read as.
+_TYPES = {type(None): "null", bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+
+
 def json_type(v: Any) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, (int, float)):
-        return "number"
-    return {str: "string", list: "array"}.get(type(v), "object")
+    return _TYPES[type(v)]
+
+
+def json_types(values: list) -> dict[str, int]:
+    """How many of the values have each type."""
+    out: dict[str, int] = {}
+    for kind, n in Counter(map(type, values)).items():
+        out[_TYPES[kind]] = out.get(_TYPES[kind], 0) + n
+    return out
 
 
 def is_phase(v: Any) -> bool:
@@ -106,22 +112,19 @@ def traits(values: list, at: str = "") -> Counter:
     of arrays and members of objects are counted under ``e``.
     """
     out: Counter = Counter()
-    numbers, texts, below = [], [], []
+    by: dict[type, list] = defaultdict(list)
     for v in values:
-        if isinstance(v, bool):
-            out[at + "k:bool"] += 1
-        elif isinstance(v, (int, float)):
-            numbers.append(v)
-        elif isinstance(v, str):
-            texts.append(v)
-        elif isinstance(v, list):
-            out[at + "k:list"] += 1
-            below += v
-        elif isinstance(v, dict):
-            out[at + "k:object"] += 1
-            below += v.values()
-            for k in v:
-                out[f"{at}o:{k}"] += 1
+        by[type(v)].append(v)
+    numbers, texts, below = by[int] + by[float], by[str], []
+    for kind, name in ((bool, "bool"), (list, "list"), (dict, "object")):
+        if by[kind]:
+            out[f"{at}k:{name}"] += len(by[kind])
+    for v in by[list]:
+        below += v
+    for v in by[dict]:
+        below += v.values()
+        for k in v:
+            out[f"{at}o:{k}"] += 1
     for text, n in Counter(texts).items():
         if _NUMBER.match(text):
             numbers += [float(text)] * n
@@ -134,7 +137,10 @@ def traits(values: list, at: str = "") -> Counter:
             for k, m in _classes(text).items():
                 out[f"{at}c:{k}"] += n * m
     if numbers:
-        x = np.array([float(v) for v in numbers])
+        try:
+            x = np.array(numbers, float)
+        except OverflowError:  # whole numbers of any length
+            x = np.array([v if abs(v) < 1e300 else math.inf for v in numbers], float)
         x = x[np.isfinite(x)]
         whole = x == np.floor(x)
         out[at + "k:num"] += len(x)
@@ -171,7 +177,7 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for level, found in (("top.", tops), ("args.", inner)):
             for (f, key), values in found.items():
                 field = key if level == "top." and key == "args" else level + key
-                counts = Counter({f"type:{t}": n for t, n in Counter(map(json_type, values)).items()})
+                counts = Counter({f"type:{t}": n for t, n in json_types(values).items()})
                 counts["present"] = len(values)
                 if level == "args.":
                     counts.update(traits(values))
@@ -541,7 +547,7 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
     def number(v: Any) -> float | None:
         try:
             return float(v) if not isinstance(v, bool) and v is not None else None
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, OverflowError):
             return None
 
     def text(v: Any) -> str | None:
