@@ -155,7 +155,7 @@ def productive(tables: frozenset[str]) -> dict[tuple[str, str], Step]:
 
 
 def _text(v: Any) -> str | None:
-    return v if v is None or isinstance(v, str) else json.dumps(v)
+    return v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False)
 
 
 def _number(v: Any) -> float | None:
@@ -336,5 +336,6 @@ def flat_table(df: DataFrame, name: str, record_id: str = "record_id", raw: str
     record delivered again with another text under the same id gives the rows
     of both texts, each once.
     """
-    rows = flat_nodes(df, record_id, raw, (name,)).select(*SUPERTYPES[name], "variant")
+    several = sum(t == name for t, _ in SUBTYPES) > 1
+    rows = flat_nodes(df, record_id, raw, (name,)).select(*SUPERTYPES[name], *(["variant"] if several else []))
     return rows.distinct() if name == "tensors" else rows
