@@ -166,9 +166,9 @@ def dtype_bytes(dtype: Column) -> Column:
 
 
 def tensor_bytes(shape: Column, dtype: Column) -> Column:
-    """Size of a tensor; null where a dimension or the type is unknown."""
-    elements = F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, x: F.when(x >= 0, a * x))
-    return elements * dtype_bytes(dtype)
+    """Size of a tensor; null where a dimension or the type is unknown, or the size no bigint."""
+    elements = F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, x: F.when(x >= 0, F.try_multiply(a, x)))
+    return F.try_multiply(elements, dtype_bytes(dtype))
 
 
 def priority(name: Column) -> Column:

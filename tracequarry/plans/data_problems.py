@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.operators import intervals, nested, schema_drift, sessions, spikes
+from tracequarry.plans.sql import NESTED, opened, text
 from tracequarry.session import table
 
 SESSION_GAP_US = 5_000_000
@@ -91,73 +92,25 @@ g as (select *, sum(b) over (partition by pid order by ts_us, event_seq) k from
 select pid, min(ts_us) as start_us, max(ts_us) as end_us, count(*) as n_events, count(distinct st) as n_steps{{more}}
 from g group by pid, k"""
 
-
-
-def _opened(x: str) -> str:
-    """A JSON text in place of an object or array counts as what it holds."""
-    space = "' ' || chr(9) || chr(10) || chr(13)"
-    x = f"({x})"
-    text = f"({x} ->> '$')"
-    return (
-        f"case when json_type({x}) = 'VARCHAR' and left(ltrim({text}, {space}), 1) in ('{{', '[') and json_valid({text}) "
-        f"then {text}::json else {x} end"
-    )
-
-
-def _text(x: str) -> str:
-    x = f"({x})"
-    return f"case when json_type({x}) = 'VARCHAR' then {x} ->> '$' when json_type({x}) <> 'NULL' then {x}::varchar end"
-
-
-#: Records, their operations at any depth (op) and their events (ev), each with its node.
-_NESTED = f"""r as (select distinct record_id, raw from op_metadata where raw is not null and json_valid(raw)),
-rec as (select record_id, {_opened("raw::json")} as j from r),
-op(record_id, node, parent, key, j) as (
-  select record_id, 'metadata>' || e.key, null::varchar, e.key, {_opened("e.value")}
-  from (select record_id, {_opened("j -> '$.metadata'")} m from rec where json_type(j) = 'OBJECT') t, json_each(t.m) e where json_type(t.m) in ('OBJECT', 'ARRAY')
-  union all
-  select record_id, node || '>fused>' || e.key, node, e.key, {_opened("e.value")}
-  from (select record_id, node, {_opened("j -> '$.fused'")} m from op where json_type(j) = 'OBJECT') t, json_each(t.m) e where json_type(t.m) in ('OBJECT', 'ARRAY')),
-ops as (select * from op where json_type(j) = 'OBJECT'),
-ev as (select record_id, 'traceEvents>' || e.key as node, {_opened("e.value")} as j
-  from (select record_id, {_opened("j -> '$.traceEvents'")} m from rec where json_type(j) = 'OBJECT') t, json_each(t.m) e where json_type(t.m) in ('OBJECT', 'ARRAY')),
-evs as (select *, {_opened("j -> '$.args'")} as args from ev where json_type(j) = 'OBJECT'),
-held as (select record_id, node, 'input' as side, {_opened("j -> '$.input'")} as v from ops union all select record_id, node, 'output', {_opened("j -> '$.output'")} from ops
-  union all select record_id, node, 'args', {_opened("args -> '$.inputs'")} from evs where json_type(args) = 'OBJECT'),
-ten as (select record_id, node, side, e.key::bigint as pos, {_opened("e.value")} as v from (select * from held where json_type(v) = 'ARRAY') t, json_each(t.v) e
-  union all select record_id, node, side, 0, v from held where json_type(v) <> 'ARRAY'
-  union all select record_id, node, 'args', try_cast(regexp_extract(e.key, '^input([0-9]+)$', 1) as bigint), {_opened("e.value")}
-    from (select * from evs where json_type(args) = 'OBJECT') t, json_each(t.args) e where regexp_matches(e.key, '^input[0-9]+$')),
-tens as (select record_id, node, side, pos, v, case when json_type(v) = 'OBJECT' then coalesce({_text("v -> '$.name'")}, '') else string_split({_text("v")}, ';')[1] end as name
-  from ten where v is not null and json_type(v) <> 'NULL')"""
-
 ORACLES = {
-    "p7_found": f"with recursive {_NESTED} select distinct record_id, node, side, pos, name as tensor from tens",
-    "p7_operations": f"""with recursive {_NESTED}
-select record_id, node, parent, coalesce(nullif({_text("j -> '$.name'")}, ''), key) as name, {_text("j -> '$.op'")} as kind,
+    "p7_found": f"with recursive {NESTED} select distinct record_id, node, side, pos, name as tensor from tens",
+    "p7_operations": f"""with recursive {NESTED}
+select record_id, node, parent, coalesce(nullif({text("j -> '$.name'")}, ''), key) as name, {text("j -> '$.op'")} as kind,
   case when json_type(f) in ('OBJECT', 'ARRAY') and json_array_length(case when json_type(f) = 'ARRAY' then f else json_keys(f)::json end) > 0
          or json_type(f) = 'VARCHAR' and f ->> '$' <> '' or json_type(f) = 'BOOLEAN' and f::varchar = 'true'
          or json_type(f) in ('UBIGINT', 'BIGINT', 'DOUBLE') and f::double <> 0 then 'fused' else 'plain' end as variant
-from (select *, {_opened("j -> '$.fused'")} as f from ops)""",
-    "p7_events": f"""with recursive {_NESTED}
-select record_id, node, {_text("j -> '$.name'")} as name, {_text("j -> '$.ph'")} as kind,
+from (select *, {opened("j -> '$.fused'")} as f from ops)""",
+    "p7_events": f"""with recursive {NESTED}
+select record_id, node, {text("j -> '$.name'")} as name, {text("j -> '$.ph'")} as kind,
   case when json_type(j -> '$.ts') in ('UBIGINT', 'BIGINT', 'DOUBLE') then (j -> '$.ts')::double end as ts,
   case when json_type(j -> '$.dur') in ('UBIGINT', 'BIGINT', 'DOUBLE') then (j -> '$.dur')::double end as dur,
   case coalesce(json_type(args), 'NULL') when 'NULL' then 'null' when 'BOOLEAN' then 'bool' when 'VARCHAR' then 'text' when 'OBJECT' then 'object' when 'ARRAY' then 'array'
     else 'number' end as variant from evs""",
-    "p7_arguments": f"""with recursive {_NESTED}
-select record_id, node, e.key as name, {_text("e.value")} as value,
+    "p7_arguments": f"""with recursive {NESTED}
+select record_id, node, e.key as name, {text("e.value")} as value,
   case json_type(e.value) when 'NULL' then 'null' when 'BOOLEAN' then 'bool' when 'VARCHAR' then 'text' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as variant
 from (select * from evs where json_type(args) = 'OBJECT') t, json_each(t.args) e""",
-    "p7_dims": rf"""with recursive {_NESTED},
-shp as (select record_id, node, side, pos, case when json_type(v) = 'OBJECT' then {_opened("v -> '$.shape'")}
-    when regexp_matches({_text("v")}, ';\s*shape\s*=') then to_json(trim(regexp_extract({_text("v")}, ';\s*shape\s*=\s*(\([^)]*\)|[^;]*)', 1))) end as s from tens),
-sho as (select record_id, node, side, pos, {_opened("s")} as s from shp)
-select record_id, node, side, pos, (i - 1)::bigint as dim, x as size from (
-  select record_id, node, side, pos, l, generate_subscripts(l, 1) i, unnest(l) x from (
-    select *, case json_type(s) when 'ARRAY' then list_transform(json_extract(s, '$[*]'), lambda y: case when json_type(y) in ('UBIGINT', 'BIGINT', 'DOUBLE') then trunc(y::double)::bigint
-        when json_type(y) = 'BOOLEAN' then (y::varchar = 'true')::bigint when json_type(y) = 'VARCHAR' then try_cast(trim(y ->> '$') as bigint) end)
-      when 'VARCHAR' then list_transform(regexp_extract_all(s ->> '$', '-?[0-9]+'), lambda y: y::bigint) end as l from sho))""",
+    "p7_dims": f"with recursive {NESTED} select record_id, node, side, pos, dim, size from dims",
     "p1_kept": r"""
 with t as (select file_id, trim(raw, ' ' || chr(9) || chr(10) || chr(13) || chr(65279)) a from raw_events where raw is not null and file_id is not null),
 u as (select *, rtrim(a, ', ]' || chr(9)) b, ltrim(rtrim(a, ', ]' || chr(9)), '[, ' || chr(9)) c from t),

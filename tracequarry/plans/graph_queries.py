@@ -9,7 +9,7 @@ from tracequarry.operators import align, costs, graph, kernels, matching
 from tracequarry.operators import nested
 from tracequarry.operators import statistics as st
 from tracequarry.plans.sequence_queries import _EDGES, _PAIRS, dfg_edges
-from tracequarry.plans.sql import colour_case, typed, with_comm, with_trace
+from tracequarry.plans.sql import NESTED, SIZES, colour_case, text, typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import comm, silver
 from tracequarry.session import table
 
@@ -238,7 +238,14 @@ def fusion_clusters(spark, d):
     return graph.fusion_groups(*_steps(spark, d), KEY, 8)
 
 
-@query("dfg_cycles")
+@query(
+    "dfg_cycles",
+    "with recursive"
+    + with_trace(
+        """select distinct c.trial, c.b as node from (select trial, a as b from clo where a = b union all select y.trial, y.b from clo x join clo y on y.trial = x.trial and y.a = x.a where x.a = x.b) c""",
+        _EDGES + """, clo as (select trial, src as a, dst as b from edges union select c.trial, c.a, e.dst from clo c join edges e on e.trial = c.trial and e.src = c.b)""",
+    )[4:],
+)
 def dfg_cycles(spark, d):
     return graph.cycles(dfg_edges(spark, d), ["trial"])
 
@@ -400,21 +407,38 @@ def _sizes(spark, d):
     return rows.withColumn("bytes", names.tensor_bytes(F.transform("s", lambda x: x["size"]), F.col("dtype"))).filter("bytes is not null")
 
 
-@query("tensor_sizes")
+@query(
+    "tensor_sizes",
+    f"with recursive {NESTED}, {SIZES} select record_id, node, side, pos, name, dtype, bytes::bigint as bytes, ceil(bytes / 4096000)::bigint as parts from szs",
+)
 def tensor_sizes(spark, d):
     return _sizes(spark, d).select("record_id", "node", "side", "pos", "name", "dtype", "bytes", costs.partitions(F.col("bytes")).alias("parts"))
 
 
-@query("memory_peak")
+@query(
+    "memory_peak",
+    f"""with recursive {NESTED}, {SIZES},
+h as (select *, bytes >= 1024 as keep, sum(case when bytes >= 1024 then bytes else 0 end) over (partition by record_id order by node, pos, name rows between unbounded preceding and current row) as held
+  from szs where side = 'output')
+select record_id, count(*) as ops, max(held + case when keep then 0 else bytes end)::bigint as forward_peak, max(held + bytes)::bigint as peak,
+  max(held + bytes) * 64 / 32 as batch_64 from h group by record_id""",
+)
 def memory_peak(spark, d):
     """Peak of each record's operations in the order of their nodes; outputs of at least 1 kB are kept."""
     rows = _sizes(spark, d).filter("side = 'output'")
-    schedule = rows.select("record_id", F.struct("node", "pos").alias("seq"), "bytes", F.expr("bytes >= 1024").alias("keep"))
+    schedule = rows.select("record_id", F.struct("node", "pos", "name").alias("seq"), "bytes", F.expr("bytes >= 1024").alias("keep"))
     peaks = costs.memory_peak(schedule, ["record_id"])
     return peaks.withColumn("batch_64", costs.training_memory(F.col("peak"), F.lit(0), 64))
 
 
-@query("op_features")
+@query(
+    "op_features",
+    f"""with recursive {NESTED}, {SIZES},
+io as (select record_id, node, sum(case when side = 'input' then bytes else 0 end)::bigint as s_in, sum(case when side = 'output' then bytes else 0 end)::bigint as s_out
+  from szs where side <> 'args' group by all),
+kinds as (select record_id, node, {text("j -> '$.op'")} as kind from ops)
+select record_id, node, kind, s_in, s_out, round(s_out / greatest(s_in + s_out, 1), 6) as intensity, {colour_case("kind")} as amp_colour from io join kinds using (record_id, node)""",
+)
 def op_features(spark, d):
     """Bytes in and out, elements and intensity of each operation of the metadata records."""
     side = lambda s: F.sum(F.when(F.col("side") == s, F.col("bytes")).otherwise(0))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tracequarry.functions import names
 from tracequarry.operators import costs, graph, models, nested
 from tracequarry.operators import statistics as st
-from tracequarry.plans.graph_queries import _GROUPS, KEY, _groups, _ring, _steps
+from tracequarry.plans.graph_queries import _GROUPS, _RANKS, _TENSORS, KEY, _groups, _ring, _steps
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
-from tracequarry.plans.sql import COMM, quoted, typed, with_comm, with_trace
+from tracequarry.plans.sql import COMM, NESTED, quoted, text, typed, with_comm, with_trace
 from tracequarry.plans.statistics_queries import comm, silver
 from tracequarry.session import table
 from tracequarry.sources.sinks import painted
@@ -114,14 +114,15 @@ def kernel_dedupe(spark, d):
 
 @query(
     "elementary_fallback",
-    with_trace(
+    "with recursive"
+    + with_trace(
         """
 select op_name, kind, coalesce(e, f, 0) as estimate, case when e is not null then 'exact' when f is not null then 'kind' else 'none' end as source
-from (select distinct op_name, kind from k)
-left join (select op_name, round(avg(y), 6) e from k where length(op_name) % 3 <> 0 group by op_name) using (op_name)
-left join (select kind, round(avg(y), 6) f from k where length(op_name) % 3 <> 0 group by kind) using (kind)""",
-        _KERNELS,
-    ),
+from (select op_name, kind from k union select n, regexp_replace(string_split(n, '/')[-1], '(_[0-9]+)$', '') from named where n is not null)
+left join (select op_name, round(avg(y), 6) e from k group by op_name) using (op_name)
+left join (select kind, round(avg(y), 6) f from k group by kind) using (kind)""",
+        _KERNELS + f", {NESTED}, named as (select coalesce(nullif({text("j -> '$.name'")}, ''), key) as n from ops)",
+    )[4:],
 )
 def elementary_fallback(spark, d):
     """Times of all operations: measured ones by their own mean, those that op_metadata alone names by their kind's."""
@@ -134,8 +135,14 @@ def elementary_fallback(spark, d):
 
 @query(
     "replicated_sums",
-    r"""with o as (select distinct on (event_seq) event_seq, pid, name, string_split(name, '.')[3] as op from server_events where event_seq is not null and pid is not null and name is not null)
-select event_seq, pid, op, unnest(case when op = 'SUM' then [0, 1] else [0] end) as copy from o""",
+    with_comm(
+        """
+select event_seq, pid, op, unnest(case when op = 'SUM' then range(w - 1) else range(1) end)::int as copy
+from (select event_seq, o.pid, op, coalesce(n, 2) as w from o left join (select distinct trial, n from ranks) using (trial))""",
+        _RANKS
+        + """, o as (select distinct event_seq, trial, pid, name, string_split(name, '.')[3] as op from server_events
+  where event_seq is not null and pid is not null and name is not null)""",
+    ),
 )
 def replicated_sums(spark, d):
     """Server operations for the devices of their trial; a sum of a trial without known devices stays as it is."""
@@ -314,7 +321,10 @@ def kernel_features(spark, d):
     )
 
 
-@query("ring_chunks", "select r::int as rank, s::int as step, (r - s + 16) % 8 as chunk from unnest(range(8)) a(r), unnest(range(8)) b(s)")
+@query(
+    "ring_chunks",
+    with_comm("select trial, pid, rank::int as rank, s::int as step, ((rank - s + n) % n)::int as chunk from ranks, unnest(range(n)) x(s)", _RANKS),
+)
 def ring_chunks(spark, d):
     """The chunk that each device of a trial sends in each step of a round of its ring."""
     ranks = _ring(spark, d)[1]
@@ -340,9 +350,20 @@ def op_layers(spark, d):
 
 @query(
     "larger_cluster",
-    """with g as (select explode from (select unnest(range(6)) as explode))
-select 'Comm.0' as tensor, 'r' || a.explode as pid, 'r' || ((a.explode + 1) % 6) as next_pid, k::int as step, ((a.explode - k + 12) % 6)::int as chunk
-from g a, unnest(range(10)) s(k)""",
+    with_comm(
+        """
+select p.trial, 'Comm.' || p.tensor as tensor, p.l::int as loop, p.c::int as channel, p.z::int as slice, 'r' || a.i as pid, 'r' || ((a.i + 1) % 6) as next_pid,
+  k::int as step, ((a.i - k + 12) % 6)::int as chunk, round(scale * coalesce(f.send, q.send), 6) as send_us, round(scale * coalesce(f.recv, q.recv), 6) as recv_us
+from (select t.*, (n - 1) / 5.0 as scale, l, c, z from tensors t join (select distinct trial, n from ranks) using (trial),
+    unnest(range(loops)) x(l), unnest(range(channels)) y(c), unnest(range(slices)) w(z)) p
+left join fine f on f.trial = p.trial and f.tensor = p.tensor and f.l = p.l and f.c = p.c and f.z = p.z
+left join allof q on q.trial = p.trial and q.tensor = p.tensor, unnest(range(6)) a(i), unnest(range(10)) b(k)""",
+        _TENSORS
+        + r""", sr as (select trial, regexp_extract(name, '^Comm[.]([0-9+]+)[.]', 1) tensor, string_split(name, '.')[3] op, args.loop_id l, args.channel_id c, args.slice_id z, dur_us
+  from comm_ok where regexp_matches(name, '^Comm[.][0-9+]+[.](SEND|RECV)$') and trial is not null),
+fine as (select trial, tensor, l, c, z, avg(dur_us) filter (op = 'SEND') send, avg(dur_us) filter (op = 'RECV') recv from sr group by all),
+allof as (select trial, tensor, avg(dur_us) filter (op = 'SEND') send, avg(dur_us) filter (op = 'RECV') recv from sr group by all)""",
+    ),
 )
 def larger_cluster(spark, d):
     """All tensors on a ring of six devices, projected from each trial's profile."""
