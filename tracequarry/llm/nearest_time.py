@@ -100,17 +100,20 @@ def _matcher(tolerance: int, shift: int) -> Callable[[Iterator[pd.DataFrame]], I
         return pd.DataFrame({"left_id": i[leaf[ok]], "right_id": qid[ok]})
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # parts of the last block, put together once when it ends
+        key: tuple | None = None
         for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
             entity, block = pdf["entity"].to_numpy(object), pdf["block"].to_numpy()
             last = (entity == entity[-1]) & (block == block[-1])
-            held = pdf[last]
-            if not last.all():
-                yield match(pdf[~last])
-        if held is not None:
-            yield match(held)
+            if last.all() and key == (entity[-1], block[-1]):
+                held.append(pdf)
+                continue
+            yield match(pd.concat([*held, pdf[~last]], ignore_index=True))
+            held, key = [pdf[last]], (entity[-1], block[-1])
+        if held:
+            yield match(pd.concat(held, ignore_index=True))
 
     return body
 
