@@ -274,9 +274,10 @@ def test_bypass_reach_hops(spark):
 
 
 def test_shifts():
-    s = align.least_shifts([("h1", "h0", 5.0), ("h0", "h1", -2.0)])
+    s, missed = align.least_shifts([("h1", "h0", 5.0), ("h0", "h1", -2.0)])
+    assert missed == 0.0 and align.least_shifts([("h1", "h0", 5.0), ("h0", "h1", -7.0)])[1] > 0.5
     assert s["h0"] == 0 and s["h1"] == pytest.approx(2.0)
-    assert align.least_shifts([]) == {}
+    assert align.least_shifts([]) == ({}, 0.0)
 
 
 def test_host_drift(spark):

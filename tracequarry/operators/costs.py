@@ -174,29 +174,33 @@ def checkpoints(ops: DataFrame, key: list[str], share: float = 0.1) -> DataFrame
     return rows.filter(F.col("place") <= F.floor(F.col("n") * share)).drop("n")
 
 
-def dispersed(points: np.ndarray, p: int, seed: int = 0, rounds: int = 50) -> list[int]:
-    """``p`` points with large distances between them: farthest-first, then exchanges that raise the sum."""
+def dispersed(points: np.ndarray, p: int, seed: int = 0) -> list[int]:
+    """``p`` points with large distances between them: farthest-first, then exchanges that raise the sum until none does.
+
+    Distances to the chosen points only are held, so space grows with the points.
+    """
     rng = np.random.default_rng(seed)
     n = len(points)
-    dist = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
+    to = lambda i: np.sqrt(((points - points[i]) ** 2).sum(-1))
     chosen = [int(rng.integers(n))]
+    dist = [to(chosen[0])]
     while len(chosen) < min(p, n):
-        near = dist[:, chosen].min(1)
+        near = np.min(dist, axis=0)
         near[chosen] = -1
         chosen.append(int(near.argmax()))
-    for _ in range(rounds):
-        total = dist[:, chosen].sum(1)
-        best = (1e-12, -1, -1)
+        dist.append(to(chosen[-1]))
+    while True:
+        total = np.sum(dist, axis=0)
+        best = (1e-9 * max(1.0, float(total[chosen].sum())), -1, -1)
         for i, c in enumerate(chosen):
-            gain = total - dist[:, c] - total[c]
+            gain = total - dist[i] - total[c]
             gain[chosen] = -np.inf
             j = int(gain.argmax())
             if gain[j] > best[0]:
                 best = (float(gain[j]), i, j)
         if best[1] < 0:
-            break
-        chosen[best[1]] = best[2]
-    return sorted(chosen)
+            return sorted(chosen)
+        chosen[best[1]], dist[best[1]] = best[2], to(best[2])
 
 
 def _farthest(points: np.ndarray, p: int) -> list[int]:
@@ -237,7 +241,7 @@ def dispersed_per_key(df: DataFrame, key: str, ident: str, vector: str, p: int,
     while True:
         rows = cut(rows.mapInPandas(thin, schema))
         most = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-        if most <= few or most == before:
+        if most <= few or (most == before and rows.rdd.getNumPartitions() == 1):
             break
         before = most
         rows = rows.repartition(max(1, rows.rdd.getNumPartitions() // 8), key, F.pmod(F.xxhash64(ident), F.lit(max(1, most // few))))

@@ -5,25 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of the blocks of time that interval joins compare, in bits of microseconds.
+#: Width of the finest blocks of time that interval joins compare, in bits of microseconds.
 BLOCK_BITS = 9
+#: Blocks of the next level are so many bits wider; spans of any length fill at most 2 ** LEVEL_BITS + 1 blocks of theirs.
+LEVEL_BITS = 6
+LEVELS = 8
 
 
-def _blocks(start: Column, end: Column, bits: int) -> Column:
-    return F.explode(F.sequence(F.shiftright(start, bits), F.shiftright(end, bits)))
+def _level(length: Column, bits: int) -> Column:
+    """Level of blocks for a span: the finest in which it fills few."""
+    out = F.lit(LEVELS - 1)
+    for i in reversed(range(LEVELS - 1)):
+        out = F.when(length <= F.lit(1 << min(62, bits + LEVEL_BITS * (i + 1))), i).otherwise(out)
+    return out
+
+
+def _width(level: Column, bits: int) -> Column:
+    return F.least(level * LEVEL_BITS + bits, F.lit(62)).cast("int")
+
+
+def _blocked(spans: DataFrame, bits: int) -> DataFrame:
+    """Spans [start_us, end_us) with each block of their level that they meet."""
+    rows = spans.filter("end_us > start_us").withColumn("_level", _level(F.col("end_us") - F.col("start_us"), bits))
+    shift = lambda c: F.call_function("shiftright", c, _width(F.col("_level"), bits))
+    return rows.withColumn("_block", F.explode(F.sequence(shift(F.col("start_us")), shift(F.col("end_us") - 1))))
+
+
+def _probed(points: DataFrame, lo: Column, hi: Column, bits: int) -> DataFrame:
+    """Points with each block of each level that [lo, hi] meets."""
+    levels = F.explode(F.array(*[F.lit(i) for i in range(LEVELS)]))
+    rows = points.withColumns({"_lo": lo, "_hi": hi}).withColumn("_level", levels)
+    shift = lambda c: F.call_function("shiftright", F.col(c), _width(F.col("_level"), bits))
+    return rows.withColumn("_block", F.explode(F.sequence(shift("_lo"), shift("_hi"))))
 
 
 def touching(points: DataFrame, spans: DataFrame, key: list[str], lo: Column, hi: Column, bits: int = BLOCK_BITS) -> DataFrame:
-    """Rows of ``points`` (with an ``id``) whose probe [lo, hi] meets a span [start_us, end_us) of the same key.
+    """Rows of ``points`` (with an ``id``) whose short probe [lo, hi] meets a span [start_us, end_us) of the same key.
 
     Probes and spans are put into blocks of time, so the join is an equality
-    of key and block; only the ends that lie in a common block are compared.
+    of key, level and block; only the ends that lie in a common block are
+    compared. A span goes into the blocks of one level, by its length, so a
+    long one fills as few as a short one; a probe looks into all levels.
     """
-    probes = points.select("id", *key, lo.alias("_lo"), hi.alias("_hi"))
-    probes = probes.withColumn("_block", _blocks(F.col("_lo"), F.col("_hi"), bits))
-    busy = spans.select(*key, "start_us", "end_us").filter("end_us > start_us")
-    busy = busy.withColumn("_block", _blocks(F.col("start_us"), F.col("end_us") - 1, bits))
-    met = probes.join(busy, [*key, "_block"]).filter("_lo < end_us and _hi >= start_us")
+    probes = _probed(points.select("id", *key, lo.alias("_from"), hi.alias("_to")), F.col("_from"), F.col("_to"), bits)
+    busy = _blocked(spans.select(*key, "start_us", "end_us"), bits)
+    met = probes.join(busy, [*key, "_level", "_block"]).filter("_lo < end_us and _hi >= start_us")
     return points.join(met.select("id").distinct(), "id", "left_semi")
 
 
@@ -35,10 +61,9 @@ def not_touching(points: DataFrame, spans: DataFrame, key: list[str], lo: Column
 
 def within_spans(points: DataFrame, spans: DataFrame, key: list[str], bits: int) -> DataFrame:
     """Pairs of a span (span_id) and the points (id, at_us) that lie in [start_us, end_us)."""
-    inner = points.select("id", *key, "at_us").withColumn("_block", F.shiftright("at_us", bits))
-    outer = spans.select("span_id", *key, "start_us", "end_us").filter("end_us > start_us")
-    outer = outer.withColumn("_block", _blocks(F.col("start_us"), F.col("end_us") - 1, bits))
-    return outer.join(inner, [*key, "_block"]).filter("at_us >= start_us and at_us < end_us").select("span_id", "id")
+    inner = _probed(points.select("id", *key, "at_us"), F.col("at_us"), F.col("at_us"), bits)
+    outer = _blocked(spans.select("span_id", *key, "start_us", "end_us"), bits)
+    return outer.join(inner, [*key, "_level", "_block"]).filter("at_us >= start_us and at_us < end_us").select("span_id", "id")
 
 
 def numbered(events: DataFrame, keys: list[str], name: str = "occurrence") -> DataFrame:

@@ -171,9 +171,10 @@ def heat(history: DataFrame, key: list[str], step: str, gain: str, window: int =
 
 def max_normalised(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns divided by their largest value (0 where that is 0)."""
-    tops = df.agg(*[F.max(F.col(c).cast("double")).alias(c) for c in columns]).first()  # one row
-    scaled = {c: F.col(c) / F.lit(tops[c]) if tops[c] else F.lit(0.0) for c in columns}
-    return df.withColumns(scaled)
+    tops = df.agg(F.struct(*[F.max(F.col(c).cast("double")).alias(c) for c in columns]).alias("tops")).scalar()  # one row, in the same plan
+    return df.withColumn("_tops", tops).withColumns(
+        {c: F.when(F.col("_tops")[c] != 0, F.col(c) / F.col("_tops")[c]).otherwise(0.0) for c in columns}
+    ).drop("_tops")
 
 
 # -------------------------------------------------------------------- joins

@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: About 72 minutes of microseconds.
-SLOT_BITS = 32
+#: About 18 minutes of microseconds: what one task of a window holds of a key.
+SLOT_BITS = 30
 
 _OPS = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b),
@@ -43,7 +43,8 @@ def running(
     """
     slot, order = "_slot", [ts, *ties]
     src = df.dropna(subset=[*keys, ts]).withColumn(slot, F.shiftright(F.col(ts), slot_bits))
-    src = src.withColumns({f"_in_{k}": v for k, (_, v) in values.items()})
+    # one shuffle serves the window, the slots' ends and the join
+    src = src.withColumns({f"_in_{k}": v for k, (_, v) in values.items()}).repartition(*keys, slot)
     inner = Window.partitionBy(*keys, slot).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     at = F.struct(*order)

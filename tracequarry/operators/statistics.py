@@ -58,24 +58,36 @@ def op_stats(events: DataFrame) -> DataFrame:
     """Per device and operation: count, min, max, mean, variance and upper median, in ms.
 
     The upper median is the element at ``count / 2`` of the sorted durations.
-    It is found by counting equal durations first, so no list of a busy
-    operation's durations is ever made.
+    Durations are counted by ranges (quarter octaves) first, where the rows
+    are; the ranges' counts tell which one holds the median and at which
+    place, and only its durations are then counted and ordered. So no task
+    gets a busy operation's rows.
     """
     key = ["pid", "name", "cat_fine"]
-    values = events.groupBy(*key, "dur_us").agg(F.count(F.lit(1)).alias("n"))
-    span = Window.partitionBy(*key)
-    upto = span.orderBy("dur_us").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("upto", F.sum("n").over(upto)).withColumn("cnt", F.sum("n").over(span))
     d = F.col("dur_us").cast("decimal(18,0)")
-    stats = ranked.groupBy(*key).agg(
+    part = F.floor(F.log2(F.col("dur_us") + 1.0) * 4).cast("int")
+    ranges = events.groupBy(*key, part.alias("_range")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("dur_us").alias("_min"), F.max("dur_us").alias("_max"), F.sum(d).alias("_s"), F.sum(d * d).alias("_q")
+    )
+    span = Window.partitionBy(*key)  # a row per range
+    upto = span.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumns({"_upto": F.sum("n").over(upto), "cnt": F.sum("n").over(span)})
+    middle = F.floor(F.col("cnt") / 2)
+    inside = (F.col("_upto") > middle) & (F.col("_upto") - F.col("n") <= middle)
+    stats = ranges.groupBy(*key).agg(
         F.max("cnt").alias("cnt"),
-        F.min("dur_us").alias("_min"),
-        F.max("dur_us").alias("_max"),
-        F.sum(d * F.col("n")).alias("_s"),
-        F.sum((d * d).cast("decimal(36,0)") * F.col("n").cast("decimal(12,0)")).alias("_q"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("cnt") / 2), F.col("dur_us"))).alias("_median"),
+        F.min("_min").alias("_min"),
+        F.max("_max").alias("_max"),
+        F.sum("_s").alias("_s"),
+        F.sum("_q").alias("_q"),
+        F.max(F.when(inside, F.col("_range"))).alias("_range"),
+        F.max(F.when(inside, middle - (F.col("_upto") - F.col("n")))).alias("_at"),
     )
-    return stats.select(
+    values = events.groupBy(*key, part.alias("_range"), "dur_us").agg(F.count(F.lit(1)).alias("n"))
+    wanted = values.join(stats.select(*key, "_range", "_at"), [*key, "_range"])
+    ordered = wanted.withColumn("_upto", F.sum("n").over(span.orderBy("dur_us").rowsBetween(Window.unboundedPreceding, 0)))
+    medians = ordered.groupBy(*key).agg(F.min(F.when(F.col("_upto") > F.col("_at"), F.col("dur_us"))).alias("_median"))
+    return stats.join(medians, key).select(
         *key,
         "cnt",
         ms(F.col("_min")).alias("min_ms"),

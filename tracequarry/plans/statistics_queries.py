@@ -158,6 +158,23 @@ def compare_trials(spark, d):
     return st.compare(events.filter("trial = 't000000'"), events.filter("trial <> 't000000'"))
 
 
+@query(
+    "compare_devices",
+    with_trace(
+        """
+select name, round(va, 6) as avg_a, round(vb, 6) as avg_b, round(vb - va, 6) as absolute, round(case when va <> 0 then (vb - va) / va end, 6) as relative
+from (select name, sum(dur_us) / count(*) / 1000 va from silver where pid in (select pid from firsts) group by name)
+join (select name, sum(dur_us) / count(*) / 1000 vb from silver where trial is not null and pid not in (select pid from firsts) group by name) using (name)""",
+        "firsts as (select min(pid) as pid from silver where trial is not null group by trial)",
+    ),
+)
+def compare_devices(spark, d):
+    """The first device of each trial against the others, as ``compare_trials`` does for trials."""
+    events = silver(spark, d, "trial").filter("trial is not null")
+    first = events.groupBy("trial").agg(F.min("pid").alias("pid")).select("pid").distinct()
+    return st.compare(events.join(first, "pid", "left_semi"), events.join(first, "pid", "left_anti"))
+
+
 @query(
     "mode_count_filter",
     with_comm(

@@ -97,7 +97,7 @@ def kernel_features(spark: SparkSession, path: str) -> DataFrame:
     (path, kernel_type, kernel_hash, pos, op, opcode, out_type, out_dims, op_hash)
     """
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), "\n").alias("l"))
-    rows = text.select("path", F.split(F.col("l")[0], ",").alias("h"), F.posexplode(F.slice("l", 2, 1_000_000)).alias("pos", "line"))
+    rows = text.select("path", F.split(F.col("l")[0], ",").alias("h"), F.posexplode(F.slice("l", F.lit(2), F.size("l"))).alias("pos", "line"))
     x = F.split("line", ",")
     last = lambda i: F.get(x, F.size(x) - i)
     return rows.select(

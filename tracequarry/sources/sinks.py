@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.operators.chunks import global_number
+from tracequarry.session import stored
+
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Parquet, partitioned by the given columns."""
@@ -48,25 +50,34 @@ def painted(events: DataFrame, label: Column) -> DataFrame:
 
 
 def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
-    """One CSV folder per sheet, sorted by its first column."""
+    """One CSV folder per sheet, sorted by its first column over its files."""
     for name, df in sheets.items():
-        df.orderBy(df.columns[0]).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        df.orderBy(df.columns[0]).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
 def write_gml(edges: DataFrame, path: str) -> None:
-    """A graph as GML text; for graphs that a viewer can show."""
-    rows = edges.select("src", "dst").distinct().orderBy("src", "dst").collect()
-    names = {n: i for i, n in enumerate(sorted({x for r in rows for x in (r["src"], r["dst"])}))}
-    out = ["graph [", "  directed 1"]
-    out += [f'  node [ id {i} label "{n}" ]' for n, i in names.items()]
-    out += [f"  edge [ source {names[r['src']]} target {names[r['dst']]} ]" for r in rows]
-    Path(path).write_text("\n".join([*out, "]"]) + "\n", encoding="utf-8")
+    """A graph as GML text; nodes and edges are numbered where they are and stream through the driver."""
+    links = edges.select("src", "dst").distinct()
+    ends = links.select(F.col("src").alias("name")).union(links.select("dst")).distinct()
+    ids = stored(global_number(ends, "name", "id"))
+    of = lambda side: ids.select(F.col("name").alias(side), F.col("id").alias(f"{side}_id"))
+    numbered = links.join(of("src"), "src").join(of("dst"), "dst").orderBy("src", "dst")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("graph [\n  directed 1\n")
+        for r in ids.orderBy("id").toLocalIterator():
+            f.write(f'  node [ id {r["id"]} label "{r["name"]}" ]\n')
+        for r in numbered.toLocalIterator():
+            f.write(f"  edge [ source {r['src_id']} target {r['dst_id']} ]\n")
+        f.write("]\n")
 
 
 def write_dot(edges: DataFrame, path: str) -> None:
-    rows = edges.select("src", "dst").distinct().orderBy("src", "dst").collect()
-    body = "".join(f'  "{r["src"]}" -> "{r["dst"]}";\n' for r in rows)
-    Path(path).write_text("digraph {\n" + body + "}\n", encoding="utf-8")
+    """A graph as DOT text; edges stream through the driver."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("digraph {\n")
+        for r in edges.select("src", "dst").distinct().orderBy("src", "dst").toLocalIterator():
+            f.write(f'  "{r["src"]}" -> "{r["dst"]}";\n')
+        f.write("}\n")
 
 
 def cluster_lines(groups: DataFrame) -> DataFrame:
