@@ -77,6 +77,11 @@ def best_parts(size: Column, slow: Column, fast: Column) -> Column:
     return F.greatest(F.lit(1), F.round(F.sqrt(size * slow / fast))).cast("bigint")
 
 
+def of_types(rows: DataFrame, kind: str, types: list[str], show_all: bool = False) -> DataFrame:
+    """Rows whose operation type holds one of ``types``, or all of them."""
+    return rows if show_all else rows.filter(F.col(kind).rlike("|".join(types)))
+
+
 def partitions(size: Column, most: int = PARTITION_BYTES) -> Column:
     return F.ceil(size / most)
 

@@ -45,6 +45,20 @@ def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _events(text.select("path", F.posexplode(F.when(listed, as_list).otherwise(as_object)).alias("pos", "e")))
 
 
+def read_trace_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Events of trace files that hold one event a line, bare or framed as a list or as ``traceEvents``.
+
+    Files of any size are split over tasks, which whole files can't be; ``pos``
+    is then a number that rises within a file's lines, not the place. Lines
+    that hold no event (brackets, the frame, cut-off ones) give no rows.
+    """
+    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("raw"))
+    head = F.regexp_replace("raw", r"^(\{\s*\"traceEvents\"\s*:\s*)?\[|^,", "")
+    body = F.regexp_replace(head, r"[,\]\s]+$", "")
+    rows = lines.select("path", "pos", F.from_json(body, f"struct<{_struct()}>").alias("e"))
+    return _events(rows.filter("e.ph is not null or e.name is not null"))
+
+
 def _struct() -> str:
     return ", ".join(f"{a}: {b}" for a, b in (x.split(" ", 1) for x in EVENT.split(", ")))
 
