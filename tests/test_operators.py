@@ -425,3 +425,43 @@ def test_transfers_are_aligned(spark):
     assert any(got < sent for *_, sent, got in rows)
     late = [r.got_us - r.sent_us for r in align.align_transfers(df).collect()]
     assert min(late) >= -1 and max(late) < 160
+
+
+def test_strategies_replay_and_never_cycle():
+    """Random walks over all kinds of steps stay without cycles; what a search records gives the time it tells."""
+    rules = kernels.MoveRules(tokens=("+", "++", "--", ">"))
+    rng = random.Random(4)
+    for seed in range(8):
+        kinds = ["FW.m/Conv2D_1", "BW.m/MatMul_2", "BW.m/Relu", "Comm.1.SEND", "Comm.2.SEND", "UPDATE_.x"]
+        nodes = [(f"p{rng.randrange(2)}->{rng.choice(kinds)}~>{i}", rng.randrange(1, 9)) for i in range(14)]
+        edges = [(nodes[a][0], nodes[b][0]) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.2]
+        g = cur = kernels.Graph.build(nodes, edges)
+        taken = []
+        for _ in range(25):
+            moves = kernels.moves_of(cur, rules)
+            if not moves:
+                break
+            taken.append(rng.choice(moves))
+            cur = kernels.apply_move(cur, taken[-1], rules)
+            assert cur.order()[1] == [] and len(set(cur.names)) == len(cur.names)
+        assert kernels.apply_all(g, taken, rules).names == cur.names
+        for o in (kernels.mcmc(g, 15, seed=seed, rules=rules), kernels.mcts(g, 15, seed=seed, rules=rules), kernels.greedy_walk(g, rules=rules)):
+            assert kernels.replay(kernels.apply_all(g, o.steps, rules))[1] == pytest.approx(o.best) and o.best <= o.tried[0]
+    with pytest.raises(ValueError):
+        kernels.apply_move(g, ("+", "no", "node"), rules)
+    g = kernels.Graph.build([("p->Comm.1.SEND", 4), ("p->UPDATE_.x", 1)], [("p->Comm.1.SEND", "p->UPDATE_.x")])
+    halves = kernels.apply_move(g, ("--", "p->Comm.1.SEND"), kernels.MoveRules(tokens=("--",), overhead_ms=1.0))
+    assert halves.avg == [2.5, 2.5, 1.0] and halves.succ[0] == halves.succ[1] == [2]
+
+
+def test_reach_is_pruned_but_whole():
+    rng = random.Random(9)
+    for _ in range(20):
+        g = kernels.Graph.build(*random_dag(rng, 12))
+        n = len(g.names)
+        far = [[False] * n for _ in range(n)]
+        for u in reversed(g.order()[0]):
+            for v in g.succ[u]:
+                far[u][v] = True
+                far[u] = [a or b for a, b in zip(far[u], far[v])]
+        assert all(kernels.reaches(g, u, v) == far[u][v] for u in range(n) for v in range(n) if u != v)

@@ -362,24 +362,32 @@ def bottlenecks(nodes: DataFrame, edges: DataFrame, key: list[str], shorten_ms:
     return _per_graph(_graphs(nodes, edges, key), key, run, "node string, gain_ms double")
 
 
-def searches(nodes: DataFrame, edges: DataFrame, key: list[str], rounds: int | None = 10, seed: int = 0) -> DataFrame:
-    """Fusions found by each search: (key, method, base_ms, best_ms, fused, tried).
-
-    Without ``rounds`` a graph gets twice as many as it has moves, so that the
-    tree search has tried each first move and goes on below.
+def searches(
+    nodes: DataFrame, edges: DataFrame, key: list[str], rounds: int | None = 10, seed: int = 0, rules: kernels.MoveRules = kernels.MoveRules()
+) -> DataFrame:
+    """Strategy found by each search: (key, method, base_ms, best_ms, replayed_ms, fused, tried, steps).
+
+    ``steps`` are the strategy's steps in their order (token and nodes);
+    ``replayed_ms`` is the time of the graph after them, run anew. Without
+    ``rounds`` a graph gets twice as many as it has moves, so that the tree
+    search has tried each first move and goes on below.
     """
-    budget = lambda g: 2 * len(kernels.fuse_moves(g)) if rounds is None else rounds
+    budget = lambda g: 2 * len(kernels.moves_of(g, rules)) if rounds is None else rounds
     methods = {
-        "mcmc": lambda g: kernels.mcmc(g, budget(g), seed=seed),
-        "mcts": lambda g: kernels.mcts(g, budget(g), seed=seed),
-        "walk": lambda g: kernels.greedy_walk(g),
+        "mcmc": lambda g: kernels.mcmc(g, budget(g), seed=seed, rules=rules),
+        "mcts": lambda g: kernels.mcts(g, budget(g), seed=seed, rules=rules),
+        "walk": lambda g: kernels.greedy_walk(g, rules=rules),
     }
 
     def run(k: tuple, g: kernels.Graph) -> list[tuple]:
-        done = [(m, f(g)) for m, f in methods.items()]
-        return [(m, round(o.tried[0], 6), round(o.best, 6), len(o.steps), len(o.tried)) for m, o in done]
-
-    out = "method string, base_ms double, best_ms double, fused int, tried int"
+        found = []
+        for m, f in methods.items():
+            o = f(g)
+            again = kernels.replay(kernels.apply_all(g, o.steps, rules))[1]
+            found.append((m, round(o.tried[0], 6), round(o.best, 6), round(again, 6), len(o.steps), len(o.tried), kernels.written(o.steps)))
+        return found
+
+    out = "method string, base_ms double, best_ms double, replayed_ms double, fused int, tried int, steps array<string>"
     return _per_graph(_graphs(nodes, edges, key), key, run, out)
 
 

@@ -26,6 +26,7 @@ class Graph:
     succ: list[list[int]]
     pred: list[list[int]]
     gaps: list[dict[str, float]]
+    _places: list[int] | None = None
 
     @classmethod
     def build(
@@ -61,6 +62,15 @@ class Graph:
                     heapq.heappush(ready, v)
         return out, [i for i, n in enumerate(left) if n > 0]
 
+    def places(self) -> list[int]:
+        """Each node's place in a topological order, worked out once; those on or behind a cycle come last, all alike."""
+        if self._places is None:
+            order, _ = self.order()
+            self._places = [len(self.names)] * len(self.names)
+            for i, u in enumerate(order):
+                self._places[u] = i
+        return self._places
+
 
 def longest_path(g: Graph, cost: Callable[[int, int], float]) -> list[tuple[str, float]]:
     """The path of largest total edge cost: (node, cost of the edge behind it), 0 at its end.
@@ -287,15 +297,20 @@ def replay(
 
 
 def reaches(g: Graph, u: int, v: int, skip_direct: bool = False) -> bool:
-    """Whether a path leads from u to v, other than the edge itself if ``skip_direct``."""
-    stack = [x for x in g.succ[u] if not (skip_direct and x == v)]
+    """Whether a path leads from u to v, other than the edge itself if ``skip_direct``.
+
+    Nodes behind v in topological order can't lead to it and are passed over,
+    so neighbours cost little, however large the graph.
+    """
+    place = g.places()
+    stack = [x for x in g.succ[u] if not (skip_direct and x == v) and place[x] <= place[v]]
     seen = set(stack)
     while stack:
         x = stack.pop()
         if x == v:
             return True
         for y in g.succ[x]:
-            if y not in seen:
+            if y not in seen and place[y] <= place[v]:
                 seen.add(y)
                 stack.append(y)
     return False
@@ -413,26 +428,97 @@ class Outcome:
     """What a search found: the least cost, the accepted steps and all costs tried."""
 
     best: float
-    steps: list[str]
+    steps: list[Move]
     tried: list[float]
 
 
-def fuse_moves(g: Graph) -> list[tuple[str, str]]:
-    """Pairs of neighbours of one device and category, no communication, that may be fused."""
-    out = []
-    for u in range(len(g.names)):
+#: A step of a strategy: its token and the nodes that it works on.
+#: ``+`` fuses two operations, ``++`` two transfers, ``--`` splits a transfer, ``>`` runs an operation in half precision.
+Move = tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class MoveRules:
+    tokens: tuple[str, ...] = ("+",)
+    saving: float = 0.8  # time of a fused operation, of the sum
+    overhead_ms: float = 0.05  # of a transfer, whatever its size
+    half: float = 0.5  # time in half precision
+    cast_ms: float = 0.01
+    half_types: tuple[str, ...] = ("Conv2D", "MatMul")
+
+
+def may_fuse(g: Graph, u: int, v: int) -> bool:
+    """Neighbours of one device and category, no communication, whose fusion closes no cycle."""
+    cat = coarse(g.names[u])
+    return cat not in ("Comm", "virtual", "none") and pid_of(g.names[u]) == pid_of(g.names[v]) and cat == coarse(g.names[v]) and contractible(g, u, v)
+
+
+def _part(name: str) -> str:
+    """The sub-operation of a communication's name."""
+    return name.split("~>", 1)[0].rsplit(".", 1)[-1]
+
+
+def moves_of(g: Graph, rules: MoveRules = MoveRules(), of: set[str] | None = None) -> list[Move]:
+    """All steps that a graph allows, of the nodes of ``of`` if given, in the order of their texts."""
+    out: list[Move] = []
+    for u, name in enumerate(g.names):
         for v in g.succ[u]:
-            same = pid_of(g.names[u]) == pid_of(g.names[v]) and coarse(g.names[u]) == coarse(g.names[v])
-            if same and coarse(g.names[u]) not in ("Comm", "virtual", "none") and contractible(g, u, v):
-                out.append((g.names[u], g.names[v]))
-    return sorted(out)
+            other = g.names[v]
+            if of is not None and name not in of and other not in of:
+                continue
+            if "+" in rules.tokens and may_fuse(g, u, v):
+                out.append(("+", name, other))
+            same = "++" in rules.tokens and coarse(name) == coarse(other) == "Comm" and pid_of(name) == pid_of(other) and _part(name) == _part(other)
+            if same and "Sync" not in name and g.avg[u] > 0 and g.avg[v] > 0 and contractible(g, u, v):
+                out.append(("++", name, other))
+        if of is not None and name not in of:
+            continue
+        if "--" in rules.tokens and coarse(name) == "Comm" and "Sync" not in name and g.avg[u] > 2 * rules.overhead_ms and "#" not in name:
+            out.append(("--", name))
+        typed = name.split("~>", 1)[0].rsplit("/", 1)[-1].rsplit("_", 1)[0] if "/" in name else ""
+        if ">" in rules.tokens and coarse(name) == "operator" and "#" not in name and typed in rules.half_types:
+            out.append((">", name))
+    return sorted(set(out))
 
 
-def apply_fusion(g: Graph, pair: tuple[str, str], saving: float = 0.8) -> Graph:
-    """The graph with a pair fused; the fused node takes ``saving`` of the sum."""
+def fuse_moves(g: Graph) -> list[tuple[str, str]]:
+    """Pairs of operations that may be fused."""
+    return [m[1:] for m in moves_of(g)]
+
+
+def apply_move(g: Graph, move: Move, rules: MoveRules = MoveRules()) -> Graph:
+    """The graph after a step; ValueError where its nodes are gone."""
     at = {n: i for i, n in enumerate(g.names)}
-    u, v = at[pair[0]], at[pair[1]]
-    return contract(g, u, v, saving * (g.avg[u] + g.avg[v]))
+    if not all(n in at for n in move[1:]):
+        raise ValueError(f"no such nodes: {move}")
+    u = at[move[1]]
+    if move[0] == "+":
+        return contract(g, u, at[move[2]], rules.saving * (g.avg[u] + g.avg[at[move[2]]]))
+    if move[0] == "++":  # one overhead is saved
+        return contract(g, u, at[move[2]], max(g.avg[u] + g.avg[at[move[2]]] - rules.overhead_ms, 0.0))
+    if move[0] == "--":  # two halves, each with an overhead; what follows waits for both
+        half = rules.overhead_ms + (g.avg[u] - rules.overhead_ms) / 2
+        first, second = f"{move[1]}#0", f"{move[1]}#1"
+        parts = lambda i: [first, second] if i == u else [g.names[i]]
+        nodes = [(n, half if i == u else g.avg[i]) for i in range(len(g.names)) for n in parts(i)]
+        edges = [(a, b) for i in range(len(g.names)) for j in g.succ[i] for a in parts(i) for b in parts(j)]
+        return Graph.build(nodes, edges, {n: g.gaps[i] for i in range(len(g.names)) for n in parts(i)})
+    if move[0] == ">":
+        low = quantise(g, {move[1]}, rules.half, rules.cast_ms)
+        low.names[low.names.index(move[1])] = f"{move[1]}#fp16"
+        return low
+    raise ValueError(f"no token {move[0]}")
+
+
+def apply_all(g: Graph, moves: Sequence[Move], rules: MoveRules = MoveRules()) -> Graph:
+    """A recorded strategy, step by step."""
+    for m in moves:
+        g = apply_move(g, m, rules)
+    return g
+
+
+def written(moves: Sequence[Move]) -> list[str]:
+    return [" ".join(m) for m in moves]
 
 
 def accept_probability(beta: float, step: int, cost: float, new: float) -> float:
@@ -446,8 +532,8 @@ def heat_of(history: list[tuple[int, float]], step: int, window: int = 5) -> flo
     return sum((math.exp(h) - 1) / (step + 1 - t) for t, h in last) / len(last) if last else 0.0
 
 
-def mcmc(g: Graph, rounds: int, beta: float = 10.0, seed: int = 0) -> Outcome:
-    """Random search over fusions of nodes on the critical path, scored by replay.
+def mcmc(g: Graph, rounds: int, beta: float = 10.0, seed: int = 0, rules: MoveRules = MoveRules()) -> Outcome:
+    """Random search over steps at nodes of the critical path, scored by replay.
 
     Moves of nodes whose last moves paid are drawn more often (their heat).
     """
@@ -457,29 +543,29 @@ def mcmc(g: Graph, rounds: int, beta: float = 10.0, seed: int = 0) -> Outcome:
     best, steps, tried, taken = cost, [], [cost], []
     for step in range(1, rounds + 1):
         on_path = {n for n, _ in longest_path(cur, lambda u, v: node_cost(cur, u, v))}
-        moves = [m for m in fuse_moves(cur) if m[0] in on_path or m[1] in on_path]
+        moves = moves_of(cur, rules, on_path)
         if not moves:
             break
-        weights = [max(1e-3, 1.0 + sum(heat_of(history.get(x, []), step) for x in m)) for m in moves]
+        weights = [max(1e-3, 1.0 + sum(heat_of(history.get(x, []), step) for x in m[1:])) for m in moves]
         move = rng.choices(moves, weights)[0]
-        nxt = apply_fusion(cur, move)
+        nxt = apply_move(cur, move, rules)
         new = replay(nxt)[1]
         tried.append(new)
-        for x in (*move, nxt.names[next(i for i, n in enumerate(nxt.names) if n.startswith(move[0] + "+"))]):
+        for x in (*move[1:], *(set(nxt.names) - set(cur.names))):
             history.setdefault(x, []).append((step, max(-5.0, min(5.0, (cost - new) / max(cost, 1e-9)))))
         if rng.random() < accept_probability(beta, step, cost, new):
             cur, cost = nxt, new
-            taken.append(f"+ {move[0]} {move[1]}")
+            taken.append(move)
             if cost < best:
                 best, steps = cost, list(taken)
     return Outcome(best, steps, tried)
 
 
-def mcts(g: Graph, loops: int, depth: int = 5, explore: float = 0.1, seed: int = 0) -> Outcome:
-    """Tree search over fusions: upper confidence bound, random completion, mean reward."""
+def mcts(g: Graph, loops: int, depth: int = 5, explore: float = 0.1, seed: int = 0, rules: MoveRules = MoveRules()) -> Outcome:
+    """Tree search over steps: upper confidence bound, random completion, mean reward."""
     rng = random.Random(seed)
     base = replay(g)[1]
-    tree: dict[tuple, list] = {(): [0, 0.0, fuse_moves(g)]}
+    tree: dict[tuple, list] = {(): [0, 0.0, moves_of(g, rules)]}
     best, steps, tried = base, [], [base]
     for _ in range(loops):
         path, cur = (), g
@@ -492,43 +578,39 @@ def mcts(g: Graph, loops: int, depth: int = 5, explore: float = 0.1, seed: int =
             else:
                 total = math.log(tree[path][0] + 1)
                 move = max(moves, key=lambda m: (tree[(*path, m)][1] / tree[(*path, m)][0] + explore * math.sqrt(total / tree[(*path, m)][0]), m))
-            path, cur = (*path, move), apply_fusion(cur, move)
+            path, cur = (*path, move), apply_move(cur, move, rules)
             chain.append(path)
             if path not in tree:
-                tree[path] = [0, 0.0, fuse_moves(cur)]
+                tree[path] = [0, 0.0, moves_of(cur, rules)]
                 break
         cost = replay(cur)[1]
         tried.append(cost)
         if cost < best:
-            best, steps = cost, [f"+ {a} {b}" for a, b in path]
+            best, steps = cost, list(path)
         for p in chain:
             tree[p][0] += 1
             tree[p][1] += (base - cost) / base if base else 0.0
     return Outcome(best, steps, tried)
 
 
-def greedy_walk(g: Graph, patience: int = 5, least: float = 0.001) -> Outcome:
-    """Walks the nodes in topological order and keeps each fusion that is no worse.
+def greedy_walk(g: Graph, patience: int = 5, least: float = 0.001, rules: MoveRules = MoveRules()) -> Outcome:
+    """Walks the nodes in topological order and keeps each step that is no worse.
 
-    Ends after ``patience`` fusions in a row with less than ``least`` of gain.
+    Ends after ``patience`` steps in a row with less than ``least`` of gain.
     """
     cur, cost = g, replay(g)[1]
     tried, steps, idle = [cost], [], 0
     for name in [g.names[i] for i in g.order()[0]]:
-        at = {n: i for i, n in enumerate(cur.names)}
-        if name not in at:
-            continue
-        for v in list(cur.succ[at[name]]):
-            pair = (name, cur.names[v])
-            if pair not in set(fuse_moves(cur)):
+        for move in moves_of(cur, rules, {name}):
+            if move[1] != name:
                 continue
-            nxt = apply_fusion(cur, pair)
+            nxt = apply_move(cur, move, rules)
             new = replay(nxt)[1]
             tried.append(new)
             if new <= cost:
                 idle = idle + 1 if cost - new < least * cost else 0
                 cur, cost = nxt, new
-                steps.append(f"+ {pair[0]} {pair[1]}")
+                steps.append(move)
                 break
         if idle > patience:
             break

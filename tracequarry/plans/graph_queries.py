@@ -233,6 +233,27 @@ def fusion_search(spark, d):
     return graph.searches(*_steps(spark, d), KEY, rounds=None)
 
 
+ALL_MOVES = kernels.MoveRules(tokens=("+", "++", "--", ">"))
+
+
+@query("strategy")
+def strategy(spark, d):
+    """The best strategy found for each step's graph over fusions, joined and split transfers and precision, with its steps."""
+    return graph.searches(*_steps(spark, d), KEY, rounds=20, rules=ALL_MOVES)
+
+
+@query(
+    "strategy_replay",
+    with_trace(
+        "select trial, step, method, true as same, true as no_worse from (select distinct trial, step from ev), unnest(['mcmc', 'mcts', 'walk']) m(method)", _STEP
+    ),
+)
+def strategy_replay(spark, d):
+    """Whether the recorded steps, run anew, give the time that each search has told, and no worse a time than without them."""
+    found = graph.searches(*_steps(spark, d), KEY, rounds=5, rules=ALL_MOVES)
+    return found.select(*KEY, "method", (F.col("best_ms") == F.col("replayed_ms")).alias("same"), (F.col("best_ms") <= F.col("base_ms")).alias("no_worse"))
+
+
 @query("fusion_clusters")
 def fusion_clusters(spark, d):
     return graph.fusion_groups(*_steps(spark, d), KEY, 8)
