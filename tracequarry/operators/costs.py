@@ -146,6 +146,74 @@ def nonnegative(m: np.ndarray, v: np.ndarray, ridge: float = 1e-9) -> np.ndarray
     return x / scale
 
 
+#: Curves y = f(x, p) with their start values from the data's ends.
+CURVES = {
+    "line": (lambda x, p: p[0] * x + p[1], lambda x, y: [(y[-1] - y[0]) / max(x[-1] - x[0], 1e-9), y[0]]),
+    "log": (lambda x, p: p[0] * np.log1p(np.maximum(x, 0.0)) + p[1], lambda x, y: [1.0, y[0]]),
+    "exp": (lambda x, p: p[0] * np.exp(np.clip(p[1] * x, -50, 50)) + p[2], lambda x, y: [max(y[-1] - y[0], 1e-3), 1.0 / max(x[-1], 1e-9), y[0]]),
+    "sigmoid": (
+        lambda x, p: p[0] / (1 + np.exp(np.clip(-p[1] * (x - p[2]), -50, 50))) + p[3],
+        lambda x, y: [y[-1] - y[0], 4.0 / max(x[-1] - x[0], 1e-9), (x[0] + x[-1]) / 2, y[0]],
+    ),
+    "bend": (lambda x, p: p[0] + p[1] * np.maximum(x - p[2], 0.0), lambda x, y: [y[0], (y[-1] - y[0]) / max(x[-1] - x[0], 1e-9), (x[0] + x[-1]) / 2]),
+}
+
+
+def fit_curve(kind: str, x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 200) -> tuple[list[float], float]:
+    """Parameters of a curve by damped Gauss-Newton steps, and the weighted mean square error."""
+    f, start = CURVES[kind]
+    scale = max(float(np.abs(y).max()), 1e-12)
+    span = max(float(np.abs(x).max()), 1e-12)
+    u, v = x / span, y / scale
+    p = np.array(start(u, v), float)
+    loss = lambda q: float(np.average((f(u, q) - v) ** 2, weights=w))
+    best, damp = loss(p), 1e-3
+    for _ in range(rounds):
+        base = f(u, p)
+        step = 1e-6 * np.maximum(np.abs(p), 1e-3)
+        jac = np.stack([(f(u, p + step[i] * np.eye(len(p))[i]) - base) / step[i] for i in range(len(p))], 1)
+        a = jac.T @ (jac * w[:, None])
+        move = np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), jac.T @ (w * (v - base)), rcond=None)[0]
+        new = loss(p + move)
+        if np.isfinite(new) and new < best:
+            done = best - new < 1e-12 * max(best, 1e-12)
+            p, best, damp = p + move, new, max(damp / 3, 1e-12)
+            if done:
+                break
+        else:
+            damp *= 4
+            if damp > 1e12:
+                break
+    return [float(z) for z in p], best * scale * scale
+
+
+def fit_curves(samples: DataFrame, key: list[str], x: str, y: str, points: int = 512) -> DataFrame:
+    """The curve of least error per key: (key, n, curve, parameters, rmse).
+
+    Rows are put together into at most ``points`` ranges of x per key (mean,
+    count and mean square), which keeps the error exact but for the place
+    within a range; no task gets a key's rows. Parameters hold for x and y
+    divided by their largest size (x_scale, y_scale).
+    """
+    ends = samples.groupBy(*key).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    at = F.floor(F.when(F.col("_hi") > F.col("_lo"), (F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (points - 1)).otherwise(0.0))
+    binned = samples.join(ends, key).groupBy(*key, at.alias("_at")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(F.col(y) * F.col(y)).alias("yy")
+    )
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x", ignore_index=True)
+        u, v, w = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["n"].to_numpy(float)
+        inner = float(np.average(np.maximum(pdf["yy"] - pdf["y"] ** 2, 0.0), weights=w))
+        found = min(((*fit_curve(k, u, v, w), k) for k in CURVES), key=lambda r: (round(r[1], 9), list(CURVES).index(r[2])))
+        row = {k: [pdf[k].iloc[0]] for k in key}
+        row |= {"n": [int(w.sum())], "curve": [found[2]], "parameters": [[round(z, 9) for z in found[0]]], "x_scale": [float(np.abs(u).max())]}
+        return pd.DataFrame(row | {"y_scale": [float(np.abs(v).max())], "rmse": [round(float(np.sqrt(found[1] + inner)), 6)]})
+
+    schema = "".join(f"`{c}` {samples.schema[c].dataType.simpleString()}, " for c in key)
+    return binned.groupBy(*key).applyInPandas(best, schema + "n bigint, curve string, parameters array<double>, x_scale double, y_scale double, rmse double")
+
+
 # ------------------------------------------------------------------ memory
 
 

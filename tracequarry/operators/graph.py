@@ -245,6 +245,36 @@ def reachable(edges: DataFrame, starts: DataFrame, key: list[str]) -> DataFrame:
         seen = cut(seen.unionByName(front))
 
 
+def global_edges(ops: DataFrame, comms: DataFrame, updates: DataFrame) -> DataFrame:
+    """The data flow of all devices as one graph of names: (trial, src, dst).
+
+    ``ops`` has trial, pid, name and one input i (an operation's output)
+    a row, ``comms`` trial, pid, op_name (the tensor group) and inputs,
+    ``updates`` trial, pid, name. An input comes from the operation of the
+    same phase (for updates of the backward one). A tensor's ``Sync`` waits
+    for the operations that feed it, and all devices wait for each other at
+    ``all->Comm.<tensor>.Sync``; the copy out leads to the device's updates,
+    these to END. Edges from updates to the next forward pass are left away,
+    as they would close a cycle.
+    """
+    at = lambda x: F.concat(F.col("pid"), F.lit("->"), x)
+    edge = lambda df, a, b: df.select("trial", a.alias("src"), b.alias("dst"))
+    phase = F.substring_index("name", ".", 1)
+    before = F.concat(F.when(phase == "UPDATE_", "BW").otherwise(phase), F.lit("."), F.substring_index("i", ":", 1))
+    out = edge(ops, at(before), at(F.col("name")))
+    fed = comms.select("trial", "pid", "op_name", F.explode("inputs").alias("i"))
+    group = F.concat(F.lit("Comm."), "op_name", F.lit("."))
+    sub = lambda s: at(F.concat(group, F.lit(s)))
+    out = out.unionByName(edge(fed, at(F.concat(F.lit("BW."), F.substring_index("i", ":", 1))), sub("Sync")))
+    own = comms.select("trial", "pid", "op_name").distinct()
+    barrier = F.concat(F.lit("all->"), group, F.lit("Sync"))
+    parts = ["QUEUE", "MEMCPY_IN_FUSION_BUFFER", "NCCL_ALLREDUCE", "MEMCPY_OUT_FUSION_BUFFER"]
+    chain = [(sub("Sync"), barrier), (barrier, sub("QUEUE")), *[(sub(a), sub(b)) for a, b in zip(parts, parts[1:])]]
+    out = out.unionByName(own.select("trial", F.inline(F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in chain]))))
+    out = out.unionByName(edge(own.join(updates, ["trial", "pid"]), sub(parts[-1]), at(F.col("name"))))
+    return out.unionByName(edge(updates, at(F.col("name")), F.lit("END"))).filter("src <> dst").distinct()
+
+
 # ------------------------------------------------------- kernels per graph
 
 
