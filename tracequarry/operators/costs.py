@@ -60,16 +60,20 @@ def interpolate(points: DataFrame, table: DataFrame, key: list[str], x: str, y:
     return hit.select(*[c for c in points.columns], F.round(F.col("y0") + slope * (F.col("at") - F.col("x0")), 6).alias("value"))
 
 
-def piecewise_log(size: Column, knots: list[tuple[float, float, float]]) -> Column:
-    """A time that is piecewise linear in the logarithms: segments (up to log10 size, slope, offset)."""
-    lg = F.log10(size)
-    out = None
-    for upto, slope, offset in knots[:-1]:
-        cond, val = lg <= upto, F.pow(F.lit(10.0), slope * lg + offset)
-        out = F.when(cond, val) if out is None else out.when(cond, val)
-    _, slope, offset = knots[-1]
-    val = F.pow(F.lit(10.0), slope * lg + offset)
-    return val if out is None else out.otherwise(val)
+# Curves of pushing and pulling in log10 of bytes and ms: (x0, y0, x1, y1, slope), and the factor on them.
+SERVER_CURVES = {
+    "push": (4.70781790174102, -1.7521176854008658, 626.2991919900213, 619.9289905166377, 1.0343874361266248),
+    "pull": (4.7581024691199625, -1.6513319055201428, 626.2641292852817, 619.9640547461936, 1.063909142047732),
+}
+SERVER_FACTOR = 1.8
+
+
+def server_time(size: Column, way: str) -> Column:
+    """Time in ms of a tensor's way to or from a parameter server: flat, then a line, then a line of slope 1, in the logarithms."""
+    x0, y0, x1, y1, slope = SERVER_CURVES[way]
+    x = F.log10(size)
+    y = F.when(x <= x0, F.lit(y0)).when(x > x1, x - x1 + y1).otherwise(slope * (x - x0) + y0)
+    return SERVER_FACTOR * F.pow(F.lit(10.0), y)
 
 
 def best_parts(size: Column, slow: Column, fast: Column) -> Column:
@@ -86,11 +90,11 @@ def partitions(size: Column, most: int = PARTITION_BYTES) -> Column:
     return F.ceil(size / most)
 
 
-def regroup(tensors: DataFrame, n: int, key: list[str], order: str) -> DataFrame:
-    """Tensors of a key put into ``n`` groups of neighbours in ``order``: (…, group_id)."""
-    w = Window.partitionBy(*key)
-    rn = F.row_number().over(w.orderBy(order)) - 1
-    return tensors.withColumn("group_id", F.floor(rn * n / F.count(F.lit(1)).over(w)).cast("int"))
+def regroup(tensors: DataFrame, n: int, order: str) -> DataFrame:
+    """Tensors put into ``n`` groups of neighbours in ``order``: (…, group_id); numbered without one task for all."""
+    rows = global_number(tensors, order, "_no")
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return rows.withColumn("group_id", F.floor(F.col("_no") * n / total).cast("int")).drop("_no")
 
 
 def round_robin(keys: DataFrame, by: str, servers: int) -> DataFrame:

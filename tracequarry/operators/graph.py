@@ -139,7 +139,7 @@ def step_graph(events: DataFrame, longest_gap_us: int = 1000) -> tuple[DataFrame
     category, a backward operation before the next communication, a
     communication before the next update. Devices are linked where they
     synchronise: every ``Sync`` of a tensor leads to a node
-    ``all->Comm.<tensor>.Sync~>barrier`` of the step, and that to each
+    ``all->Barrier.<tensor>`` of the step, and that to each
     ``QUEUE`` of the tensor that began after the last of them. All edges lead
     forward in time (a barrier stands at its last Sync), so there is no cycle.
 
@@ -151,13 +151,13 @@ def step_graph(events: DataFrame, longest_gap_us: int = 1000) -> tuple[DataFrame
     device = ["trial", "pid", "step"]
     node = F.concat(F.col("pid"), F.lit("->"), F.col("name"), F.lit("~>"), F.col("event_seq"))
     part = lambda i: F.get(F.split("name", "[.]"), F.lit(i))
-    rows = events.withColumns({"node": node, "end_us": F.expr("ts_us + dur_us"), "tensor": part(1), "sub_op": part(2)})
+    base = events.withColumns({"node": node, "end_us": F.expr("ts_us + dur_us"), "tensor": part(1), "sub_op": part(2)})
     # what follows in time is the last seen so far in falling order: one pass over a device's step
     back = Window.partitionBy(*device).orderBy(F.desc("ts_us"), F.desc("event_seq")).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*device, "cat").orderBy("ts_us", "event_seq")
     at = F.struct("node", "ts_us")
     of = lambda cond: F.last(F.when(F.expr(cond), at), True).over(back)
-    rows = rows.withColumns(
+    rows = base.withColumns(
         {
             "n_same": F.lead(at).over(ahead),
             "n_comm": F.when(F.col("cat_fine") == "operator.BW", of("cat = 'Comm'")),
@@ -177,17 +177,18 @@ def step_graph(events: DataFrame, longest_gap_us: int = 1000) -> tuple[DataFrame
     edges = rows.select("trial", "step", F.col("node").alias("src"), F.inline(targets))
 
     key = ["trial", "step", "tensor"]
-    syncs = rows.filter("cat = 'Comm' and sub_op = 'Sync'")
+    comms = base.filter("cat = 'Comm' and sub_op in ('Sync', 'QUEUE')")
+    syncs = comms.filter("sub_op = 'Sync'")
     barriers = syncs.groupBy(*key).agg(F.max("ts_us").alias("at"), F.countDistinct("pid").alias("devices")).filter("devices > 1")
-    barrier = F.concat(F.lit("all->Comm."), F.col("tensor"), F.lit(".Sync~>barrier"))
-    into = syncs.join(barriers, key).select("trial", "step", F.col("node").alias("src"), barrier.alias("dst"), F.col("gap_same").alias("gap_us"))
-    queues = rows.filter("cat = 'Comm' and sub_op = 'QUEUE'").join(barriers, key).filter("ts_us > at")
-    out = queues.select("trial", "step", barrier.alias("src"), F.col("node").alias("dst"), zero.alias("gap_us"))
+    barrier = F.concat(F.lit("all->Barrier."), F.col("tensor"))
+    met = comms.join(barriers, key).filter("sub_op = 'Sync' or ts_us > at")
+    end = lambda sub: F.when(F.col("sub_op") == sub, F.col("node")).otherwise(barrier)
+    links = met.select("trial", "step", end("Sync").alias("src"), end("QUEUE").alias("dst"), zero.alias("gap_us"))
     virtual = barriers.select(
-        "trial", "step", F.lit("all").alias("pid"), barrier.alias("node"), F.lit("Comm").alias("cat"), F.lit(0.0).alias("avg_ms"),
+        "trial", "step", F.lit("all").alias("pid"), barrier.alias("node"), F.lit("none").alias("cat"), F.lit(0.0).alias("avg_ms"),
         zero.alias("gap_same"), zero.alias("gap_comm"),
     )
-    return nodes.unionByName(virtual), edges.unionByName(into).unionByName(out)
+    return nodes.unionByName(virtual), edges.unionByName(links)
 
 
 def edge_costs(edges: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
@@ -399,13 +400,11 @@ def searches(
 
     ``steps`` are the strategy's steps in their order (token and nodes);
     ``replayed_ms`` is the time of the graph after them, run anew. Without
-    ``rounds`` a graph gets twice as many as it has moves, so that the tree
-    search has tried each first move and goes on below.
+    ``rounds`` a search goes on until nothing better is found for a while.
     """
-    budget = lambda g: 2 * len(kernels.moves_of(g, rules)) if rounds is None else rounds
     methods = {
-        "mcmc": lambda g: kernels.mcmc(g, budget(g), seed=seed, rules=rules),
-        "mcts": lambda g: kernels.mcts(g, budget(g), seed=seed, rules=rules),
+        "mcmc": lambda g: kernels.mcmc(g, rounds, seed=seed, rules=rules),
+        "mcts": lambda g: kernels.mcts(g, rounds, seed=seed, rules=rules),
         "walk": lambda g: kernels.greedy_walk(g, rules=rules),
     }
 

@@ -13,6 +13,7 @@ import math
 import random
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from tracequarry.functions.names import CATEGORIES, LAST_PRIORITY, PRIORITIES
 
@@ -98,6 +99,7 @@ def longest_path(g: Graph, cost: Callable[[int, int], float]) -> list[tuple[str,
     return [(g.names[u], cost(u, v)) for u, v in zip(path, path[1:])] + [(g.names[path[-1]], 0.0)]
 
 
+@lru_cache(maxsize=100_000)
 def coarse(name: str) -> str:
     """Coarse category of a node's name: ``virtual`` for END, ``none`` where no rule fits."""
     for cat, parts in CATEGORIES:
@@ -126,6 +128,7 @@ def node_cost(g: Graph, u: int, v: int) -> float:
 KERNEL_PARTS = ["QUEUE", "MEMCPY_IN_FUSION_BUFFER", "NCCL_ALLREDUCE", "MEMCPY_OUT_FUSION_BUFFER"]
 
 
+@lru_cache(maxsize=100_000)
 def device_of(name: str, endless_update: bool = False) -> tuple[str, str]:
     """Virtual device of a node, and its kind: plain, lock or endless."""
     pid, cat = pid_of(name), coarse(name)
@@ -141,6 +144,7 @@ def device_of(name: str, endless_update: bool = False) -> tuple[str, str]:
     return f"{pid}->{cat}", "plain"
 
 
+@lru_cache(maxsize=100_000)
 def rank_of(name: str) -> int:
     """Replay priority by parts of the name; smaller goes first."""
     return next((rank for part, rank in PRIORITIES if part in name), LAST_PRIORITY)
@@ -532,16 +536,20 @@ def heat_of(history: list[tuple[int, float]], step: int, window: int = 5) -> flo
     return sum((math.exp(h) - 1) / (step + 1 - t) for t, h in last) / len(last) if last else 0.0
 
 
-def mcmc(g: Graph, rounds: int, beta: float = 10.0, seed: int = 0, rules: MoveRules = MoveRules()) -> Outcome:
+def mcmc(g: Graph, rounds: int | None, beta: float = 10.0, seed: int = 0, rules: MoveRules = MoveRules(), patience: int = 15) -> Outcome:
     """Random search over steps at nodes of the critical path, scored by replay.
 
     Moves of nodes whose last moves paid are drawn more often (their heat).
+    Ends after ``rounds``, or without them when ``patience`` rounds in a row
+    have found nothing better.
     """
     rng = random.Random(seed)
     history: dict[str, list[tuple[int, float]]] = {}
     cur, cost = g, replay(g)[1]
     best, steps, tried, taken = cost, [], [cost], []
-    for step in range(1, rounds + 1):
+    step = found = 0
+    while step < rounds if rounds is not None else step - found < patience:
+        step += 1
         on_path = {n for n, _ in longest_path(cur, lambda u, v: node_cost(cur, u, v))}
         moves = moves_of(cur, rules, on_path)
         if not moves:
@@ -557,17 +565,25 @@ def mcmc(g: Graph, rounds: int, beta: float = 10.0, seed: int = 0, rules: MoveRu
             cur, cost = nxt, new
             taken.append(move)
             if cost < best:
-                best, steps = cost, list(taken)
+                best, steps, found = cost, list(taken), step
     return Outcome(best, steps, tried)
 
 
-def mcts(g: Graph, loops: int, depth: int = 5, explore: float = 0.1, seed: int = 0, rules: MoveRules = MoveRules()) -> Outcome:
-    """Tree search over steps: upper confidence bound, random completion, mean reward."""
+def mcts(
+    g: Graph, loops: int | None, depth: int = 5, explore: float = 0.1, seed: int = 0, rules: MoveRules = MoveRules(), patience: int = 15
+) -> Outcome:
+    """Tree search over steps: upper confidence bound, random completion, mean reward.
+
+    Ends as ``mcmc`` does; without ``loops`` every first step is tried once
+    before patience counts.
+    """
     rng = random.Random(seed)
     base = replay(g)[1]
     tree: dict[tuple, list] = {(): [0, 0.0, moves_of(g, rules)]}
     best, steps, tried = base, [], [base]
-    for _ in range(loops):
+    done, found = 0, len(tree[()][2])
+    while done < loops if loops is not None else done - found < patience:
+        done += 1
         path, cur = (), g
         chain = [()]
         while len(path) < depth and tree[path][2]:
@@ -586,7 +602,7 @@ def mcts(g: Graph, loops: int, depth: int = 5, explore: float = 0.1, seed: int =
         cost = replay(cur)[1]
         tried.append(cost)
         if cost < best:
-            best, steps = cost, list(path)
+            best, steps, found = cost, list(path), max(done, len(tree[()][2]))
         for p in chain:
             tree[p][0] += 1
             tree[p][1] += (base - cost) / base if base else 0.0

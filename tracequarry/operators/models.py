@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import names
 from tracequarry.operators import graph
+from tracequarry.operators.chunks import global_number
 from tracequarry.operators.ordered import running
 
 # Assumed throughput of devices in TFLOPS, single and half precision.
@@ -277,14 +278,19 @@ def casts(edges: DataFrame, half: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ tensors
 
 
-def fuse_neighbours(tensors: DataFrame, key: list[str], order: str, size: str, most: int) -> DataFrame:
+def fuse_neighbours(tensors: DataFrame, order: str, size: str, most: int) -> DataFrame:
     """Neighbouring tensors put together until a group would pass ``most`` bytes: (…, group_id).
 
     Groups are cut at multiples of ``most`` of the running size, so a group
     holds at most that and one tensor more.
     """
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return tensors.withColumn("group_id", F.floor((F.sum(size).over(w) - F.col(size)) / most).cast("int"))
+    rows = global_number(tensors, order, "_no").withColumn("_part", F.floor(F.col("_no") / 10_000))
+    w = Window.partitionBy("_part").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+    whole = rows.groupBy("_part").agg(F.sum(size).alias("_sum"))  # a row per ten thousand
+    before = whole.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.sum(size).over(w) - F.col(size)
+    out = rows.withColumn("_upto", upto).join(before, "_part")
+    return out.withColumn("group_id", F.floor((F.col("_upto") + F.col("_before")) / most).cast("int")).drop("_no", "_part", "_upto", "_before")
 
 
 def split_groups(groups: DataFrame) -> DataFrame:

@@ -145,12 +145,12 @@ nx as (select *, lead(node) over c n1, lead(ts_us) over c t1,
   from ev window w as (partition by trial, pid, step order by ts_us, event_seq rows between 1 following and unbounded following),
     c as (partition by trial, pid, step, cat order by ts_us, event_seq)),
 gp as (select *, case when t1 - end_us between 0 and 999 then t1 - end_us else 0 end g1, case when t2 - end_us between 0 and 999 then t2 - end_us else 0 end g2 from nx),
-bars as (select trial, step, op_name, max(ts_us) as at_us, 'all->Comm.' || op_name || '.Sync~>barrier' as bar from gp
+bars as (select trial, step, op_name, max(ts_us) as at_us, 'all->Barrier.' || op_name as bar from gp
   where cat = 'Comm' and sub_op = 'Sync' group by trial, step, op_name having count(distinct pid) > 1),
 sedges as (select trial, step, node as src, n1 as dst, dur_us, g1 as gap_us from gp where n1 is not null
   union all select trial, step, node, n2, dur_us, g2 from gp where n2 is not null
   union all select trial, step, node, n3, dur_us, 0 from gp where n3 is not null
-  union all select trial, step, node, bar, dur_us, g1 from gp join bars using (trial, step, op_name) where cat = 'Comm' and sub_op = 'Sync'
+  union all select trial, step, node, bar, dur_us, 0 from gp join bars using (trial, step, op_name) where cat = 'Comm' and sub_op = 'Sync'
   union all select trial, step, bar, node, 0, 0 from gp join bars using (trial, step, op_name) where cat = 'Comm' and sub_op = 'QUEUE' and ts_us > at_us)"""
 
 
@@ -229,7 +229,7 @@ def bottleneck(spark, d):
 
 @query("fusion_search")
 def fusion_search(spark, d):
-    """Fusions by three searches, on one device's graph of each step, with rounds by its size."""
+    """Fusions by three searches on the graph of each step, until nothing better is found for a while."""
     return graph.searches(*_steps(spark, d), KEY, rounds=None)
 
 
@@ -506,9 +506,9 @@ def _groups(spark, d):
     return comm(spark, d).filter("name rlike '^Comm[.][0-9+]+[.]'").select(F.regexp_extract("name", "^Comm[.]([0-9+]+)[.]", 1).alias("tensor")).distinct()
 
 
-@query("regroup_n", with_comm("select tensor, 1 as k, floor((row_number() over (order by tensor) - 1) * 5 / count(*) over ())::int as group_id from g", _GROUPS))
+@query("regroup_n", with_comm("select tensor, floor((row_number() over (order by tensor) - 1) * 5 / count(*) over ())::int as group_id from g", _GROUPS))
 def regroup_n(spark, d):
-    return costs.regroup(_groups(spark, d).withColumn("k", F.lit(1)), 5, ["k"], "tensor")
+    return costs.regroup(_groups(spark, d), 5, "tensor")
 
 
 @query("round_robin_servers", with_comm("select tensor, (row_number() over (order by tensor) - 1) % 4 as server from g", _GROUPS))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions import names
 from tracequarry.operators import costs, graph, models, nested
 from tracequarry.operators import statistics as st
-from tracequarry.plans.graph_queries import _GROUPS, _RANKS, _TENSORS, KEY, _groups, _ring, _steps
+from tracequarry.operators.chunks import global_number
+from tracequarry.plans.graph_queries import _GROUPS, _RANKS, _TENSORS, KEY, _groups, _ring, _sizes, _steps
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
-from tracequarry.plans.sql import COMM, NESTED, quoted, text, typed, with_comm, with_trace
-from tracequarry.plans.statistics_queries import comm, silver
+from tracequarry.plans.sql import COMM, NESTED, SIZES, quoted, text, typed, with_comm, with_trace
+from tracequarry.plans.statistics_queries import _ITER, comm, silver
 from tracequarry.session import table
 from tracequarry.sources.sinks import painted
 
@@ -74,14 +76,18 @@ def marker_iterations(spark, d):
         """
 select pid, step, gain, round(list_sum(list_transform(l, lambda x: (exp(x.h) - 1) / (step + 1 - x.t))) / len(l), 9) as heat from (
   select *, list({'t': step, 'h': gain}) over (partition by pid order by step rows between 4 preceding and current row) l from (
-    select pid, step, round(count(*) / 1000, 6) as gain from silver where step is not null group by all))"""
+    select pid, step, round(greatest(-5, least(5, (before - iter_ms) / before)), 6) + 0.0 as gain from (
+      select pid, step, iter_ms, lag(iter_ms) over (partition by pid order by step) as before from iters) where before > 0))""",
+        _ITER,
     ),
 )
 def node_heat(spark, d):
-    """Heat of each device from a gain per step (its share of events)."""
-    rows = silver(spark, d, "event_seq", "step").filter("step is not null")
-    gains = rows.groupBy("pid", "step").agg(F.round(F.count(F.lit(1)) / 1000, 6).alias("gain"))
-    return models.heat(gains, ["pid"], "step", "gain")
+    """Heat of each device from its gain in each step: how much shorter the iteration was than the one before."""
+    iters = st.iterations(silver(spark, d, "event_seq", "cat", "cat_fine", "step"))
+    before = F.lag("iter_ms").over(Window.partitionBy("pid").orderBy("step"))  # a row per step of a device
+    rows = iters.withColumn("before", before).filter("before > 0")
+    gain = F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col("before") - F.col("iter_ms")) / F.col("before")))
+    return models.heat(rows.select("pid", "step", (F.round(gain, 6) + 0.0).alias("gain")), ["pid"], "step", "gain")
 
 
 @query(
@@ -199,34 +205,50 @@ def amp_casts(spark, d):
 
 @query(
     "half_precision",
-    with_trace("select name, round(avg(dur_us) / 1000, 6) as avg_ms, round(avg(dur_us) / 1000 / 2, 6) as half_ms from silver where cat = 'operator' group by name"),
+    with_trace(
+        f"""select name, kind, round(a, 6) as avg_ms, round(case when kind in ({quoted(names.AMP_WHITE)}) then a * 7.4 / 29.7 else a / 2 end, 6) as half_ms
+from (select name, regexp_replace(string_split(name, '/')[-1], '(_[0-9]+)$', '') as kind, avg(dur_us) / 1000 as a from silver where cat = 'operator' group by name)"""
+    ),
 )
 def half_precision(spark, d):
+    """Operations in half precision: matrix operations by the throughput of a V100, others in half the time."""
     rows = silver(spark, d, "cat").filter("cat = 'operator'").groupBy("name").agg((F.avg("dur_us") / 1000).alias("a"))
-    none = F.lit(None).cast("double")
-    return rows.select("name", F.round("a", 6).alias("avg_ms"), F.round(models.half_precision_ms(F.col("a"), none, none), 6).alias("half_ms"))
+    rows = rows.withColumn("kind", names.op_type(F.col("name")))
+    full, half = (F.when(F.col("kind").isin(names.AMP_WHITE), F.lit(1 / x)) for x in models.GPU_TFLOPS["v100"])
+    return rows.select("name", "kind", F.round("a", 6).alias("avg_ms"), F.round(models.half_precision_ms(F.col("a"), full, half), 6).alias("half_ms"))
 
 
-_SIZED = "z as (select tensor, list_sum(list_transform(string_split(tensor, '+'), lambda x: (x::bigint + 1) * 100000)) as bytes from g)"
+_SIZED = f"""{NESTED}, {SIZES},
+grads as (select row_number() over (order by name) - 1 as id, bytes from (select name, max(bytes)::bigint as bytes from szs where side = 'output' and name <> '' group by name)),
+z as (select tensor, sum(bytes)::bigint as bytes from (select tensor, unnest(string_split(tensor, '+'))::bigint as id from g) join grads using (id) group by tensor)"""
 
 
 def _sized(spark, d):
-    """Tensor groups with a size by their ids, as the tables hold none: 100 kB for each id's place."""
-    ids = F.transform(F.split("tensor", "[+]"), lambda x: (x.cast("bigint") + 1) * 100_000)
-    return _groups(spark, d).withColumn("bytes", F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    """Tensor groups with their size: an id is the place of a tensor among the named outputs of the metadata, by name.
+
+    Ids beyond the list add nothing; groups without any known tensor are left out.
+    """
+    outputs = _sizes(spark, d).filter("side = 'output' and name <> ''").groupBy("name").agg(F.max("bytes").alias("bytes"))
+    sizes = global_number(outputs, "name", "id").select("id", "bytes")
+    ids = _groups(spark, d).select("tensor", F.explode(F.split("tensor", "[+]")).alias("id")).withColumn("id", F.col("id").cast("bigint"))
+    return ids.join(sizes, "id").groupBy("tensor").agg(F.sum("bytes").alias("bytes"))
 
 
-@query("tensor_group_sizes", with_comm("select tensor, bytes, ceil(bytes / 4096000)::bigint as parts from z", _GROUPS + ", " + _SIZED))
+def sized(body: str, more: str = _GROUPS) -> str:
+    return "with recursive" + with_comm(body, more + ", " + _SIZED)[4:]
+
+
+@query("tensor_group_sizes", sized("select tensor, bytes, ceil(bytes / 4096000)::bigint as parts from z"))
 def tensor_group_sizes(spark, d):
     return _sized(spark, d).withColumn("parts", costs.partitions(F.col("bytes")))
 
 
 @query(
     "fuse_neighbours",
-    with_comm("select tensor, bytes, 1 as k, floor((sum(bytes) over (order by tensor rows between unbounded preceding and current row) - bytes) / 4096000)::int as group_id from z", _GROUPS + ", " + _SIZED),
+    sized("select tensor, bytes, floor((sum(bytes) over (order by tensor rows between unbounded preceding and current row) - bytes) / 4096000)::int as group_id from z"),
 )
 def fuse_neighbours(spark, d):
-    return models.fuse_neighbours(_sized(spark, d).withColumn("k", F.lit(1)), ["k"], "tensor", "bytes", costs.PARTITION_BYTES)
+    return models.fuse_neighbours(_sized(spark, d), "tensor", "bytes", costs.PARTITION_BYTES)
 
 
 @query(
@@ -253,7 +275,7 @@ def tensor_to_group(spark, d):
 
 @query(
     "best_partitions",
-    with_comm("select tensor, bytes, greatest(1, round(sqrt(bytes * 0.002 / 300.0)))::bigint as k from z", _GROUPS + ", " + _SIZED),
+    sized("select tensor, bytes, greatest(1, round(sqrt(bytes * 0.002 / 300.0)))::bigint as k from z"),
 )
 def best_partitions(spark, d):
     return _sized(spark, d).withColumn("k", costs.best_parts(F.col("bytes"), F.lit(0.002), F.lit(300.0)))
@@ -261,25 +283,29 @@ def best_partitions(spark, d):
 
 @query(
     "piecewise_time",
-    with_comm(
-        """select tensor, round(case when log10(bytes) <= 5.5 then pow(10.0, 0.1 * log10(bytes) + 2.0) when log10(bytes) <= 6.5 then pow(10.0, 0.6 * log10(bytes) - 0.75)
-  else pow(10.0, 0.9 * log10(bytes) - 2.7) end, 6) as us from z""",
-        _GROUPS + ", " + _SIZED,
+    sized(
+        """select tensor, bytes, round(1.8 * pow(10.0, case when x <= 4.70781790174102 then -1.7521176854008658
+    when x > 626.2991919900213 then x - 626.2991919900213 + 619.9289905166377 else 1.0343874361266248 * (x - 4.70781790174102) - 1.7521176854008658 end), 6) as push_ms,
+  round(1.8 * pow(10.0, case when x <= 4.7581024691199625 then -1.6513319055201428
+    when x > 626.2641292852817 then x - 626.2641292852817 + 619.9640547461936 else 1.063909142047732 * (x - 4.7581024691199625) - 1.6513319055201428 end), 6) as pull_ms
+from (select *, log10(bytes) as x from z where bytes > 0)"""
     ),
 )
 def piecewise_time(spark, d):
-    knots = [(5.5, 0.1, 2.0), (6.5, 0.6, -0.75), (99.0, 0.9, -2.7)]
-    return _sized(spark, d).select("tensor", F.round(costs.piecewise_log(F.col("bytes"), knots), 6).alias("us"))
+    """Time of pushing and pulling each tensor group, by the fixed curve of parameter servers."""
+    rows = _sized(spark, d).filter("bytes > 0")
+    return rows.select("tensor", "bytes", *[F.round(costs.server_time(F.col("bytes"), way), 6).alias(f"{way}_ms") for way in ("push", "pull")])
 
 
 @query(
     "projected_trace",
-    with_trace(
+    "with recursive"
+    + with_trace(
         """
 select name, round(avg(dur_us) / 1000, 6) as avg_ms from silver where cat <> 'Comm' group by name
 union all select 'Comm.' || tensor, round(bytes / (100.0 * 0.85 * 1e6), 9) from z""",
         COMM.strip() + ", " + _GROUPS + ", " + _SIZED,
-    ),
+    )[4:],
 )
 def projected_trace(spark, d):
     return models.projected(silver(spark, d, "cat"), _sized(spark, d))
