@@ -50,6 +50,19 @@ def test_cli_options(spark, tables, option, capsys):
     capsys.readouterr()
 
 
+@pytest.mark.parametrize("option,sub", [(k, v) for k, vs in cli.SUB_OPTIONS.items() for v in vs if v != "sheets"])
+def test_cli_sub_options(spark, tables, option, sub, capsys):
+    assert cli.main([option, tables, "--sub", sub, "--rounds", "2"], spark).count() > 0
+    capsys.readouterr()
+
+
+def test_cli_sheets_and_unknown_sub(spark, tables, tmp_path):
+    cli.main(["statistic", tables, "--sub", "sheets", "--output", str(tmp_path / "s")], spark)
+    assert spark.read.option("header", True).csv(str(tmp_path / "s" / "statistic")).count() == 8
+    with pytest.raises(SystemExit):
+        cli.main(["gap", tables, "--sub", "top"], spark)
+
+
 def test_cli_compare_timeline_config(spark, tables, tmp_path, capsys):
     assert cli.main(["compare", tables, "--trials", "t0,t1"], spark).count() == 4
     out = tmp_path / "x.json"
