@@ -43,6 +43,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return flags.select(F.col("event_id").alias("event_seq")).distinct()
 
 
+def p5_certain(spark: SparkSession, d: str) -> DataFrame:
+    """The events to distrust whatever is usual: impossible durations and stuck runs."""
+    flags = spikes.flag_implausible(table(spark, d, "trace_events"), "name", "pid", "ts_us", "dur_us", "event_seq")
+    return flags.filter("reason <> 'spike'").select(F.col("event_id").alias("event_seq"), "reason").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = sessions.sessionize(
         table(spark, d, "trace_events"), "pid", "ts_us", "event_seq", sessions.step_number(), SESSION_GAP_US
@@ -74,6 +80,7 @@ QUERIES = {
     "p1_kept": p1_kept,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p5_certain": p5_certain,
     "p6_found": p6_found,
     "p6_sessions": p6_sessions,
     "p7_found": p7_found,
@@ -93,6 +100,13 @@ select pid, min(ts_us) as start_us, max(ts_us) as end_us, count(*) as n_events,
 from g group by pid, k"""
 
 ORACLES = {
+    "p5_certain": """
+with e as (select distinct event_seq, pid, name, ts_us, dur_us from trace_events where event_seq is not null and dur_us is not null),
+t as (select *, case when lag(dur_us) over w = dur_us then 0 else 1 end b from e where pid is not null and name is not null and ts_us is not null
+      window w as (partition by name, pid order by ts_us, event_seq)),
+g as (select *, sum(b) over (partition by name, pid order by ts_us, event_seq) k from t)
+select event_seq, 'impossible' as reason from e where dur_us not between 1 and 86400000000
+union all select event_seq, 'stuck' from (select event_seq, count(*) over (partition by name, pid, k) n from g) where n >= 8""",
     "p7_found": f"with recursive {NESTED} select distinct record_id, node, side, pos, name as tensor from tens",
     "p7_operations": f"""with recursive {NESTED}
 select record_id, node, parent, coalesce(nullif({text("j -> '$.name'")}, ''), key) as name, {text("j -> '$.op'")} as kind,

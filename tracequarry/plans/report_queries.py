@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions import names
@@ -12,7 +13,7 @@ from tracequarry.plans.model_queries import _AMP, _KERNELS, _half, _kernels
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
 from tracequarry.plans.sql import NESTED, SIZES, text, with_comm, with_trace
 from tracequarry.plans.statistics_queries import _ITER, comm, silver
-from tracequarry.session import table
+from tracequarry.session import stored, table
 
 QUERIES = {}
 ORACLES = {}
@@ -176,6 +177,28 @@ def partial_replay(spark, d):
     return reports.partial_times(nodes, edges, _updates(nodes), KEY).filter("time_ms >= 0").select(*KEY, F.col("nodes").cast("bigint").alias("nodes"))
 
 
+@query(
+    "replay_check",
+    with_trace(
+        """select trial, step, count(*) as nodes, sum(us)::double as busy_us, true as in_order, true as apart from (
+  select trial, step, dur_us as us from ev union all select trial, step, 0 from bars) group by trial, step""",
+        _STEP,
+    ),
+)
+def replay_check(spark, d):
+    """What each step's replay has run: its nodes, their time, whether all edges are kept and no device runs two at once."""
+    nodes, edges = _steps(spark, d)
+    runs = stored(graph.replays(nodes, edges, KEY))
+    end = lambda side, at: runs.select(*KEY, F.col("node").alias(side), F.col(f"{at}_us").alias(f"{side}_at"))
+    kept = edges.select(*KEY, "src", "dst").join(end("src", "end"), [*KEY, "src"]).join(end("dst", "start"), [*KEY, "dst"])
+    kept = kept.groupBy(*KEY).agg(F.bool_and(F.col("dst_at") >= F.col("src_at") - 0.01).alias("in_order"))
+    before = F.lag("end_us").over(Window.partitionBy(*KEY, "device").orderBy("exec_seq"))  # a device's part of one step
+    apart = runs.withColumn("ok", F.coalesce(F.col("start_us") >= before - 0.01, F.lit(True))).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("nodes"), F.round(F.sum(F.col("end_us") - F.col("start_us")), 0).alias("busy_us"), F.bool_and("ok").alias("apart")
+    )
+    return apart.join(kept, KEY, "left").select(*KEY, "nodes", "busy_us", F.coalesce("in_order", F.lit(True)).alias("in_order"), "apart")
+
+
 @query("replay_compare")
 def replay_compare(spark, d):
     """Replays under delays beside the plain one."""
