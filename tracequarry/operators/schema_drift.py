@@ -393,7 +393,8 @@ def schema_changes(
     ``headers`` are the ``file_headers`` of the same lines, if they were taken
     before.
     """
-    profiles = stored(_file_profiles(file_headers(raw_events) if headers is None else headers, rules))
+    counts = stored(file_headers(raw_events)) if headers is None else headers  # read for the records and for the fields
+    profiles = stored(_file_profiles(counts, rules))
     pairs = (
         _sequence(trace_files, profiles, rules)
         .filter("before is not null")
