@@ -55,6 +55,12 @@ def kind_spread(events: DataFrame) -> DataFrame:
     )
 
 
+def relabelled(nodes: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """``nodes`` (with a column node, ``device->…``) with their name on the device that ``placed`` (key, to) gives their key."""
+    moved = F.concat(F.col("to"), F.lit("->"), F.regexp_replace("node", "^.*?->", ""))
+    return nodes.join(placed.select(key, "to"), key).withColumn("relabelled", moved).drop("to")
+
+
 def compared_sets(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Rows of two sets with where they are: both, left or right."""
     left, right = a.select(*key).distinct().withColumn("_a", F.lit(True)), b.select(*key).distinct().withColumn("_b", F.lit(True))

@@ -223,14 +223,15 @@ grads as (select row_number() over (order by name) - 1 as id, bytes from (select
 z as (select tensor, sum(bytes)::bigint as bytes from (select tensor, unnest(string_split(tensor, '+'))::bigint as id from g) join grads using (id) group by tensor)"""
 
 
-def _sized(spark, d):
-    """Tensor groups with their size: an id is the place of a tensor among the named outputs of the metadata, by name.
+def _sized(spark, d, groups=None):
+    """Tensor groups (those of comm_events unless given) with their size: an id is the place of a tensor among the named outputs of the metadata, by name.
 
     Ids beyond the list add nothing; groups without any known tensor are left out.
     """
     outputs = _sizes(spark, d).filter("side = 'output' and name <> ''").groupBy("name").agg(F.max("bytes").alias("bytes"))
     sizes = global_number(outputs, "name", "id").select("id", "bytes")
-    ids = _groups(spark, d).select("tensor", F.explode(F.split("tensor", "[+]")).alias("id")).withColumn("id", F.col("id").cast("bigint"))
+    groups = _groups(spark, d) if groups is None else groups
+    ids = groups.select("tensor", F.explode(F.split("tensor", "[+]")).alias("id")).withColumn("id", F.col("id").cast("bigint"))
     return ids.join(sizes, "id").groupBy("tensor").agg(F.sum("bytes").alias("bytes"))
 
 

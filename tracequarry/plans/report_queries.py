@@ -9,7 +9,7 @@ from tracequarry.functions import names
 from tracequarry.operators import costs, graph, kernels, matching, nested, reports
 from tracequarry.operators import statistics as st
 from tracequarry.plans.graph_queries import _STEP, KEY, _sizes, _steps
-from tracequarry.plans.model_queries import _AMP, _KERNELS, _half, _kernels
+from tracequarry.plans.model_queries import _AMP, _KERNELS, _SIZED, _half, _kernels, _sized
 from tracequarry.plans.sequence_queries import _EDGES, dfg_edges
 from tracequarry.plans.sql import NESTED, SIZES, text, with_comm, with_trace
 from tracequarry.plans.statistics_queries import _ITER, comm, silver
@@ -266,6 +266,38 @@ def _feeds(spark, d):
     return feeds, means.groupBy("trial", "tensor").agg(F.sum("a").alias("us"))
 
 
+@query(
+    "bandwidth",
+    "with recursive"
+    + with_trace(
+        """select trial, op_name, bytes as size_bytes, round(bytes * 8 / (b - a), 9) as bits_per_us from (
+  select trial, op_name, min(ts_us) a, max(ts_us + dur_us) b from silver where cat = 'Comm' and op_name is not null group by all) join z on z.tensor = op_name where b > a""",
+        "g as (select distinct op_name as tensor from silver where cat = 'Comm' and regexp_matches(op_name, '^[0-9+]+$')), " + _SIZED,
+    )[4:],
+)
+def bandwidth(spark, d):
+    """Bits per microsecond of each tensor group, over the time from its first start to its last end."""
+    events = silver(spark, d, "event_seq", "trial", "cat", "op_name").filter("cat = 'Comm' and op_name is not null")
+    groups = events.filter("op_name rlike '^[0-9+]+$'").select(F.col("op_name").alias("tensor")).distinct()
+    return st.bandwidth(events, _sized(spark, d, groups).select(F.col("tensor").alias("op_name"), F.col("bytes").alias("size_bytes")))
+
+
+@query(
+    "server_relabel",
+    r"""with o as (select distinct pid, regexp_extract(name, '^Comm[.]([0-9+]+)[.]', 1) as tensor, string_split(name, '.')[3] as op from server_events
+  where event_seq is not null and pid is not null and name is not null),
+m as (select tensor, (row_number() over (order by tensor) - 1) % 4 as k from (select distinct tensor from o))
+select pid || '->' || tensor || '.' || op as node, 'server' || k || '->' || tensor || '.' || op as relabelled from o join m using (tensor)""",
+)
+def server_relabel(spark, d):
+    """Server operations moved to the server that a map of partitions gives their tensor."""
+    rows = st.distinct_events(table(spark, d, "server_events"), "pid", "name").filter("pid is not null and name is not null")
+    rows = rows.select("pid", F.regexp_extract("name", "^Comm[.]([0-9+]+)[.]", 1).alias("tensor"), F.element_at(F.split("name", "[.]"), 3).alias("op")).distinct()
+    placed = costs.round_robin(rows.select("tensor").distinct(), "tensor", 4).select("tensor", F.concat(F.lit("server"), "server").alias("to"))
+    node = F.concat("pid", F.lit("->"), "tensor", F.lit("."), "op")
+    return reports.relabelled(rows.withColumn("node", node), placed, "tensor").select("node", "relabelled")
+
+
 @query("comm_behind", with_trace("select trial, op, count(*) as tensors, round(sum(us), 3) as comm_us from feeds join ctime using (trial, tensor) group by trial, op", _FEEDS))
 def comm_behind(spark, d):
     """Coarse time of the communications that an operation feeds."""
