@@ -101,6 +101,33 @@ def test_nested_pairing_random(spark, seed):
     assert got == stack_pairs(marks)
 
 
+@pytest.mark.parametrize("seed,bits", [(0, 3), (1, 5), (2, 7), (3, 4), (4, 62)])
+def test_nested_pairing_over_slots(spark, seed, bits):
+    """Spans over many slots of time, several keys, with depths, against a stack."""
+    rng = random.Random(seed)
+    rows, exp, n = [], [], 0
+    for key in ("p", "q", "r"):
+        stack = []
+        for i in range(rng.randrange(1, 120)):
+            ph, name = ("B" if rng.random() < 0.5 else "E"), rng.choice("xyz")
+            rows.append((key, ph, name, i * 3, n))
+            n += 1
+            if ph == "B":
+                stack.append((name, i * 3))
+            elif stack:
+                depth = len(stack)
+                b = stack.pop()
+                exp.append((key, b[0], b[1], i * 3 - b[1], depth))
+    rows += [(None, "B", "x", 1, n), ("p", "B", "x", None, n + 1)]
+    df = spark.createDataFrame(rows, "pid string, ph string, name string, ts_us bigint, seq bigint")
+    for batch in (10_000, 7, 1):  # slots go over many batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = sequences.pair_nested(df, ["pid"], bits).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(tuple, got)) == sorted(exp)
+    assert sequences.pair_nested(df.limit(0), ["pid"]).collect() == []
+
+
 def test_not_touching(spark):
     spans = spark.createDataFrame([("l", 100, 200)], "link string, start_us bigint, end_us bigint")
     points = spark.createDataFrame([(1, "l", 650), (2, "l", 800), (3, "m", 650)], "id bigint, link string, t bigint")

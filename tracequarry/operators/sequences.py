@@ -1,20 +1,21 @@
 """Operators over events in the order of time: pairing, merging, clipping, gaps, queues.
 
-All of them use ``ordered.running``, so no device's rows come together in one
-task.
+They use ``ordered.running`` or scan slots of time, so no device's rows come
+together in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.operators.chunks import chunked, scan
 from tracequarry.operators.ordered import SLOT_BITS, running
-from tracequarry.session import cut
+from tracequarry.session import cut, stored
 
 
 def current_step(events: DataFrame, step: str = "step") -> DataFrame:
@@ -35,21 +36,130 @@ def pair_adjacent(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def pair_nested(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def pair_nested(marks: DataFrame, keys: Sequence[str], slot_bits: int = SLOT_BITS) -> DataFrame:
     """Spans of begins and ends that nest, last in first out: (keys, name, start_us, dur_us, depth).
 
-    An end without a begin is passed over, a begin without an end gives no
-    span. The name is the begin's. Depth 1 is the outermost. A mark's level is
-    the running sum less the lowest running sum below zero so far; within a
-    level a begin and the next end belong together.
+    ``marks`` has ph (B or E), name, ts_us, seq. An end without a begin is
+    passed over, a begin without an end gives no span. The name is the
+    begin's. Depth 1 is the outermost. Marks with a null key or time are left
+    out.
+
+    Method: rows of a key and slot of time are scanned in order, in one pass
+    over one shuffle. Within a slot begins and ends are paired by level; ends
+    whose begin lies before the slot and begins still open at its end, a few
+    per slot, are paired afterwards. A slot's spans lie as much deeper as
+    begins are open where it starts, which follows from the slots' counts.
     """
-    rows = _levels(marks, keys).filter("depth > 0")
-    prev = F.struct("ph", "name", "ts_us")
-    rows = running(rows, [*keys, "depth"], "ts_us", ["seq"], {"before": ("lag", prev)})
-    return rows.filter("ph = 'E' and before.ph = 'B'").select(
+    keys = list(keys)
+    rows = marks.dropna(subset=[*keys, "ts_us"]).select(*keys, F.shiftright("ts_us", slot_bits).alias("slot"), "ts_us", "seq", "name", (F.col("ph") == "B").alias("begin"))
+    rows = rows.repartition(*keys, "slot").sortWithinPartitions(*keys, "slot", "ts_us", "seq")
+    own = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    schema = own + "kind string, slot bigint, name string, ts_us bigint, seq bigint, begin boolean, dur_us bigint, depth bigint, popped bigint, n_begin bigint, n_end bigint"
+    pieces = stored(rows.mapInPandas(_nested_slots(keys), schema))
+
+    slots = pieces.filter("kind = 'slot'").groupBy(*keys, "slot").agg(F.sum("n_begin").alias("b"), F.sum("n_end").alias("a"))
+    order = Window.partitionBy(*keys).orderBy("slot")  # a row per slot
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_s", F.coalesce(F.sum(F.col("b") - F.col("a")).over(before), F.lit(0)))
+    slots = slots.withColumn("_low", F.col("_s") - F.col("a"))
+    height = F.col("_s") - F.least(F.lit(0), F.coalesce(F.min("_low").over(before), F.lit(0)))
+    open_ = slots.select(*keys, "slot", height.alias("_open")).filter("_open > 0")
+    inner = pieces.filter("kind = 'span'").join(open_, [*keys, "slot"], "left")
+    deeper = F.greatest(F.coalesce("_open", F.lit(0)) - F.col("popped"), F.lit(0))
+    inner = inner.select(*keys, "name", F.col("ts_us").alias("start_us"), "dur_us", (F.col("depth") + deeper).alias("depth"))
+
+    left = pieces.filter("kind = 'mark'").select(*keys, F.when(F.col("begin"), "B").otherwise("E").alias("ph"), "name", "ts_us", "seq")
+    levels = _levels(left, keys).filter("depth > 0")
+    levels = running(levels, [*keys, "depth"], "ts_us", ["seq"], {"before": ("lag", F.struct("ph", "name", "ts_us"))})
+    outer = levels.filter("ph = 'E' and before.ph = 'B'").select(
         *keys, F.col("before.name").alias("name"), F.col("before.ts_us").alias("start_us"),
         (F.col("ts_us") - F.col("before.ts_us")).alias("dur_us"), "depth",
     )
+    return inner.unionByName(outer)
+
+
+def _nested_slots(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs the marks of each key and slot, rows in order; open begins go from batch to batch."""
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # open begins of the last slot, with popped
+        last: tuple | None = None
+        popped = ends = 0  # of the last slot so far
+
+        def closed() -> Iterator[pd.DataFrame]:
+            """The last slot's open begins, and its counts."""
+            row = {k: [v] for k, v in zip([*keys, "slot"], last)}
+            yield pd.DataFrame(row | {"kind": "slot", "n_begin": [len(held)], "n_end": [ends]})
+            if len(held):
+                yield held[[*keys, "slot", "name", "ts_us", "seq", "begin"]].assign(kind="mark")
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            out: list[pd.DataFrame] = []
+            first = tuple(pdf[c].iloc[0] for c in [*keys, "slot"])
+            if last is not None and first != last:
+                out += closed()
+                held, popped, ends = None, 0, 0
+            carried = 0 if held is None else len(held)
+            pdf = pdf.assign(popped=0) if not carried else pd.concat([held, pdf.assign(popped=0)], ignore_index=True)
+            n = len(pdf)
+            change = np.zeros(n, bool)
+            for c in [*keys, "slot"]:
+                v = pdf[c].to_numpy(object)
+                change[1:] |= v[1:] != v[:-1]
+            group = np.cumsum(change)
+            begins = np.concatenate([[0], np.flatnonzero(change)])
+            sign = np.where(pdf["begin"].to_numpy(bool), 1, -1)
+            total = np.cumsum(sign)
+            level = total - np.concatenate([[0], total])[begins][group]
+            far = np.int64(2 * n + 2)  # parts the groups' running minima
+            low = np.minimum.accumulate(np.minimum(level, 0) - far * group) + far * group
+            low_before = np.concatenate([[0], low[:-1]])
+            low_before[begins] = 0
+            depth = np.where(sign > 0, level - low, level + 1 - low_before)
+            ok = np.flatnonzero(depth > 0)
+            order = ok[np.lexsort((ok, depth[ok], group[ok]))]
+            a, b = order[:-1], order[1:]
+            pair = (group[a] == group[b]) & (depth[a] == depth[b]) & (sign[a] > 0) & (sign[b] < 0)
+            a, b = a[pair], b[pair]
+            more = np.where(group == 0, popped, 0)
+            gone = np.where(np.arange(n) < carried, pdf["popped"].to_numpy(np.int64), more - low)
+            spans = pdf.iloc[a][[*keys, "slot", "name", "ts_us"]].assign(kind="span", depth=depth[a], popped=gone[a])
+            out.append(spans.assign(dur_us=pdf["ts_us"].to_numpy(np.int64)[b] - spans["ts_us"].to_numpy(np.int64)))
+            lost = (sign < 0) & (depth <= 0)
+            out.append(pdf[lost][[*keys, "slot", "name", "ts_us", "seq", "begin"]].assign(kind="mark"))
+            waiting = sign > 0
+            waiting[a] = False
+            done = waiting & (group < group[-1])
+            out.append(pdf[done][[*keys, "slot", "name", "ts_us", "seq", "begin"]].assign(kind="mark"))
+            inside = np.arange(len(begins) - 1)  # slots that end within the batch
+            if len(inside):
+                counts = pdf.iloc[begins[:-1]][[*keys, "slot"]].assign(
+                    kind="slot", n_begin=np.bincount(group[done], minlength=len(begins))[:-1], n_end=np.bincount(group[lost], minlength=len(begins))[:-1]
+                )
+                counts.iloc[0, counts.columns.get_loc("n_end")] += ends
+                out.append(counts)
+            tail = group == group[-1]
+            same = group[-1] == 0
+            ends = (ends if same else 0) + int((lost & tail).sum())
+            popped = (popped if same else 0) - int(low[-1])
+            held = pdf[waiting & tail].assign(popped=gone[waiting & tail])
+            last = tuple(pdf[c].iloc[-1] for c in [*keys, "slot"])
+            yield from (_nested_row(f, keys) for f in out if len(f))
+        if last is not None:
+            yield from (_nested_row(f, keys) for f in closed())
+
+    return body
+
+
+def _nested_row(f: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    f = f.reindex(columns=[*keys, "kind", "slot", "name", "ts_us", "seq", "begin", "dur_us", "depth", "popped", "n_begin", "n_end"])
+    for c in ("slot", "ts_us", "seq", "dur_us", "depth", "popped", "n_begin", "n_end"):
+        f[c] = f[c].astype("Int64")
+    f["begin"] = f["begin"].astype("boolean")
+    f["kind"], f["name"] = f["kind"].astype(object), f["name"].astype(object).where(f["name"].notna(), None)
+    return f
 
 
 def _levels(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
