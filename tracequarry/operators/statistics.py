@@ -84,10 +84,11 @@ def op_stats(events: DataFrame) -> DataFrame:
         F.max(F.when(inside, middle - (F.col("_upto") - F.col("n")))).alias("_at"),
     )
     values = events.groupBy(*key, part.alias("_range"), "dur_us").agg(F.count(F.lit(1)).alias("n"))
-    wanted = values.join(stats.select(*key, "_range", "_at"), [*key, "_range"])
-    ordered = wanted.withColumn("_upto", F.sum("n").over(span.orderBy("dur_us").rowsBetween(Window.unboundedPreceding, 0)))
-    medians = ordered.groupBy(*key).agg(F.min(F.when(F.col("_upto") > F.col("_at"), F.col("dur_us"))).alias("_median"))
-    return stats.join(medians, key).select(
+    found = values.join(stats, [*key, "_range"])
+    found = found.withColumn("_upto", F.sum("n").over(span.orderBy("dur_us").rowsBetween(Window.unboundedPreceding, 0)))
+    same = [F.first(c).alias(c) for c in ("cnt", "_min", "_max", "_s", "_q")]
+    found = found.groupBy(*key).agg(*same, F.min(F.when(F.col("_upto") > F.col("_at"), F.col("dur_us"))).alias("_median"))
+    return found.select(
         *key,
         "cnt",
         ms(F.col("_min")).alias("min_ms"),

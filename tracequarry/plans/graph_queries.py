@@ -229,7 +229,7 @@ def bottleneck(spark, d):
 
 @query("fusion_search")
 def fusion_search(spark, d):
-    """Fusions by three searches on the graph of each step, until nothing better is found for a while."""
+    """Fusions by three searches on the graph of each step, with rounds by its size."""
     return graph.searches(*_steps(spark, d), KEY, rounds=None)
 
 
