@@ -264,7 +264,9 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     some = sizes > 0  # items without size take no room, wherever they are
     if not some.any():
         return start, start
-    found = Search(sizes[some], np.unique(start[some], return_inverse=True)[1], capacity).run()
+    found = np.unique(start[some], return_inverse=True)[1]
+    if found.max() + 1 > least_bins(sizes[some], capacity):  # else the start can't be beaten
+        found = Search(sizes[some], found, capacity).run()
     bins = np.zeros(len(sizes), np.int64)
     bins[some] = found
     return bins, start
