@@ -567,8 +567,17 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
             return x if kind == "double" else int(x) if x == int(x) and abs(x) <= 2**53 else None
         return text(v)
 
+    def whole(v: Any) -> Any:
+        return v if type(v) is int and -(2**63) <= v < 2**63 else value(v, "bigint")
+
+    def real(v: Any) -> Any:
+        return v if type(v) is float and math.isfinite(v) else value(v, "double")
+
+    by_type = {"bigint": whole, "double": real, "boolean": lambda v: value(v, "boolean")}
+    convert = {f: by_type.get(merged[f], text) for f in fields}
+
     def unify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked, first = None, {}
+        asked, first = None, {}  # a file's renamed members and their first names
         for pdf in batches:
             rows = []
             for file_id, line, raw, names in pdf[["file_id", "line_no", "raw", "names"]].itertuples(index=False):
@@ -577,6 +586,7 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
                     continue
                 if names is not asked:  # lines of a file mostly follow each other
                     asked, first = names, json.loads(names) if isinstance(names, str) else {}
+                    first = {k[5:]: v[5:] for k, v in first.items() if k.startswith("args.")}
                 key = next((k for k, v in r.items() if k not in FIXED and k != "args" and is_phase(v)), None)
                 phase = r.get(key)
                 ts, dur = number(r.get("ts")), number(r.get("dur"))
@@ -587,11 +597,14 @@ def consistent_events(raw_events: DataFrame, trace_files: DataFrame, rules: Drif
                     rest["args"] = r["args"]
                 args, left = {}, {}
                 # a renamed field before an odd member that has its first name
-                for k, v in sorted(own.items(), key=lambda m: "args." + m[0] not in first) if first else own.items():
+                items = own.items()
+                if not first.keys().isdisjoint(own):
+                    items = sorted(items, key=lambda m: m[0] not in first)
+                for k, v in items:
                     if v is None:
                         continue
-                    to = first.get("args." + k, "args." + k)[5:]
-                    x = value(v, merged[to]) if to in merged and to not in args else None
+                    to = first.get(k, k)
+                    x = convert[to](v) if to in convert and to not in args else None
                     if x is None:
                         left[k] = v
                     else:
