@@ -492,3 +492,52 @@ def test_reach_is_pruned_but_whole():
                 far[u][v] = True
                 far[u] = [a or b for a, b in zip(far[u], far[v])]
         assert all(kernels.reaches(g, u, v) == far[u][v] for u in range(n) for v in range(n) if u != v)
+
+
+def step_like(rng, n):
+    """Steps of two devices: chains of computation and of communication, edges between them, barriers and gaps."""
+    nodes, edges, gaps = [], [], {}
+    for p in ("h0", "h1"):
+        last = {}
+        for i in range(n):
+            kind = rng.choice(["FW.m/a", "BW.m/b", "BW.m/b", "UPDATE_.c", "Comm.1.Sync", "Comm.1.QUEUE", "Comm.2.MEMCPY_OUT_FUSION_BUFFER", "Comm.2.SEND", "I/O.x"])
+            name = f"{p}->{kind}~>{rng.randrange(100)}_{i}"
+            nodes.append((name, rng.choice([0.0, 0.5, rng.random(), rng.randrange(1, 4)])))
+            cat = kernels.coarse(name)
+            edges += [(last[c], name) for c in last if c == cat or rng.random() < 0.1]
+            last[cat] = name
+            if rng.random() < 0.4:
+                gaps[name] = {f"{cat}GAP{cat}": rng.choice([0.0, 300.0, 250.5]), "operatorGAPComm": rng.choice([0.0, 200.0])}
+    for b in range(2):
+        bar = f"all->Barrier.{b}"
+        nodes.append((bar, 0.0))
+        at = {p: sorted(rng.sample(range(n), 2)) for p in ("h0", "h1")}
+        edges += [e for p, (i, j) in at.items() for e in ((nodes[i + n * (p == "h1")][0], bar), (bar, nodes[j + n * (p == "h1")][0]))]
+    return nodes, edges, gaps
+
+
+def test_fusions_are_searched_without_replaying_whole_graphs(monkeypatch):
+    """Carried on from state to state, moves, times and paths are those of graphs made anew; a search makes none of these."""
+    rng = random.Random(11)
+    rules = kernels.MoveRules()
+    tried = 0
+    for seed in range(120):
+        g = kernels.Graph.build(*step_like(rng, rng.randrange(3, 26))) if seed % 3 else kernels.Graph.build(*random_dag(rng, 12))
+        if g.order()[1]:
+            continue
+        roots = [kernels.PlainState(g, rules), kernels.searched(g, rules)]
+        assert isinstance(roots[1], kernels.FusedState)
+        n = 2 * len(roots[0].moves())
+        plain, fast = ([kernels.mcmc(g, n, seed=seed, root=r), kernels.mcts(g, n, seed=seed, root=r), kernels.greedy_walk(g, root=r)] for r in roots)
+        assert plain == fast
+        a, b = roots
+        while a.moves():
+            assert a.moves() == b.moves() and a.moves_on_path() == b.moves_on_path() and a.cost == b.cost
+            move = rng.choice(a.moves())
+            a, b = a.after(move), b.after(move)
+        assert b.moves() == []
+        tried += len(fast[1].tried)
+    assert tried > 1000
+    calls = []
+    monkeypatch.setattr(kernels, "replay", lambda *x: calls.append(x))
+    assert len(kernels.mcts(g, n).tried) == n + 1 and not calls

@@ -403,17 +403,18 @@ def searches(
     ``rounds`` a graph gets twice as many as it has moves, so that the tree
     search has tried each first move and goes on below.
     """
-    budget = lambda g: 2 * len(kernels.moves_of(g, rules)) if rounds is None else rounds
     methods = {
-        "mcmc": lambda g: kernels.mcmc(g, budget(g), seed=seed, rules=rules),
-        "mcts": lambda g: kernels.mcts(g, budget(g), seed=seed, rules=rules),
-        "walk": lambda g: kernels.greedy_walk(g, rules=rules),
+        "mcmc": lambda g, n, root: kernels.mcmc(g, n, seed=seed, rules=rules, root=root),
+        "mcts": lambda g, n, root: kernels.mcts(g, n, seed=seed, rules=rules, root=root),
+        "walk": lambda g, n, root: kernels.greedy_walk(g, rules=rules, root=root),
     }
 
     def run(k: tuple, g: kernels.Graph) -> list[tuple]:
         found = []
+        root = kernels.searched(g, rules)
+        n = 2 * len(root.moves()) if rounds is None else rounds
         for m, f in methods.items():
-            o = f(g)
+            o = f(g, n, root)
             again = kernels.replay(kernels.apply_all(g, o.steps, rules))[1]
             found.append((m, round(o.tried[0], 6), round(o.best, 6), round(again, 6), len(o.steps), len(o.tried), kernels.written(o.steps)))
         return found
