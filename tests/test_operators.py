@@ -513,6 +513,7 @@ def step_like(rng, n):
         nodes.append((bar, 0.0))
         at = {p: sorted(rng.sample(range(n), 2)) for p in ("h0", "h1")}
         edges += [e for p, (i, j) in at.items() for e in ((nodes[i + n * (p == "h1")][0], bar), (bar, nodes[j + n * (p == "h1")][0]))]
+    rng.shuffle(edges)
     return nodes, edges, gaps
 
 
